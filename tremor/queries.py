@@ -1,0 +1,4 @@
+"""All registered queries of the event analytics, and their DuckDB SQL."""
+
+QUERIES: dict = {}
+ORACLE_SQL: dict = {}
