@@ -96,7 +96,7 @@ def fit(documents: DataFrame, keep: Column, per_lang: int = 1500, classes: int =
                     keys, n = np.unique(code[np.isin(own, np.flatnonzero(langs[i : i + len(lengths)] == lang))], return_counts=True)
                     yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(keys), pa.string()), "code": keys, "n": n})
 
-    counts = rows.mapInArrow(contexts, "lang string, code int, n long").groupBy("lang", "code").agg(F.sum("n").alias("n")).toPandas()
+    counts = rows.mapInArrow(contexts, "lang string, code int, n long").groupBy("lang", "code").agg(F.sum("n").alias("n")).toArrow().to_pandas()
     langs = sorted(counts["lang"].unique())
     return {"langs": langs, "cls": cls, "width": classes, "counts": [(g["code"].to_numpy(), g["n"].to_numpy()) for g in (counts[counts["lang"] == x] for x in langs)]}
 

@@ -17,7 +17,9 @@ SEGMENTS = 256
 #: A count c is held as level 1 + floor(log2 c): a member for each level up to its own.
 LEVELS = 40
 #: Words of exact counts that are sent to the workers; the counts of all others are joined.
-HEAD = 1 << 20
+HEAD = 1 << 19
+#: After words that make up 1 / COMMON of all tokens or more (so at most COMMON words) successors aren't counted.
+COMMON = 1 << 15
 #: Most weight of a word's successor counts, which falls as TRUST / (count + TRUST) with the count of the word.
 WEIGHT, TRUST = 0.1, 64.0
 
@@ -79,28 +81,44 @@ def _powers(n: int, base: np.uint64) -> np.ndarray:
     return got[:n]
 
 
-def pair_ids(ids: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Ids of (previous token, token); the first token of a text follows its end."""
-    prev = np.empty_like(ids)
-    prev[1:] = ids[:-1]
-    prev[np.flatnonzero(np.diff(rows, prepend=-1))] = END
+def shifted(values: np.ndarray, rows: np.ndarray, first) -> np.ndarray:
+    """The value of each token's predecessor; `first` for the first token of a text."""
+    prev = np.empty_like(values)
+    prev[1:] = values[:-1]
+    prev[np.flatnonzero(np.diff(rows, prepend=-1))] = first
+    return prev
+
+
+def pair_ids(prev: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Ids of (previous token, token)."""
     with np.errstate(over="ignore"):
-        return _mix(prev.view(np.uint64) * np.uint64(3) + _mix(ids.view(np.uint64) + np.uint64(1))).view(np.int64), prev
+        return _mix(prev.view(np.uint64) * np.uint64(3) + _mix(ids.view(np.uint64) + np.uint64(1))).view(np.int64)
 
 
-def _counts(training: DataFrame, pairs: bool) -> DataFrame:
-    """(id, n) of all tokens, or of all pairs of tokens, of the texts."""
+def _counts(training: DataFrame, common=None) -> DataFrame:
+    """(id, n) of all tokens of the texts, or, given a broadcast of the sorted ids of common tokens, of all pairs of tokens but those after them."""
 
     def run(batches):
         for batch in batches:
             for _, data, starts, lengths in text_chunks(batch.column("text"), 1 << 23):
                 ids, rows = token_ids(data, starts, lengths)
-                keys, n = np.unique(pair_ids(ids, rows)[0] if pairs else ids, return_counts=True)
+                if common is not None:
+                    prev = shifted(ids, rows, END)
+                    rare = ~member(common.value, prev)
+                    ids = pair_ids(prev[rare], ids[rare])
+                keys, n = np.unique(ids, return_counts=True)
                 yield pa.RecordBatch.from_pydict({"id": keys, "n": n})
 
     return training.select("text").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
+def member(keys: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Whether each id is among the sorted keys."""
+    if not len(keys):
+        return np.zeros(len(ids), bool)
+    return keys[np.minimum(np.searchsorted(keys, ids), len(keys) - 1)] == ids
+
+
 def level(counts: np.ndarray) -> np.ndarray:
     return np.minimum(1 + np.floor(np.log2(np.maximum(counts, 1))).astype(np.int64), LEVELS)
 
@@ -142,10 +160,10 @@ def build_filter(counts: DataFrame, log2: int) -> np.ndarray:
         for batch in batches:
             for s, raw in zip(batch.column("segment").to_pylist(), batch.column("bits").to_pylist()):
                 at = np.frombuffer(raw, "<u4")
-                seg = done.setdefault(s, np.zeros(width // 8, np.uint8))
-                np.bitwise_or.at(seg, at >> 3, np.uint8(1) << (at & 7).astype(np.uint8))
+                seg = done.setdefault(s, np.zeros(width, bool))
+                seg[at] = True
         for s, seg in done.items():
-            yield pa.RecordBatch.from_pydict({"segment": pa.array([s], pa.int32()), "bits": pa.array([seg.tobytes()], pa.binary())})
+            yield pa.RecordBatch.from_pydict({"segment": pa.array([s], pa.int32()), "bits": pa.array([np.packbits(seg, bitorder="little").tobytes()], pa.binary())})
 
     schema = "segment int, bits binary"
     out = np.zeros((1 << log2) // 8, np.uint8)
@@ -169,23 +187,21 @@ def probe(bits: np.ndarray, log2: int, ids: np.ndarray) -> np.ndarray:
     return lev
 
 
-def model_log10(ids, rows, bits, log2: int, mass: float, kinds: int) -> np.ndarray:
-    """log10 probability of each token: counts read from the filter, a word's share of its predecessor's successors mixed
-    with its share of all tokens. Levels stand for 1.5 * 2**(level - 1) tokens (1 for level 1); a pair's count is taken
-    at its least and its predecessor's at its most, so no predecessor has shares of over one."""
-    pairs, prev = pair_ids(ids, rows)
-    uniq, back = np.unique(np.concatenate([ids, prev]), return_inverse=True)
-    lev = probe(bits, log2, uniq)[back]
-    own, before = lev[: len(ids)], lev[len(ids) :]
+def model_log10(own, before, c2, mass: float, kinds: int) -> np.ndarray:
+    """log10 probability of tokens from levels: of the token, of its predecessor (-1: no successors are counted) and of the pair.
+
+    A token's share of its predecessor's successors is mixed with its share of all tokens. A pair's count is taken at
+    its level's least and its predecessor's at its most, so no predecessor has shares of over one.
+    """
     p1 = (estimate(own) + 0.1) / (mass + 0.1 * (kinds + 1))
-    c2 = probe(bits, log2, pairs)
-    most = np.exp2(before)
+    most = np.exp2(np.maximum(before, 0))
     share = np.where((c2 > 0) & (before > 0), np.minimum(np.exp2(c2 - 1.0) / most, 1.0), 0.0)
     trust = np.where(before > 0, WEIGHT * TRUST / (most + TRUST), 0.0)
     return np.log10((1 - trust) * p1 + trust * share)
 
 
 def estimate(lev: np.ndarray) -> np.ndarray:
+    """The count that a level stands for: 1, and 1.5 * 2**(level - 1) from level 2."""
     return np.where(lev > 1, 1.5 * np.exp2(lev - 1.0), np.where(lev == 1, 1.0, 0.0))
 
 
@@ -202,7 +218,7 @@ def score(documents: DataFrame, head: int = HEAD) -> DataFrame:
     held = (crc_mod(F.col("doc_id"), 10) == 0).alias("held_out")
     docs = documents.select("doc_id", "text", held)
     training = docs.where("not held_out")
-    unigrams = checkpoint(_counts(training, pairs=False))
+    unigrams = checkpoint(_counts(training))
     stats = unigrams.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v"), F.coalesce(F.sum(F.when(F.col("n") > 1, 1.5 * F.pow(2.0, F.floor(F.log2("n")))).otherwise(1.0)), F.lit(0.0)).alias("mass")).first()
     total, kinds, mass = stats.n, stats.v, stats.mass
     log2 = max(20, min(LARGEST_LOG2, int(BITS_A_TOKEN * max(total, 1)).bit_length()))
@@ -211,10 +227,16 @@ def score(documents: DataFrame, head: int = HEAD) -> DataFrame:
     while least > 0 and room >= steps.get(least - 1, 0):
         least -= 1
         room -= steps.get(least, 0)
-    top = unigrams.where(F.col("n") >= F.lit(1 << least)).toPandas().sort_values("id")  # at most `head` rows
-    bits = build_filter(_counts(training, pairs=True).unionByName(unigrams), log2)
-    shared = spark.sparkContext.broadcast((top["id"].to_numpy(), top["n"].to_numpy(), bits))
-    del top, bits
+    def ids_from(n):
+        got = unigrams.where(F.col("n") >= F.lit(n)).toArrow()
+        order = np.argsort(ids := np.asarray(got.column("id").combine_chunks()))
+        return ids[order], np.asarray(got.column("n").combine_chunks())[order]
+
+    often = max(1, -(-total // COMMON))
+    common = spark.sparkContext.broadcast(ids_from(often)[0])  # at most COMMON words
+    bits = build_filter(_counts(training, common).unionByName(unigrams), log2)
+    shared = spark.sparkContext.broadcast((*ids_from(1 << least), bits))  # at most `head` words, and the filter
+    del bits
     norm = np.log10(max(total + 0.1 * (kinds + 1), 0.1))
 
     def run(batches):
@@ -225,13 +247,22 @@ def score(documents: DataFrame, head: int = HEAD) -> DataFrame:
             rare, rare_rows = [], []
             for i, data, starts, lengths in text_chunks(batch.column("text")):
                 ids, rows = token_ids(data, starts, lengths)
-                at = np.minimum(np.searchsorted(keys, ids), max(len(keys) - 1, 0))
-                found = keys[at] == ids if len(keys) else np.zeros(len(ids), bool)
-                m = len(lengths)
+                uniq, back = np.unique(ids, return_inverse=True)
+                at = np.minimum(np.searchsorted(keys, uniq), max(len(keys) - 1, 0))
+                inside = keys[at] == uniq if len(keys) else np.zeros(len(uniq), bool)
+                count = np.where(inside, freq[at], 0) if len(keys) else np.zeros(len(uniq), np.int64)
+                found, m = inside[back], len(lengths)
                 tokens[i : i + m] = np.bincount(rows, minlength=m)
                 known[i : i + m] = np.bincount(rows[found], minlength=m)
-                base[i : i + m] = np.bincount(rows[found], weights=np.log10(freq[at[found]] + 0.1) - norm, minlength=m)
-                model[i : i + m] = np.bincount(rows, weights=model_log10(ids, rows, flt, log2, mass, kinds), minlength=m)
+                base[i : i + m] = np.bincount(rows[found], weights=(np.log10(count + 0.1) - norm)[back][found], minlength=m)
+                lev = probe(flt, log2, uniq)
+                last = np.flatnonzero(uniq == END)
+                after = np.where(member(common.value, uniq), -1, lev)
+                before = shifted(after[back], rows, after[last[0]])
+                ask = np.flatnonzero(before > 0)
+                c2 = np.zeros(len(ids), np.int64)
+                c2[ask] = probe(flt, log2, pair_ids(shifted(ids, rows, END)[ask], ids[ask]))
+                model[i : i + m] = np.bincount(rows, weights=model_log10(lev[back], before, c2, mass, kinds), minlength=m)
                 rare.append(ids[~found])
                 rare_rows.append(rows[~found] + i)
             rare, rare_rows = np.concatenate(rare), np.concatenate(rare_rows)
