@@ -18,8 +18,9 @@ SEGMENTS = 256
 LEVELS = 40
 #: Words of exact counts that are sent to the workers; the counts of all others are joined.
 HEAD = 1 << 19
-#: After words that make up 1 / COMMON of all tokens or more (so at most COMMON words) successors aren't counted.
-COMMON = 1 << 15
+#: After words that make up 1 / COMMON of all tokens (so at most COMMON words) and occur OFTEN times, successors
+#: aren't counted: they would weigh 0.6 % and less.
+COMMON, OFTEN = 1 << 15, 1 << 10
 #: Most weight of a word's successor counts, which falls as TRUST / (count + TRUST) with the count of the word.
 WEIGHT, TRUST = 0.1, 64.0
 
@@ -100,7 +101,7 @@ def _counts(training: DataFrame, common=None) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for _, data, starts, lengths in text_chunks(batch.column("text"), 1 << 23):
+            for _, data, starts, lengths in text_chunks(batch.column("text"), 1 << 22):
                 ids, rows = token_ids(data, starts, lengths)
                 if common is not None:
                     prev = shifted(ids, rows, END)
@@ -232,7 +233,7 @@ def score(documents: DataFrame, head: int = HEAD) -> DataFrame:
         order = np.argsort(ids := np.asarray(got.column("id").combine_chunks()))
         return ids[order], np.asarray(got.column("n").combine_chunks())[order]
 
-    often = max(1, -(-total // COMMON))
+    often = max(OFTEN, -(-total // COMMON))
     common = spark.sparkContext.broadcast(ids_from(often)[0])  # at most COMMON words
     bits = build_filter(_counts(training, common).unionByName(unigrams), log2)
     shared = spark.sparkContext.broadcast((*ids_from(1 << least), bits))  # at most `head` words, and the filter
