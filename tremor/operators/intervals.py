@@ -61,3 +61,12 @@ def debounced(df: DataFrame, by: list[str], order: str, above: Column, k: int, w
     rows = df.withColumn("__above", F.coalesce(above, F.lit(False)).cast("int"))
     rows = trailing(rows, by, order, window, __n=lambda w: F.sum("__above").over(w.rowsBetween(1 - window, 0)), __m=lambda w: F.sum("__above").over(w.rowsBetween(-window, -1)))
     return rows.where((F.col("__n") >= k) & (F.coalesce("__m", F.lit(0)) < k)).drop("__above", "__n", "__m")
+
+
+def within_spans(points: DataFrame, t: str, spans: DataFrame, lo: str, hi: str, cell: int = 1 << 12, how: str = "inner") -> DataFrame:
+    """Rows of points joined with the spans whose [lo, hi] holds t: an equi-join on cells of t, so neither side is sent whole to every task."""
+    cut = spans.withColumn("__cell", F.explode(F.sequence(F.floor(F.col(lo) / cell), F.floor(F.col(hi) / cell))))
+    at = points.withColumn("__cell", F.floor(F.col(t) / cell))
+    cond = (at["__cell"] == cut["__cell"]) & (F.col(t) >= F.col(lo)) & (F.col(t) <= F.col(hi))
+    joined = at.join(cut, cond, how)
+    return joined.drop("__cell")

@@ -1 +1,289 @@
-"""Queries."""
+"""Queries: alarms and their evaluation."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from tremor.operators import intervals
+from tremor.plans import evaluation as E
+from tremor.plans import hawkes
+from tremor.queries.cascades import _EPISODES, BARS, bar_table, episodes
+from tremor.queries.registry import query
+from tremor.sources.adapter import cte
+
+MU, ALPHA, BETA, CUT, LEAD = 0.05, 0.02, 0.05, 0.5, 2000
+SCORES = f""", hist as (select b.i, coalesce(sum(m.n_liquidations * exp(-{BETA} * (b.i - m.i))), 0) as r from bars b left join bars m on m.i < b.i and m.n_liquidations > 0 group by b.i),
+scores as (select i, end_block as block, n_liquidations, liquidated_usd, start_block, r, {MU} + {ALPHA} * r as lam, {ALPHA} * r / ({MU} + {ALPHA} * r) as score from bars join hist using (i)),
+edges as (select i, block, score from (select *, lag(score) over (order by i) as before from scores) where score >= {CUT} and coalesce(before, -1) < {CUT}),
+fires as (select i, block, score from (select *, sum(a) over (order by i rows between 9 preceding and current row) as n, coalesce(sum(a) over (order by i rows between 10 preceding and 1 preceding), 0) as m from (select *, (score >= {CUT})::int as a from scores)) where n >= 3 and m < 3)"""
+EPS = ", eps as (select row_number() over (order by start_block, protocol) as ep, start_block, end_block, severity_usd, protocol from episodes)"
+KINDS = f""", kinds as (select block, (select min(ep) from eps where block >= start_block - {LEAD} and block < start_block) as episode, case when exists (select 1 from eps where block >= start_block - {LEAD} and block < start_block) then 'true'
+  when exists (select 1 from eps where block between start_block and end_block) then 'neither' else 'false' end as kind from edges)"""
+ALL = cte("grid") + _EPISODES + BARS + SCORES + EPS + KINDS
+
+
+def score_table(spark, d):
+    return hawkes.scored(bar_table(spark, d), MU, ALPHA, BETA).withColumn("block", F.col("end_block"))
+
+
+def episode_table(spark, d):
+    w = W.orderBy("start_block", "protocol")  # episodes are few: a row per cascade
+    return episodes(spark, d).select(F.row_number().over(w).cast("long").alias("ep"), "start_block", "end_block", "severity_usd", "protocol")
+
+
+def edges(spark, d):
+    return intervals.rising_edges(score_table(spark, d), [], "i", F.col("score") >= CUT)
+
+
+def fires(spark, d):
+    return intervals.debounced(score_table(spark, d), [], "i", F.col("score") >= CUT, 3, 10)
+
+
+@query(ALL + " select i, block, score from edges")
+def rising_edge(spark, d):
+    return edges(spark, d).select("i", "block", "score")
+
+
+@query(ALL + " select i, block, score from fires")
+def debounce(spark, d):
+    return fires(spark, d).select("i", "block", "score")
+
+
+@query(ALL + " select ep, min(block) as first_alarm from eps join fires on block >= start_block - 3000 and block <= end_block group by ep")
+def first_alarm(spark, d):
+    e = episode_table(spark, d).withColumn("lo", F.col("start_block") - 3000)
+    return intervals.within_spans(fires(spark, d).select("block"), "block", e, "lo", "end_block").groupBy("ep").agg(F.min("block").alias("first_alarm"))
+
+
+@query(ALL + " select * from kinds")
+def classify_alerts(spark, d):
+    return E.classify_alerts(edges(spark, d).select("block"), episode_table(spark, d), LEAD)
+
+
+@query(ALL + f" select block, ep from fires left join eps on block between start_block - {LEAD} and end_block")
+def classify_fires(spark, d):
+    return E.classify_fires(fires(spark, d), episode_table(spark, d), LEAD)
+
+
+@query(ALL + " select count(*) as alerts, count(*) filter (where kind = 'true') as true_alerts, count(*) filter (where kind = 'false') as false_alarms, count(*) filter (where kind = 'true') / nullif(count(*) filter (where kind <> 'neither'), 0) as precision, count(distinct episode) / (select count(*) from eps) as recall from kinds")
+def precision_recall(spark, d):
+    k, n = classify_alerts(spark, d), episode_table(spark, d).agg(F.count("*").alias("n"))
+    g = k.agg(F.count("*").alias("alerts"), F.count_if(F.col("kind") == "true").alias("true_alerts"), F.count_if(F.col("kind") == "false").alias("false_alarms"), F.countDistinct("episode").alias("found"))
+    return g.crossJoin(n).select("alerts", "true_alerts", "false_alarms", (F.col("true_alerts") / F.nullif(F.col("true_alerts") + F.col("false_alarms"), F.lit(0))).alias("precision"), (F.col("found") / F.nullif("n", F.lit(0))).alias("recall"))
+
+
+@query(ALL + " select (select count(*) from kinds where kind = 'false') / ((max(end_block) - min(start_block)) / 50400.0::double) as far_per_week from bars")
+def far_per_week(spark, d):
+    span = bar_table(spark, d).agg(((F.max("end_block") - F.min("start_block")) / 50400.0).alias("weeks"))
+    return classify_alerts(spark, d).agg(F.count_if(F.col("kind") == "false").alias("f")).crossJoin(span).select((F.col("f") / F.col("weeks")).alias("far_per_week"))
+
+
+GRID = [round(0.05 * k, 2) for k in range(1, 20)]
+SWEEP = f""", th as (select unnest([{", ".join(map(str, GRID))}])::double as threshold), sedges as (select threshold, block from th join (select *, coalesce(lag(score) over (order by i), -1) as before from scores) s on s.score >= threshold and s.before < threshold),
+sk as (select threshold, block, (select min(ep) from eps where block >= start_block - {LEAD} and block < start_block) as episode, exists (select 1 from eps where block between start_block and end_block) as inside from sedges),
+sweep as (select threshold, count(block) as alerts, count(episode) as true_alerts, count(*) filter (where block is not null and episode is null and not inside) as false_alarms, count(distinct episode) as detected from th left join sk using (threshold) group by threshold)"""
+
+
+def sweep_table(spark, d):
+    return E.sweep(score_table(spark, d), episode_table(spark, d), LEAD, GRID)
+
+
+@query(ALL + SWEEP + " select * from sweep")
+def operating_curve(spark, d):
+    return sweep_table(spark, d)
+
+
+@query(ALL + SWEEP + """ select threshold, detected, false_alarms, true as feasible from sweep where false_alarms / ((select max(end_block) - min(start_block) from bars) / 50400.0::double) <= 20 order by detected desc, threshold limit 1""")
+def recall_at_far(spark, d):
+    span = bar_table(spark, d).agg(((F.max("end_block") - F.min("start_block")) / 50400.0).alias("weeks"))
+    s = sweep_table(spark, d).crossJoin(span).withColumn("feasible", F.col("false_alarms") / F.col("weeks") <= 20)
+    pick = F.struct(F.col("feasible").cast("int"), F.when(F.col("feasible"), F.col("detected")).otherwise(-F.col("false_alarms")), -F.col("threshold"))
+    return s.agg(F.max_by(F.struct("threshold", "detected", "false_alarms", "feasible"), pick).alias("x")).select("x.*")
+
+
+@query(ALL + SWEEP + " select threshold, detected / (select count(*) from eps) as recall from sweep where true_alerts / nullif(true_alerts + false_alarms, 0) >= 0.2 order by recall desc, threshold limit 1")
+def lead_frontier(spark, d):
+    n = episode_table(spark, d).agg(F.count("*").alias("n"))
+    s = sweep_table(spark, d).where(F.col("true_alerts") / F.nullif(F.col("true_alerts") + F.col("false_alarms"), F.lit(0)) >= 0.2).crossJoin(n)
+    return s.select("threshold", (F.col("detected") / F.col("n")).alias("recall")).orderBy(F.desc("recall"), "threshold").limit(1)
+
+
+@query(ALL + " select ep, count(k.block) > 0 as detected, max(start_block - k.block) as earliest_lead from eps left join kinds k on k.episode = ep group by ep")
+def per_episode(spark, d):
+    k = classify_alerts(spark, d).where("episode is not null").select(F.col("episode").alias("ep"), "block")
+    return episode_table(spark, d).join(k, "ep", "left").groupBy("ep").agg((F.count("block") > 0).alias("detected"), F.max(F.col("start_block") - F.col("block")).alias("earliest_lead"))
+
+
+LABELS = ", y as (select i, score, n_liquidations, block, exists (select 1 from eps where start_block > block and start_block <= block + 500) as y from scores)"
+
+
+def labelled(spark, d, h=500):
+    e = episode_table(spark, d).select((F.col("start_block") - h).alias("lo"), (F.col("start_block") - 1).alias("hi"))
+    s = score_table(spark, d)
+    hit = intervals.within_spans(s.select("i", "block"), "block", e, "lo", "hi").select("i").distinct().withColumn("y", F.lit(True))
+    return s.join(hit, "i", "left").withColumn("y", F.coalesce("y", F.lit(False)))
+
+
+@query(ALL + LABELS + " select i, y from y")
+def horizon_label(spark, d):
+    return labelled(spark, d).select("i", "y")
+
+
+@query(ALL + " select i, coalesce((select severity_usd from eps where start_block > block and start_block <= block + 500 order by start_block, ep limit 1), 0) as severity from scores")
+def horizon_severity(spark, d):
+    e = episode_table(spark, d).select("ep", "start_block", "severity_usd", (F.col("start_block") - 500).alias("lo"), (F.col("start_block") - 1).alias("hi"))
+    s = score_table(spark, d).select("i", "block")
+    near = intervals.within_spans(s, "block", e, "lo", "hi").groupBy("i").agg(F.min_by("severity_usd", F.struct("start_block", "ep")).alias("severity"))
+    return s.select("i").join(near, "i", "left").select("i", F.coalesce("severity", F.lit(0.0)).alias("severity"))
+
+
+@query(ALL + LABELS + ", g as (select round(score, 6) as score, sum(y::int) as tp, count(*) as n from y group by 1), c as (select tp, sum(tp) over w as ctp, sum(n) over w as cn, n from g window w as (order by score desc)) select sum(tp * ctp / cn) / sum(tp) as auprc, cast(sum(tp) as bigint) as positives, cast(sum(n) as bigint) as n from c")
+def auprc(spark, d):
+    return E.auprc(labelled(spark, d).withColumn("score", F.round("score", 6)), "score", "y")
+
+
+@query(ALL + LABELS + " select avg(pow(score - y::int, 2)) as brier from y")
+def brier(spark, d):
+    return labelled(spark, d).agg(F.avg(F.pow(F.col("score") - F.col("y").cast("int"), F.lit(2))).alias("brier"))
+
+
+@query(ALL + LABELS + " select cast(greatest(ceil(score * 10) - 1, 0) as bigint) as bin, avg(score) as predicted, avg(y::int) as observed, count(*) as n from y group by 1")
+def calibration(spark, d):
+    return E.calibration(labelled(spark, d), F.col("score"), F.col("y"), 10)
+
+
+@query(ALL + " select avg(greatest(0.9 * (n_liquidations - lam), -0.1 * (n_liquidations - lam))) as pinball from scores")
+def quantile_loss(spark, d):
+    e = F.col("n_liquidations") - F.col("lam")
+    return score_table(spark, d).agg(F.avg(F.greatest(0.9 * e, -0.1 * e)).alias("pinball"))
+
+
+@query(ALL + " select sum(severity_usd) filter (where ep in (select episode from kinds)) as protectable_usd, sum(severity_usd) as total_usd, count(*) as n_episodes from eps")
+def usd_protectable(spark, d):
+    k = classify_alerts(spark, d).where("episode is not null").select(F.col("episode").alias("ep")).distinct().withColumn("hit", F.lit(True))
+    return episode_table(spark, d).join(k, "ep", "left").agg(F.sum(F.when(F.col("hit"), F.col("severity_usd"))).alias("protectable_usd"), F.sum("severity_usd").alias("total_usd"), F.count("*").alias("n_episodes"))
+
+
+@query(ALL + f" select count(*) as n_in_time, sum(severity_usd) as usd_in_time from eps where exists (select 1 from fires where block >= start_block - {LEAD} and block < start_block)")
+def protectable_in_time(spark, d):
+    e = episode_table(spark, d).withColumn("lo", F.col("start_block") - LEAD).withColumn("hi", F.col("start_block") - 1)
+    hit = intervals.within_spans(fires(spark, d).select("block"), "block", e, "lo", "hi").select("ep", "severity_usd").distinct()
+    return hit.agg(F.count("*").alias("n_in_time"), F.sum("severity_usd").alias("usd_in_time"))
+
+
+@query(ALL + ", f as (select ep, min(block) as alarm from eps join fires on block >= start_block - 3000 and block <= end_block group by ep) select ep, sum(amount_usd) filter (where block_number < alarm) as usd_before, sum(amount_usd) filter (where block_number >= alarm) as usd_after from eps join f using (ep) join liq on liq.protocol = eps.protocol and block_number between start_block and end_block group by ep")
+def cost_timing(spark, d):
+    from tremor.sources import adapter as A
+
+    e = episode_table(spark, d).join(first_alarm(spark, d), "ep").select("ep", F.col("protocol").alias("p"), "start_block", "end_block", "first_alarm")
+    q = intervals.within_spans(A.liquidations(spark, d), "block_number", e, "start_block", "end_block").where("p = protocol")
+    early = F.col("block_number") < F.col("first_alarm")
+    return q.groupBy("ep").agg(F.sum(F.when(early, F.col("amount_usd"))).alias("usd_before"), F.sum(F.when(~early, F.col("amount_usd"))).alias("usd_after"))
+
+
+@query(ALL + ", t as (select ep, block_number, sum(amount_usd) over (partition by ep order by block_number range unbounded preceding) as cum, sum(amount_usd) over (partition by ep) as total from eps join liq on liq.protocol = eps.protocol and block_number between start_block and end_block) select ep, min(block_number) filter (where cum >= 0.5 * total) as half_block, max(total) as usd from t group by ep")
+def lead_metrics(spark, d):
+    from tremor.sources import adapter as A
+
+    e = episode_table(spark, d).select("ep", F.col("protocol").alias("p"), "start_block", "end_block")
+    q = intervals.within_spans(A.liquidations(spark, d), "block_number", e, "start_block", "end_block").where("p = protocol")
+    w = W.partitionBy("ep")
+    q = q.withColumn("cum", F.sum("amount_usd").over(w.orderBy("block_number").rangeBetween(W.unboundedPreceding, 0))).withColumn("total", F.sum("amount_usd").over(w))
+    return q.groupBy("ep").agg(F.min(F.when(F.col("cum") >= 0.5 * F.col("total"), F.col("block_number"))).alias("half_block"), F.max("total").alias("usd"))
+
+
+@query(ALL + ", s as (select ep, block_number, amount_usd from eps join liq on liq.protocol = eps.protocol and block_number between start_block and end_block) select e.ep, b.i, coalesce(sum(s.amount_usd), 0) as cum_usd, count(s.ep) as cum_n from eps e join bars b on b.end_block between e.start_block and e.end_block left join s on s.ep = e.ep and s.block_number <= b.end_block group by all")
+def cumulative_cost(spark, d):
+    from tremor.operators.asof import asof_join
+    from tremor.sources import adapter as A
+
+    e = episode_table(spark, d).select("ep", F.col("protocol").alias("p"), "start_block", F.col("end_block").alias("last_block"))
+    b = intervals.within_spans(bar_table(spark, d).select("i", "end_block"), "end_block", e, "start_block", "last_block").select("ep", "i", "end_block")
+    q = intervals.within_spans(A.liquidations(spark, d), "block_number", e, "start_block", "last_block").where("p = protocol")
+    per = q.groupBy("ep", F.col("block_number").alias("end_block")).agg(F.sum("amount_usd").alias("u"), F.count("*").alias("c"))
+    w = W.partitionBy("ep").orderBy("end_block").rowsBetween(W.unboundedPreceding, 0)
+    run = per.select("ep", "end_block", F.sum("u").over(w).alias("cum_usd"), F.sum("c").over(w).alias("cum_n"))
+    return asof_join(b, run, ["ep"], "end_block", ["cum_usd", "cum_n"]).select("ep", "i", F.coalesce("cum_usd", F.lit(0.0)).alias("cum_usd"), F.coalesce("cum_n", F.lit(0)).alias("cum_n"))
+
+
+@query(ALL + " select cast(date_trunc('month', to_timestamp(1704067200 + block * 12) at time zone 'UTC') as date) as month, count(*) as false_alarms from kinds where kind = 'false' group by 1")
+def false_alarms_monthly(spark, d):
+    ts = F.timestamp_seconds(F.lit(1704067200) + F.col("block") * 12)
+    return classify_alerts(spark, d).where("kind = 'false'").groupBy(F.trunc(ts.cast("date"), "month").alias("month")).agg(F.count("*").alias("false_alarms"))
+
+
+@query(ALL + """, a as (select block // 50400 as week, count(*) as bars, count(*) filter (where score >= 0.5) / count(*) as alarming from scores group by 1), f as (select block // 50400 as week, count(*) as f from kinds where kind = 'false' group by 1),
+e as (select start_block // 50400 as week, count(*) as e from eps group by 1) select week, bars, alarming, coalesce(f, 0) as false_alarms, coalesce(e, 0) as episodes from a left join f using (week) left join e using (week)""")
+def far_by_year(spark, d):
+    week = lambda c: F.floor(F.col(c) / 50400).alias("week")  # noqa: E731  the tables span a month, so weeks stand for years
+    s = score_table(spark, d).groupBy(week("block")).agg(F.count("*").alias("bars"), (F.count_if(F.col("score") >= CUT) / F.count("*")).alias("alarming"))
+    f = classify_alerts(spark, d).where("kind = 'false'").groupBy(week("block")).agg(F.count("*").alias("f"))
+    e = episode_table(spark, d).groupBy(week("start_block")).agg(F.count("*").alias("e"))
+    return s.join(f, "week", "left").join(e, "week", "left").select("week", "bars", "alarming", F.coalesce("f", F.lit(0)).alias("false_alarms"), F.coalesce("e", F.lit(0)).alias("episodes"))
+
+
+@query(ALL + ", c as (select *, sum(a) over (order by i rows between 9 preceding and current row) as n, coalesce(sum(a) over (order by i rows between 10 preceding and 1 preceding), 0) as m from (select *, (score >= 0.5)::int as a from scores)) select k, count(*) as n_fires, min(block) as first_block from c, (select unnest([1, 2, 3, 5, 8]) as k) where n >= k and m < k group by k")
+def debounce_sweep(spark, d):
+    rows = score_table(spark, d).withColumn("a", (F.col("score") >= CUT).cast("int"))
+    rows = intervals.trailing(rows, [], "i", 10, n=lambda w: F.sum("a").over(w.rowsBetween(-9, 0)), m=lambda w: F.coalesce(F.sum("a").over(w.rowsBetween(-10, -1)), F.lit(0)))
+    ks = rows.withColumn("k", F.explode(F.array(*[F.lit(k) for k in (1, 2, 3, 5, 8)]))).where("n >= k and m < k")
+    return ks.groupBy("k").agg(F.count("*").alias("n_fires"), F.min("block").alias("first_block"))
+
+
+@query(ALL + " select (max(end_block) - min(start_block)) / 50400.0::double as weeks, floor((max(end_block) - min(start_block)) / 50400.0::double * 5)::bigint as allowed, (select count(*) from kinds where kind = 'false') <= floor((max(end_block) - min(start_block)) / 50400.0::double * 5) as within_budget from bars")
+def far_budget(spark, d):
+    f = classify_alerts(spark, d).agg(F.count_if(F.col("kind") == "false").alias("f"))
+    b = bar_table(spark, d).agg(((F.max("end_block") - F.min("start_block")) / 50400.0).alias("weeks"))
+    allowed = F.floor(F.col("weeks") * 5)
+    return b.crossJoin(f).select("weeks", allowed.alias("allowed"), (F.col("f") <= allowed).alias("within_budget"))
+
+
+@query(cte("grid") + BARS + " select i, coalesce(sum(n_liquidations) over (order by i rows between 20 preceding and 1 preceding), 0)::bigint as score from bars")
+def rolling_count(spark, d):
+    return intervals.trailing(bar_table(spark, d), [], "i", 20, score=lambda w: F.coalesce(F.sum("n_liquidations").over(w.rowsBetween(-20, -1)), F.lit(0))).select("i", "score")
+
+
+@query(cte("grid") + BARS + " select i, n_liquidations as score from bars")
+def raw_count(spark, d):
+    return bar_table(spark, d).select("i", F.col("n_liquidations").alias("score"))
+
+
+@query(cte("grid") + BARS + " select b.i, coalesce(sum((1 - pow(0.5, 0.1)) * m.n_liquidations * pow(0.5, 0.1 * (b.i - m.i - 1))), 0) as score from bars b left join bars m on m.i < b.i and m.n_liquidations > 0 group by b.i")
+def ewma_rate(spark, d):
+    import math
+
+    from tremor.operators.recurrence import decayed_history
+
+    b = bar_table(spark, d).withColumn("m", F.col("n_liquidations").cast("double"))
+    keep = 0.5**0.1
+    return decayed_history(b, [], "i", "m", -math.log(keep), "r").select("i", (F.col("r") * ((1 - keep) / keep)).alias("score"))
+
+
+@query(ALL + " select ep, start_block, (start_block // 50400) as fold from eps where start_block // 50400 >= 1")
+def walk_forward_folds(spark, d):
+    # folds of a week after a seed week; the training set of fold f is all rows with block < f * 50400
+    return episode_table(spark, d).where("start_block >= 50400").select("ep", "start_block", F.floor(F.col("start_block") / 50400).alias("fold"))
+
+
+@query(ALL + ", h as (select * from (values ('h1', 50000, 60000), ('h2', 100000, 130000)) v(name, lo, hi)) select name, count(*) filter (where block < lo) as n_train, count(*) filter (where block between lo and hi) as n_test from scores, h group by name")
+def episode_holdouts(spark, d):
+    s, out = score_table(spark, d), None
+    for name, lo, hi in (("h1", 50000, 60000), ("h2", 100000, 130000)):
+        one = s.agg(F.count_if(F.col("block") < lo).alias("n_train"), F.count_if(F.col("block").between(lo, hi)).alias("n_test")).select(F.lit(name).alias("name"), "n_train", "n_test")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query(ALL + " select distinct unnest(quantile_cont(score, [" + ", ".join(str(k / 20) for k in range(21)) + "])) as threshold from scores")
+def threshold_grid(spark, d):
+    return score_table(spark, d).agg(F.percentile("score", [k / 20 for k in range(21)]).alias("t")).select(F.explode("t").alias("threshold")).distinct()
+
+
+@query(ALL + " select ep, i from (select ep, i, row_number() over (partition by ep order by i) - 1 as n, count(*) over (partition by ep) as c from eps join bars on end_block between start_block_ and end_block_) where c <= 8 or n % cast(ceil(c / 8.0) as bigint) = 0".replace("from eps join bars on", "from (select ep, start_block as start_block_, end_block as end_block_ from eps) e join bars on"))
+def preview(spark, d):
+    e = episode_table(spark, d).select("ep", F.col("start_block").alias("s"), F.col("end_block").alias("e"))
+    b = intervals.within_spans(bar_table(spark, d).select("i", "end_block"), "end_block", e, "s", "e")
+    w = W.partitionBy("ep")
+    b = b.withColumn("n", F.row_number().over(w.orderBy("i")) - 1).withColumn("c", F.count("*").over(w))
+    return b.where((F.col("c") <= 8) | (F.col("n") % F.ceil(F.col("c") / 8) == 0)).select("ep", "i")

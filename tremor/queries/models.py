@@ -1 +1,108 @@
-"""Queries."""
+"""Queries: the self-exciting model on bars."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tremor.operators.recurrence import decayed_history
+from tremor.plans import hawkes
+from tremor.queries.alarms import ALPHA, BETA, MU, SCORES, score_table
+from tremor.queries.cascades import BARS, bar_table
+from tremor.queries.registry import query
+from tremor.sources import adapter as A
+from tremor.sources.adapter import cte
+
+_BASE = cte("grid") + BARS + SCORES
+CHANNELS = ["a0", "a1", "a2"]
+M_MU, M_ALPHA, M_BETA = [0.01, 0.02, 0.03], [[0.01, 0.002, 0.001], [0.003, 0.01, 0.002], [0.001, 0.002, 0.02]], 0.05
+
+
+@query(_BASE + " select i, r, lam, score from scores")
+def hawkes_score(spark, d):
+    return score_table(spark, d).select("i", "r", "lam", "score")
+
+
+@query(_BASE + " select i, lam from scores")
+def hawkes_intensity(spark, d):
+    return score_table(spark, d).select("i", "lam")
+
+
+@query(_BASE + " select i, r from hist")
+def linear_recurrence(spark, d):
+    b = bar_table(spark, d).withColumn("m", F.col("n_liquidations").cast("double"))
+    return decayed_history(b, [], "i", "m", BETA, "r").select("i", "r")
+
+
+@query(_BASE + " select i, n_liquidations + 0.5 * liquidated_usd / (select avg(liquidated_usd) from bars where liquidated_usd > 0) as mark from bars")
+def hawkes_marks(spark, d):
+    return hawkes.marks(bar_table(spark, d)).select("i", "mark")
+
+
+@query(_BASE + " select sum(lam - n_liquidations * ln(lam)) as nll from scores")
+def hawkes_nll(spark, d):
+    b = bar_table(spark, d)
+    n, events = b.count(), b.where("n_liquidations > 0").select("i", F.col("n_liquidations").cast("double").alias("m"))
+    nll, *_ = hawkes.likelihood_terms(events, n, MU, ALPHA, BETA)
+    return spark.createDataFrame([(float(nll),)], "nll double")
+
+
+@query(_BASE + f", z as (select *, case when i % 17 = 0 then 0 else (i % 100 - avg(i % 100) over ()) / stddev_pop(i % 100) over () end as z from scores) select i, {MU} * exp(0.1 * z) + {ALPHA} * r as lam_baseline, {ALPHA} * r + 0.01 * greatest(z, 0) as excitation from z")
+def hawkes_covariate(spark, d):
+    s = score_table(spark, d)
+    st = s.agg(F.avg(F.col("i") % 100).alias("m"), F.stddev_pop(F.col("i") % 100).alias("s")).first()
+    z = F.when(F.col("i") % 17 != 0, (F.col("i") % 100 - st.m) / st.s)  # every 17th covariate is missing
+    s = s.withColumn("z", F.coalesce(z, F.lit(0.0)))
+    return s.select("i", (MU * F.exp(0.1 * F.col("z")) + ALPHA * F.col("r")).alias("lam_baseline"), (ALPHA * F.col("r") + 0.01 * F.greatest("z", F.lit(0.0))).alias("excitation"))
+
+
+@query()
+def hawkes_fit(spark, d):
+    m = hawkes.fit(bar_table(spark, d))
+    return spark.createDataFrame([tuple(m[k] for k in ("mu", "alpha", "beta", "nll", "branching", "n_bars"))], "mu double, alpha double, beta double, nll double, branching double, n_bars long")
+
+
+_MULTI = cte("grid") + BARS + ", cb as (select i, " + ", ".join(f"(select count(*) from liq, b0 where collateral_asset = '{c}' and least((block_number - lo) // (select bw from grid), n - 1) = bars.i) as {c}" for c in CHANNELS) + " from bars), mh as (select b.i, any_value(b.a0) as a0, any_value(b.a1) as a1, any_value(b.a2) as a2, " + ", ".join(f"coalesce(sum(m.{c} * exp(-{M_BETA} * (b.i - m.i))), 0) as r_{c}" for c in CHANNELS) + " from cb b left join cb m on m.i < b.i and m.a0 + m.a1 + m.a2 > 0 group by b.i), ml as (select *, " + ", ".join(f"{M_MU[k]} + " + " + ".join(f"{M_ALPHA[k][j]} * r_{e}" for j, e in enumerate(CHANNELS)) + f" as lam_{k}" for k in range(3)) + " from mh)"
+
+
+def _channel_bars(spark, d):
+    from tremor.operators import bars as B
+
+    q, w = A.liquidations(spark, d), A.grid(spark, d)[2]
+    lo, hi = B.bounds(q)
+    n = max(1, -(-(hi - lo) // w))
+    slot = F.least(F.floor((F.col("block_number") - lo) / w), F.lit(n - 1)).cast("long").alias("i")
+    counts = q.groupBy(slot).pivot("collateral_asset", CHANNELS).count()
+    return spark.range(n).withColumnRenamed("id", "i").join(counts, "i", "left").na.fill(0, CHANNELS)
+
+
+@query(_MULTI + " select sum(" + " + ".join(f"lam_{k} - {c} * ln(lam_{k})" for k, c in enumerate(CHANNELS)) + ") as nll, " + ", ".join(f"sum(1 - {c} / lam_{k}) as g_mu_{k}" for k, c in enumerate(CHANNELS)) + ", " + ", ".join(f"sum((1 - {c} / lam_{k}) * r_{e}) as g_alpha_{k}_{j}" for k, c in enumerate(CHANNELS) for j, e in enumerate(CHANNELS)) + " from ml")
+def hawkes_multi_nll_grad(spark, d):
+    return hawkes.multi_nll(_channel_bars(spark, d), CHANNELS, M_MU, M_ALPHA, M_BETA)
+
+
+@query(_MULTI + " select i, 1 - 0.06 / (lam_0 + lam_1 + lam_2) as score, " + ", ".join(f"lam_{k}" for k in range(3)) + ", " + ", ".join(f"1 - {M_MU[k]} / lam_{k} as score_{k}" for k in range(3)) + " from ml")
+def hawkes_multi_score(spark, d):
+    rows = hawkes.multi_history(_channel_bars(spark, d), CHANNELS, M_BETA)
+    lam = [F.lit(M_MU[k]) + sum((M_ALPHA[k][j] * F.col(f"r_{e}") for j, e in enumerate(CHANNELS)), F.lit(0.0)) for k in range(3)]
+    return rows.select("i", (1 - sum(M_MU) / (lam[0] + lam[1] + lam[2])).alias("score"), *[x.alias(f"lam_{k}") for k, x in enumerate(lam)], *[(1 - M_MU[k] / x).alias(f"score_{k}") for k, x in enumerate(lam)])
+
+
+@query()
+def spectral_radius(spark, d):
+    m = hawkes.fit(bar_table(spark, d), steps=6)
+    return spark.createDataFrame([(hawkes.spectral_radius([[m["alpha"]]], m["beta"]),)], "spectral_radius double")
+
+
+@query(_BASE + ", b as (select *, cast(row_number() over (order by lam, i) - 1 as bigint) * 20 // count(*) over () as bin from scores) select bin, avg(ln(lam)) as log_lam, avg(n_liquidations) as observed, avg(lam) as expected, count(*) as n from b group by bin")
+def gof(spark, d):
+    from pyspark.sql import Window as W
+
+    s = score_table(spark, d).select("i", "lam", "n_liquidations")
+    n = s.count()
+    # ranks: counts of coarse cells of log lambda first, then ranks within a cell
+    s = s.withColumn("cell", F.floor(F.log("lam") * 64))
+    cells = s.groupBy("cell").agg(F.count("*").alias("c"))
+    cells = cells.select("cell", (F.sum("c").over(W.orderBy("cell")) - F.col("c")).alias("before"))  # a row per cell
+    rank = F.col("before") + F.row_number().over(W.partitionBy("cell").orderBy("lam", "i")) - 1
+    s = s.join(cells, "cell").withColumn("bin", F.floor(rank * 20 / n))
+    return s.groupBy("bin").agg(F.avg(F.log("lam")).alias("log_lam"), F.avg("n_liquidations").alias("observed"), F.avg("lam").alias("expected"), F.count("*").alias("n"))
