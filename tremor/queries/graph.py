@@ -1 +1,105 @@
-"""Queries."""
+"""Queries: contagion graph tables at one snapshot."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from tremor.functions.interest import hf_band
+from tremor.queries.registry import query
+from tremor.queries.state import STATE, accounts, frame, latest_prices
+
+_BAND = "case when hf is null then 'no_debt' when hf <= 1 then '<=1' when hf <= 1.1 then '1-1.1' when hf <= 1.25 then '1.1-1.25' when hf <= 1.5 then '1.25-1.5' when hf <= 2 then '1.5-2' else '>2' end"
+_NODES = STATE + f""", fr as (select "user", reserve, round(greatest(collateral, 0) * coalesce(price, 0), 6) as collateral_usd, round(greatest(debt, 0) * coalesce(price, 0), 6) as debt_usd, round(greatest(collateral, 0) * coalesce(price, 0) * coalesce(threshold, 0), 6) as weighted_usd from legs),
+ur as (select "user", sum(collateral_usd) as collateral_usd, sum(debt_usd) as debt_usd, case when sum(debt_usd) > 1e-12 then sum(weighted_usd) / sum(debt_usd) end as hf, sum(weighted_usd) as weighted_usd, (select reserve from fr f where f."user" = fr."user" order by collateral_usd desc, reserve limit 1) as symbol from fr group by "user"),
+rk as (select *, row_number() over (order by collateral_usd desc, "user") <= 30 as whale from ur),
+ids as (select *, case when whale then 'whale:' || "user" else 'bucket:p0:' || symbol || ':' || {_BAND} end as node_id from rk),
+nodes as (select node_id, case when max(whale::int) = 1 then 'whale' else 'bucket' end as node_type, round(sum(collateral_usd), 6) as collateral_usd, round(sum(debt_usd), 6) as debt_usd, case when sum(debt_usd) > 1e-12 then round(sum(weighted_usd) / sum(debt_usd), 6) end as hf, count(*) as n_positions from ids group by node_id),
+expo as (select node_id, reserve, channel, round(sum(w), 6) as weight from (select node_id, reserve, unnest(['collateral', 'debt']) as channel, unnest([fr.collateral_usd, fr.debt_usd]) as w from ids join fr using ("user")) group by all having sum(w) > 1e-9)"""
+
+
+def rollup(spark, d):
+    w = W.partitionBy("user").orderBy(F.desc("collateral_usd"), "reserve")
+    f = frame(spark, d).withColumn("n", F.row_number().over(w))
+    g = f.groupBy("user").agg(F.sum("collateral_usd").alias("collateral_usd"), F.sum("debt_usd").alias("debt_usd"), F.sum("weighted_usd").alias("weighted_usd"), F.max(F.when(F.col("n") == 1, F.col("reserve"))).alias("symbol"))
+    return g.withColumn("hf", F.when(F.col("debt_usd") > 1e-12, F.col("weighted_usd") / F.col("debt_usd")))
+
+
+def ranked(spark, d, top=30):
+    """Users with `whale`: the `top` by collateral are found by a top-N and joined back, so users are never sorted in one task."""
+    r = rollup(spark, d)
+    top = r.orderBy(F.desc("collateral_usd"), "user").limit(top).select("user", F.lit(True).alias("w"))
+    return r.join(top, "user", "left").withColumn("whale", F.coalesce("w", F.lit(False))).drop("w")
+
+
+def with_ids(spark, d):
+    bucket = F.concat_ws(":", F.lit("bucket:p0"), "symbol", hf_band(F.col("hf")))
+    return ranked(spark, d).withColumn("node_id", F.when(F.col("whale"), F.concat(F.lit("whale:"), "user")).otherwise(bucket))
+
+
+def node_table(spark, d):
+    g = with_ids(spark, d).groupBy("node_id").agg(F.when(F.max("whale"), "whale").otherwise("bucket").alias("node_type"), F.sum("collateral_usd").alias("collateral_usd"), F.sum("debt_usd").alias("debt_usd"), F.sum("weighted_usd").alias("x"), F.count("*").alias("n_positions"))
+    return g.select("node_id", "node_type", F.round("collateral_usd", 6).alias("collateral_usd"), F.round("debt_usd", 6).alias("debt_usd"), F.when(F.col("debt_usd") > 1e-12, F.round(F.col("x") / F.col("debt_usd"), 6)).alias("hf"), "n_positions")
+
+
+def exposure(spark, d):
+    rows = with_ids(spark, d).select("user", "node_id").join(frame(spark, d), "user")
+    return rows.select("node_id", "reserve", F.expr("stack(2, 'collateral', collateral_usd, 'debt', debt_usd) as (channel, w)")).groupBy("node_id", "reserve", "channel").agg(F.round(F.sum("w"), 6).alias("weight")).where("weight > 1e-9")
+
+
+@query(_NODES + ' select "user", collateral_usd, debt_usd, hf, symbol from ur')
+def user_rollup(spark, d):
+    return rollup(spark, d).select("user", "collateral_usd", "debt_usd", "hf", "symbol")
+
+
+@query(_NODES + ' select "user", whale, collateral_usd from rk')
+def topn_whales(spark, d):
+    return ranked(spark, d).select("user", "whale", "collateral_usd")
+
+
+@query(_NODES + " select * from nodes where node_type = 'bucket'")
+def bucket_nodes(spark, d):
+    return node_table(spark, d).where("node_type = 'bucket'")
+
+
+@query(_NODES + " select * from expo")
+def exposure_edges(spark, d):
+    return exposure(spark, d)
+
+
+@query(_NODES + " select node_id, node_type, collateral_usd, debt_usd, hf, n_positions from nodes union all select 'asset:' || asset, 'asset', price, null, null, null from price_at union all select 'protocol:p0', 'protocol', null, null, null, null")
+def graph_nodes(spark, d):
+    none = F.lit(None).cast("double")
+    a = latest_prices(spark, d).select(F.concat(F.lit("asset:"), "reserve").alias("node_id"), F.lit("asset").alias("node_type"), F.col("price").alias("collateral_usd"), none.alias("debt_usd"), none.alias("hf"), F.lit(None).cast("long").alias("n_positions"))
+    p = spark.createDataFrame([("protocol:p0", "protocol")], "node_id string, node_type string")
+    return node_table(spark, d).unionByName(a).unionByName(p, allowMissingColumns=True)
+
+
+@query(_NODES + " select node_id as src_id, 'asset:' || reserve as dst_id, channel, weight from expo union all select 'asset:' || asset, 'protocol:p0', 'listing', price from price_at")
+def graph_edges(spark, d):
+    e = exposure(spark, d).select(F.col("node_id").alias("src_id"), F.concat(F.lit("asset:"), "reserve").alias("dst_id"), "channel", "weight")
+    return e.unionByName(latest_prices(spark, d).select(F.concat(F.lit("asset:"), "reserve").alias("src_id"), F.lit("protocol:p0").alias("dst_id"), F.lit("listing").alias("channel"), F.col("price").alias("weight")))
+
+
+@query(_NODES + " select avg(case when hf >= 1.0 and hf < 1.25 then 1.0::double else 0 end) as frac_at_risk, count(*) as n_whales from nodes where node_type = 'whale'")
+def fragility(spark, d):
+    risk = F.coalesce((F.col("hf") >= 1.0) & (F.col("hf") < 1.25), F.lit(False)).cast("double")
+    return node_table(spark, d).where("node_type = 'whale'").agg(F.avg(risk).alias("frac_at_risk"), F.count("*").alias("n_whales"))
+
+
+@query(_NODES + " , keep as (select node_id from nodes where node_type = 'whale' order by collateral_usd desc, node_id limit 10) select node_id, reserve, channel, weight from expo where node_id in (select node_id from keep)")
+def legible_subgraph(spark, d):
+    keep = node_table(spark, d).where("node_type = 'whale'").orderBy(F.desc("collateral_usd"), "node_id").limit(10).select("node_id")
+    e = exposure(spark, d)
+    return e.join(keep, "node_id", "left_semi").select(e.columns)
+
+
+@query(_NODES + " select node_id, node_type, row_number() over (partition by node_type order by node_id) - 1 as local_id, collateral_usd, debt_usd, coalesce(hf, 0) as hf from nodes")
+def graph_tensor(spark, d):
+    w = W.partitionBy("node_type").orderBy("node_id")  # at most 10,000 nodes a snapshot
+    return node_table(spark, d).select("node_id", "node_type", (F.row_number().over(w) - 1).cast("long").alias("local_id"), "collateral_usd", "debt_usd", F.coalesce("hf", F.lit(0.0)).alias("hf"))
+
+
+@query(_NODES + f" select {_BAND} as band, count(*) as n, sum(debt_usd) as debt_usd from ur group by 1")
+def hf_bands(spark, d):
+    return rollup(spark, d).groupBy(hf_band(F.col("hf")).alias("band")).agg(F.count("*").alias("n"), F.sum("debt_usd").alias("debt_usd"))

@@ -1 +1,93 @@
-"""Queries."""
+"""Queries: streaming jobs with their batch twins as SQL, and sinks."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tremor.operators import intervals
+from tremor.queries.alarms import ALL, fires
+from tremor.queries.cascades import CLUSTERS, stream_clusters
+from tremor.queries.graph import _NODES, node_table
+from tremor.queries.registry import query
+from tremor.sources import adapter as A
+from tremor.sources.adapter import cte
+from tremor.sources.shared import shared_folder
+from tremor.streaming import live
+
+
+@query("select case when event_id % 3 = 0 then 'p1' else 'p0' end as protocol, cast(epoch_us(ts) // 3600000000 * 3600 as bigint) as start_s, count(*) as n, sum(value) as usd from events group by all having (epoch_us(ts) // 3600000000 + 1) * 3600000000 <= (select max(epoch_us(ts)) - 600000000 from events)".replace("having (epoch_us(ts) // 3600000000 + 1) * 3600000000", "having (max(epoch_us(ts)) // 3600000000 + 1) * 3600000000"))
+def stream_bars(spark, d):
+    return live.run_to_table(live.final_bars(live.event_stream(spark, d), 3600, "10 minutes"), "bars")
+
+
+@query(cte("grid") + """, m as (select protocol, block_number // 50 as bar, count(*) as n from liq group by all) select a.protocol, a.bar, any_value(a.n) as n, coalesce(sum(b.n * exp(-0.05 * (a.bar - b.bar))), 0) as r, 0.02 * coalesce(sum(b.n * exp(-0.05 * (a.bar - b.bar))), 0) / (0.05 + 0.02 * coalesce(sum(b.n * exp(-0.05 * (a.bar - b.bar))), 0)) as score
+from m a left join m b on a.protocol = b.protocol and b.bar < a.bar where a.bar < (select max(bar) from m c where c.protocol = a.protocol) group by a.protocol, a.bar""")
+def stream_score(spark, d):
+    e = live.event_stream(spark, d).where("event_type = 'error'")
+    block = F.floor((F.unix_micros(F.col("ts").cast("timestamp")) - A.GENESIS_US) / A.BLOCK_US).cast("long")
+    rows = e.select(F.when(F.col("event_id") % 3 == 0, "p1").otherwise("p0").alias("protocol"), block.alias("block_number"))
+    return live.run_to_table(live.scored_bars(rows, 0.05, 0.02, 0.05, 50), "scores")
+
+
+@query("select distinct event_id - event_id % 2 as tx, cast(0 as bigint) as log from events")
+def stream_dedup(spark, d):
+    return live.run_to_table(live.deduplicated(live.event_stream(spark, d), "60 days"), "dedup")
+
+
+@query()
+def ongoing_cluster(spark, d):
+    return live.run_to_table(live.sessions(live.event_stream(spark, d), "10 minutes", 5, "1 hour"), "sessions")
+
+
+@query(ALL + CLUSTERS + ", c as (select * from clusters) select c.protocol, c.start_block, count(f.block) > 0 as early_warned, min(f.block) as first_alert, c.start_block - min(f.block) as lead_blocks from c left join fires f on f.block between c.start_block - 500 and c.end_block group by all".replace("group by all", "group by c.protocol, c.start_block"))
+def cluster_alert_tags(spark, d):
+    c = stream_clusters(spark, d).withColumn("lo", F.col("start_block") - 500)
+    hit = intervals.within_spans(fires(spark, d).select("block"), "block", c, "lo", "end_block").groupBy("protocol", "start_block").agg(F.min("block").alias("first_alert"))
+    return c.select("protocol", "start_block").join(hit, ["protocol", "start_block"], "left").select("protocol", "start_block", F.col("first_alert").isNotNull().alias("early_warned"), "first_alert", (F.col("start_block") - F.col("first_alert")).alias("lead_blocks"))
+
+
+@query(cte("liq") + " select protocol, max(block_number) as last_block, count(*) as n_events, max_by(amount_usd, block_number * 1000000 + log_index) as last_usd from liq group by protocol")
+def monitor_status(spark, d):
+    at = F.col("block_number") * 1000000 + F.col("log_index")
+    return A.liquidations(spark, d).groupBy("protocol").agg(F.max("block_number").alias("last_block"), F.count("*").alias("n_events"), F.max_by("amount_usd", at).alias("last_usd"))
+
+
+@query(cte("ev") + " select event_type, count(*) as n, sum(amount_usd) as usd from ev where protocol = 'p1' group by event_type")
+def write_events(spark, d):
+    folder = shared_folder(spark, "events")
+    e = A.events(spark, d).withColumn("chain", F.lit(1))
+    e.write.option("compression", "zstd").partitionBy("protocol", "chain").mode("overwrite").parquet(folder)
+    return spark.read.parquet(folder).where("protocol = 'p1' and chain = 1").groupBy("event_type").agg(F.count("*").alias("n"), F.sum("amount_usd").alias("usd"))
+
+
+@query(_NODES + " select 120000 as snapshot_block, * from nodes")
+def save_snapshots(spark, d):
+    folder = shared_folder(spark, "snapshots")
+    node_table(spark, d).withColumn("snapshot_block", F.lit(120000)).write.partitionBy("snapshot_block").mode("overwrite").parquet(folder)
+    return spark.read.parquet(folder)
+
+
+@query(cte("liq") + " select block_number, log_index, amount_usd from liq where block_number between 40000 and 60000")
+def append_history(spark, d):
+    folder = shared_folder(spark, "history")
+    q = A.liquidations(spark, d).select("block_number", "log_index", "amount_usd")
+    q.where("block_number < 50000").write.mode("append").parquet(folder)
+    q.where("block_number >= 50000").write.mode("append").parquet(folder)
+    return spark.read.parquet(folder).where("block_number between 40000 and 60000")
+
+
+@query(cte("liq") + " select protocol, block_number // 10000 as part, count(*) as n, sum(amount_usd) as usd from liq group by all")
+def write_csv_report(spark, d):
+    folder = shared_folder(spark, "report")
+    r = A.liquidations(spark, d).groupBy("protocol", F.floor(F.col("block_number") / 10000).alias("part")).agg(F.count("*").alias("n"), F.sum("amount_usd").alias("usd"))
+    r.write.option("header", True).csv(folder)
+    return spark.read.schema("protocol string, part long, n long, usd double").option("header", True).csv(folder)
+
+
+@query(cte("px") + " select asset, count(*) as n, max(ord) as last from px group by asset")
+def merge_batches(spark, d):
+    folder = shared_folder(spark, "batches")
+    p = A.price_updates(spark, d).select("asset", "ord")
+    for k in range(3):
+        p.where(F.pmod("ord", F.lit(3)) == k).write.mode("append").parquet(folder)
+    return spark.read.parquet(folder).groupBy("asset").agg(F.count("*").alias("n"), F.max("ord").alias("last"))
