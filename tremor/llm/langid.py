@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,7 +15,7 @@ ORDER = 3
 #: Code lengths are held as whole numbers of 2**-16 bits, so their sums are exact and don't depend on any order.
 UNIT = 1 << 16
 #: Bytes of text that one numpy step works on.
-STEP = 1 << 21
+STEP = 1 << 20
 
 
 def text_chunks(column: pa.ChunkedArray | pa.Array, step: int = STEP):
@@ -62,7 +63,7 @@ def sample_training(documents: DataFrame, keep: Column, per_lang: int) -> DataFr
     return rows.where(F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1 << 20)) < rates[F.col("lang")] * (1 << 20))
 
 
-def fit(documents: DataFrame, keep: Column, per_lang: int = 1500, classes: int = 48) -> dict:
+def fit(documents: DataFrame, keep: Column, per_lang: int = 1500, classes: int = 40) -> dict:
     """Learn each language's byte contexts of up to ORDER bytes.
 
     The sample is bounded: about `per_lang` documents of each language (all, where there are fewer). Bytes are folded
@@ -178,9 +179,9 @@ def accepted(documents: DataFrame, model: dict, least: float = 0.5) -> DataFrame
 
     def run(batches):
         for batch in batches:
-            names, share, _ = judge(batch.column("text"), batch.column("ok"))
+            names, share, _ = judge(pc.struct_field(batch.column("row"), "text"), batch.column("ok"))
             keep = pa.array((names != "und") & (share >= least))
             yield pa.RecordBatch.from_pydict({"row": batch.column("row").filter(keep)})
 
-    rows = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"), "text", _has_letter())
+    rows = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"), _has_letter())
     return rows.mapInArrow(run, T.StructType([T.StructField("row", documents.schema)])).select("row.*")
