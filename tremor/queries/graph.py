@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from tremor.functions.interest import hf_band
 from tremor.queries.registry import query
-from tremor.queries.state import STATE, accounts, frame, latest_prices
+from tremor.queries.state import STATE, frame, latest_prices
+from tremor.sources.adapter import cte
 
 _BAND = "case when hf is null then 'no_debt' when hf <= 1 then '<=1' when hf <= 1.1 then '1-1.1' when hf <= 1.25 then '1.1-1.25' when hf <= 1.5 then '1.25-1.5' when hf <= 2 then '1.5-2' else '>2' end"
 _NODES = STATE + f""", fr as (select "user", reserve, round(greatest(collateral, 0) * coalesce(price, 0), 6) as collateral_usd, round(greatest(debt, 0) * coalesce(price, 0), 6) as debt_usd, round(greatest(collateral, 0) * coalesce(price, 0) * coalesce(threshold, 0), 6) as weighted_usd from legs),
@@ -103,3 +104,59 @@ def graph_tensor(spark, d):
 @query(_NODES + f" select {_BAND} as band, count(*) as n, sum(debt_usd) as debt_usd from ur group by 1")
 def hf_bands(spark, d):
     return rollup(spark, d).groupBy(hf_band(F.col("hf")).alias("band")).agg(F.count("*").alias("n"), F.sum("debt_usd").alias("debt_usd"))
+
+
+_SNAPS = ", snaps as (select block_number // 20000 as snapshot, max(block_number) as last_block, count(*) as n_edges from liq group by all)"
+
+
+def snapshots(spark, d):
+    from tremor.sources import adapter as A
+
+    return A.liquidations(spark, d).groupBy(F.floor(F.col("block_number") / 20000).alias("snapshot")).agg(F.max("block_number").alias("at"), F.count("*").alias("n_edges"))
+
+
+@query(cte("liq") + _SNAPS + " select arg_min(snapshot, (abs(last_block - 101000), snapshot)) as nearest, arg_max(snapshot, (n_edges, -snapshot)) as busiest, count(*) filter (where last_block between 50000 and 150000) as n_in_window from snaps")
+def snapshot_pick(spark, d):
+    near, busy = F.struct(F.abs(F.col("at") - 101000), "snapshot"), F.struct("n_edges", -F.col("snapshot"))
+    return snapshots(spark, d).agg(F.min_by("snapshot", near).alias("nearest"), F.max_by("snapshot", busy).alias("busiest"), F.count_if(F.col("at").between(50000, 150000)).alias("n_in_window"))
+
+
+_DEPTH = """, depth as (select case when k % 3 = 0 then 'v2' when k % 3 = 1 then 'v3' else 'curve' end as dex, 'pool' || (k % 12) as pool, asset as symbol, block_number // 1200 as day, max(amount_usd * case when k % 3 = 1 then 2 else 1 end) as depth_usd from ev where event_type = 'Deposit' group by all)"""
+
+
+def pool_depth(spark, d):
+    """Three source shapes under one schema; a v3 pool's liquidity stands for half its depth."""
+    from tremor.sources import adapter as A
+
+    e = A.events(spark, d).where("event_type = 'Deposit'").select("k", F.concat(F.lit("pool"), F.col("k") % 12).alias("pool"), F.col("asset").alias("symbol"), F.floor(F.col("block_number") / 1200).alias("day"), "amount_usd")
+    part = lambda i, dex, c: e.where(F.col("k") % 3 == i).select(F.lit(dex).alias("dex"), "pool", "symbol", "day", c.alias("depth_usd"))
+    usd = F.col("amount_usd")
+    rows = part(0, "v2", usd).unionByName(part(1, "v3", usd * 2)).unionByName(part(2, "curve", usd))
+    return rows.groupBy("dex", "pool", "symbol", "day").agg(F.max("depth_usd").alias("depth_usd"))
+
+
+@query(cte("ev") + _DEPTH + " select * from depth")
+def scan_pool_depth(spark, d):
+    return pool_depth(spark, d)
+
+
+@query(cte("liq") + _DEPTH + ", s as (select * from (select distinct block_number // 20000 * 20000 // 1200 as day from liq), (select distinct dex, pool, symbol from depth)) select s.day, s.dex, s.pool, s.symbol, depth.depth_usd from s asof join depth on s.dex = depth.dex and s.pool = depth.pool and s.symbol = depth.symbol and s.day >= depth.day")
+def depth_asof(spark, d):
+    from tremor.operators.asof import asof_join
+    from tremor.sources import adapter as A
+
+    taken = A.liquidations(spark, d).select(F.floor(F.col("block_number") / 20000).alias("snapshot")).distinct()
+    last = taken.agg(F.max("snapshot").alias("n")).first().n or 0
+    p = pool_depth(spark, d)
+    pools = p.select("dex", "pool", "symbol").distinct().withColumn("snapshot", F.explode(F.sequence(F.lit(0), F.lit(int(last)))))
+    keys = pools.join(taken, "snapshot", "left_semi").withColumn("day", F.floor(F.col("snapshot") * 20000 / 1200)).drop("snapshot")
+    return asof_join(keys, p, ["dex", "pool", "symbol"], "day", ["depth_usd"], cell=256).where("depth_usd is not null").select("day", "dex", "pool", "symbol", "depth_usd")
+
+
+@query(_NODES + " select 120000 as snapshot_block, node_id, hf from nodes where node_type = 'whale'")
+def load_snapshots(spark, d):
+    from tremor.sources.shared import shared_folder
+
+    folder = shared_folder(spark, "snapshots")
+    node_table(spark, d).withColumn("snapshot_block", F.lit(120000)).write.partitionBy("snapshot_block", "node_type").parquet(folder)
+    return spark.read.parquet(folder).where("snapshot_block = 120000 and node_type = 'whale'").select("snapshot_block", "node_id", "hf")
