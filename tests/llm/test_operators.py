@@ -92,7 +92,34 @@ def test_lm_score(spark):
         for i, t in toks.items():
             assert (got[i].held_out, got[i].n_tokens, got[i].n_known, got[i].train_tokens) == (held[i], len(t), sum(count[w] > 0 for w in t), n)
             assert math.isclose(got[i].base_score, sum(math.log10((count[w] + 0.1) / (n + 0.1 * (v + 1))) for w in t), rel_tol=1e-9)
-            assert got[i].score < 0
+        exact = {i: exact_score(t, toks, held) for i, t in toks.items()}  # the filter may hold a few n-grams too many, never too few
+        assert all(math.isclose(got[i].score, x, rel_tol=1e-2) for i, x in exact.items())
+        assert sum(math.isclose(got[i].score, x, rel_tol=1e-9) for i, x in exact.items()) > 0.9 * len(exact)
+
+
+def exact_score(text, toks, held):
+    """The model's log10 probability from counts in dicts, put into the filter's steps."""
+    steps = [int(x) for x in lmscore.STEPS]
+    low = lambda c: max((x for x in steps if x <= c), default=0)
+    high = lambda c: min(x for x in steps if x > c) - 1
+    one = Counter(w for i, t in toks.items() if not held[i] for w in t)
+    two = Counter(p for i, t in toks.items() if not held[i] for p in zip(["\0", *t], t))
+    middle = lambda c: (low(c) + high(c)) / 2 if c else 0
+    mass, out = sum(middle(c) for c in one.values()), 0.0
+    for a, b in zip(["\0", *text], text):
+        p = (middle(one[b]) + 0.1) / (mass + 0.1 * (len(one) + 1))
+        out += math.log10((1 - lmscore.WEIGHT) * p + lmscore.WEIGHT * low(two[a, b]) / high(one[a]) if one[a] else p)
+    return out
+
+
+def test_filter_holds_every_count(spark):
+    rng = np.random.default_rng(2)
+    ids, n = np.unique(rng.integers(-(1 << 63), 1 << 63, 3000)), None
+    n = rng.integers(1, 5000, len(ids))
+    rows = [(int(i), int(c) - int(c) // 2) for i, c in zip(ids, n)] + [(int(i), int(c) // 2) for i, c in zip(ids, n) if c > 1]
+    bits = lmscore.build_filter(spark.createDataFrame(rows, "id long, n long"), 20)
+    got = lmscore.probe(bits, 20, ids)
+    assert (got >= lmscore.level(n)).all() and (got == lmscore.level(n)).mean() > 0.95
 
 
 def test_line_dedup(spark):

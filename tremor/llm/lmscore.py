@@ -12,17 +12,14 @@ from tremor.llm.langid import text_chunks
 
 #: Bits of the filter for each training token, and its largest size: 2**29 bits are 64 MB on each worker.
 BITS_A_TOKEN, LARGEST_LOG2 = 8, 29
-#: The filter is made, merged and sent in so many segments.
-SEGMENTS = 256
-#: A count c is held as level 1 + floor(log2 c): a member for each level up to its own.
-LEVELS = 40
+#: The filter is made in so many segments, each of the n-grams whose ids begin with its number.
+SEGMENTS = 1 << 10
+#: A count c is held as the number of steps 1, 2, 3, 4, 6, 8, 12, 16 .. up to c: a member for each level up to its own.
+STEPS = np.array([1] + [s << k for k in range(40) for s in (2, 3)], np.int64)
 #: Words of exact counts that are sent to the workers; the counts of all others are joined.
 HEAD = 1 << 19
-#: After words that make up 1 / COMMON of all tokens (so at most COMMON words) and occur OFTEN times, successors
-#: aren't counted: they would weigh 0.6 % and less.
-COMMON, OFTEN = 1 << 15, 1 << 10
-#: Most weight of a word's successor counts, which falls as TRUST / (count + TRUST) with the count of the word.
-WEIGHT, TRUST = 0.1, 64.0
+#: Weight of a word's share of its predecessor's successors; the rest is that of its share of all tokens.
+WEIGHT = 0.3
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -96,80 +93,68 @@ def pair_ids(prev: np.ndarray, ids: np.ndarray) -> np.ndarray:
         return _mix(prev.view(np.uint64) * np.uint64(3) + _mix(ids.view(np.uint64) + np.uint64(1))).view(np.int64)
 
 
-def _counts(training: DataFrame, common=None) -> DataFrame:
-    """(id, n) of all tokens of the texts, or, given a broadcast of the sorted ids of common tokens, of all pairs of tokens but those after them."""
+def _counts(training: DataFrame, pairs: bool) -> DataFrame:
+    """(id, n) of all tokens of the texts, or of all pairs of tokens that follow each other: one or more rows an id, summed within a task."""
 
     def run(batches):
+        held, size = [], 0
         for batch in batches:
             for _, data, starts, lengths in text_chunks(batch.column("text"), 1 << 22):
                 ids, rows = token_ids(data, starts, lengths)
-                if common is not None:
-                    prev = shifted(ids, rows, END)
-                    rare = ~member(common.value, prev)
-                    ids = pair_ids(prev[rare], ids[rare])
-                keys, n = np.unique(ids, return_counts=True)
-                yield pa.RecordBatch.from_pydict({"id": keys, "n": n})
+                held.append(np.unique(pair_ids(shifted(ids, rows, END), ids) if pairs else ids, return_counts=True))
+                size += len(held[-1][0])
+                if size > 1 << 20:
+                    yield summed(held)
+                    held, size = [], 0
+        if held:
+            yield summed(held)
 
-    return training.select("text").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    return training.select("text").mapInArrow(run, "id long, n long")
 
 
-def member(keys: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    """Whether each id is among the sorted keys."""
-    if not len(keys):
-        return np.zeros(len(ids), bool)
-    return keys[np.minimum(np.searchsorted(keys, ids), len(keys) - 1)] == ids
+def summed(held: list) -> pa.RecordBatch:
+    """One batch of (id, n) from several pairs of arrays."""
+    ids, back = np.unique(np.concatenate([x for x, _ in held]), return_inverse=True)
+    n = np.bincount(back, weights=np.concatenate([x for _, x in held]), minlength=len(ids))
+    return pa.RecordBatch.from_pydict({"id": ids, "n": n.astype(np.int64)})
 
 
 def level(counts: np.ndarray) -> np.ndarray:
-    return np.minimum(1 + np.floor(np.log2(np.maximum(counts, 1))).astype(np.int64), LEVELS)
+    return np.searchsorted(STEPS, counts, "right")
 
 
 def _bits(ids: np.ndarray, j, log2: int) -> list[np.ndarray]:
+    """Two places of each id's level j within the filter of 2**log2 bits, both in the id's segment."""
     with np.errstate(over="ignore"):
         h = _mix(ids.view(np.uint64) + np.uint64(j) * _ODD)
-    mask = np.uint64((1 << log2) - 1)
-    return [h & mask, (h >> np.uint64(32)) & mask if log2 <= 32 else _mix(h) & mask]
+    inner = np.uint64(log2 - SEGMENTS.bit_length() + 1)
+    base = (ids.view(np.uint64) >> np.uint64(64 - SEGMENTS.bit_length() + 1)) << inner
+    mask = (np.uint64(1) << inner) - np.uint64(1)
+    return [base | (h & mask), base | ((h >> np.uint64(32)) & mask)]
 
 
 def build_filter(counts: DataFrame, log2: int) -> np.ndarray:
-    """The filter as bytes. Each task sets the bits of its own counts and sends the places by segment; segments are merged
-    in a shuffle, in streams; only the finished filter, of at most 2**LARGEST_LOG2 bits, reaches the driver."""
+    """The filter as bytes. Counts are shuffled once, by segment, and summed there, and each task makes its segments; only the
+    finished filter, of at most 2**LARGEST_LOG2 bits, reaches the driver."""
     width = (1 << log2) // SEGMENTS
 
-    def places(batches):
-        held, size = [], 0
+    def fill(batches):
+        done: dict[int, np.ndarray] = {}
         for batch in batches:
             ids, lev = np.asarray(batch.column("id")), level(np.asarray(batch.column("n")))
             for j in range(1, int(lev.max(initial=0)) + 1):
-                got = _bits(ids[lev >= j], j, log2)
-                held += got
-                size += 2 * len(got[0])
-            if size > 4_000_000:
-                yield from emit(held)
-                held, size = [], 0
-        yield from emit(held)
-
-    def emit(held):
-        at = np.unique(np.concatenate(held)) if held else np.zeros(0, np.uint64)
-        cuts = np.searchsorted(at, np.arange(SEGMENTS + 1, dtype=np.uint64) * np.uint64(width))
-        rows = [(s, (at[a:b] - np.uint64(s * width)).astype("<u4").tobytes()) for s, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])) if b > a]
-        if rows:
-            yield pa.RecordBatch.from_pydict({"segment": pa.array([r[0] for r in rows], pa.int32()), "bits": pa.array([r[1] for r in rows], pa.binary())})
-
-    def merge(batches):
-        done: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for s, raw in zip(batch.column("segment").to_pylist(), batch.column("bits").to_pylist()):
-                at = np.frombuffer(raw, "<u4")
-                seg = done.setdefault(s, np.zeros(width, bool))
-                seg[at] = True
+                at = np.sort(np.concatenate(_bits(ids[lev >= j], j, log2)))
+                segs = at // np.uint64(width)
+                cuts = np.flatnonzero(np.diff(segs, prepend=np.uint64(SEGMENTS)))
+                for a, b in zip(cuts, [*cuts[1:], len(at)]):
+                    done.setdefault(int(segs[a]), np.zeros(width, bool))[at[a:b] % np.uint64(width)] = True
         for s, seg in done.items():
             yield pa.RecordBatch.from_pydict({"segment": pa.array([s], pa.int32()), "bits": pa.array([np.packbits(seg, bitorder="little").tobytes()], pa.binary())})
 
-    schema = "segment int, bits binary"
+    segment = F.shiftrightunsigned("id", 64 - SEGMENTS.bit_length() + 1).cast("int").alias("segment")
+    sums = counts.select(segment, "id", "n").repartition("segment").groupBy("segment", "id").agg(F.sum("n").alias("n"))
     out = np.zeros((1 << log2) // 8, np.uint8)
-    merged = counts.mapInArrow(places, schema).repartition("segment").mapInArrow(merge, schema)
-    for r in merged.toLocalIterator():
+    for r in checkpoint(sums.select("id", "n").mapInArrow(fill, "segment int, bits binary")).toLocalIterator():
         out[r.segment * (width // 8) : (r.segment + 1) * (width // 8)] = np.frombuffer(r.bits, np.uint8)
     return out
 
@@ -178,7 +163,7 @@ def probe(bits: np.ndarray, log2: int, ids: np.ndarray) -> np.ndarray:
     """The level of each id: how many levels in a row are members."""
     lev = np.zeros(len(ids), np.int64)
     live = np.arange(len(ids))
-    for j in range(1, LEVELS + 1):
+    for j in range(1, len(STEPS) + 1):
         a, b = _bits(ids[live], j, log2)
         hit = (bits[a >> np.uint64(3)] >> (a & np.uint64(7)).astype(np.uint8)) & (bits[b >> np.uint64(3)] >> (b & np.uint64(7)).astype(np.uint8)) & 1
         live = live[hit.astype(bool)]
@@ -189,21 +174,23 @@ def probe(bits: np.ndarray, log2: int, ids: np.ndarray) -> np.ndarray:
 
 
 def model_log10(own, before, c2, mass: float, kinds: int) -> np.ndarray:
-    """log10 probability of tokens from levels: of the token, of its predecessor (-1: no successors are counted) and of the pair.
+    """log10 probability of tokens from levels: of the token, of its predecessor and of the pair.
 
     A token's share of its predecessor's successors is mixed with its share of all tokens. A pair's count is taken at
-    its level's least and its predecessor's at its most, so no predecessor has shares of over one.
+    its level's least and its predecessor's at its most, so no predecessor has shares of over one. After a word that
+    training lacks, only the share of all tokens counts.
     """
     p1 = (estimate(own) + 0.1) / (mass + 0.1 * (kinds + 1))
-    most = np.exp2(np.maximum(before, 0))
-    share = np.where((c2 > 0) & (before > 0), np.minimum(np.exp2(c2 - 1.0) / most, 1.0), 0.0)
-    trust = np.where(before > 0, WEIGHT * TRUST / (most + TRUST), 0.0)
+    least, most = np.concatenate([[0], STEPS]), np.concatenate([[1], STEPS[1:] - 1, STEPS[-1:] * 2])
+    share = np.minimum(least[c2] / most[before], 1.0)
+    trust = np.where(before > 0, WEIGHT, 0.0)
     return np.log10((1 - trust) * p1 + trust * share)
 
 
 def estimate(lev: np.ndarray) -> np.ndarray:
-    """The count that a level stands for: 1, and 1.5 * 2**(level - 1) from level 2."""
-    return np.where(lev > 1, 1.5 * np.exp2(lev - 1.0), np.where(lev == 1, 1.0, 0.0))
+    """The count that a level stands for: the middle of those that it holds."""
+    middle = np.concatenate([[0.0], (STEPS[:-1] + STEPS[1:] - 1) / 2, STEPS[-1:]])
+    return middle[lev]
 
 
 def score(documents: DataFrame, head: int = HEAD) -> DataFrame:
@@ -219,24 +206,24 @@ def score(documents: DataFrame, head: int = HEAD) -> DataFrame:
     held = (crc_mod(F.col("doc_id"), 10) == 0).alias("held_out")
     docs = documents.select("doc_id", "text", held)
     training = docs.where("not held_out")
-    unigrams = checkpoint(_counts(training))
-    stats = unigrams.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v"), F.coalesce(F.sum(F.when(F.col("n") > 1, 1.5 * F.pow(2.0, F.floor(F.log2("n")))).otherwise(1.0)), F.lit(0.0)).alias("mass")).first()
-    total, kinds, mass = stats.n, stats.v, stats.mass
-    log2 = max(20, min(LARGEST_LOG2, int(BITS_A_TOKEN * max(total, 1)).bit_length()))
-    steps = {r.k: r.c for r in unigrams.groupBy(F.floor(F.log2(F.col("n"))).alias("k")).agg(F.count("*").alias("c")).collect()}  # a row per level
-    least, room = 62, head
-    while least > 0 and room >= steps.get(least - 1, 0):
+    unigrams = checkpoint(_counts(training, pairs=False).groupBy("id").agg(F.sum("n").alias("n")))
+    binary = F.bin("n")  # its length and second digit give the level
+    lev = F.greatest(2 * (F.length(binary) - 1) + (F.substring(binary, 2, 1) == "1").cast("int"), F.lit(1))
+    steps = {r.k: r for r in unigrams.groupBy(lev.alias("k")).agg(F.count("*").alias("v"), F.sum("n").alias("n")).collect()}  # a row per level
+    total, kinds = sum(r.n for r in steps.values()), sum(r.v for r in steps.values())
+    mass = float(sum(estimate(np.array([k]))[0] * r.v for k, r in steps.items()))
+    log2 = max(22, min(LARGEST_LOG2, int(BITS_A_TOKEN * max(total, 1)).bit_length()))
+    least, room = len(STEPS), head
+    while least > 1 and room >= (steps[least - 1].v if least - 1 in steps else 0):
         least -= 1
-        room -= steps.get(least, 0)
-    def ids_from(n):
-        got = unigrams.where(F.col("n") >= F.lit(n)).toArrow()
-        order = np.argsort(ids := np.asarray(got.column("id").combine_chunks()))
-        return ids[order], np.asarray(got.column("n").combine_chunks())[order]
-
-    often = max(OFTEN, -(-total // COMMON))
-    common = spark.sparkContext.broadcast(ids_from(often)[0])  # at most COMMON words
-    bits = build_filter(_counts(training, common).unionByName(unigrams), log2)
-    shared = spark.sparkContext.broadcast((*ids_from(1 << least), bits))  # at most `head` words, and the filter
+        room -= steps[least].v if least in steps else 0
+    floor = int(STEPS[least - 1])
+    top = unigrams.where(F.col("n") >= F.lit(floor)).toArrow()  # at most `head` words
+    order = np.argsort(ids := np.asarray(top.column("id").combine_chunks()))
+    keys_n = ids[order], np.asarray(top.column("n").combine_chunks())[order]
+    del top, ids
+    bits = build_filter(_counts(training, pairs=True).unionByName(unigrams), log2)
+    shared = spark.sparkContext.broadcast((*keys_n, bits))
     del bits
     norm = np.log10(max(total + 0.1 * (kinds + 1), 0.1))
 
@@ -257,12 +244,10 @@ def score(documents: DataFrame, head: int = HEAD) -> DataFrame:
                 known[i : i + m] = np.bincount(rows[found], minlength=m)
                 base[i : i + m] = np.bincount(rows[found], weights=(np.log10(count + 0.1) - norm)[back][found], minlength=m)
                 lev = probe(flt, log2, uniq)
-                last = np.flatnonzero(uniq == END)
-                after = np.where(member(common.value, uniq), -1, lev)
-                before = shifted(after[back], rows, after[last[0]])
-                ask = np.flatnonzero(before > 0)
-                c2 = np.zeros(len(ids), np.int64)
-                c2[ask] = probe(flt, log2, pair_ids(shifted(ids, rows, END)[ask], ids[ask]))
+                prev = shifted(ids, rows, END)
+                before = shifted(lev[back], rows, lev[np.searchsorted(uniq, END)])
+                pairs, place = np.unique(pair_ids(prev, ids), return_inverse=True)
+                c2 = probe(flt, log2, pairs)[place]
                 model[i : i + m] = np.bincount(rows, weights=model_log10(lev[back], before, c2, mass, kinds), minlength=m)
                 rare.append(ids[~found])
                 rare_rows.append(rows[~found] + i)
@@ -273,7 +258,7 @@ def score(documents: DataFrame, head: int = HEAD) -> DataFrame:
     kind = dict(documents.dtypes)["doc_id"]
     rows = docs.mapInArrow(run, f"doc_id {kind}, held_out boolean, n_tokens long, known long, base double, score double, rare array<long>")
     rows = rows.select("doc_id", "held_out", "n_tokens", "known", "base", "score", F.explode_outer("rare").alias("id"))
-    tail = unigrams.where(F.col("n") < F.lit(1 << least))
+    tail = unigrams.where(F.col("n") < F.lit(floor))
     joined = rows.join(tail, "id", "left")
     log = F.when(F.col("id").isNotNull(), F.log10(F.coalesce("n", F.lit(0)) + 0.1) - float(norm)).otherwise(0.0)
     out = joined.groupBy("doc_id", "held_out", "n_tokens", "known", "base", "score").agg(F.sum(log).alias("more"), F.count("n").alias("seen"))
