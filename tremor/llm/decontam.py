@@ -52,7 +52,8 @@ def find_windows(documents: DataFrame, benchmark: DataFrame, window: int = WINDO
     if small:
         rows = rows.join(F.broadcast(blocks), ["m", "h"], "left").where("p = 0 or items is not null").select("*", near)
     else:
-        rows = rows.select("doc_id", "n_words", "m", "p", "h", near).join(blocks, ["m", "h"], "left").where("p = 0 or items is not null")
+        apart = F.when(F.col("p") == 0, F.xxhash64("doc_id")).otherwise(F.col("h")).alias("h")  # the rows that stand for documents match nothing and share no key
+        rows = rows.select("doc_id", "n_words", "m", "p", apart, near).join(blocks, ["m", "h"], "left").where("p = 0 or items is not null")
     same = "slice(doc_words, doc_pre - d + 1, m) = slice(item_words, item_pre - d + 1, m) and size(slice(doc_words, doc_pre - d + 1, m)) = m"
     rows = rows.withColumn("doc_pre", F.expr(cases(lambda b, m: f"least(p - 1, {m - b})"))).withColumn("starts", F.expr(f"if(p = 0, array(cast(null as int)), transform(filter(sequence(0, least(doc_pre, item_pre)), d -> {same}), d -> p - d))"))
     return rows.select("doc_id", "n_words", F.explode("starts").alias("start"), F.when(F.col("p") > 0, F.col("m")).alias("length"), "items")

@@ -154,6 +154,9 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
 
 
 def one_of_each(documents: DataFrame) -> DataFrame:
-    """The documents whose doc_id is their component's id, rows and columns as they are; rows with a null doc_id stay."""
-    later = near_duplicates(documents).where("doc_id != component_id").select("doc_id")
+    """The documents whose doc_id is their component's id, rows and columns as they are; rows with a null doc_id stay.
+
+    Rows that repeat a doc_id stay or go together: they go only if all of them lie in components of other ids.
+    """
+    later = near_duplicates(documents).groupBy("doc_id").agg(F.bool_and(F.col("doc_id") != F.col("component_id")).alias("later")).where("later").select("doc_id")
     return documents.join(later, "doc_id", "left_anti").select(documents.columns)
