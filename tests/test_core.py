@@ -9,8 +9,10 @@ from tremor.functions.interest import compounded, hf_band, linear
 from tremor.operators import bars, filters, intervals
 from tremor.operators.asof import asof_join
 from tremor.operators.recurrence import decayed_history
-from tremor.plans import evaluation, hawkes, state
+from tremor.plans import evaluation, hawkes, multifit, state
+from tremor.plans.anchors import snapshot_anchors
 from tremor.queries import ORACLE_SQL, QUERIES
+from tremor.streaming import alerts, live
 
 
 def one(df):
@@ -111,7 +113,60 @@ def test_hawkes_gradient_and_fit(spark):
         assert abs(near - grad[k]) < 1e-3 * max(1, abs(grad[k]))
 
 
-@pytest.mark.parametrize("name", ["episodes", "bars", "health_factor", "price_asof_log", "graph_edges", "stream_score"])
+@pytest.mark.parametrize("stress", [[], [(100, 110)], [(3, 4), (90, 140), (141, 150), (160, 161), (480, 600)], [(0, 500)]])
+def test_snapshot_anchors_follow_the_walk(spark, stress):
+    b, want = 7, []
+    while b < 490:
+        want.append(b)
+        b += 5 if any(lo < b + 25 and hi > b for lo, hi in stress) else 25
+    got = snapshot_anchors(spark.createDataFrame(stress, "start_block long, end_block long"), 7, 490)
+    assert sorted(r.block for r in got.collect()) == want
+    with pytest.raises(ValueError):
+        snapshot_anchors(got, 0, 10, 25, 7)
+
+
+def test_positions_before_a_log(spark):
+    led = spark.createDataFrame([("u", "x", "t0", 1, 5.0, 0.0), ("u", "x", "t1", 10, 3.0, 0.0), ("u", "x", "t1", 11, -1.0, 0.0), ("u", "x", "t1", 13, -2.0, 0.0), ("u", "x", "t1", 14, -1.0, 0.0)], "user string, reserve string, tx string, ord long, d_collateral double, d_debt double")
+    triggers = spark.createDataFrame([("u", "t1", 11, None), ("u", "t1", 14, 11), ("v", "t1", 14, None)], "user string, tx string, ord long, after long")
+    got = {(r.user, r.ord): r.collateral for r in state.positions_before(led, triggers).collect()}
+    assert got == {("u", 11): 5.0, ("u", 14): 7.0}  # own rows from 10 on, then from 13 on, are left out
+
+
+def test_catch_up_start():
+    assert alerts.catch_up_start(100, 1100, 1000, 50) == (100, False)
+    assert alerts.catch_up_start(100, 1101, 1000, 50) == (100, True)
+    assert alerts.catch_up_start(0, 5000, 1010, 50, origin=7) == (3957, True)
+    assert alerts.catch_up_start(0, 5000, 0, 50) == (0, False)
+
+
+def test_alerts_over_batches(spark, tmp_path):
+    """A stream in two batches fires where one pass over all bars does, quiet bars tested too."""
+    blocks = [0, 0, 1, 1, 2, 3, 3, 40, 41, 41, 41, 42, 43, 90]
+    for k, part in enumerate([blocks[:6], blocks[6:]]):
+        spark.createDataFrame([("p", b) for b in part], "protocol string, block_number long").coalesce(1).write.parquet(f"{tmp_path}/in/{k}")
+    rows = spark.readStream.schema("protocol string, block_number long").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
+    got = sorted((r.bar, round(r.score, 9)) for r in live.run_to_table(alerts.alert_bars(rows, 0.5, 0.3, 0.4, 1, 0.4, 2, 5), "test-alerts").collect())
+    r, flags, active, want = 0.0, [], False, []
+    for b in range(90):
+        score = 0.3 * r / (0.5 + 0.3 * r)
+        flags = [*flags, score >= 0.4][-5:]
+        if (on := sum(flags) >= 2) and not active:
+            want.append((b, round(score, 9)))
+        active, r = on, (r + blocks.count(b)) * math.exp(-0.4)
+    assert got == want and len(want) == 2
+
+
+def test_hawkes_multi_fit_lowers_the_likelihood(spark):
+    bars = spark.range(2000).select(F.col("id").alias("i"), (F.pmod(F.xxhash64("id"), F.lit(9)) == 0).cast("int").alias("x"), (F.pmod(F.xxhash64(F.col("id") - 1), F.lit(9)) == 0).cast("int").alias("y"))
+    m = multifit.fit_multi(bars, ["x", "y"], betas=(0.5, 1.5), steps=12)
+    assert m["beta"] == 1.5 and m["alpha"][1][0] > 5 * m["alpha"][0][1]  # y follows x by one bar
+    flat = hawkes.multi_nll(bars, ["x", "y"], [1 / 9, 1 / 9], [[0.0, 0.0], [0.0, 0.0]], 0.5).first().nll
+    assert m["nll"] < flat
+    row = hawkes.multi_nll(bars, ["x", "y"], m["mu"], m["alpha"], m["beta"]).first()
+    assert abs(row.nll - m["nll"]) < 1e-6 * abs(row.nll)
+
+
+@pytest.mark.parametrize("name", ["position_before_log", "oracle_compare", "episodes", "bars", "health_factor", "price_asof_log", "graph_edges", "stream_score"])
 def test_registered_queries_match_sql(spark, name):
     duckdb = pytest.importorskip("duckdb")
     sf = "/root/testdata/sf0.001"

@@ -43,6 +43,24 @@ def positions_at_many(led: DataFrame, keys: DataFrame) -> DataFrame:
     return got.select("user", "block_number", "reserve", F.coalesce("collateral", F.lit(0.0)).alias("collateral"), F.coalesce("debt", F.lit(0.0)).alias("debt"))
 
 
+def positions_before(led: DataFrame, triggers: DataFrame) -> DataFrame:
+    """Balances just before triggers (user, tx, ord, after), without what their own transaction did before them.
+
+    led: user, reserve, tx, ord, d_collateral, d_debt. The cutoff is the first ledger row of the trigger's user and
+    transaction after `after`, the trigger before it there (null: none), or the trigger itself. Of every reserve the
+    user ever touched: (user, ord, reserve, collateral, debt).
+    """
+    own = triggers.join(led.select("user", "tx", F.col("ord").alias("__own")), ["user", "tx"], "left")
+    first = F.min(F.when(F.col("__own") > F.coalesce("after", F.lit(-1)), F.col("__own")))
+    cut = own.groupBy("user", "ord").agg(first.alias("__first")).select("user", "ord", F.least("ord", "__first").alias("cut"))
+    per = led.groupBy("user", "reserve", F.col("ord").alias("cut")).agg(F.sum("d_collateral").alias("c"), F.sum("d_debt").alias("d"))
+    w = W.partitionBy("user", "reserve").orderBy("cut").rowsBetween(W.unboundedPreceding, 0)
+    run = per.select("user", "reserve", "cut", F.sum("c").over(w).alias("collateral"), F.sum("d").over(w).alias("debt"))
+    pairs = cut.join(led.select("user", "reserve").distinct(), "user")
+    got = asof_join(pairs, run, ["user", "reserve"], "cut", ["collateral", "debt"], strict=True, cell=1 << 34)
+    return got.select("user", "ord", "reserve", F.coalesce("collateral", F.lit(0.0)).alias("collateral"), F.coalesce("debt", F.lit(0.0)).alias("debt"))
+
+
 def health_factor(legs: DataFrame, by: list[str]) -> DataFrame:
     """legs: by.., collateral, debt, price, threshold, reliable, enabled -> hf (null without debt), fully_covered, historical_reliable.
 

@@ -155,8 +155,11 @@ def channel_bars(spark, d):
     return B.channel_counts(A.liquidations(spark, d), A.grid(spark, d)[2], 0, [f"a{k}" for k in range(5)])
 
 
-@query(cte("grid") + BARS + """, z as (select *, avg(liquidated_usd) over w as m, stddev_pop(liquidated_usd) over w as s, count(*) over w as c from bars window w as (order by i rows between 100 preceding and 1 preceding)),
-h as (select *, i - row_number() over (order by i) as g from z where c >= 48 and s > 0 and liquidated_usd - m >= 3 * s) select min(start_block) as start_block, max(end_block) as end_block, count(*) as n_bars from h group by g""")
+STRESS = """, z as (select *, avg(liquidated_usd) over w as m, stddev_pop(liquidated_usd) over w as s, count(*) over w as c from bars window w as (order by i rows between 100 preceding and 1 preceding)),
+h as (select *, i - row_number() over (order by i) as g from z where c >= 48 and s > 0 and liquidated_usd - m >= 3 * s), stress as (select min(start_block) as start_block, max(end_block) as end_block, count(*) as n_bars from h group by g)"""
+
+
+@query(cte("grid") + BARS + STRESS + " select * from stress")
 def stress_windows(spark, d):
     return B.stress_windows(bar_table(spark, d), 100, 48, 3.0)
 

@@ -249,14 +249,18 @@ rep as (select *, hf is not null and fully_covered as measurable, coalesce(hf >=
 TRIGGER = cte("ledger", "px", "reg") + _TRIGGER
 
 
-def trigger_report(spark, d):
+def trigger_legs(spark, d):
+    """Each trigger's balances at the block before, with the price before its log and the threshold."""
     q = A.liquidations(spark, d).select("user", "block_number", "log_index", "protocol", (F.col("block_number") * 1000000 + F.col("log_index")).alias("ord"))
     pos = S.positions_at_many(led(spark, d), q.select("user", (F.col("block_number") - 1).alias("block_number")))
     rows = q.join(pos.withColumn("block_number", F.col("block_number") + 1), ["user", "block_number"])
     rows = asof(rows, A.price_updates(spark, d).select(F.col("asset").alias("reserve"), "ord", "price"), ["reserve"], "ord", ["price"], cell=1 << 34)
     reg = A.registry(spark).select(F.col("asset").alias("reserve"), F.col("liquidation_threshold").alias("threshold"), F.col("historical_reliable").alias("reliable"))
-    rows = rows.join(F.broadcast(reg), "reserve", "left").withColumn("enabled", F.lit(True))
-    hf = S.health_factor(rows, ["user", "block_number", "log_index", "protocol"])
+    return rows.join(F.broadcast(reg), "reserve", "left").withColumn("enabled", F.lit(True))
+
+
+def trigger_report(spark, d):
+    hf = S.health_factor(trigger_legs(spark, d), ["user", "block_number", "log_index", "protocol"])
     ok = F.col("fully_covered")
     return hf.select("user", "block_number", "log_index", "protocol", "hf", "fully_covered", (F.col("hf").isNotNull() & ok).alias("measurable"), F.coalesce((F.col("hf") >= 1.01) & ok, F.lit(False)).alias("mismatch"), F.coalesce((F.col("hf") >= 1.0) & ok, F.lit(False)).alias("mismatch_exact"))
 
