@@ -122,6 +122,26 @@ def test_filter_holds_every_count(spark):
     assert (got >= lmscore.level(n)).all() and (got == lmscore.level(n)).mean() > 0.95
 
 
+def test_filter_has_no_largest_size_and_folds(spark):
+    assert all(8 * m <= 1 << lmscore.filter_log2(m) <= max(1 << 22, 16 * m) for m in (1, 10**6, 10**8, 10**10, 10**13))
+    ids = np.random.default_rng(5).integers(-(1 << 63), 1 << 63, 2000)
+    counts = spark.createDataFrame([(int(i), 1 + k % 9) for k, i in enumerate(ids)], "id long, n long")
+    parts = lmscore.build_segments(counts, 22, 11)
+    assert parts.agg(F.sum("members")).first()[0] == sum(int(lmscore.level(np.array([1 + k % 9]))[0]) for k in range(len(ids)))
+    assert (lmscore.gathered(lmscore.folded(parts, 20, 11), 20, 11) == lmscore.gathered(lmscore.folded(lmscore.build_segments(counts, 20, 11), 20, 11), 20, 11)).all()
+
+
+def test_lm_score_of_a_filter_in_a_table(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, " ".join(f"w{k}" for k in rng.zipf(1.3, 300) if k < 5000), "en", "s") for i in range(80)] + [(80, None, None, None), (81, " ", None, None), (None, "w1 w2", "en", "s")]
+    d = docs(spark, rows).repartition(3)
+    sent, kept = ({r.doc_id: r for r in lmscore.score(d, head=20, sent_log2=x).collect()} for x in (29, 0))
+    assert sent.keys() == kept.keys()
+    for i, r in sent.items():
+        assert kept[i][:4] == r[:4] and all(math.isclose(a, b, rel_tol=1e-12) for a, b in zip(kept[i][4:], r[4:]))
+    assert lmscore.score(d.limit(0), sent_log2=0).collect() == []
+
+
 def test_line_dedup(spark):
     short = "a short line"
     rows = [(3, f"own\n{A}\nend", "en", "s"), (1, f"{A}\n{short}", "en", "s"), (2, f"{short}\n{short}\nx", "en", "s"), (4, f"p {B[:100]}\nq {B[100:]}\n\n{short}", "en", "s"), (5, f"z\np {B[:100]}\nq {B[100:]}\nlast", "en", "s"), (6, None, "en", "s")]

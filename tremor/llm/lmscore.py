@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -10,10 +12,13 @@ from pyspark.sql import functions as F
 from tremor.llm.common import checkpoint, crc_mod
 from tremor.llm.langid import text_chunks
 
-#: Bits of the filter for each training token, and its largest size: 2**29 bits are 64 MB on each worker.
-BITS_A_TOKEN, LARGEST_LOG2 = 8, 29
-#: The filter is made in so many segments, each of the n-grams whose ids begin with its number.
-SEGMENTS = 1 << 10
+#: Bits of the filter for each member at least, and the least log2 of its bits; it has no largest size.
+BITS_A_MEMBER, LEAST_LOG2 = 8, 22
+#: A filter of up to 2**29 bits, 64 MB, is sent to each worker; of a larger one, the segments stay in a table.
+SENT_LOG2 = 29
+#: The filter is made in 2**CUT segments at least, each of the n-grams whose ids begin with its number; more if they would
+#: have over 2**SEGMENT_LOG2 bits. In the table, up to 2**RUN_LOG2 neighbours are probed together.
+CUT, SEGMENT_LOG2, RUN_LOG2 = 10, 22, 5
 #: A count c is held as the number of steps 1, 2, 3, 4, 6, 8, 12, 16 .. up to c: a member for each level up to its own.
 STEPS = np.array([1] + [s << k for k in range(40) for s in (2, 3)], np.int64)
 #: Words of exact counts that are sent to the workers; the counts of all others are joined.
@@ -123,48 +128,85 @@ def level(counts: np.ndarray) -> np.ndarray:
     return np.searchsorted(STEPS, counts, "right")
 
 
-def _bits(ids: np.ndarray, j, log2: int) -> list[np.ndarray]:
+def filter_log2(members: int) -> int:
+    """log2 of the filter's bits: BITS_A_MEMBER for each member, or up to twice as many."""
+    return max(LEAST_LOG2, (BITS_A_MEMBER * members).bit_length())
+
+
+def _bits(ids: np.ndarray, j, log2: int, cut: int) -> list[np.ndarray]:
     """Two places of each id's level j within the filter of 2**log2 bits, both in the id's segment."""
     with np.errstate(over="ignore"):
         h = _mix(ids.view(np.uint64) + np.uint64(j) * _ODD)
-    inner = np.uint64(log2 - SEGMENTS.bit_length() + 1)
-    base = (ids.view(np.uint64) >> np.uint64(64 - SEGMENTS.bit_length() + 1)) << inner
+    inner = np.uint64(log2 - cut)
+    base = (ids.view(np.uint64) >> np.uint64(64 - cut)) << inner
     mask = (np.uint64(1) << inner) - np.uint64(1)
     return [base | (h & mask), base | ((h >> np.uint64(32)) & mask)]
 
 
-def build_filter(counts: DataFrame, log2: int) -> np.ndarray:
-    """The filter as bytes. Counts are shuffled once, by segment, and summed there, and each task makes its segments; only the
-    finished filter, of at most 2**LARGEST_LOG2 bits, reaches the driver."""
-    width = (1 << log2) // SEGMENTS
+def build_segments(counts: DataFrame, log2: int, cut: int = CUT) -> DataFrame:
+    """(segment, bits, members), written through a checkpoint: the filter of 2**log2 bits in 2**cut segments, without empty
+    ones. Counts are shuffled once, by segment, and summed there, and each task makes its segments."""
+    width = (1 << log2) >> cut
 
     def fill(batches):
         done: dict[int, np.ndarray] = {}
+        members: dict[int, int] = {}
         for batch in batches:
             ids, lev = np.asarray(batch.column("id")), level(np.asarray(batch.column("n")))
             for j in range(1, int(lev.max(initial=0)) + 1):
-                at = np.sort(np.concatenate(_bits(ids[lev >= j], j, log2)))
+                at = np.sort(np.concatenate(_bits(ids[lev >= j], j, log2, cut)))
                 segs = at // np.uint64(width)
-                cuts = np.flatnonzero(np.diff(segs, prepend=np.uint64(SEGMENTS)))
+                cuts = np.flatnonzero(np.diff(segs, prepend=np.uint64(1 << cut)))
                 for a, b in zip(cuts, [*cuts[1:], len(at)]):
-                    done.setdefault(int(segs[a]), np.zeros(width, bool))[at[a:b] % np.uint64(width)] = True
+                    s = int(segs[a])
+                    done.setdefault(s, np.zeros(width, bool))[at[a:b] % np.uint64(width)] = True
+                    members[s] = members.get(s, 0) + int(b - a) // 2
         for s, seg in done.items():
-            yield pa.RecordBatch.from_pydict({"segment": pa.array([s], pa.int32()), "bits": pa.array([np.packbits(seg, bitorder="little").tobytes()], pa.binary())})
+            yield pa.RecordBatch.from_pydict({"segment": pa.array([s], pa.int32()), "bits": pa.array([np.packbits(seg, bitorder="little").tobytes()], pa.binary()), "members": pa.array([members[s]], pa.int64())})
+
+    rows = counts.select(F.shiftrightunsigned("id", 64 - cut).cast("int").alias("segment"), "id", "n")
+    rows = rows.repartition("segment") if cut == CUT else rows.repartition(1 << (cut - RUN_LOG2), "segment")
+    sums = rows.groupBy("segment", "id").agg(F.sum("n").alias("n"))
+    return checkpoint(sums.select("id", "n").mapInArrow(fill, "segment int, bits binary, members long"))
+
+
+def folded(segments: DataFrame, log2: int, cut: int = CUT) -> DataFrame:
+    """(segment, bits) of the filter of 2**log2 bits, from the segments of the same or a larger one: halves are laid over each other."""
+    size = ((1 << log2) >> cut) // 8
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for x in batch.column("bits"):
+                seg = np.frombuffer(x.as_py(), np.uint8)
+                while len(seg) > size:
+                    seg = seg[: len(seg) // 2] | seg[len(seg) // 2 :]
+                out.append(seg.tobytes())
+            yield pa.RecordBatch.from_pydict({"segment": batch.column("segment"), "bits": pa.array(out, pa.binary())})
 
-    segment = F.shiftrightunsigned("id", 64 - SEGMENTS.bit_length() + 1).cast("int").alias("segment")
-    sums = counts.select(segment, "id", "n").repartition("segment").groupBy("segment", "id").agg(F.sum("n").alias("n"))
+    return segments.select("segment", "bits").mapInArrow(run, "segment int, bits binary")
+
+
+def gathered(segments: DataFrame, log2: int, cut: int = CUT) -> np.ndarray:
+    """The folded segments of a filter of 2**log2 bits as bytes on the driver."""
+    size = ((1 << log2) >> cut) // 8
     out = np.zeros((1 << log2) // 8, np.uint8)
-    for r in checkpoint(sums.select("id", "n").mapInArrow(fill, "segment int, bits binary")).toLocalIterator():
-        out[r.segment * (width // 8) : (r.segment + 1) * (width // 8)] = np.frombuffer(r.bits, np.uint8)
+    for r in segments.toLocalIterator():
+        out[r.segment * size : (r.segment + 1) * size] = np.frombuffer(r.bits, np.uint8)
     return out
 
 
-def probe(bits: np.ndarray, log2: int, ids: np.ndarray) -> np.ndarray:
-    """The level of each id: how many levels in a row are members."""
+def build_filter(counts: DataFrame, log2: int) -> np.ndarray:
+    """The filter of 2**log2 bits as bytes on the driver."""
+    return gathered(build_segments(counts, log2), log2)
+
+
+def probe(bits: np.ndarray, log2: int, ids: np.ndarray, cut: int = CUT, first: int = 0) -> np.ndarray:
+    """The level of each id: how many levels in a row are members. `bits` begins with the filter's bit number `first`."""
     lev = np.zeros(len(ids), np.int64)
     live = np.arange(len(ids))
     for j in range(1, len(STEPS) + 1):
-        a, b = _bits(ids[live], j, log2)
+        a, b = (x - np.uint64(first) for x in _bits(ids[live], j, log2, cut))
         hit = (bits[a >> np.uint64(3)] >> (a & np.uint64(7)).astype(np.uint8)) & (bits[b >> np.uint64(3)] >> (b & np.uint64(7)).astype(np.uint8)) & 1
         live = live[hit.astype(bool)]
         if not len(live):
@@ -173,6 +215,70 @@ def probe(bits: np.ndarray, log2: int, ids: np.ndarray) -> np.ndarray:
     return lev
 
 
+def _distinct(ids: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """The distinct ids of tokens and of pairs, as unsigned numbers in order."""
+    return np.unique(np.concatenate([ids, pair_ids(shifted(ids, rows, END), ids)]).view(np.uint64))
+
+
+def with_chunks(docs: DataFrame) -> DataFrame:
+    """The rows of docs with a chunk each, written through a checkpoint as chunks have names by chance."""
+
+    def run(batches):
+        for batch in batches:
+            names = [x for _, _, _, lengths in text_chunks(batch.column("text")) for x in [uuid.uuid4().hex] * len(lengths)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string())], names=[*batch.schema.names, "chunk"])
+
+    return checkpoint(docs.mapInArrow(run, ", ".join(f"{c} {t}" for c, t in docs.dtypes) + ", chunk string"))
+
+
+def probes(texts: DataFrame, cut: int) -> DataFrame:
+    """(chunk, run, ids): the distinct ids that a chunk's texts look up in each run of segments, as bytes and in order.
+    Rows of a chunk follow each other within one partition of texts."""
+
+    def asked(chunk, held):
+        (_, *chunk_texts), = text_chunks(pa.concat_arrays(held), 1 << 40)
+        ids = _distinct(*token_ids(*chunk_texts))
+        runs = ids >> np.uint64(64 - cut + RUN_LOG2)
+        cuts = np.flatnonzero(np.diff(runs, prepend=np.uint64(1 << cut)))
+        parts = [ids[a:b].tobytes() for a, b in zip(cuts, [*cuts[1:], len(ids)])]
+        return pa.RecordBatch.from_pydict({"chunk": pa.array([chunk] * len(parts), pa.string()), "run": runs[cuts].astype(np.int32), "ids": pa.array(parts, pa.binary())})
+
+    def run(batches):
+        last, held = None, []
+        for batch in batches:
+            names = np.asarray(batch.column("chunk").to_pylist(), object)
+            cuts = [0, *(np.flatnonzero(names[1:] != names[:-1]) + 1), len(names)] if len(names) else []
+            for a, b in zip(cuts, cuts[1:]):
+                if names[a] != last and held:
+                    yield asked(last, held)
+                    held = []
+                last = names[a]
+                held.append(batch.column("text").slice(a, b - a))
+        if held:
+            yield asked(last, held)
+
+    return texts.select("text", "chunk").mapInArrow(run, "chunk string, run int, ids binary")
+
+
+def answers(asked: DataFrame, segments: DataFrame, log2: int, cut: int) -> DataFrame:
+    """(chunk, run, levels): probes meet the segments of their run, and a byte for each id gives its level."""
+    size = ((1 << log2) >> cut) // 8
+
+    def look(left: pa.Table, right: pa.Table) -> pa.Table:
+        runs = left.column("run").to_pylist()
+        bits, out = np.zeros(size << RUN_LOG2, np.uint8), []
+        for s, x in zip(right.column("segment").to_pylist(), right.column("bits")):
+            k = s % (1 << RUN_LOG2)
+            bits[k * size : (k + 1) * size] = np.frombuffer(x.as_py(), np.uint8)
+        for r, x in zip(runs, left.column("ids")):
+            ids = np.frombuffer(x.as_py(), np.int64)
+            out.append(probe(bits, log2, ids, cut, (r * 8 * size) << RUN_LOG2).astype(np.uint8).tobytes())
+        return pa.table({"chunk": pa.array(left.column("chunk").to_pylist(), pa.string()), "run": pa.array(runs, pa.int32()), "levels": pa.array(out, pa.binary())})
+
+    runs = segments.withColumn("run", F.shiftright("segment", RUN_LOG2))
+    return asked.groupBy("run").cogroup(runs.groupBy("run")).applyInArrow(look, "chunk string, run int, levels binary")
+
+
 def model_log10(own, before, c2, mass: float, kinds: int) -> np.ndarray:
     """log10 probability of tokens from levels: of the token, of its predecessor and of the pair.
 
@@ -193,12 +299,14 @@ def estimate(lev: np.ndarray) -> np.ndarray:
     return middle[lev]
 
 
-def score(documents: DataFrame, head: int = HEAD) -> DataFrame:
+def score(documents: DataFrame, head: int = HEAD, sent_log2: int = SENT_LOG2) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Learns from the texts whose crc32(doc_id as text) mod 10 isn't 0, all of them. Tokens are known by 64-bit ids. Exact
     counts of the `head` most frequent words, a bounded table, are sent to the workers; tokens of all other words are
-    joined with their counts by id, and those are rare words, so no key is hot. A null text is an empty one: its end is its only
+    joined with their counts by id, and those are rare words, so no key is hot. The filter grows with its members; one of up
+    to 2**sent_log2 bits is sent too, and of a larger one the segments stay in a table: the distinct n-grams of each chunk of
+    texts are shuffled to their segments, and their levels back to the chunk. A null text is an empty one: its end is its only
     token. A null id counts as an empty id text. Identical rows of one doc_id give one row. Without training tokens all
     counts are 0 and each token has probability 1.
     """
@@ -212,7 +320,8 @@ def score(documents: DataFrame, head: int = HEAD) -> DataFrame:
     steps = {r.k: r for r in unigrams.groupBy(lev.alias("k")).agg(F.count("*").alias("v"), F.sum("n").alias("n")).collect()}  # a row per level
     total, kinds = sum(r.n for r in steps.values()), sum(r.v for r in steps.values())
     mass = float(sum(estimate(np.array([k]))[0] * r.v for k, r in steps.items()))
-    log2 = max(22, min(LARGEST_LOG2, int(BITS_A_TOKEN * max(total, 1)).bit_length()))
+    raw = filter_log2(total)  # a count has no more levels than tokens, and most have fewer; folded below
+    cut = max(CUT, raw - SEGMENT_LOG2)
     least, room = len(STEPS), head
     while least > 1 and room >= (steps[least - 1].v if least - 1 in steps else 0):
         least -= 1
@@ -222,41 +331,62 @@ def score(documents: DataFrame, head: int = HEAD) -> DataFrame:
     order = np.argsort(ids := np.asarray(top.column("id").combine_chunks()))
     keys_n = ids[order], np.asarray(top.column("n").combine_chunks())[order]
     del top, ids
-    bits = build_filter(_counts(training, pairs=True).unionByName(unigrams), log2)
-    shared = spark.sparkContext.broadcast((*keys_n, bits))
-    del bits
+    segments = build_segments(_counts(training, pairs=True).unionByName(unigrams), raw, cut)
+    log2 = min(raw, filter_log2(segments.agg(F.sum("members")).first()[0] or 0))
+    segments = folded(segments, log2, cut)
+    near = log2 <= sent_log2
+    shared = spark.sparkContext.broadcast((*keys_n, gathered(segments, log2, cut) if near else None))
     norm = np.log10(max(total + 0.1 * (kinds + 1), 0.1))
 
+    def scored(batch, look, **step):
+        keys, freq, _ = shared.value
+        n = batch.num_rows
+        tokens, known, base, model = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n), np.zeros(n)
+        rare, rare_rows = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for i, data, starts, lengths in text_chunks(batch.column("text"), **step):
+            ids, rows = token_ids(data, starts, lengths)
+            uniq, back = np.unique(ids, return_inverse=True)
+            at = np.minimum(np.searchsorted(keys, uniq), max(len(keys) - 1, 0))
+            inside = keys[at] == uniq if len(keys) else np.zeros(len(uniq), bool)
+            count = np.where(inside, freq[at], 0) if len(keys) else np.zeros(len(uniq), np.int64)
+            found, m = inside[back], len(lengths)
+            tokens[i : i + m] = np.bincount(rows, minlength=m)
+            known[i : i + m] = np.bincount(rows[found], minlength=m)
+            base[i : i + m] = np.bincount(rows[found], weights=(np.log10(count + 0.1) - norm)[back][found], minlength=m)
+            lev = look(uniq)
+            prev = shifted(ids, rows, END)
+            before = shifted(lev[back], rows, lev[np.searchsorted(uniq, END)])
+            pairs, place = np.unique(pair_ids(prev, ids), return_inverse=True)
+            c2 = look(pairs)[place]
+            model[i : i + m] = np.bincount(rows, weights=model_log10(lev[back], before, c2, mass, kinds), minlength=m)
+            rare.append(ids[~found])
+            rare_rows.append(rows[~found] + i)
+        rare, rare_rows = np.concatenate(rare), np.concatenate(rare_rows)
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.bincount(rare_rows, minlength=n))]).astype(np.int32)), pa.array(rare))
+        return {"doc_id": batch.column("doc_id"), "held_out": batch.column("held_out"), "n_tokens": tokens, "known": known, "base": base, "score": model, "rare": lists}
+
     def run(batches):
-        keys, freq, flt = shared.value
+        flt = shared.value[2]
         for batch in batches:
-            n = batch.num_rows
-            tokens, known, base, model = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n), np.zeros(n)
-            rare, rare_rows = [], []
-            for i, data, starts, lengths in text_chunks(batch.column("text")):
-                ids, rows = token_ids(data, starts, lengths)
-                uniq, back = np.unique(ids, return_inverse=True)
-                at = np.minimum(np.searchsorted(keys, uniq), max(len(keys) - 1, 0))
-                inside = keys[at] == uniq if len(keys) else np.zeros(len(uniq), bool)
-                count = np.where(inside, freq[at], 0) if len(keys) else np.zeros(len(uniq), np.int64)
-                found, m = inside[back], len(lengths)
-                tokens[i : i + m] = np.bincount(rows, minlength=m)
-                known[i : i + m] = np.bincount(rows[found], minlength=m)
-                base[i : i + m] = np.bincount(rows[found], weights=(np.log10(count + 0.1) - norm)[back][found], minlength=m)
-                lev = probe(flt, log2, uniq)
-                prev = shifted(ids, rows, END)
-                before = shifted(lev[back], rows, lev[np.searchsorted(uniq, END)])
-                pairs, place = np.unique(pair_ids(prev, ids), return_inverse=True)
-                c2 = probe(flt, log2, pairs)[place]
-                model[i : i + m] = np.bincount(rows, weights=model_log10(lev[back], before, c2, mass, kinds), minlength=m)
-                rare.append(ids[~found])
-                rare_rows.append(rows[~found] + i)
-            rare, rare_rows = np.concatenate(rare), np.concatenate(rare_rows)
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.bincount(rare_rows, minlength=n))]).astype(np.int32)), pa.array(rare))
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "held_out": batch.column("held_out"), "n_tokens": tokens, "known": known, "base": base, "score": model, "rare": lists})
+            yield pa.RecordBatch.from_pydict(scored(batch, lambda ids: probe(flt, log2, ids, cut)))
+
+    def joined_up(left: pa.Table, right: pa.Table) -> pa.Table:
+        batch = left.combine_chunks().to_batches()[0]
+        (_, *texts), = text_chunks(batch.column("text"), 1 << 40)
+        ids = _distinct(*token_ids(*texts))
+        order = np.argsort(np.asarray(right.column("run")))
+        levels = right.column("levels").to_pylist()
+        lev = np.frombuffer(b"".join(levels[k] for k in order), np.uint8).astype(np.int64)
+        return pa.table(scored(batch, lambda x: lev[np.searchsorted(ids, x.view(np.uint64))], step=1 << 40))
 
     kind = dict(documents.dtypes)["doc_id"]
-    rows = docs.mapInArrow(run, f"doc_id {kind}, held_out boolean, n_tokens long, known long, base double, score double, rare array<long>")
+    fields = f"doc_id {kind}, held_out boolean, n_tokens long, known long, base double, score double, rare array<long>"
+    if near:
+        rows = docs.mapInArrow(run, fields)
+    else:
+        texts = with_chunks(docs)
+        levels = answers(probes(texts, cut), segments, log2, cut)
+        rows = texts.groupBy("chunk").cogroup(levels.groupBy("chunk")).applyInArrow(joined_up, fields)
     rows = rows.select("doc_id", "held_out", "n_tokens", "known", "base", "score", F.explode_outer("rare").alias("id"))
     tail = unigrams.where(F.col("n") < F.lit(floor))
     joined = rows.join(tail, "id", "left")
