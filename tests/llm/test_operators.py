@@ -142,6 +142,16 @@ def test_lm_score_of_a_filter_in_a_table(spark):
     assert lmscore.score(d.limit(0), sent_log2=0).collect() == []
 
 
+def test_lm_score_of_repeated_rows(spark):
+    rows = [(1, "a b c zz", "en", "s")] * 3 + [(1, "b q", "en", "s"), (2, "a b", "en", "s"), (None, "x y", "en", "s"), (None, "y x", "en", "s"), (3, None, None, None), (3, "", None, None)]
+    count = Counter(w for i, t, _, _ in rows if zlib.crc32(str("" if i is None else i).encode()) % 10 for w in [*words(t), "\0"])
+    n, v = sum(count.values()), len(count)
+    want = sorted((str(i), len(t) + 1, sum(count[w] > 0 for w in [*t, "\0"]), round(sum(math.log10((count[w] + 0.1) / (n + 0.1 * (v + 1))) for w in [*t, "\0"]), 9)) for i, t in {(i, tuple(words(t))) for i, t, _, _ in rows})
+    for head in (1, 1 << 19):
+        got = lmscore.score(docs(spark, rows), head=head).collect()
+        assert sorted((str(r.doc_id), r.n_tokens, r.n_known, round(r.base_score, 9)) for r in got) == want
+
+
 def test_line_dedup(spark):
     short = "a short line"
     rows = [(3, f"own\n{A}\nend", "en", "s"), (1, f"{A}\n{short}", "en", "s"), (2, f"{short}\n{short}\nx", "en", "s"), (4, f"p {B[:100]}\nq {B[100:]}\n\n{short}", "en", "s"), (5, f"z\np {B[:100]}\nq {B[100:]}\nlast", "en", "s"), (6, None, "en", "s")]

@@ -307,12 +307,12 @@ def score(documents: DataFrame, head: int = HEAD, sent_log2: int = SENT_LOG2) ->
     joined with their counts by id, and those are rare words, so no key is hot. The filter grows with its members; one of up
     to 2**sent_log2 bits is sent too, and of a larger one the segments stay in a table: the distinct n-grams of each chunk of
     texts are shuffled to their segments, and their levels back to the chunk. A null text is an empty one: its end is its only
-    token. A null id counts as an empty id text. Identical rows of one doc_id give one row. Without training tokens all
+    token. A null id counts as an empty id text. Rows of one doc_id and text give one row, with that text's figures. Without training tokens all
     counts are 0 and each token has probability 1.
     """
     spark = documents.sparkSession
     held = (crc_mod(F.col("doc_id"), 10) == 0).alias("held_out")
-    docs = documents.select("doc_id", "text", held)
+    docs = documents.select("doc_id", "text", held, F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("digest"))
     training = docs.where("not held_out")
     unigrams = checkpoint(_counts(training, pairs=False).groupBy("id").agg(F.sum("n").alias("n")))
     binary = F.bin("n")  # its length and second digit give the level
@@ -363,7 +363,7 @@ def score(documents: DataFrame, head: int = HEAD, sent_log2: int = SENT_LOG2) ->
             rare_rows.append(rows[~found] + i)
         rare, rare_rows = np.concatenate(rare), np.concatenate(rare_rows)
         lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.bincount(rare_rows, minlength=n))]).astype(np.int32)), pa.array(rare))
-        return {"doc_id": batch.column("doc_id"), "held_out": batch.column("held_out"), "n_tokens": tokens, "known": known, "base": base, "score": model, "rare": lists}
+        return {"doc_id": batch.column("doc_id"), "held_out": batch.column("held_out"), "digest": batch.column("digest"), "n_tokens": tokens, "known": known, "base": base, "score": model, "rare": lists}
 
     def run(batches):
         flt = shared.value[2]
@@ -380,16 +380,19 @@ def score(documents: DataFrame, head: int = HEAD, sent_log2: int = SENT_LOG2) ->
         return pa.table(scored(batch, lambda x: lev[np.searchsorted(ids, x.view(np.uint64))], step=1 << 40))
 
     kind = dict(documents.dtypes)["doc_id"]
-    fields = f"doc_id {kind}, held_out boolean, n_tokens long, known long, base double, score double, rare array<long>"
+    fields = f"doc_id {kind}, held_out boolean, digest string, n_tokens long, known long, base double, score double, rare array<long>"
     if near:
         rows = docs.mapInArrow(run, fields)
     else:
         texts = with_chunks(docs)
         levels = answers(probes(texts, cut), segments, log2, cut)
         rows = texts.groupBy("chunk").cogroup(levels.groupBy("chunk")).applyInArrow(joined_up, fields)
-    rows = rows.select("doc_id", "held_out", "n_tokens", "known", "base", "score", F.explode_outer("rare").alias("id"))
+    rows = rows.select("doc_id", "held_out", "digest", "n_tokens", "known", "base", "score", F.posexplode_outer("rare").alias("nth", "id"))
     tail = unigrams.where(F.col("n") < F.lit(floor))
     joined = rows.join(tail, "id", "left")
     log = F.when(F.col("id").isNotNull(), F.log10(F.coalesce("n", F.lit(0)) + 0.1) - float(norm)).otherwise(0.0)
-    out = joined.groupBy("doc_id", "held_out", "n_tokens", "known", "base", "score").agg(F.sum(log).alias("more"), F.count("n").alias("seen"))
-    return out.select("doc_id", "held_out", "n_tokens", (F.col("known") + F.col("seen")).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), (F.col("base") + F.col("more")).alias("base_score"), "score")
+    copies = F.count_if(F.coalesce("nth", F.lit(0)) == 0)  # each copy of a row has its rare tokens in the sums
+    own = [F.max(c).alias(c) for c in ("n_tokens", "known", "base", "score")]
+    out = joined.groupBy("doc_id", "held_out", "digest").agg(*own, (F.sum(log) / copies).alias("more"), F.expr("count(n)").alias("seen"), copies.alias("copies"))
+    known = F.col("known") + F.expr("seen div copies")
+    return out.select("doc_id", "held_out", "n_tokens", known.alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), (F.col("base") + F.col("more")).alias("base_score"), "score")
