@@ -76,6 +76,33 @@ def test_language(spark):
     assert (p < 1.001).all()  # no context gives shares of over one
 
 
+def test_language_keeps_every_byte(spark):
+    common = "abcdefghijklmnopqrstuvwxyz0123456789.,;:!? " * 5
+    d = docs(spark, [(1, common + "ж ж", "a", "s"), (2, common + "ф ф", "b", "s")])
+    model = langid.fit(d, F.lit(True))
+    texts = {1: "ж", 2: "ф", 3: "Ab ж\tqф я"}
+    got = {r.doc_id: r for r in langid.predict(docs(spark, [(i, t, None, None) for i, t in texts.items()]), model).collect()}
+    assert (got[1].lang_pred, got[2].lang_pred) == ("a", "b")
+
+    fold = lambda t: b"   " + re.sub(rb"[\x09-\x0d]", b" ", t.encode().lower())
+    def bits(train, t):  # method C, counted in dicts
+        seen = {}
+        for x in [fold(train)]:
+            for i in range(3, len(x)):
+                for k in range(4):
+                    seen.setdefault(x[i - k : i], Counter())[x[i]] += 1
+        def p(ctx, b):
+            if ctx is None:
+                return 1 / 256
+            c = seen.get(ctx, Counter())
+            n = c.total() + len(c)
+            return c[b] / n if c[b] else (len(c) / n if n else 1) * p(ctx[1:] if ctx else None, b)
+        x = fold(t)
+        return -sum(math.log2(p(x[i - 3 : i], x[i])) for i in range(3, len(x))) / (len(x) - 3)
+    for i, t in texts.items():
+        assert math.isclose(got[i].bits, min(bits(common + "ж ж", t), bits(common + "ф ф", t)), abs_tol=1e-3)
+
+
 def words(t):
     return [w for w in re.split("[\x20\x09-\x0d]+", (t or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))) if w]
 

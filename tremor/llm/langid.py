@@ -32,17 +32,17 @@ def text_chunks(column: pa.ChunkedArray | pa.Array, step: int = STEP):
             i = j
 
 
-def _context_codes(data, starts, lengths, classes, width):
-    """For each byte the number made of the classes of the ORDER bytes before it (class 0 before a text) and its own."""
-    c = classes[data].astype(np.int32)
+def _context_codes(data, starts, lengths):
+    """For each folded byte the number made of the ORDER bytes before it (white space before a text) and its own."""
+    c = _FOLD[data].astype(np.uint32)
     first = starts[lengths > 0]
     code, prev = c.copy(), c
     for k in range(1, ORDER + 1):
         shifted = np.empty_like(prev)
         shifted[1:] = prev[:-1]
-        shifted[first] = 0
+        shifted[first] = 32
         prev = shifted
-        code += prev * np.int32(width**k)
+        code |= prev << np.uint32(8 * k)
     return code
 
 
@@ -53,6 +53,9 @@ def _fold() -> np.ndarray:
     return t
 
 
+_FOLD = _fold()
+
+
 def sample_training(documents: DataFrame, keep: Column, per_lang: int) -> DataFrame:
     """About `per_lang` whole documents of each language where `keep` holds, chosen by a hash of the id."""
     rows = documents.where(keep & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text")
@@ -63,84 +66,98 @@ def sample_training(documents: DataFrame, keep: Column, per_lang: int) -> DataFr
     return rows.where(F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1 << 20)) < rates[F.col("lang")] * (1 << 20))
 
 
-def fit(documents: DataFrame, keep: Column, per_lang: int = 1500, classes: int = 40) -> dict:
+def fit(documents: DataFrame, keep: Column, per_lang: int = 1500) -> dict:
     """Learn each language's byte contexts of up to ORDER bytes.
 
     The sample is bounded: about `per_lang` documents of each language (all, where there are fewer). Bytes are folded
-    to lower case and white space, and the `classes` - 1 most frequent keep a class of their own. Returns the languages,
-    the class of each byte and the counts of (language, context, byte class); no rows give a model without languages.
+    to lower case and white space, and every other byte keeps a value of its own. Returns the languages and the counts of
+    (context, byte) that each language's sample has; no rows give a model without languages.
     """
     rows = checkpoint(sample_training(documents, keep, per_lang))
-    fold = _fold()
-
-    def byte_counts(batches):
-        total = np.zeros(256, np.int64)
-        for batch in batches:
-            for _, data, _, _ in text_chunks(batch.column("text")):
-                total += np.bincount(fold[data], minlength=256)
-        yield pa.RecordBatch.from_pydict({"byte": pa.array(range(256), pa.int32()), "n": total})
-
-    freq = {r.byte: r.n for r in rows.mapInArrow(byte_counts, "byte int, n long").groupBy("byte").agg(F.sum("n").alias("n")).collect()}
-    top = [b for b in sorted(freq, key=lambda b: (-freq[b], b)) if freq[b] > 0 and b != 32][: classes - 2]
-    cls = np.full(256, classes - 1, np.uint8)  # the last class holds every other byte
-    cls[32] = 0
-    cls[top] = np.arange(1, len(top) + 1)
-    cls = cls[fold]
 
     def contexts(batches):
         for batch in batches:
             langs = np.asarray(batch.column("lang").to_pylist(), object)
             for i, data, starts, lengths in text_chunks(batch.column("text")):
-                code = _context_codes(data, starts, lengths, cls, classes)
+                code = _context_codes(data, starts, lengths)
                 own = np.repeat(np.arange(len(lengths)), lengths)
                 for lang in sorted(set(langs[i : i + len(lengths)])):
                     keys, n = np.unique(code[np.isin(own, np.flatnonzero(langs[i : i + len(lengths)] == lang))], return_counts=True)
-                    yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(keys), pa.string()), "code": keys, "n": n})
+                    yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(keys), pa.string()), "code": keys.astype(np.int64), "n": n})
 
-    counts = rows.mapInArrow(contexts, "lang string, code int, n long").groupBy("lang", "code").agg(F.sum("n").alias("n")).toArrow().to_pandas()
+    counts = rows.mapInArrow(contexts, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n")).toArrow().to_pandas()
     langs = sorted(counts["lang"].unique())
-    return {"langs": langs, "cls": cls, "width": classes, "counts": [(g["code"].to_numpy(), g["n"].to_numpy()) for g in (counts[counts["lang"] == x] for x in langs)]}
+    return {"langs": langs, "width": 256, "counts": [(g["code"].to_numpy().astype(np.uint32), g["n"].to_numpy()) for g in (counts[counts["lang"] == x] for x in langs)]}
+
+
+def _find(keys: np.ndarray, x: np.ndarray):
+    """(place of each x in the sorted keys, whether it is there)."""
+    at = np.minimum(np.searchsorted(keys, x), len(keys) - 1)
+    return at, keys[at] == x
+
+
+def tables(model: dict) -> list:
+    """For each order, of what any language has seen: the (context, byte) codes in order, their code lengths [code, language],
+    the contexts in order and the lengths of their escapes [context, language], in UNIT-ths of a bit under escape method C."""
+    out: list = []
+    for order in range(ORDER + 1):
+        mask = np.uint32((1 << (8 * order + 8)) - 1)
+        own = [np.unique(codes & mask, return_inverse=True) for codes, _ in model["counts"]]
+        keys = np.unique(np.concatenate([k for k, _ in own]))
+        contexts = np.unique(keys >> np.uint32(8))
+        context = np.searchsorted(contexts, keys >> np.uint32(8))
+        escape = np.zeros((len(contexts), len(own)), np.int32)
+        length = lengths_of(out, keys, len(own))
+        for k, ((mine, inverse), (_, n)) in enumerate(zip(own, model["counts"])):
+            c = np.bincount(inverse, weights=n)
+            at = np.searchsorted(keys, mine)
+            total, kinds = np.bincount(context[at], weights=c, minlength=len(contexts)), np.bincount(context[at], minlength=len(contexts))
+            seen = kinds > 0
+            escape[seen, k] = np.round(-np.log2(kinds[seen] / (total + kinds)[seen]) * UNIT)
+            length[:, k] += escape[context, k]
+            length[at, k] = np.round(-np.log2(c / (total + kinds)[context[at]]) * UNIT)
+        out.append((keys, length, contexts, escape))
+    return out
 
 
-def code_lengths(model: dict) -> np.ndarray:
-    """[context and byte, language] -> code length in UNIT-ths of a bit, under escape method C from ORDER down to the uniform byte."""
-    a = model["width"]
-    out = np.empty((a ** (ORDER + 1), len(model["langs"])), np.int32)
-    # the last class stands for all bytes without a class of their own
-    others = max(1, int(np.sum(model["cls"] == a - 1)))
-    for k, (codes, n) in enumerate(model["counts"]):
-        p = np.full(a, 1 / 256)
-        p[a - 1] = others / 256
-        for order in range(ORDER + 1):
-            keys, inverse = np.unique(codes % a ** (order + 1), return_inverse=True)
-            c = np.bincount(inverse, weights=n)
-            seen, ctx = np.unique(keys // a, return_inverse=True)
-            total, kinds = np.bincount(ctx, weights=c), np.bincount(ctx)
-            p = np.tile(p, a) if order else p
-            escape = np.ones(a**order)
-            escape[seen] = kinds / (total + kinds)
-            p = (p.reshape(-1, a) * escape[:, None]).ravel()
-            p[keys] = c / (total + kinds)[ctx]
-        out[:, k] = np.round(-np.log2(p) * UNIT)
+def lengths_of(found: list, codes: np.ndarray, langs: int) -> np.ndarray:
+    """[code, language] -> code length in UNIT-ths of a bit, from the last order of the tables down to the uniform byte."""
+    if not found:
+        return np.full((len(codes), langs), 8 * UNIT, np.int32)
+    *lower, (keys, length, contexts, escape) = found
+    x = codes & np.uint32((1 << (8 * len(found))) - 1)
+    at, hit = _find(keys, x)
+    out = length[at]
+    miss = np.flatnonzero(~hit)
+    if len(miss):
+        place, known = _find(contexts, x[miss] >> np.uint32(8))
+        out[miss] = lengths_of(lower, x[miss], langs) + np.where(known[:, None], escape[place], 0)
     return out
 
 
+def code_lengths(model: dict) -> np.ndarray:
+    """[context and byte, language] -> code length, for all 256 bytes after each context that any language has seen."""
+    found = tables(model)
+    codes = (found[-1][2].astype(np.uint32)[:, None] << np.uint32(8)) | np.arange(256, dtype=np.uint32)
+    return lengths_of(found, codes.ravel(), len(model["langs"]))
+
+
 def _judge(spark, model: dict):
     """A function (texts, ok) -> (language or und, score, bits a byte) for Arrow columns."""
-    langs, cls, width = model["langs"], model["cls"], model["width"]
-    shared = spark.sparkContext.broadcast(model)  # at most width**4 counts a language
+    langs = model["langs"]
+    shared = spark.sparkContext.broadcast(model)  # the contexts of the bounded sample
     memo: dict = {}
 
     def run(text, ok):
         best, share, bits = np.zeros(len(text), np.int64), np.zeros(len(text)), np.zeros(len(text))
         if langs:
             if not memo:
-                memo["t"] = code_lengths(shared.value)
+                memo["t"] = tables(shared.value)
             for i, data, starts, lengths in text_chunks(text):
                 if not len(data):
                     continue
                 full = np.flatnonzero(lengths)
-                sums = np.add.reduceat(memo["t"][_context_codes(data, starts, lengths, cls, width)], starts[full], axis=0, dtype=np.int64)
+                sums = np.add.reduceat(lengths_of(memo["t"], _context_codes(data, starts, lengths), len(langs)), starts[full], axis=0, dtype=np.int64)
                 rows, low = i + full, sums.min(1)
                 best[rows] = sums.argmin(1)
                 share[rows] = 1 / np.exp2(-np.minimum((sums - low[:, None]) / UNIT, 1000)).sum(1)
