@@ -1,5 +1,6 @@
 """Small cases, edge cases and brute-force comparisons of the training-data operators."""
 
+import hashlib
 import math
 import re
 import zlib
@@ -12,7 +13,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from tremor.llm import decontam, langid, licenses, linededup, lmscore, mixing, quality, simhash, topk, urls
-from tremor.llm.common import crc_mod
+from tremor.llm.common import crc_mod, spread_join
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, w string, size string"
 A = " ".join(f"alpha{i}" for i in range(60))
@@ -188,29 +189,56 @@ def test_line_dedup(spark):
     assert got[5] == (2, "z\nlast")
 
 
-def brute_lines(texts, least):
-    seq = {d: [(p, x, len(x.split())) for p, x in enumerate(t.split("\n")) if x.split()] for d, t in texts.items()}
-    first, gone = {}, {d: set() for d in texts}
-    for d in sorted(seq):
-        for i in range(len(seq[d])):
+def brute_lines(rows, least):
+    """Places of deleted lines for each (doc_id, text)."""
+    keyed = sorted({(d, int(hashlib.md5(t.encode()).hexdigest()[:15], 16), t) for d, t in rows if d is not None and t is not None})
+    first, gone = {}, {(d, t): set() for d, _, t in keyed}
+    for d, r, t in keyed:
+        seq = [(p, x, len(x.split())) for p, x in enumerate(t.split("\n")) if x.split()]
+        for i in range(len(seq)):
             n = 0
-            for j in range(i, len(seq[d])):
-                n += seq[d][j][2]
+            for j in range(i, len(seq)):
+                n += seq[j][2]
                 if n >= least:
-                    key = tuple(x for _, x, _ in seq[d][i : j + 1])
-                    if first.setdefault(key, (d, i)) != (d, i):
-                        gone[d] |= {p for p, _, _ in seq[d][i : j + 1]}
-    return gone
+                    key = tuple(x for _, x, _ in seq[i : j + 1])
+                    if first.setdefault(key, (d, r, i)) != (d, r, i):
+                        gone[d, t] |= {p for p, _, _ in seq[i : j + 1]}
+    return {k: "\n".join(x for p, x in enumerate(k[1].split("\n")) if p not in v) for k, v in gone.items()}
 
 
-def test_line_dedup_brute_force(spark):
+def line_rows():
     rng = np.random.default_rng(3)
     pool = ["one", "two words", "three words here", "four words are here", "", "five words are here now"]
-    texts = {d: "\n".join(pool[k] for k in rng.integers(0, 6, rng.integers(1, 14))) for d in range(40)}
-    want = brute_lines(texts, 7)
-    got = {r.doc_id: r for r in linededup.dedup_lines(docs(spark, [(d, t, "en", "s") for d, t in texts.items()]), min_words=7).collect()}
-    for d, t in texts.items():
-        assert got[d].text == "\n".join(x for p, x in enumerate(t.split("\n")) if p not in want[d])
+    rows = [(d // 2, "\n".join(pool[k] for k in rng.integers(0, 6, rng.integers(1, 14)))) for d in range(60)]  # two texts an id
+    return rows + rows[:3] + [(70, "four words are here\nfour words are here")] * 2 + [(None, "five words are here now\nfour words are here"), (71, None), (72, "")]
+
+
+@pytest.mark.parametrize("key_rows", [1000, 2])
+def test_line_dedup_brute_force(spark, key_rows):
+    rows = line_rows()
+    want = brute_lines(rows, 7)
+    got = linededup.dedup_lines(docs(spark, [(d, t, "en", "s") for d, t in rows]), min_words=7, key_rows=key_rows).collect()
+    assert Counter((r.doc_id, r.text) for r in got) == Counter((d, want.get((d, t), t)) for d, t in rows)
+
+
+def test_line_dedup_keeps_text_that_occurs_once(spark):
+    rows = [(0, A, "en", "s"), (1, f"{A}\nx", "en", "s"), (1, f"{B} kept nowhere else\nx", "en", "s")]
+    got = sorted(r.text for r in linededup.dedup_lines(docs(spark, rows)).collect())
+    assert got == sorted([A, "x", f"{B} kept nowhere else\nx"])
+
+
+def test_line_dedup_sql(spark):
+    import duckdb
+    import pandas as pd
+
+    from tremor.llm.queries import OP4
+
+    rows = [(d, None if t is None else t.replace("words", "words " * 9)) for d, t in line_rows()]
+    con = duckdb.connect()
+    con.register("documents", pd.DataFrame(rows, columns=["doc_id", "text"]).astype({"doc_id": "Int64"}))
+    got = linededup.dedup_lines(docs(spark, [(d, t, "en", "s") for d, t in rows])).collect()
+    want = con.sql(OP4).project("doc_id, n_lines, n_deleted, text").fetchall()
+    assert sum(r.n_deleted for r in got) > 0 and sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
 
 
 def test_licenses(spark):
@@ -269,16 +297,65 @@ def test_simhash_brute_force(spark):
     assert {i: (r.fingerprint, r.component_id) for i, r in got.items()} == {i: (f"{fp[i]:016x}", root[i]) for i in fp}
 
 
-def test_simhash_large_bucket_is_linked(spark):
+def reach(values, near):
+    root, changed = {v: v for v in values}, True
+    while changed:
+        new = {v: min(root[u] for u in values if near(u, v)) for v in values}
+        changed, root = new != root, new
+    return root
+
+
+@pytest.mark.parametrize(("bits", "pairs_up_to", "key_rows"), [(2, 24, 1000), (2, 1, 10), (1, 1, 1000), (0, 24, 1000), (2, 1000, 10)])
+def test_simhash_links(spark, bits, pairs_up_to, key_rows):
     rng = np.random.default_rng(4)
-    values = {0} | {sum(1 << int(b) for b in rng.choice(16, rng.integers(1, 6), replace=False)) for _ in range(300)}
+    dense = {sum(1 << int(b) for b in rng.choice(16, rng.integers(0, 6), replace=False)) for _ in range(150)}
+    spread = {int(x) for x in rng.integers(1, 1 << 63, 60)}
+    values = dense | spread | {v ^ (1 << int(rng.integers(63))) for v in spread} | {v ^ (5 << int(rng.integers(60))) for v in spread}
     fps = spark.createDataFrame([(v,) for v in values], "fp long")
-    edges = simhash.links(fps)
-    got = {r.node: r.root for r in simhash.components(fps.select(F.col("fp").alias("node")), edges).collect()}
-    root = {v: v for v in values}
-    for _ in range(20):
-        root = {v: min(root[u] for u in values if (u ^ v).bit_count() <= 2) for v in values}
-    assert got == root
+    edges = simhash.links(fps, bits, pairs_up_to, key_rows)
+    got = {r.node: r.root for r in simhash.components(fps.select(F.col("fp").alias("node")), edges, key_rows).collect()}
+    assert got == reach(values, lambda u, v: (u ^ v).bit_count() <= bits)
+
+
+def jaccard(a, b):
+    x, y = ({tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set() for w in (words(a), words(b)))
+    return len(x & y) / len(x | y) if x | y else 1.0
+
+
+def near_rows(seed=5):
+    rng = np.random.default_rng(seed)
+    rows = []
+    for i in range(12):
+        base = [f"w{k}" for k in rng.integers(0, 5000, 200)]
+        rows.append((100 * i, " ".join(base)))
+        for j in range(1, 6):
+            t = list(base)
+            for at in rng.integers(0, 200, j):
+                t[at] = f"n{i}x{j}"
+            rows.append((100 * i + j, " ".join(t)))
+    return rows + [(9000, rows[0][1]), (9001, "few words"), (9002, "Few  words"), (9003, ""), (9004, None), (None, rows[0][1]), (9005, "few other")]
+
+
+@pytest.mark.parametrize("how", [{}, {"pairs_up_to": 1, "key_rows": 3, "block": 4}])
+def test_near_copies_brute_force(spark, how):
+    """Fingerprints only find candidates: what they link is similar, and nearly all that is similar is linked."""
+    rows = near_rows()
+    texts = {i: t for i, t in rows if i is not None}
+    want = reach(texts, lambda a, b: jaccard(texts[a], texts[b]) >= 0.8)
+    got = {r.doc_id: r.component_id for r in simhash.near_copies(docs(spark, [(i, t, "en", "s") for i, t in rows]), **how).collect()}
+    assert got.keys() == want.keys() and all(want[i] <= got[i] for i in got)
+    assert sum(got[i] == want[i] for i in got) >= 0.95 * len(got)
+    kept = sorted(str(r.doc_id) for r in simhash.one_of_each(docs(spark, [(i, t, "en", "s") for i, t in rows]), **how).collect())
+    assert kept == sorted([str(i) for i in got if got[i] == i] + ["None"])
+
+
+def test_spread_join_deals_hot_keys(spark):
+    left = spark.createDataFrame([(k, i) for i in range(400) for k in ([1] if i % 4 else [i])], "k long, i long")
+    right = spark.createDataFrame([(1, "a"), (8, "b"), (500, "c")], "k long, v string")
+    sizes = left.groupBy("k").agg(F.count("*").alias("n"))
+    for how in ("inner", "left"):
+        out = spread_join(left, right, "k", sizes, 400, ["i"], how, key_rows=20)
+        assert sorted(map(tuple, out.select("k", "i", "v").collect()), key=repr) == sorted(map(tuple, left.join(right, "k", how).select("k", "i", "v").collect()), key=repr)
 
 
 def test_mixing(spark):

@@ -34,11 +34,49 @@ def crc_mod(doc_id: Column, n: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % n
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the folder that spark.checkpoint.dir names; a folder of our own only in local mode without one."""
-    sc = df.sparkSession.sparkContext
-    if sc.getConf().get("spark.checkpoint.dir") is None and sc.getCheckpointDir() is None:
+def column(name: str) -> Column:
+    """The column of exactly this name, dots and backticks included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def boxed(df: DataFrame, *keep: str) -> DataFrame:
+    """(row, keep..): all columns as one struct, so that names of our own can't clash with them; open with `row.*`."""
+    return df.select(F.struct(*[column(c) for c in df.columns]).alias("row"), *[column(c) for c in keep])
+
+
+#: A key with more rows than this, and than a 4096th of all rows, is dealt over several tasks by spread_join.
+KEY_ROWS = 1000
+
+
+def spread_join(left: DataFrame, right: DataFrame, key: str, sizes: DataFrame, total: int, by: list[str], how: str = "inner", key_rows: int = KEY_ROWS) -> DataFrame:
+    """left.join(right, key, how) for a left whose keys may be hot and a right of few rows a key.
+
+    `sizes` has (key, n), at least for keys of many left rows, and `total` is the number of left rows. Keys of more than
+    max(key_rows, total / 4096) rows, so 4096 keys at most, are broadcast with their number of parts: left rows of such
+    a key go to a part by a hash of the columns `by`, and its right rows to every part.
+    """
+    limit = max(key_rows, -(-total // 4096))
+    hot = sizes.where(F.col("n") > limit).select(key, F.ceil(F.col("n") / limit).cast("int").alias("__parts"))
+    part = F.pmod(F.xxhash64(*by), F.coalesce("__parts", F.lit(1)).cast("long")).cast("int")
+    dealt = left.join(F.broadcast(hot), key, "left").withColumn("__part", part).drop("__parts")
+    copies = F.explode(F.sequence(F.lit(0), F.coalesce("__parts", F.lit(1)) - 1))
+    met = right.join(F.broadcast(hot), key, "left").withColumn("__part", copies).drop("__parts")
+    return dealt.join(met, [key, "__part"], how).drop("__part")
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir or the one set on the context; a new temporary one in local mode alone."""
+    sc = spark.sparkContext
+    named = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if named is None:
         if not sc.master.startswith("local[") and sc.master != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="tremor-checkpoint-"))
+        named = tempfile.mkdtemp(prefix="tremor-checkpoint-")
+        sc.setCheckpointDir(named)
+    return named
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Cut the lineage in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()

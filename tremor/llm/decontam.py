@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tremor.llm.common import NOT_ALNUM, words
+from tremor.llm.common import NOT_ALNUM, boxed, words
 
 WINDOW = 13
 #: The benchmark's block table is broadcast only up to this many rows (of about 19 words each); beyond it Spark shuffles.
@@ -72,11 +72,14 @@ def contamination(documents: DataFrame, benchmark: DataFrame, window: int = WIND
         case when size(a) = 0 or x.start > element_at(a, -1).start + element_at(a, -1).length then concat(a, array(x))
         else concat(slice(a, 1, size(a) - 1), array(named_struct('start', element_at(a, -1).start,
              'length', greatest(element_at(a, -1).length, x.start + x.length - element_at(a, -1).start)))) end)"""
-    out = out.withColumn("spans", F.expr(merged)).withColumn("n_hit", F.expr("aggregate(spans, 0L, (a, x) -> a + x.length)"))
+    # words beyond the end of all windows before, which are in the order of their starts
+    hit = """aggregate(windows, named_struct('n', 0L, 'end', 0), (a, x) -> named_struct('n', a.n + greatest(0, x.start + x.length - greatest(a.end, x.start)),
+        'end', greatest(a.end, x.start + x.length)), a -> a.n)"""
+    out = out.withColumn("spans", F.expr(merged)).withColumn("n_hit", F.expr(hit))
     return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), "items", "spans", F.expr("n_hit > 0 and 20 * n_hit >= n_words").alias("contaminated"))
 
 
 def clean_documents(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that are not contaminated, unchanged; rows with a null doc_id stay."""
+    """The documents that are not contaminated, unchanged, whatever their columns; rows with a null doc_id stay."""
     bad = contamination(documents.select("doc_id", "text"), benchmark).where("contaminated").select("doc_id")
-    return documents.join(bad, "doc_id", "left_anti").select(documents.columns)
+    return boxed(documents).join(bad, F.col("row.doc_id") == F.col("doc_id"), "left_anti").select("row.*")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -9,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tremor.llm.common import checkpoint
+from tremor.llm.common import boxed, checkpoint
 
 ORDER = 3
 #: Code lengths are held as whole numbers of 2**-16 bits, so their sums are exact and don't depend on any order.
@@ -142,22 +144,32 @@ def code_lengths(model: dict) -> np.ndarray:
     return lengths_of(found, codes.ravel(), len(model["langs"]))
 
 
+_built: dict = {}
+
+
+def built(name: str, shared) -> list:
+    """The tables of a broadcast model, made once in each worker process."""
+    if name not in _built:
+        _built.clear()  # one model at a time
+        _built[name] = tables(shared.value)
+    return _built[name]
+
+
 def _judge(spark, model: dict):
     """A function (texts, ok) -> (language or und, score, bits a byte) for Arrow columns."""
     langs = model["langs"]
     shared = spark.sparkContext.broadcast(model)  # the contexts of the bounded sample
-    memo: dict = {}
+    name = uuid.uuid4().hex
 
     def run(text, ok):
         best, share, bits = np.zeros(len(text), np.int64), np.zeros(len(text)), np.zeros(len(text))
         if langs:
-            if not memo:
-                memo["t"] = tables(shared.value)
+            found = built(name, shared)
             for i, data, starts, lengths in text_chunks(text):
                 if not len(data):
                     continue
                 full = np.flatnonzero(lengths)
-                sums = np.add.reduceat(lengths_of(memo["t"], _context_codes(data, starts, lengths), len(langs)), starts[full], axis=0, dtype=np.int64)
+                sums = np.add.reduceat(lengths_of(found, _context_codes(data, starts, lengths), len(langs)), starts[full], axis=0, dtype=np.int64)
                 rows, low = i + full, sums.min(1)
                 best[rows] = sums.argmin(1)
                 share[rows] = 1 / np.exp2(-np.minimum((sums - low[:, None]) / UNIT, 1000)).sum(1)
@@ -190,15 +202,20 @@ def predict(documents: DataFrame, model: dict) -> DataFrame:
     return documents.select("doc_id", "text", _has_letter()).mapInArrow(run, f"doc_id {kind}, lang_pred string, score double, bits double")
 
 
-def accepted(documents: DataFrame, model: dict, least: float = 0.5) -> DataFrame:
-    """The documents with a language: not `und`, and predicted with a score of `least` or more. Rows and columns stay as they are."""
+def accepted(documents: DataFrame, model: dict, least: float = 0.5, most_bits: float = 8.0) -> DataFrame:
+    """The documents with a language; rows and columns stay as they are, whatever their names.
+
+    Dropped are `und` documents (null, or without a letter), those that no language has a share of `least` in, and
+    those whose code in the best language takes `most_bits` bits a byte or more: a text that no language codes in fewer
+    bits than it has itself is of no learned language.
+    """
     judge = _judge(documents.sparkSession, model)
 
     def run(batches):
         for batch in batches:
-            names, share, _ = judge(pc.struct_field(batch.column("row"), "text"), batch.column("ok"))
-            keep = pa.array((names != "und") & (share >= least))
+            names, share, bits = judge(pc.struct_field(batch.column("row"), "text"), batch.column("ok"))
+            keep = pa.array((names != "und") & (share >= least) & (bits < most_bits))
             yield pa.RecordBatch.from_pydict({"row": batch.column("row").filter(keep)})
 
-    rows = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"), _has_letter())
+    rows = boxed(documents, "text").select("row", _has_letter())
     return rows.mapInArrow(run, T.StructType([T.StructField("row", documents.schema)])).select("row.*")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tremor.llm.common import checkpoint, words
+from tremor.llm.common import boxed, checkpoint, column, words
 
 #: Weights of the sources in the order of their names, repeating.
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -16,19 +16,40 @@ REPEATS = 3
 RANGES = 4096
 
 
-def targets(sizes: list[tuple[str | None, int]], weights=WEIGHTS, repeats: int = REPEATS) -> dict:
-    """source -> target: shares of the total by weight, none above `repeats` times its size, the excess shared again."""
-    order = sorted(sizes, key=lambda x: (x[0] is None, (x[0] or "").encode()))
-    weight = {s: weights[i % len(weights)] for i, (s, _) in enumerate(order)}
-    total, open_, out = float(sum(n for _, n in sizes)), dict(sizes), {}
-    while open_:
-        share = (total - sum(out.values())) / sum(weight[s] for s in open_)
-        full = [s for s in open_ if share * weight[s] >= repeats * open_[s]]
-        if not full:
-            return out | {s: share * weight[s] for s in open_}
-        for s in full:
-            out[s] = float(repeats * open_.pop(s))
-    return out
+def ranked(df: DataFrame, order) -> DataFrame:
+    """df with `place`, 0, 1, .. in the order of a column. Rows are sorted in ranges, and only the ranges' sizes reach the driver."""
+    rows = checkpoint(df.orderBy(order).withColumn("__at", F.monotonically_increasing_id()))
+    part = F.shiftrightunsigned("__at", 33).alias("part")
+    sizes = sorted((r.part, r.n) for r in rows.groupBy(part).agg(F.count("*").alias("n")).collect())  # a row per range
+    starts, before = {}, 0
+    for k, n in sizes:
+        starts[k], before = before, before + n
+    if not starts:
+        return rows.withColumn("place", F.col("__at")).drop("__at")
+    first = F.create_map(*[F.lit(x) for k, v in starts.items() for x in (k, v)])
+    return rows.withColumn("place", first[F.shiftrightunsigned("__at", 33)] + F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))).drop("__at")
+
+
+def targets(sizes: DataFrame, weights=WEIGHTS, repeats: int = REPEATS) -> DataFrame:
+    """(source, source_size, target) from rows (source, source_size): shares of the total by weight, none above `repeats`
+    times its size, the excess shared again.
+
+    A source is full if the share of a unit of weight is at least its limit; that share only grows as full sources
+    leave the rest more, so each round takes one pass over the sources, and only sums reach the driver.
+    """
+    rows = ranked(sizes, F.asc_nulls_last("source"))
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("place") % len(weights) + 1).cast("int"))
+    rows = checkpoint(rows.select("source", "source_size", weight.alias("weight"), (F.col("source_size") * repeats).alias("limit")))
+    total = rows.agg(F.sum("source_size")).first()[0] or 0
+    share, n_full = 0.0, -1
+    while True:
+        full = F.lit(share) * F.col("weight") >= F.col("limit") if n_full >= 0 else F.lit(False)
+        r = rows.agg(F.count_if(full).alias("n"), F.sum(F.when(full, F.col("limit")).otherwise(0)).alias("used"), F.sum(F.when(full, 0.0).otherwise(F.col("weight"))).alias("open")).first()
+        if r.n == n_full or not r.open:
+            break
+        share, n_full = (float(total) - r.used) / r.open, max(r.n, 0)
+    full = F.lit(share) * F.col("weight") >= F.col("limit")
+    return rows.select("source", "source_size", F.when(full, F.col("limit").cast("double")).otherwise(F.lit(share) * F.col("weight")).alias("target"))
 
 
 def mix(documents: DataFrame, weights=WEIGHTS, repeats: int = REPEATS, ranges: int = RANGES) -> DataFrame:
@@ -49,14 +70,11 @@ def mix(documents: DataFrame, weights=WEIGHTS, repeats: int = REPEATS, ranges: i
 
 def schedule(docs: DataFrame, weights=WEIGHTS, repeats: int = REPEATS, ranges: int = RANGES) -> DataFrame:
     """mix() for rows (doc_id, source, size)."""
-    spark = docs.sparkSession
     docs = docs.withColumn("key", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     docs = checkpoint(docs.withColumn("cell", F.floor(F.conv(F.substring("key", 1, 6), 16, 10).cast("long") * ranges / (1 << 24)).cast("int")))
     cells = docs.groupBy("source", "cell").agg(F.sum("size").alias("cell_size"))
-    sizes = [(r.source, r.n) for r in docs.groupBy("source").agg(F.sum("size").alias("n")).collect()]  # a row per source
-    goal = targets(sizes, weights, repeats)
-    plan = spark.createDataFrame([(s, n, goal[s]) for s, n in sizes], "source string, source_size long, target double")
-    budget = int(round(sum(goal.values())))
+    plan = checkpoint(targets(cells.groupBy("source").agg(F.sum("cell_size").alias("source_size")), weights, repeats))
+    budget = round(plan.agg(F.sum("target")).first()[0] or 0)
     before = F.sum("cell_size").over(W.partitionBy("source").orderBy("cell")) - F.col("cell_size")
     sums = cells.select(F.col("source").alias("s"), F.col("cell").alias("c"), before.alias("before"))
     plan = plan.withColumnRenamed("source", "p")
@@ -66,29 +84,46 @@ def schedule(docs: DataFrame, weights=WEIGHTS, repeats: int = REPEATS, ranges: i
     rows = checkpoint(rows.withColumn("upto", F.col("before") + F.sum("size").over(within)).drop("before", "cell", "key"))
     finish = lambda r: (r * F.col("source_size") + F.col("upto")) / F.expr("nullif(target, 0)")
     copies = rows.where("size > 0").select("size", F.explode(F.array(*[finish(r) for r in range(repeats)])).alias("finish")).where("finish < 2")  # every source has reached its target at 1
-    slot = F.floor(F.col("finish") * ranges)
-    taken, end = 0, None
-    for r in copies.groupBy(slot.alias("slot")).agg(F.sum("size").alias("n")).orderBy("slot").collect():  # at most 2 * ranges rows
-        if taken + r.n > budget:
-            end = r
-            break
-        taken += r.n
-    if end is None:
-        limit = 2.0
-    else:
-        at = copies.where(slot == end.slot).groupBy("finish").agg(F.sum("size").alias("n"))
-        at = at.withColumn("n", F.lit(taken) + F.sum("n").over(W.orderBy("finish")))
-        last = at.where(F.col("n") <= budget).agg(F.max("finish").alias("t")).first().t
-        limit = last if last is not None else (end.slot - 1e-9) / ranges
+    limit = _last_taken(copies, budget, ranges)
     count = sum((F.coalesce(finish(r) <= limit, F.lit(False)).cast("long") for r in range(repeats)), F.lit(0).cast("long"))
     return rows.withColumn("copies", F.when(F.col("size") > 0, count).otherwise(0).cast("long")).select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def _last_taken(copies: DataFrame, budget: int, ranges: int, small: int = 100_000) -> float:
+    """The latest finishing time up to which the sizes of copies (size, finish) add up to no more than `budget`.
+
+    Times are counted in `ranges` equal ranges, then those of the range where the budget ends, until that range
+    has few copies, which are resolved exactly. The driver gets two rows a range at most.
+    """
+    low, width, taken = 0.0, 2.0, 0
+    while True:
+        inside = copies.where((F.col("finish") >= low) & (F.col("finish") < low + width)) if width < 2 else copies
+        slot = F.least(F.floor((F.col("finish") - low) * (ranges / width)), F.lit(ranges - 1))
+        end = None
+        for r in inside.groupBy(slot.alias("slot")).agg(F.sum("size").alias("n"), F.count("*").alias("c"), F.min("finish").alias("first"), F.max("finish").alias("last")).orderBy("slot").collect():
+            if taken + r.n > budget:
+                end = r
+                break
+            taken += r.n
+        if end is None:
+            return 2.0 if width >= 2 else low + width
+        if end.c <= small or end.first == end.last or end.last - end.first < 1e-12:
+            break
+        low, width = end.first, (end.last - end.first) * (1 + 1e-9)
+    at = copies.where((F.col("finish") >= end.first) & (F.col("finish") <= end.last)).groupBy("finish").agg(F.sum("size").alias("n"))
+    at = at.withColumn("n", F.lit(taken) + F.sum("n").over(W.orderBy("finish")))
+    last = at.where(F.col("n") <= budget).agg(F.max("finish").alias("t")).first().t
+    return last if last is not None else end.first - 1e-12
+
+
 def mixed(documents: DataFrame, **how) -> DataFrame:
     """The documents that mix() takes, each once, with its number of copies and its words taken as columns mix_copies and mix_taken.
 
-    Rows that repeat a doc_id get the sum of their copies; rows with a null doc_id count as one id.
+    Rows that repeat a doc_id get the sum of their copies; rows with a null doc_id count as one id. Columns of these
+    two names are replaced; all others stay, whatever their names.
     """
-    chosen = mix(documents.select("doc_id", "source", "text"), **how).where("copies > 0").groupBy("doc_id").agg(F.sum("copies").alias("mix_copies"), F.sum("taken").alias("mix_taken"))
+    chosen = mix(documents.select("doc_id", "source", "text"), **how).where("copies > 0").groupBy("doc_id").agg(F.sum("copies").alias("copies"), F.sum("taken").alias("taken"))
     names = [c for c in documents.columns if c not in ("mix_copies", "mix_taken")]
-    return documents.join(chosen, documents["doc_id"].eqNullSafe(chosen["doc_id"])).select(*[documents[c] for c in names], "mix_copies", "mix_taken")
+    rows = boxed(documents.select(*[column(c) for c in names]))
+    out = rows.join(chosen, F.col("row.doc_id").eqNullSafe(F.col("doc_id")))
+    return out.select("row.*", F.col("copies").alias("mix_copies"), F.col("taken").alias("mix_taken"))

@@ -80,23 +80,22 @@ from (select doc_id, max(len(w)) as n from d group by doc_id) left join c using
 """
 
 OP4 = r"""
-with s as (select doc_id, text, string_split(text, chr(10)) as ls from documents),
-l as (select doc_id, p, ls[p + 1] as line from (select doc_id, ls, unnest(generate_series(0, len(ls) - 1)) as p from s where text is not null)),
-k as (select doc_id, p, line, n, row_number() over w as i, sum(n) over w as upto
+with s as (select doc_id, text, cast('0x' || substr(md5(text), 1, 15) as bigint) as r, string_split(text, chr(10)) as ls from documents),
+u as (select distinct doc_id, r, text, ls from s where text is not null and doc_id is not null),
+l as (select doc_id, r, p, ls[p + 1] as line from (select doc_id, r, ls, unnest(generate_series(0, len(ls) - 1)) as p from u)),
+k as (select doc_id, r, p, line, n, row_number() over w as i, sum(n) over w as upto
       from (select *, len(list_filter(string_split_regex(line, '[\x20\x09-\x0D]+'), lambda x: x <> '')) as n from l) where n > 0
-      window w as (partition by doc_id order by p)),
-r as (select distinct doc_id, a, b from (
-        select x.doc_id, x.i as a, min(y.i) as b from k x join k y on x.doc_id = y.doc_id and y.i >= x.i and y.upto - x.upto + x.n >= 50 group by all
-        union all
-        select y.doc_id, max(x.i) as a, y.i as b from k x join k y on x.doc_id = y.doc_id and y.i >= x.i and y.upto - x.upto + x.n >= 50 group by y.doc_id, y.i)),
-t as (select r.doc_id, a, b, string_agg(line, chr(10) order by i) as run from r join k on r.doc_id = k.doc_id and k.i between a and b group by all),
-u as (select *, row_number() over (partition by run order by doc_id, a) as nth from t),
-g as (select distinct k.doc_id, k.p from u join k on u.doc_id = k.doc_id and k.i between a and b where nth > 1),
-o as (select l.doc_id, count(g.p) as n_deleted, string_agg(line, chr(10) order by l.p) filter (where g.p is null) as text
-      from l left join g on l.doc_id = g.doc_id and l.p = g.p group by l.doc_id)
+      window w as (partition by doc_id, r order by p)),
+e as (select x.doc_id, x.r, x.i as a, y.i as b from k x join k y on x.doc_id = y.doc_id and x.r = y.r and y.i >= x.i and y.upto - x.upto + x.n >= 50),
+f as (select doc_id, r, a, min(b) as b from e group by doc_id, r, a union select doc_id, r, max(a), b from e group by doc_id, r, b),
+t as (select f.doc_id, f.r, a, b, string_agg(line, chr(10) order by i) as run from f join k on f.doc_id = k.doc_id and f.r = k.r and k.i between a and b group by all),
+n as (select *, row_number() over (partition by run order by doc_id, r, a) as nth from t),
+g as (select distinct k.doc_id, k.r, k.p from n join k on n.doc_id = k.doc_id and n.r = k.r and k.i between a and b where nth > 1),
+o as (select l.doc_id, l.r, count(g.p) as n_deleted, string_agg(line, chr(10) order by l.p) filter (where g.p is null) as text
+      from l left join g on l.doc_id = g.doc_id and l.r = g.r and l.p = g.p group by l.doc_id, l.r)
 select s.doc_id, case when s.text is null then 0 else len(ls) end as n_lines, coalesce(n_deleted, 0) as n_deleted,
-       case when s.text is not null then coalesce(o.text, '') end as text
-from s left join o using (doc_id)
+       case when s.doc_id is null then s.text when s.text is not null then coalesce(o.text, '') end as text
+from s left join o on s.doc_id = o.doc_id and s.r = o.r
 """
 
 _NOTICES = ", ".join("('{}', '{}')".format(i, t.replace("'", "''")) for i, t in licenses.NOTICES)

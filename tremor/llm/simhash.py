@@ -2,23 +2,27 @@
 
 from __future__ import annotations
 
-from itertools import combinations
+import math
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tremor.llm.common import checkpoint, words
+from tremor.llm.common import KEY_ROWS, boxed, checkpoint, spread_join, words
 
 SHINGLE = 3
 MAX_BITS = 2
-#: The fingerprint's bits fall into so many groups of neighbours; each reference fingerprint lies in one of them.
-GROUPS = 4
-#: References in each group: pattern r has the bits b of the group with popcount(b & r) odd, r = 1, 2, ..
-PIVOTS = 15
+#: Ranges of a distance coordinate are so wide; REFERENCES of them at most make a bucket, CHECKED more discard pairs.
+RANGE, REFERENCES, CHECKED = 8, 20, 16
 #: Buckets of more fingerprints than this are linked through one-bit neighbours instead of pairs.
 PAIRS_UP_TO = 24
+#: Of a near copy: words in a shingle, least similarity of the sets of shingles, and most differing bits of 128 to compare them at all.
+NEAR_SHINGLE, NEAR_LEAST, NEAR_BITS = 5, 0.8, 32
+#: Buckets of sampled bits of more fingerprints than this are linked through their centre and by blocks.
+NEAR_PAIRS_UP_TO = 64
+#: Fingerprints in a block of a large bucket; a task compares two blocks.
+BLOCK = 2048
 
 
 def _bit_counts(hashes: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -39,124 +43,331 @@ def _bit_counts(hashes: np.ndarray, starts: np.ndarray, lengths: np.ndarray) ->
     return out
 
 
-def fingerprints(documents: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp) of each row: bit i of fp is set if over half of the text's shingles have it in their xxHash64 (seed 42).
+def _mix(x: np.ndarray) -> np.ndarray:
+    """Spreads 64-bit numbers one to one."""
+    x = x.astype(np.uint64)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _shingle_hashes(shingle: int) -> Column:
+    """xxHash64 (seed 42) of each run of `shingle` of the words in column w; of fewer words the whole sequence, of none no hash."""
+    joined = ", ".join(f"w[i + {k}]" for k in range(shingle))
+    runs = f"transform(sequence(0, size(w) - {shingle}), i -> xxhash64(concat_ws(' ', {joined})))"
+    return F.expr(f"if(size(w) >= {shingle}, {runs}, if(size(w) = 0, array(), array(xxhash64(array_join(w, ' ')))))")
+
+
+def fingerprints(documents: DataFrame, shingle: int = SHINGLE, longs: int = 1) -> DataFrame:
+    """(doc_id, row, fp, ..) of each row: bit i of fp is set if over half of the text's shingles have it in their xxHash64 (seed 42).
 
     Shingles are runs of `shingle` words, repeats included; of fewer words the whole sequence. No word, or null: zero.
+    row is a hash of the text. With `longs` = 2 a second number fp1 comes from a mix of the same hashes.
     """
-    w = documents.select("doc_id", words(F.col("text")).alias("w"))
-    joined = ", ".join(f"w[i + {k}]" for k in range(shingle))
-    hashes = f"if(size(w) >= {shingle}, transform(sequence(0, size(w) - {shingle}), i -> xxhash64(concat_ws(' ', {joined}))), if(size(w) = 0, array(), array(xxhash64(array_join(w, ' ')))))"
+    w = documents.select("doc_id", F.xxhash64("text").alias("row"), words(F.col("text")).alias("w"))
     kind = dict(documents.dtypes)["doc_id"]
+    names = ["fp", *[f"fp{k}" for k in range(1, longs)]]
 
     def run(batches):
         for batch in batches:
             col = batch.column("hashes")
             off = np.asarray(col.offsets).astype(np.int64)
             vals = np.ascontiguousarray(np.asarray(col.values)[off[0] : off[-1]])
-            counts, n = np.zeros((len(col), 64), np.int64), np.diff(off)
-            step, i = 1 << 20, 0
-            while i < len(col):  # about a million hashes at a time
-                j = min(len(col), max(i + 1, int(np.searchsorted(off, off[i] + step, "right")) - 1))
-                a, b = off[i] - off[0], off[j] - off[0]
-                counts[i:j] = _bit_counts(vals[a:b], off[i:j] - off[i], n[i:j])
-                i = j
-            fp = np.packbits(counts * 2 > n[:, None], axis=1, bitorder="little").view(np.int64).ravel()
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "fp": fp})
+            n = np.diff(off)
+            out = {"doc_id": batch.column("doc_id"), "row": batch.column("row")}
+            for name in names:
+                counts, step, i = np.zeros((len(col), 64), np.int64), 1 << 20, 0
+                while i < len(col):  # about a million hashes at a time
+                    j = min(len(col), max(i + 1, int(np.searchsorted(off, off[i] + step, "right")) - 1))
+                    a, b = off[i] - off[0], off[j] - off[0]
+                    counts[i:j] = _bit_counts(vals[a:b], off[i:j] - off[i], n[i:j])
+                    i = j
+                out[name] = np.packbits(counts * 2 > n[:, None], axis=1, bitorder="little").view(np.int64).ravel()
+                vals = _mix(vals)
+            yield pa.RecordBatch.from_pydict(out)
 
-    return w.select("doc_id", F.expr(hashes).alias("hashes")).mapInArrow(run, f"doc_id {kind}, fp long")
+    fields = ", ".join(f"{name} long" for name in names)
+    return w.select("doc_id", "row", _shingle_hashes(shingle).alias("hashes")).mapInArrow(run, f"doc_id {kind}, row long, {fields}")
 
 
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
-def references(group: int, groups: int = GROUPS, pivots: int = PIVOTS) -> list[int]:
-    """The reference fingerprints that lie in one group of bits."""
-    width = 64 // groups
-    return [sum(1 << (group * width + b) for b in range(width) if (b & r).bit_count() % 2) | (1 << (group * width + r % width)) for r in range(1, pivots + 1)]
+def references(n: int) -> list[int]:
+    """n reference fingerprints of 64 bits, fixed pseudo-random numbers."""
+    return [int(x) for x in _mix(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))]
 
 
-def distances(fp: Column, group: int, groups: int = GROUPS, pivots: int = PIVOTS) -> Column:
-    """The pivot table's coordinates in one group: Hamming distances to its references, over the group's bits."""
-    width = 64 // groups
-    own = fp.bitwiseAND(F.lit(_signed(((1 << width) - 1) << (group * width))))
-    return F.array(*[F.bit_count(own.bitwiseXOR(F.lit(_signed(r)))) for r in references(group, groups, pivots)])
+def pivot_table(fps: DataFrame, in_key: int, max_bits: int = MAX_BITS) -> DataFrame:
+    """(key, fp, d0, d1): fingerprints in buckets, with CHECKED more distances to references packed into two numbers.
+
+    The table holds the Hamming distances of a fingerprint to full-width references. Two fingerprints of m or fewer
+    differing bits have distances that differ by m or less in every coordinate. Each of the first `in_key` coordinates is
+    cut into ranges, and a fingerprint goes to all ranges within m / 2 of its own distance: one, or two near an edge. So
+    such a pair shares a range in each coordinate and a bucket, the combination of ranges.
+    """
+    margin = -(-max_bits // 2)
+    refs = np.array(references(in_key + CHECKED), np.uint64)
+
+    def run(batches):
+        for batch in batches:
+            fp = np.asarray(batch.column("fp")).view(np.uint64)
+            own, key = np.arange(len(fp)), np.zeros(len(fp), np.uint64)
+            with np.errstate(over="ignore"):
+                for k in range(in_key):
+                    d = np.bitwise_count(fp ^ refs[k]).astype(np.int64)[own] + RANGE
+                    low, high = (d - margin) // RANGE, (d + margin) // RANGE
+                    both = np.flatnonzero(low != high)
+                    step = lambda at, cell: _mix(key[at] * np.uint64(31) + (cell + 64 * k).astype(np.uint64) + np.uint64(1))  # noqa: B023, E731
+                    key = np.concatenate([step(slice(None), low), step(both, high[both])])
+                    own = np.concatenate([own, own[both]])
+            packed = []
+            for g in range(CHECKED // 8):
+                d = [np.bitwise_count(fp ^ refs[in_key + 8 * g + i]).astype(np.uint64) << np.uint64(8 * i) for i in range(8)]
+                packed.append(np.bitwise_or.reduce(d).view(np.int64)[own])
+            yield pa.RecordBatch.from_pydict({"key": key.view(np.int64), "fp": fp.view(np.int64)[own], "d0": packed[0], "d1": packed[1]})
 
+    return fps.select("fp").mapInArrow(run, "key long, fp long, d0 long, d1 long")
 
-def links(fps: DataFrame, max_bits: int = MAX_BITS, pairs_up_to: int = PAIRS_UP_TO) -> DataFrame:
-    """(a, b), a < b: enough pairs of different fingerprints of at most two differing bits to make the same components
-    as all such pairs. fps has one column fp of distinct values.
 
-    Two such fingerprints agree in all but two groups of bits, so their coordinates there differ by 0: each
-    combination of the other groups' coordinates is a bucket. Within a bucket, pairs with a coordinate difference of more
-    than `max_bits` in any other group are discarded and the rest verified by their differing bits. A bucket of more than
-    `pairs_up_to` fingerprints isn't paired: each of its members points to all fingerprints of one bit more or less, and
-    those that meet there are at most two bits apart and are linked to the least, at most 65 in a meeting.
+def _split_buckets(keyed: DataFrame, pairs_up_to: int, by: list[str], key_rows: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows of buckets of 2 to pairs_up_to, rows of larger ones, (key, n) of the larger ones)."""
+    counts = checkpoint(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    rows = spread_join(keyed, counts, "key", counts, total, by, "inner", key_rows)
+    return rows.where(F.col("n") <= pairs_up_to).drop("n"), rows.where(F.col("n") > pairs_up_to), counts.where(F.col("n") > pairs_up_to)
+
+
+def links(fps: DataFrame, max_bits: int = MAX_BITS, pairs_up_to: int = PAIRS_UP_TO, key_rows: int = KEY_ROWS) -> DataFrame:
+    """(a, b), a < b: enough pairs of different fingerprints of at most `max_bits` (2 or less) differing bits to make
+    the same components as all such pairs. fps has one column fp of distinct values.
+
+    Buckets come from the pivot table, of more coordinates the more fingerprints there are, up to REFERENCES. Within a
+    bucket, pairs with a coordinate difference of more than `max_bits` in the other references are discarded, and the rest
+    verified by their differing bits. A bucket of more than `pairs_up_to` fingerprints isn't paired: each member points to
+    all fingerprints of one bit more or less, and those that meet there are at most two bits apart, are verified
+    and linked to the least, at most 65 in a meeting. That way is exact too, and linear where ranges no longer tell
+    fingerprints apart.
     """
-    if max_bits != MAX_BITS:
-        raise ValueError("links are made for two differing bits")
-    keep = list(combinations(range(GROUPS), GROUPS - max_bits))
-    tables = fps.select("fp", *[distances(F.col("fp"), g).alias(f"d{g}") for g in range(GROUPS)])
-    keyed = tables.select("fp", *[f"d{g}" for g in range(GROUPS)], F.explode(F.array(*[F.xxhash64(F.lit(k), *[F.col(f"d{g}") for g in c]) for k, c in enumerate(keep)])).alias("key"))
-    counts = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    rows = keyed.join(counts, "key")
-    few, many = rows.where(F.col("n") <= pairs_up_to), rows.where(F.col("n") > pairs_up_to)
+    if not 0 <= max_bits <= 2:
+        raise ValueError("links are made for up to two differing bits")
+    many = fps.count()
+    in_key = min(REFERENCES, max(1, math.ceil(math.log(max(many, 2) * 2 / pairs_up_to) / math.log(1 / 0.53)))) if many > pairs_up_to else 1
+    few, dense, _ = _split_buckets(pivot_table(fps, in_key, max_bits), pairs_up_to, ["fp"], key_rows)
     a, b = few.alias("a"), few.alias("b")
-    near = [F.expr(f"array_max(zip_with(a.d{g}, b.d{g}, (x, y) -> abs(x - y))) <= {max_bits}") for g in range(GROUPS)]
     cond = (F.col("a.key") == F.col("b.key")) & (F.col("a.fp") < F.col("b.fp"))
-    for c in near:
-        cond &= c
+    for g in range(CHECKED // 8):
+        for i in range(8):
+            at = lambda side: F.shiftrightunsigned(F.col(f"{side}.d{g}"), 8 * i).bitwiseAND(F.lit(255))  # noqa: B023, E731
+            cond &= F.abs(at("a") - at("b")) <= max_bits
     cond &= F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) <= max_bits
     pairs = a.join(b, cond).select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b"))
     flips = F.array(F.lit(0).cast("long"), *[F.lit(_signed(1 << i)) for i in range(64)])
-    meet = many.select("fp").distinct().select("fp", F.explode(F.transform(flips, lambda m: F.col("fp").bitwiseXOR(m))).alias("z"))
+    meet = dense.select("fp").distinct().select("fp", F.explode(F.transform(flips, lambda m: F.col("fp").bitwiseXOR(m))).alias("z"))
     least = meet.groupBy("z").agg(F.min("fp").alias("a"), F.max("fp").alias("top")).where("a < top").select("z", "a")
     stars = meet.join(least, "z").where("a < fp").select("a", F.col("fp").alias("b"))
+    stars = stars.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits) if max_bits == 2 else _one_bit(dense, max_bits)
     return pairs.unionByName(stars).distinct()
 
 
-def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def _one_bit(dense: DataFrame, max_bits: int) -> DataFrame:
+    """The pairs of one differing bit among fingerprints, by looking up each one's 64 neighbours above it."""
+    own = dense.select("fp").distinct()
+    if not max_bits:
+        return own.select(F.col("fp").alias("a"), F.col("fp").alias("b")).limit(0)
+    flips = F.array(*[F.lit(_signed(1 << i)) for i in range(64)])
+    up = own.select(F.col("fp").alias("a"), F.explode(F.transform(flips, lambda m: F.col("fp").bitwiseXOR(m))).alias("b")).where("a < b")
+    return up.join(own.select(F.col("fp").alias("b")), "b").select("a", "b")
+
+
+def components(nodes: DataFrame, edges: DataFrame, key_rows: int = KEY_ROWS) -> DataFrame:
     """(node, root) for each node: the least node that it can reach.
 
     Each round, a node takes the least root among its own, its neighbours' and that root's root, until nothing
-    changes. Rounds are cut by checkpoints; only the number of changes reaches the driver.
+    changes. Rounds are cut by checkpoints; only the number of changes reaches the driver. Lookups of a root that
+    very many nodes share are dealt over tasks.
     """
     both = checkpoint(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))))
     inner = checkpoint(both.groupBy("a").agg(F.least("a", F.min("b")).alias("root")).withColumnRenamed("a", "node"))
-    while True:
+    many = inner.count()
+    changed = bool(many)
+    while changed:
         up = both.join(inner.select(F.col("node").alias("b"), F.col("root").alias("r")), "b").groupBy("a").agg(F.min("r").alias("r"))
         new = inner.join(up, inner["node"] == up["a"], "left").select("node", F.col("root").alias("old"), F.least("root", "r").alias("mid"))
         jump = inner.select(F.col("node").alias("mid"), F.col("root").alias("far"))
-        new = checkpoint(new.join(jump, "mid", "left").select("node", "old", F.least("mid", "far").alias("root")))
-        changed = new.where("old != root").limit(1).count()
+        sizes = inner.groupBy(F.col("root").alias("mid")).agg(F.count("*").alias("n"))
+        new = spread_join(new, jump, "mid", sizes, many, ["node"], "left", key_rows)
+        new = checkpoint(new.select("node", "old", F.least("mid", "far").alias("root")))
+        changed = new.where("old != root").limit(1).count() > 0
         inner = new.select("node", "root")
-        if not changed:
-            return nodes.join(inner, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
+    return nodes.join(inner, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
 
 
-def near_duplicates(documents: DataFrame) -> DataFrame:
+def _named(docs: DataFrame, edges: DataFrame, fp: list[str], key_rows: int) -> DataFrame:
+    """docs with component_id, the least doc_id of the component of the row's fingerprint, which is columns `fp`."""
+    rows = docs.withColumn("node", F.struct(*fp))
+    nodes = checkpoint(rows.groupBy("node").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")))
+    found = checkpoint(components(nodes.select("node"), edges, key_rows))
+    named = nodes.join(found, "node")
+    names = checkpoint(named.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("n"), F.sum("n").alias("rows")))
+    many = names.agg(F.sum("n").alias("nodes"), F.sum("rows").alias("rows")).first()
+    by_fp = spread_join(named.select("node", "root"), names.select("root", "component_id"), "root", names.select("root", "n"), many.nodes or 0, ["node"], "inner", key_rows)
+    return spread_join(rows, by_fp.select("node", "component_id"), "node", nodes.select("node", "n"), many.rows or 0, ["doc_id", "row"], "inner", key_rows).drop("node")
+
+
+def near_duplicates(documents: DataFrame, key_rows: int = KEY_ROWS) -> DataFrame:
     """One row per document: doc_id, fingerprint (16 hex digits), component_id (least doc_id reachable through links of
-    fingerprints of two or fewer differing bits), n_linked (fingerprints linked with its own, by the links kept).
+    fingerprints of two or fewer differing bits).
 
     Exact copies share a fingerprint and so are one node. Documents without words have fingerprint zero and are
     linked like any other. Rows with a null doc_id keep their row but give no name to a component (null if it has no
     other); rows that repeat a doc_id with different texts connect the components of those texts' fingerprints only by name.
     """
     docs = checkpoint(fingerprints(documents.select("doc_id", "text")))
-    nodes = docs.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    edges = checkpoint(links(nodes.select("fp")))
-    found = components(nodes.select(F.col("fp").alias("node")), edges)
-    named = nodes.join(found, nodes["fp"] == found["node"]).select("fp", "first", "root")
-    names = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    by_fp = named.join(names, "root").select("fp", "component_id")
-    return docs.join(by_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    edges = links(docs.select("fp").distinct(), key_rows=key_rows)
+    edges = checkpoint(edges.select(F.struct(F.col("a").alias("fp")).alias("a"), F.struct(F.col("b").alias("fp")).alias("b")))
+    found = _named(docs, edges, ["fp"], key_rows)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def sampled_tables(fps: DataFrame, many: int, recall: float = 0.95, at_bits: int = 24) -> DataFrame:
+    """(key, fp, fp1): 128-bit fingerprints in buckets of equal sampled bits, in so many tables that two fingerprints of
+    `at_bits` differing bits share a bucket with a probability of `recall`.
+
+    A table samples about log2(many / 16) bits, so buckets stay small at any size and the number of tables grows with it.
+    """
+    bits = min(96, max(8, math.ceil(math.log2(max(many, 2) / 16))))
+    tables = math.ceil(math.log(1 - recall) / math.log(1 - (1 - at_bits / 128) ** bits))
+    order = np.random.default_rng(11)
+    masks = []
+    for _ in range(tables):
+        mask = np.zeros(128, np.uint8)
+        mask[order.permutation(128)[:bits]] = 1
+        masks.append(np.packbits(mask, bitorder="little").view(np.uint64))
+
+    def run(batches):
+        for batch in batches:
+            f, g = (np.asarray(batch.column(c)).view(np.uint64) for c in ("fp", "fp1"))
+            for t, (m, n) in enumerate(masks):
+                with np.errstate(over="ignore"):
+                    key = _mix(_mix((f & m) + np.uint64(t)) * np.uint64(31) + (g & n))
+                yield pa.RecordBatch.from_pydict({"key": key.view(np.int64), "fp": batch.column("fp"), "fp1": batch.column("fp1")})
+
+    return fps.select("fp", "fp1").mapInArrow(run, "key long, fp long, fp1 long")
+
+
+def _differing(a: str, b: str) -> Column:
+    return sum((F.bit_count(F.col(f"{a}.{c}").bitwiseXOR(F.col(f"{b}.{c}"))) for c in ("fp", "fp1")), F.lit(0))
+
+
+def bucket_centres(dense: DataFrame, sizes: DataFrame, key_rows: int) -> DataFrame:
+    """(a, b): each fingerprint of a large bucket with the bucket's centre, the member next to the majority of each bit."""
+    bit = lambda c, i: F.shiftrightunsigned(c, i).bitwiseAND(F.lit(1))
+    ones = dense.groupBy("key").agg(F.count("*").alias("n"), *[F.sum(bit(F.col(c), i)).alias(f"{c}_{i}") for c in ("fp", "fp1") for i in range(64)])
+    whole = lambda c: sum((F.when(F.col(f"{c}_{i}") * 2 > F.col("n"), F.lit(_signed(1 << i))).otherwise(F.lit(0)) for i in range(64)), F.lit(0).cast("long"))
+    middle = ones.select("key", F.struct(whole("fp").alias("fp"), whole("fp1").alias("fp1")).alias("middle"))
+    total = sizes.agg(F.sum("n")).first()[0] or 0
+    rows = dense.select("key", F.struct("fp", "fp1").alias("b"))
+    at = spread_join(rows, middle, "key", sizes, total, ["b"], "inner", key_rows).withColumn("d", _differing("middle", "b"))
+    centre = at.groupBy("key").agg(F.min(F.struct("d", "b")).alias("c")).select("key", F.col("c.b").alias("a"))
+    return spread_join(rows, centre, "key", sizes, total, ["b"], "inner", key_rows).where("a != b").select("a", "b")
+
+
+def bucket_trees(dense: DataFrame, found: DataFrame, sizes: DataFrame, key_rows: int, block: int = BLOCK, max_bits: int = NEAR_BITS) -> DataFrame:
+    """(a, b): of large buckets whose fingerprints `found` doesn't have in one component, the pairs of least differing
+    bits that would connect them (a spanning tree). Blocks of a bucket meet two at a time; trees of all
+    meetings together hold a tree of the whole, and no task holds more than two blocks."""
+    rows = dense.select("key", F.struct("fp", "fp1").alias("node")).join(found, "node")
+    apart = rows.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
+    blocks = apart.join(sizes, "key").select("key", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
+    total = sizes.agg(F.sum("n")).first()[0] or 0
+    rows = spread_join(rows, blocks, "key", sizes, total, ["node"], "inner", key_rows)
+    own = F.pmod(F.xxhash64("node", F.lit("block")), F.col("blocks")).cast("int")
+    rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node.fp", "node.fp1", "root")
+
+    def tree(table: pa.Table) -> pa.Table:
+        f, g = (np.asarray(table.column(c).combine_chunks()).view(np.uint64) for c in ("fp", "fp1"))
+        roots = {}
+        label = np.array([roots.setdefault((r["fp"], r["fp1"]), len(roots)) for r in table.column("root").to_pylist()])
+        near, via = np.full(len(f), 999, np.int64), np.zeros(len(f), np.int64)
+        left, out, at = np.ones(len(f), bool), [], 0
+        for _ in range(len(f)):
+            left[at] = False
+            d = np.bitwise_count(f ^ f[at]).astype(np.int64) + np.bitwise_count(g ^ g[at])
+            d[label == label[at]] = -1
+            closer = d < near
+            near[closer], via[closer] = d[closer], at
+            rest = np.where(left, near, 1000)
+            at = int(rest.argmin())
+            if rest[at] == 1000:
+                break
+            if 0 <= near[at] <= max_bits:
+                out.append((via[at], at))
+        x, y = (np.array(k, np.int64) for k in (zip(*out) if out else ((), ())))
+        return pa.table({"fp": f[x].view(np.int64), "fp1": g[x].view(np.int64), "to": f[y].view(np.int64), "to1": g[y].view(np.int64)})
+
+    edges = rows.groupBy("key", "i", "j").applyInArrow(tree, "fp long, fp1 long, to long, to1 long")
+    return edges.select(F.struct("fp", "fp1").alias("a"), F.struct(F.col("to").alias("fp"), F.col("to1").alias("fp1")).alias("b"))
+
+
+def similar(documents: DataFrame, nodes: DataFrame, pairs: DataFrame, shingle: int, least: float, key_rows: int, sent: int = 400_000) -> DataFrame:
+    """The pairs (a, b) of fingerprints whose texts' sets of shingles have a Jaccard similarity of `least` or more.
+
+    nodes has (node, doc_id, row), one text of each fingerprint. Up to `sent` of the fingerprints in pairs are broadcast
+    to find their texts where they lie; more are joined.
+    """
+    pairs = checkpoint(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    used = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    wanted = checkpoint(used.join(nodes, "node"))
+    few = wanted.limit(sent + 1).count() <= sent
+    texts = documents.select("doc_id", F.xxhash64("text").alias("row"), "text")
+    texts = texts.join(F.broadcast(wanted) if few else wanted, ["doc_id", "row"])
+    sets = texts.select("node", words(F.col("text")).alias("w")).select("node", F.array_distinct(_shingle_hashes(shingle)).alias("s"))
+    sets = checkpoint(sets.groupBy("node").agg(F.first("s").alias("s")))  # repeated rows have the same set
+    many = pairs.count()
+    counts = lambda c: pairs.groupBy(c).agg(F.count("*").alias("n"))
+    first = spread_join(pairs, sets.select(F.col("node").alias("a"), F.col("s").alias("x")), "a", counts("a"), many, ["b"], "inner", key_rows)
+    both = spread_join(first, sets.select(F.col("node").alias("b"), F.col("s").alias("y")), "b", counts("b"), many, ["a"], "inner", key_rows)
+    common = F.size(F.array_intersect("x", "y"))
+    return both.where(common >= least * (F.size("x") + F.size("y") - common)).select("a", "b")
+
+
+def near_copies(documents: DataFrame, shingle: int = NEAR_SHINGLE, least: float = NEAR_LEAST, pairs_up_to: int = NEAR_PAIRS_UP_TO, key_rows: int = KEY_ROWS, block: int = BLOCK) -> DataFrame:
+    """(doc_id, component_id) of each row with a doc_id: the least doc_id reachable through near copies, texts whose sets of
+    `shingle`-word shingles have a similarity of `least` or more.
+
+    Candidates are 128-bit fingerprints of up to NEAR_BITS differing bits that share a bucket of sampled bits; texts of
+    one such fingerprint count as copies. Pairs of a bucket of up to `pairs_up_to` fingerprints are compared by
+    their whole texts. In a larger bucket, all members are compared with its centre; only where that leaves it in several
+    components, its blocks are searched for the pairs of least differing bits between them, and those compared. So
+    no bucket emits all its pairs, and none is cut short.
+    """
+    docs = documents.where("doc_id is not null").select("doc_id", "text")
+    fps = checkpoint(fingerprints(docs, shingle, 2))
+    nodes = checkpoint(fps.groupBy(F.struct("fp", "fp1").alias("node")).agg(F.min(F.struct("doc_id", "row")).alias("m")).select("node", "m.*"))
+    keyed = sampled_tables(nodes.select("node.fp", "node.fp1"), nodes.count())
+    few, dense, sizes = _split_buckets(keyed, pairs_up_to, ["fp", "fp1"], key_rows)
+    sizes, dense = checkpoint(sizes), checkpoint(dense.select("key", "fp", "fp1"))
+    a, b = few.select("key", F.struct("fp", "fp1").alias("a")), few.select("key", F.struct("fp", "fp1").alias("b"))
+    pairs = a.join(b, "key").where(F.col("a") < F.col("b")).select("a", "b")
+    large = sizes.limit(1).count() > 0
+    if large:
+        pairs = pairs.unionByName(bucket_centres(dense, sizes, key_rows))
+    edges = checkpoint(similar(docs, nodes, pairs.where(_differing("a", "b") <= NEAR_BITS), shingle, least, key_rows))
+    if large:
+        found = checkpoint(components(nodes.select("node"), edges, key_rows))
+        more = bucket_trees(dense, found, sizes, key_rows, block)
+        edges = checkpoint(edges.unionByName(similar(docs, nodes, more, shingle, least, key_rows)))
+    return _named(fps, edges, ["fp", "fp1"], key_rows).select("doc_id", "component_id")
 
 
-def one_of_each(documents: DataFrame) -> DataFrame:
-    """The documents whose doc_id is their component's id, rows and columns as they are; rows with a null doc_id stay.
+def one_of_each(documents: DataFrame, **how) -> DataFrame:
+    """The documents whose doc_id is their component's id in near_copies(), rows and columns as they are; rows with a null doc_id stay.
 
     Rows that repeat a doc_id stay or go together: they go only if all of them lie in components of other ids.
     """
-    later = near_duplicates(documents).groupBy("doc_id").agg(F.bool_and(F.col("doc_id") != F.col("component_id")).alias("later")).where("later").select("doc_id")
-    return documents.join(later, "doc_id", "left_anti").select(documents.columns)
+    later = near_copies(documents.select("doc_id", "text"), **how).groupBy("doc_id").agg(F.bool_and(F.col("doc_id") != F.col("component_id")).alias("later"))
+    later = later.where("later").select("doc_id")
+    return boxed(documents).join(later, F.col("row.doc_id") == F.col("doc_id"), "left_anti").select("row.*")
