@@ -136,7 +136,7 @@ def exact_score(text, toks, held):
     mass, out = sum(middle(c) for c in one.values()), 0.0
     for a, b in zip(["\0", *text], text):
         p = (middle(one[b]) + 0.1) / (mass + 0.1 * (len(one) + 1))
-        out += math.log10((1 - lmscore.WEIGHT) * p + lmscore.WEIGHT * low(two[a, b]) / high(one[a]) if one[a] else p)
+        out += math.log10((1 - lmscore.WEIGHT) * p + lmscore.WEIGHT * max(low(two[a, b]) - lmscore.DISCOUNT, 0) / high(one[a]) if one[a] else p)
     return out
 
 
@@ -170,11 +170,22 @@ def test_lm_score_of_a_filter_in_a_table(spark):
     assert lmscore.score(d.limit(0), sent_log2=0).collect() == []
 
 
+def test_token_ids_tell_tokens_apart():
+    texts = ["a b ab a", "aaaaaaaab aaaaaaaaab " + "ab" * 300 + " " + "ba" * 300, "", " \t", "Abcdefgh abcdefgh é É abcdefghabcdefgi abcdefgiabcdefgh", "x" * 8 + " " + "x" * 16]
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    size = np.array([len(t.encode()) for t in texts])
+    ids, rows = lmscore.token_ids(data, np.cumsum(size) - size, size)
+    flat = [(i, w) for i, t in enumerate(texts) for w in [*words(t), "\0"]]
+    assert list(rows) == [i for i, _ in flat]
+    known = {}
+    assert all(known.setdefault(w, k) == k for (_, w), k in zip(flat, ids)) and len(set(ids)) == len({w for _, w in flat})
+
+
 def test_lm_score_of_repeated_rows(spark):
     rows = [(1, "a b c zz", "en", "s")] * 3 + [(1, "b q", "en", "s"), (2, "a b", "en", "s"), (None, "x y", "en", "s"), (None, "y x", "en", "s"), (3, None, None, None), (3, "", None, None)]
     count = Counter(w for i, t, _, _ in rows if zlib.crc32(str("" if i is None else i).encode()) % 10 for w in [*words(t), "\0"])
     n, v = sum(count.values()), len(count)
-    want = sorted((str(i), len(t) + 1, sum(count[w] > 0 for w in [*t, "\0"]), round(sum(math.log10((count[w] + 0.1) / (n + 0.1 * (v + 1))) for w in [*t, "\0"]), 9)) for i, t in {(i, tuple(words(t))) for i, t, _, _ in rows})
+    want = sorted((str(i), len(t) + 1, sum(count[w] > 0 for w in [*t, "\0"]), round(sum(math.log10((count[w] + 0.1) / (n + 0.1 * (v + 1))) for w in [*t, "\0"]), 9)) for i, t in [(i, words(t)) for i, t, _, _ in rows])
     for head in (1, 1 << 19):
         got = lmscore.score(docs(spark, rows), head=head).collect()
         assert sorted((str(r.doc_id), r.n_tokens, r.n_known, round(r.base_score, 9)) for r in got) == want

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tremor.llm.common import checkpoint, crc_mod
+from tremor.llm.common import checkpoint, crc_mod, spread_join
 from tremor.llm.langid import text_chunks
 
 #: Bits of the filter for each member at least, and the least log2 of its bits; it has no largest size.
@@ -23,11 +23,11 @@ CUT, SEGMENT_LOG2, RUN_LOG2 = 10, 22, 5
 STEPS = np.array([1] + [s << k for k in range(40) for s in (2, 3)], np.int64)
 #: Words of exact counts that are sent to the workers; the counts of all others are joined.
 HEAD = 1 << 19
-#: Weight of a word's share of its predecessor's successors; the rest is that of its share of all tokens.
-WEIGHT = 0.3
+#: Weight of a word's share of its predecessor's successors; the rest is that of its share of all tokens. From a pair's
+#: count DISCOUNT is taken off first, so a pair that is there but once says little.
+WEIGHT, DISCOUNT = 0.5, 0.75
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
-_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 END = np.int64(0x6A09E667F3BCC909)
 
 
@@ -41,10 +41,11 @@ def _mix(x: np.ndarray) -> np.ndarray:
 def token_ids(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray):
     """(ids, row): 64-bit ids of all words and each text's end, in order, and the row of each. A-Z is lower-cased.
 
-    A word's id is mixed from the polynomial of its bytes modulo 2**64, taken from one running sum over all bytes.
+    A word's id is mixed from its length and the sum of its groups of 8 bytes, each mixed with its place.
     """
     up = (data >= 65) & (data <= 90)
-    low = np.where(up, data + 32, data).astype(np.uint64) + np.uint64(1)
+    low = np.zeros(len(data) + 8, np.uint8)
+    low[: len(data)] = np.where(up, data + 32, data)
     blank = (data == 32) | ((data >= 9) & (data <= 13))
     edge = np.zeros(len(data) + 1, bool)
     edge[starts[lengths > 0]] = True
@@ -53,13 +54,16 @@ def token_ids(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray):
     first = np.flatnonzero(~blank & (before | edge[:-1]))
     after = np.ones(len(data), bool)
     after[:-1] = blank[1:] | edge[1:-1]
-    last = np.flatnonzero(~blank & after) + 1
-    n = len(data) + 1
+    size = np.flatnonzero(~blank & after) + 1 - first
+    eights = np.ndarray((len(data) + 1,), "<u8", low, strides=(1,))
+    groups = (size + 7) // 8
+    nth = np.arange(int(groups.sum())) - np.repeat(np.cumsum(groups) - groups, groups)
+    rest = np.minimum(np.repeat(size, groups) - 8 * nth, 8).astype(np.uint64)
+    inside = np.uint64((1 << 64) - 1) >> (np.uint64(64) - np.uint64(8) * rest)
     with np.errstate(over="ignore"):
-        powers = _powers(n, _ODD)
-        run = np.zeros(n, np.uint64)
-        np.cumsum(low * powers[:-1], out=run[1:])
-        ids = _mix((run[last] - run[first]) * _powers(n, _INV)[first] + (last - first).astype(np.uint64)).view(np.int64)
+        mixed = _mix((eights[np.repeat(first, groups) + 8 * nth] & inside) + _mix((nth + 1).astype(np.uint64)))
+        sums = np.add.reduceat(mixed, np.cumsum(groups) - groups) if len(groups) else mixed
+        ids = _mix(sums + size.astype(np.uint64)).view(np.int64)
     row = np.searchsorted(starts + lengths, first, "right")
     order_row = np.concatenate([row, np.arange(len(lengths))])
     count = np.bincount(row, minlength=len(lengths))
@@ -71,19 +75,6 @@ def token_ids(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray):
     return out, rows
 
 
-_memo: dict = {}
-
-
-def _powers(n: int, base: np.uint64) -> np.ndarray:
-    got = _memo.get(int(base))
-    if got is None or len(got) < n:
-        with np.errstate(over="ignore"):
-            got = np.full(1 << (n - 1).bit_length(), base, np.uint64)
-            got[0] = 1
-            got = _memo[int(base)] = np.multiply.accumulate(got)
-    return got[:n]
-
-
 def shifted(values: np.ndarray, rows: np.ndarray, first) -> np.ndarray:
     """The value of each token's predecessor; `first` for the first token of a text."""
     prev = np.empty_like(values)
@@ -282,13 +273,13 @@ def answers(asked: DataFrame, segments: DataFrame, log2: int, cut: int) -> DataF
 def model_log10(own, before, c2, mass: float, kinds: int) -> np.ndarray:
     """log10 probability of tokens from levels: of the token, of its predecessor and of the pair.
 
-    A token's share of its predecessor's successors is mixed with its share of all tokens. A pair's count is taken at
+    A token's share of its predecessor's successors, DISCOUNT off the pair's count, is mixed with its share of all tokens. A pair's count is taken at
     its level's least and its predecessor's at its most, so no predecessor has shares of over one. After a word that
     training lacks, only the share of all tokens counts.
     """
     p1 = (estimate(own) + 0.1) / (mass + 0.1 * (kinds + 1))
     least, most = np.concatenate([[0], STEPS]), np.concatenate([[1], STEPS[1:] - 1, STEPS[-1:] * 2])
-    share = np.minimum(least[c2] / most[before], 1.0)
+    share = np.minimum(np.maximum(least[c2] - DISCOUNT, 0) / most[before], 1.0)
     trust = np.where(before > 0, WEIGHT, 0.0)
     return np.log10((1 - trust) * p1 + trust * share)
 
@@ -304,15 +295,15 @@ def score(documents: DataFrame, head: int = HEAD, sent_log2: int = SENT_LOG2) ->
 
     Learns from the texts whose crc32(doc_id as text) mod 10 isn't 0, all of them. Tokens are known by 64-bit ids. Exact
     counts of the `head` most frequent words, a bounded table, are sent to the workers; tokens of all other words are
-    joined with their counts by id, and those are rare words, so no key is hot. The filter grows with its members; one of up
+    joined with their counts by id, one row a word and text, and a word of very many texts is dealt over tasks. The filter grows with its members; one of up
     to 2**sent_log2 bits is sent too, and of a larger one the segments stay in a table: the distinct n-grams of each chunk of
     texts are shuffled to their segments, and their levels back to the chunk. A null text is an empty one: its end is its only
-    token. A null id counts as an empty id text. Rows of one doc_id and text give one row, with that text's figures. Without training tokens all
+    token. A null id counts as an empty id text. Every row gives a row, repeated ones too. Without training tokens all
     counts are 0 and each token has probability 1.
     """
     spark = documents.sparkSession
     held = (crc_mod(F.col("doc_id"), 10) == 0).alias("held_out")
-    docs = documents.select("doc_id", "text", held, F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("digest"))
+    docs = documents.select("doc_id", "text", held)
     training = docs.where("not held_out")
     unigrams = checkpoint(_counts(training, pairs=False).groupBy("id").agg(F.sum("n").alias("n")))
     binary = F.bin("n")  # its length and second digit give the level
@@ -363,7 +354,7 @@ def score(documents: DataFrame, head: int = HEAD, sent_log2: int = SENT_LOG2) ->
             rare_rows.append(rows[~found] + i)
         rare, rare_rows = np.concatenate(rare), np.concatenate(rare_rows)
         lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.bincount(rare_rows, minlength=n))]).astype(np.int32)), pa.array(rare))
-        return {"doc_id": batch.column("doc_id"), "held_out": batch.column("held_out"), "digest": batch.column("digest"), "n_tokens": tokens, "known": known, "base": base, "score": model, "rare": lists}
+        return {"doc_id": batch.column("doc_id"), "held_out": batch.column("held_out"), "n_tokens": tokens, "known": known, "base": base, "score": model, "rare": lists}
 
     def run(batches):
         flt = shared.value[2]
@@ -380,19 +371,21 @@ def score(documents: DataFrame, head: int = HEAD, sent_log2: int = SENT_LOG2) ->
         return pa.table(scored(batch, lambda x: lev[np.searchsorted(ids, x.view(np.uint64))], step=1 << 40))
 
     kind = dict(documents.dtypes)["doc_id"]
-    fields = f"doc_id {kind}, held_out boolean, digest string, n_tokens long, known long, base double, score double, rare array<long>"
+    fields = f"doc_id {kind}, held_out boolean, n_tokens long, known long, base double, score double, rare array<long>"
     if near:
         rows = docs.mapInArrow(run, fields)
     else:
         texts = with_chunks(docs)
         levels = answers(probes(texts, cut), segments, log2, cut)
         rows = texts.groupBy("chunk").cogroup(levels.groupBy("chunk")).applyInArrow(joined_up, fields)
-    rows = rows.select("doc_id", "held_out", "digest", "n_tokens", "known", "base", "score", F.posexplode_outer("rare").alias("nth", "id"))
-    tail = unigrams.where(F.col("n") < F.lit(floor))
-    joined = rows.join(tail, "id", "left")
-    log = F.when(F.col("id").isNotNull(), F.log10(F.coalesce("n", F.lit(0)) + 0.1) - float(norm)).otherwise(0.0)
-    copies = F.count_if(F.coalesce("nth", F.lit(0)) == 0)  # each copy of a row has its rare tokens in the sums
-    own = [F.max(c).alias(c) for c in ("n_tokens", "known", "base", "score")]
-    out = joined.groupBy("doc_id", "held_out", "digest").agg(*own, (F.sum(log) / copies).alias("more"), F.expr("count(n)").alias("seen"), copies.alias("copies"))
-    known = F.col("known") + F.expr("seen div copies")
-    return out.select("doc_id", "held_out", "n_tokens", known.alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), (F.col("base") + F.col("more")).alias("base_score"), "score")
+    rows = checkpoint(rows).withColumn("row", F.monotonically_increasing_id())
+    tail = unigrams.where(F.col("n") < F.lit(floor)).withColumnRenamed("n", "freq")
+    once = checkpoint(rows.select("row", F.explode("rare").alias("id")).groupBy("row", "id").agg(F.count("*").alias("times")))
+    sizes = once.groupBy("id").agg(F.count("*").alias("n"))
+    joined = spread_join(once, tail, "id", sizes, once.count(), ["row"], "left")
+    log = F.log10(F.coalesce("freq", F.lit(0)) + 0.1) - float(norm)
+    more = joined.groupBy("row").agg(F.sum(log * F.col("times")).alias("more"), F.sum(F.when(F.col("freq") > 0, F.col("times")).otherwise(0)).alias("seen"))
+    known = F.col("known") + F.coalesce("seen", F.lit(0))
+    base = F.col("base") + F.coalesce("more", F.lit(0.0))
+    out = rows.join(more, "row", "left")
+    return out.select("doc_id", "held_out", "n_tokens", known.alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
