@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tremor.sources.shared import saved
+
 
 def bounds(events: DataFrame) -> tuple[int, int]:
     r = events.agg(F.min("block_number").alias("a"), F.max("block_number").alias("b")).first()
@@ -45,3 +47,31 @@ def stress_windows(bars: DataFrame, window: int, least: int, z: float) -> DataFr
     w = W.orderBy("i")
     runs = hot.withColumn("g", F.col("i") - F.row_number().over(w))
     return runs.groupBy("g").agg(F.min("start_block").alias("start_block"), F.max("end_block").alias("end_block"), F.count("*").alias("n_bars")).drop("g")
+
+
+def percentiles(df: DataFrame, by: list[str], value: str, at: list[float], cells: int = 4096) -> DataFrame:
+    """(by.., p): exact percentiles of a column for each key, interpolated, as an array in the order of `at`.
+
+    Values are counted, then counted by cells between a key's least and greatest; only the cells that hold the wanted ranks
+    are sorted, so no task takes all values of a key. Null values take no part.
+    """
+    v = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).cast("double").alias("v")).agg(F.count("*").alias("n"))
+    one = F.lit(1).alias("__one")
+    v = saved(v.withColumn("__one", one))
+    by = [*by, "__one"]
+    ends = v.groupBy(*by).agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.sum("n").alias("total"))
+    slot = F.when(F.col("hi") > F.col("lo"), F.least(F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * cells), F.lit(cells - 1))).otherwise(0)
+    rows = v.join(F.broadcast(ends), by).withColumn("cell", slot) if len(by) == 1 else v.join(ends, by).withColumn("cell", slot)
+    sums = rows.groupBy(*by, "cell", "total").agg(F.sum("n").alias("c"))
+    sums = sums.withColumn("before", F.sum("c").over(W.partitionBy(*by).orderBy("cell")) - F.col("c"))  # a row per cell
+    want = F.explode(F.flatten(F.array(*[F.array(*[F.struct(F.lit(i).alias("i"), F.lit(float(q)).alias("q"), up(F.lit(float(q)) * (F.col("total") - 1)).cast("long").alias("rank"), F.lit(k).alias("k")) for k, up in enumerate((F.floor, F.ceil))]) for i, q in enumerate(at)])))
+    asked = sums.select(*by, "cell", "before", "c", "total", want.alias("w")).where((F.col("w.rank") >= F.col("before")) & (F.col("w.rank") < F.col("before") + F.col("c")))
+    inside = rows.join(asked.select(*by, "cell", "before").distinct(), [*by, "cell"])
+    upto = F.sum("n").over(W.partitionBy(*by, "cell").orderBy("v"))
+    inside = inside.select(*by, "cell", "v", (F.col("before") + upto - F.col("n")).alias("a"), (F.col("before") + upto).alias("b"))
+    got = asked.join(inside, [*by, "cell"]).where((F.col("w.rank") >= F.col("a")) & (F.col("w.rank") < F.col("b")))
+    pick = lambda k: F.max(F.when(F.col("w.k") == k, F.col("v")))
+    each = got.groupBy(*by, F.col("w.i").alias("i"), (F.col("w.q") * (F.col("total") - 1)).alias("at")).agg(pick(0).alias("low"), pick(1).alias("high"))
+    value_at = F.when(F.col("low") == F.col("high"), F.col("low")).otherwise((F.ceil("at") - F.col("at")) * F.col("low") + (F.col("at") - F.floor("at")) * F.col("high"))
+    out = each.select(*by, "i", value_at.alias("x")).groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("p"))
+    return out.drop("__one")

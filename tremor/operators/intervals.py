@@ -6,19 +6,61 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tremor.sources.shared import saved
 
-def merge_intervals(df: DataFrame, by: list[str], start: str = "start_block", end: str = "end_block", touch: int = 0) -> DataFrame:
+
+#: Width of the cells that an ordered series is cut into, in units of its order column.
+CELL = 1 << 10
+
+
+def running(df: DataFrame, by: list[str], t: str, order: list, cell: int = CELL, inclusive: bool = True, **columns) -> DataFrame:
+    """df with running aggregates over each key's rows in order: name=(function, column), such as ("sum", F.col("x")).
+
+    `order` begins with the number t, as its ties must be in one cell. Aggregates are made within cells of t, and what the
+    cells before add up to comes from a table of one row a key and cell, so a key with most of all rows is many
+    tasks. Functions: sum, max, min, count and last (of the rows before, the last that isn't null). Not inclusive: of the
+    rows before alone, null for a first one.
+    """
+    fold = {"sum": lambda a, b: a + b, "count": lambda a, b: a + b, "max": F.greatest, "min": F.least, "last": lambda a, b: F.coalesce(b, a)}
+    rows = df.withColumn("__cell", F.floor(F.col(t) / cell))
+    for name, (_, c) in columns.items():
+        rows = rows.withColumn(f"__x_{name}", c)
+    rows = saved(rows)
+    upto = 0 if inclusive else -1
+    w = W.partitionBy(*by, "__cell").orderBy(*order).rowsBetween(W.unboundedPreceding, upto)
+    over = lambda kind, c, w: F.last(c, ignorenulls=True).over(w) if kind == "last" else getattr(F, kind)(c).over(w)
+    here = rows.select("*", *[over(kind, F.col(f"__x_{name}"), w).alias(f"__in_{name}") for name, (kind, _) in columns.items()])
+    at = F.struct(*order)
+    last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), at))
+    ends = rows.groupBy(*by, "__cell").agg(*[(last(f"__x_{name}") if kind == "last" else getattr(F, kind)(f"__x_{name}")).alias(f"__t_{name}") for name, (kind, _) in columns.items()])
+    back = W.partitionBy(*by).orderBy("__cell").rowsBetween(W.unboundedPreceding, -1)
+    again = {"count": "sum"}
+    before = ends.select(*by, "__cell", *[over(again.get(kind, kind), F.col(f"__t_{name}"), back).alias(f"__b_{name}") for name, (kind, _) in columns.items()])
+    mine, other = here.alias("mine"), before.alias("other")
+    cond = F.col("mine.__cell") == F.col("other.__cell")
+    for c in by:
+        cond &= F.col(f"mine.{c}").eqNullSafe(F.col(f"other.{c}"))
+    met = mine.join(other, cond)
+    out = [F.coalesce(fold[kind](F.col(f"__b_{name}"), F.col(f"__in_{name}")), F.col(f"__in_{name}"), F.col(f"__b_{name}")).alias(name) for name, (kind, _) in columns.items()]
+    return met.select(*[F.col(f"mine.{c}") for c in df.columns], *out)
+
+
+def merge_intervals(df: DataFrame, by: list[str], start: str = "start_block", end: str = "end_block", touch: int = 0, cell: int = CELL) -> DataFrame:
     """(by.., start, end, n): unions of intervals that overlap or touch (start <= last end + touch)."""
-    w = W.partitionBy(*by).orderBy(start, end)
-    last = F.max(end).over(w.rowsBetween(W.unboundedPreceding, -1))
-    rows = df.withColumn("__new", F.coalesce((F.col(start) > last + touch).cast("int"), F.lit(1))).withColumn("__g", F.sum("__new").over(w.rowsBetween(W.unboundedPreceding, 0)))
-    return rows.groupBy(*by, "__g").agg(F.min(start).alias(start), F.max(end).alias(end), F.count("*").alias("n")).drop("__g")
+    each = df.groupBy(*by, start, end).agg(F.count("*").alias("__k"))
+    rows = running(each, by, start, [start, end], cell, inclusive=False, __last=("max", F.col(end)))
+    rows = rows.withColumn("__new", F.coalesce((F.col(start) > F.col("__last") + touch).cast("int"), F.lit(1)))
+    rows = running(rows, by, start, [start, end], cell, __g=("sum", F.col("__new")))
+    return rows.groupBy(*by, "__g").agg(F.min(start).alias(start), F.max(end).alias(end), F.sum("__k").alias("n")).drop("__g")
 
 
-def runs(df: DataFrame, by: list[str], order: str, gap: int) -> DataFrame:
+def runs(df: DataFrame, by: list[str], order: str, gap: int, cell: int = CELL) -> DataFrame:
     """df with `run`, the number of the row's run within its key: a run ends where the next row is more than `gap` away."""
-    w = W.partitionBy(*by).orderBy(order)
-    return df.withColumn("__new", F.coalesce((F.col(order) - F.lag(order).over(w) > gap).cast("int"), F.lit(1))).withColumn("run", F.sum("__new").over(w.rangeBetween(W.unboundedPreceding, 0))).drop("__new")
+    points = df.select(*by, order).distinct()
+    points = running(points, by, order, [order], cell, inclusive=False, __before=("max", F.col(order)))
+    points = points.withColumn("__new", F.coalesce((F.col(order) - F.col("__before") > gap).cast("int"), F.lit(1)))
+    points = running(points, by, order, [order], cell, run=("sum", F.col("__new")))
+    return df.join(points.drop("__before", "__new"), [*by, order])
 
 
 def in_parts(df: DataFrame, by: list[str], order: str, part: int) -> DataFrame:
@@ -63,10 +105,13 @@ def debounced(df: DataFrame, by: list[str], order: str, above: Column, k: int, w
     return rows.where((F.col("__n") >= k) & (F.coalesce("__m", F.lit(0)) < k)).drop("__above", "__n", "__m")
 
 
-def within_spans(points: DataFrame, t: str, spans: DataFrame, lo: str, hi: str, cell: int = 1 << 12, how: str = "inner") -> DataFrame:
-    """Rows of points joined with the spans whose [lo, hi] holds t: an equi-join on cells of t, so neither side is sent whole to every task."""
+def within_spans(points: DataFrame, t: str, spans: DataFrame, lo: str, hi: str, cell: int = 1 << 12, how: str = "inner", by: list[str] | None = None) -> DataFrame:
+    """Rows of points joined with the spans of equal `by` whose [lo, hi] holds t: an equi-join on cells of t, so neither side is sent whole to every task."""
     cut = spans.withColumn("__cell", F.explode(F.sequence(F.floor(F.col(lo) / cell), F.floor(F.col(hi) / cell))))
     at = points.withColumn("__cell", F.floor(F.col(t) / cell))
+    for k in by or []:
+        cut = cut.withColumnRenamed(k, f"__{k}")
     cond = (at["__cell"] == cut["__cell"]) & (F.col(t) >= F.col(lo)) & (F.col(t) <= F.col(hi))
-    joined = at.join(cut, cond, how)
-    return joined.drop("__cell")
+    for k in by or []:
+        cond &= F.col(k) == F.col(f"__{k}")
+    return at.join(cut, cond, how).drop("__cell", *[f"__{k}" for k in by or []])

@@ -3,33 +3,41 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tremor.operators.intervals import merge_intervals
+from tremor.operators.bars import percentiles
+from tremor.operators.intervals import merge_intervals, running
 
 
 def window_stats(liq: DataFrame, w: int, lag: int) -> DataFrame:
     """For each liquidation as anchor: USD, distinct positions and users, asset waves and last block of the liquidations at or
     after it in [block, block + w).
 
-    A range join: blocks fall into buckets of w, an anchor meets its own and the next bucket. A wave of an asset starts
-    where its previous liquidation is before the anchor or more than `lag` blocks back; waves are the most over assets.
+    A range join: blocks fall into buckets of w, an anchor meets its own and the next bucket. Nothing is gathered in sets: a
+    position or user counts where its previous liquidation is before the anchor, and a wave of an asset starts
+    where its previous one is, or is more than `lag` blocks back; waves are the most over assets.
     """
-    order = F.struct("block_number", "log_index")
-    a = W.partitionBy("protocol", "asset_key").orderBy("block_number", "log_index")
-    rows = liq.select("protocol", "block_number", "log_index", "user", "position_id", "amount_usd", F.coalesce("collateral_asset", F.lit("unknown")).alias("asset_key"), order.alias("at"))
-    rows = rows.withColumn("prev", F.lag("at").over(a)).withColumn("bucket", F.floor(F.col("block_number") / w))
-    anchors = rows.select(F.col("protocol").alias("p"), F.col("block_number").alias("b"), F.col("log_index").alias("l"), F.col("at").alias("anchor"), F.explode(F.array("bucket", F.col("bucket") + 1)).alias("bucket"))
-    near = anchors.join(rows, (anchors["p"] == rows["protocol"]) & (anchors["bucket"] == rows["bucket"]) & (F.col("at") >= F.col("anchor")) & (F.col("block_number") < F.col("b") + w))
-    first = F.col("prev").isNull() | (F.col("prev") < F.col("anchor")) | (F.col("block_number") - F.col("prev.block_number") > lag)
-    by_asset = near.groupBy("p", "b", "l", "asset_key").agg(F.sum("amount_usd").alias("usd"), F.collect_set("position_id").alias("positions"), F.collect_set("user").alias("users"), F.count_if(first).alias("waves"), F.max("block_number").alias("last"))
-    return by_asset.groupBy(F.col("p").alias("protocol"), F.col("b").alias("block_number"), F.col("l").alias("log_index")).agg(F.sum("usd").alias("sum_usd"), F.size(F.array_distinct(F.flatten(F.collect_list("positions")))).cast("long").alias("n_positions"), F.size(F.array_distinct(F.flatten(F.collect_list("users")))).cast("long").alias("n_users"), F.max("waves").alias("generations"), F.max("last").alias("last_block"))
+    at = F.struct("block_number", "log_index").alias("at")
+    rows = liq.select("protocol", "block_number", "log_index", "user", "position_id", "amount_usd", F.coalesce("collateral_asset", F.lit("unknown")).alias("asset_key"), at)
+    for key, name in (("asset_key", "wave"), ("position_id", "position"), ("user", "owner")):
+        rows = running(rows, ["protocol", key], "block_number", ["block_number", "log_index"], inclusive=False, **{name: ("max", F.col("at"))})
+    rows = rows.withColumn("bucket", F.floor(F.col("block_number") / w))
+    both = F.explode(F.array("bucket", F.col("bucket") + 1)).alias("bucket")
+    anchors = rows.select(F.col("protocol").alias("p"), F.col("block_number").alias("b"), F.col("log_index").alias("l"), F.col("at").alias("anchor"), both)
+    inside = (F.col("at") >= F.col("anchor")) & (F.col("block_number") < F.col("b") + w)
+    near = anchors.join(rows, (anchors["p"] == rows["protocol"]) & (anchors["bucket"] == rows["bucket"]) & inside)
+    first = lambda c: F.col(c).isNull() | (F.col(c) < F.col("anchor"))
+    waves = F.count_if(first("wave") | (F.col("block_number") - F.col("wave.block_number") > lag))
+    by_asset = near.groupBy("p", "b", "l", "asset_key").agg(
+        F.sum("amount_usd").alias("usd"), F.count_if(first("position")).alias("positions"), F.count_if(first("owner")).alias("owners"), waves.alias("waves"), F.max("block_number").alias("last")
+    )
+    g = by_asset.groupBy(F.col("p").alias("protocol"), F.col("b").alias("block_number"), F.col("l").alias("log_index"))
+    return g.agg(F.sum("usd").alias("sum_usd"), F.sum("positions").alias("n_positions"), F.sum("owners").alias("n_users"), F.max("waves").alias("generations"), F.max("last").alias("last_block"))
 
 
 def episodes(liq: DataFrame, stats: DataFrame, w: int, k: int, theta: float) -> DataFrame:
     """Merged windows whose USD is at or above the theta percentile (per protocol) and that hold k positions or more, with what they hold."""
-    level = stats.groupBy("protocol").agg(F.percentile("sum_usd", theta / 100).alias("theta_usd"))
+    level = percentiles(stats, ["protocol"], "sum_usd", [theta / 100]).select("protocol", F.col("p")[0].alias("theta_usd"))
     hits = stats.join(level, "protocol").where((F.col("sum_usd") >= F.col("theta_usd")) & (F.col("n_positions") >= k))
     merged = merge_intervals(hits.select("protocol", F.col("block_number").alias("start_block"), F.col("last_block").alias("end_block")), ["protocol"]).drop("n")
     return interval_rollup(liq, merged, w)

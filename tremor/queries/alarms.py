@@ -6,10 +6,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tremor.operators import intervals
+from tremor.operators.bars import percentiles
 from tremor.plans import evaluation as E
 from tremor.plans import hawkes
 from tremor.queries.cascades import _EPISODES, BARS, bar_table, episodes
-from tremor.queries.registry import query
+from tremor.queries.registry import once, query
 from tremor.sources.adapter import cte
 
 MU, ALPHA, BETA, CUT, LEAD = 0.05, 0.02, 0.05, 0.5, 2000
@@ -23,10 +24,12 @@ KINDS = f""", kinds as (select block, (select min(ep) from eps where block >= st
 ALL = cte("grid") + _EPISODES + BARS + SCORES + EPS + KINDS
 
 
+@once
 def score_table(spark, d):
     return hawkes.scored(bar_table(spark, d), MU, ALPHA, BETA).withColumn("block", F.col("end_block"))
 
 
+@once
 def episode_table(spark, d):
     w = W.orderBy("start_block", "protocol")  # episodes are few: a row per cascade
     return episodes(spark, d).select(F.row_number().over(w).cast("long").alias("ep"), "start_block", "end_block", "severity_usd", "protocol")
@@ -277,7 +280,7 @@ def episode_holdouts(spark, d):
 
 @query(ALL + " select distinct unnest(quantile_cont(score, [" + ", ".join(str(k / 20) for k in range(21)) + "])) as threshold from scores")
 def threshold_grid(spark, d):
-    return score_table(spark, d).agg(F.percentile("score", [k / 20 for k in range(21)]).alias("t")).select(F.explode("t").alias("threshold")).distinct()
+    return percentiles(score_table(spark, d), [], "score", [k / 20 for k in range(21)]).select(F.explode("p").alias("threshold")).distinct()
 
 
 @query(ALL + " select ep, i from (select ep, i, row_number() over (partition by ep order by i) - 1 as n, count(*) over (partition by ep) as c from eps join bars on end_block between start_block_ and end_block_) where c <= 8 or n % cast(ceil(c / 8.0) as bigint) = 0".replace("from eps join bars on", "from (select ep, start_block as start_block_, end_block as end_block_ from eps) e join bars on"))

@@ -16,6 +16,7 @@ from tremor.queries.graph import _NODES
 from tremor.queries.models import CHANNELS, _channel_bars
 from tremor.queries.registry import query
 from tremor.queries.state import STATE, TRIGGER, accounts, led, trigger_legs, trigger_report
+from tremor.queries.streams import liquidation_stream
 from tremor.sources import adapter as A
 from tremor.sources.adapter import cte
 from tremor.streaming import alerts, live
@@ -143,12 +144,6 @@ _R = "coalesce(sum(b.n * exp(-0.05 * (a.bar - b.bar))), 0)"
 _M = cte("liq") + ", m as (select protocol, block_number // 50 as bar, count(*) as n from liq group by all)"
 
 
-def _liquidation_stream(spark, d):
-    e = live.event_stream(spark, d).where("event_type = 'error'")
-    block = F.floor((F.unix_micros(F.col("ts").cast("timestamp")) - A.GENESIS_US) / A.BLOCK_US).cast("long")
-    return e.select(F.when(F.col("event_id") % 3 == 0, "p1").otherwise("p0").alias("protocol"), block.alias("block_number"))
-
-
 @query(
     _M
     + f""", g as (select protocol, unnest(generate_series(min(bar), max(bar) - 1)) as bar from m group by protocol),
@@ -157,7 +152,7 @@ c as (select *, sum(case when score >= 0.6 then 1 else 0 end) over (partition by
 select protocol, bar, score from (select *, lag(cond) over (partition by protocol order by bar) as was from c) where cond and not coalesce(was, false)"""
 )
 def stream_alerts(spark, d):
-    return live.run_to_table(alerts.alert_bars(_liquidation_stream(spark, d), 0.05, 0.02, 0.05, 50, 0.6, 5, 20), "alerts")
+    return live.run_to_table(alerts.alert_bars(liquidation_stream(spark, d).select("protocol", "block_number"), 0.05, 0.02, 0.05, 50, 0.6, 5, 20), "alerts")
 
 
 @query(
@@ -168,5 +163,5 @@ select a.protocol, a.bar, any_value(a.n) as n, {_R} as r, 0.02 * {_R} / (0.05 +
 def stream_catchup(spark, d):
     head = A.events(spark, d).agg(F.max("block_number").alias("b")).first().b or 0
     start, _ = alerts.catch_up_start(0, head, 100000, 50)
-    rows = _liquidation_stream(spark, d).where((F.col("block_number") >= start) & (F.col("block_number") <= head))
+    rows = liquidation_stream(spark, d).select("protocol", "block_number").where((F.col("block_number") >= start) & (F.col("block_number") <= head))
     return live.run_to_table(live.scored_bars(rows, 0.05, 0.02, 0.05, 50), "catchup")

@@ -9,9 +9,10 @@ from tremor.operators import bars as B
 from tremor.operators import intervals
 from tremor.operators.asof import asof_join
 from tremor.plans import cascades
-from tremor.queries.registry import query
+from tremor.queries.registry import once, query
 from tremor.sources import adapter as A
 from tremor.sources.adapter import cte
+from tremor.sources.shared import shared_folder
 
 _STATS = """, near as (select a.protocol, a.block_number as b, a.log_index as l, x.block_number, x.log_index, x."user", x.position_id, x.amount_usd, coalesce(x.collateral_asset, 'unknown') as asset,
    lag(x.block_number) over (partition by a.protocol, a.block_number, a.log_index, coalesce(x.collateral_asset, 'unknown') order by x.block_number, x.log_index) as prev
@@ -27,9 +28,9 @@ episodes as (select p.protocol, start_block, end_block, count(*) as n_events, su
   from spans p join liq l on l.protocol = p.protocol and l.block_number between start_block and end_block group by all)"""
 
 
+@once
 def _stats(spark, d):
-    w, lag, _ = A.grid(spark, d)
-    return cascades.window_stats(A.liquidations(spark, d), w, lag)
+    return cascades.window_stats(A.liquidations(spark, d), A.WINDOW, A.LAG)
 
 
 @query(cte("grid") + _STATS + " select * from stats")
@@ -44,24 +45,31 @@ def generations(spark, d):
 
 @query(cte("grid") + _STATS + " select protocol, quantile_cont(sum_usd, 0.9) as p90, quantile_cont(sum_usd, 0.95) as p95, quantile_cont(sum_usd, 0.99) as p99 from stats group by all")
 def theta_percentile(spark, d):
-    p = F.percentile("sum_usd", [0.9, 0.95, 0.99])
-    return _stats(spark, d).groupBy("protocol").agg(p.alias("p")).select("protocol", *[F.col("p")[i].alias(n) for i, n in enumerate(("p90", "p95", "p99"))])
+    return B.percentiles(_stats(spark, d), ["protocol"], "sum_usd", [0.9, 0.95, 0.99]).select("protocol", *[F.col("p")[i].alias(n) for i, n in enumerate(("p90", "p95", "p99"))])
 
 
 @query(cte("grid") + _EPISODES + " select * from episodes")
+@once
 def episodes(spark, d):
-    w, lag, _ = A.grid(spark, d)
-    return cascades.episodes(A.liquidations(spark, d), _stats(spark, d), w, 5, 95)
+    return cascades.episodes(A.liquidations(spark, d), _stats(spark, d), A.WINDOW, 5, 95)
 
 
-@query(cte("grid") + _EPISODES + " select * from episodes")
+@query(cte("liq") + """, w as (select protocol, block_number // 5000 * 5000 as start_block, block_number // 5000 * 5000 + 6000 as end_block from liq group by all)
+select w.protocol, start_block, end_block, count(*) as n_events, sum(amount_usd) as severity_usd, count(distinct position_id) as n_positions, count(distinct "user") as n_users from w join liq l on l.protocol = w.protocol and l.block_number between start_block and end_block group by all""")
 def interval_rollup(spark, d):
-    return episodes(spark, d)
+    """What given spans hold, overlapping ones too."""
+    liq, start = A.liquidations(spark, d), F.floor(F.col("block_number") / 5000) * 5000
+    spans = liq.select("protocol", start.alias("start_block"), (start + 6000).alias("end_block")).distinct()
+    return cascades.interval_rollup(liq, spans, A.WINDOW)
 
 
 @query(cte("grid") + _EPISODES + " select protocol, count(*) as n_episodes, sum(severity_usd) as total_usd, max(severity_usd) as largest_usd from episodes group by all")
 def write_episodes(spark, d):
-    e = episodes(spark, d)
+    """Writes the episodes by protocol and reads them again for the summary."""
+    folder = shared_folder(spark, "episodes")
+    episodes(spark, d).write.partitionBy("protocol").parquet(folder)
+    schema = "start_block long, end_block long, n_events long, severity_usd double, n_positions long, n_users long, protocol string"
+    e = spark.read.schema(schema).parquet(folder)
     return e.groupBy("protocol").agg(F.count("*").alias("n_episodes"), F.sum("severity_usd").alias("total_usd"), F.max("severity_usd").alias("largest_usd"))
 
 
@@ -81,7 +89,7 @@ def merge_intervals(spark, d):
 
 @query(cte("grid") + """ select a.protocol, a.block_number, a.log_index, x.log_index as near_log from liq a join liq x on a.protocol = x.protocol and x.block_number >= a.block_number and x.block_number < a.block_number + (select bw from grid)""")
 def range_stats_join(spark, d):
-    _, _, w = A.grid(spark, d)
+    w = A.BAR
     q = A.liquidations(spark, d).withColumn("c", F.floor(F.col("block_number") / w))
     a = q.select("protocol", "block_number", "log_index", F.explode(F.array("c", F.col("c") + 1)).alias("c"))
     x = q.select("protocol", "c", F.col("block_number").alias("b"), F.col("log_index").alias("near_log"))
@@ -135,8 +143,9 @@ counts as (select least((block_number - lo) // (select bw from grid), b0.n - 1)
 bars as (select i, i * (select bw from grid) + lo as start_block, (i + 1) * (select bw from grid) + lo as end_block, coalesce(c, 0) as n_liquidations, coalesce(usd, 0) as liquidated_usd from (select unnest(generate_series(0, n - 1)) as i, lo from b0) left join counts using (i))"""
 
 
+@once
 def bar_table(spark, d):
-    return B.dense_bars(A.liquidations(spark, d), A.grid(spark, d)[2])
+    return B.dense_bars(A.liquidations(spark, d), A.BAR)
 
 
 @query(cte("grid") + BARS + " select * from bars")
@@ -147,12 +156,12 @@ def bars(spark, d):
 @query(cte("grid") + """, f as (select cast(block_number // (select bw from grid) as bigint) as i, count(*) as c, sum(amount_usd) as usd from liq group by all)
 select i, i * bw as start_block, (i + 1) * bw as end_block, coalesce(c, 0) as n_liquidations, coalesce(usd, 0) as liquidated_usd from (select unnest(generate_series(0, 100000 // bw - 1)) as i, bw from grid) left join f using (i)""")
 def bars_fixed_origin(spark, d):
-    return B.dense_bars(A.liquidations(spark, d), A.grid(spark, d)[2], origin=0, end=100000)
+    return B.dense_bars(A.liquidations(spark, d), A.BAR, origin=0, end=100000)
 
 
 @query(cte("grid") + " select cast(block_number // (select bw from grid) as bigint) as i, " + ", ".join(f"count(*) filter (where collateral_asset = 'a{k}') as a{k}" for k in range(5)) + " from liq group by 1")
 def channel_bars(spark, d):
-    return B.channel_counts(A.liquidations(spark, d), A.grid(spark, d)[2], 0, [f"a{k}" for k in range(5)])
+    return B.channel_counts(A.liquidations(spark, d), A.BAR, 0, [f"a{k}" for k in range(5)])
 
 
 STRESS = """, z as (select *, avg(liquidated_usd) over w as m, stddev_pop(liquidated_usd) over w as s, count(*) over w as c from bars window w as (order by i rows between 100 preceding and 1 preceding)),
@@ -173,14 +182,15 @@ CLUSTERS = """, clusters as (select protocol, min(block_number) as start_block,
 from (select protocol, block_number, amount_usd, bw, lag(block_number) over (partition by protocol order by block_number) as p from liq, grid)) group by protocol, g having count(*) >= 3)"""
 
 
-@query(cte("grid") + CLUSTERS + " select * from clusters")
-def stream_clusters(spark, d):
-    return clusters_of(spark, d, A.grid(spark, d)[2] * 20, 3)
+@once
+def cluster_table(spark, d):
+    """The batch twin of the streamed clusters."""
+    return clusters_of(spark, d, A.BAR * 20, 3)
 
 
 @query(cte("grid") + CLUSTERS + " select protocol, start_block, end_block, n, row_number() over (partition by protocol order by start_block desc) as newest from clusters")
 def cascade_list(spark, d):
-    c = stream_clusters(spark, d)
+    c = cluster_table(spark, d)
     return c.select("protocol", "start_block", "end_block", "n", F.row_number().over(W.partitionBy("protocol").orderBy(F.desc("start_block"))).cast("long").alias("newest"))
 
 
@@ -206,8 +216,9 @@ def blocks_per_week(spark, d):
 
 @query(cte("grid") + CLUSTERS + ", x as (select protocol, c.start_block, l.block_number, 0 as rank, count(*) as n from clusters c join liq l using (protocol) where l.block_number between c.start_block and c.end_block group by all union all select protocol, start_block, end_block, 1, n from clusters) select protocol, start_block, block_number, rank, n, row_number() over (partition by protocol, start_block order by block_number, rank) as nth from x")
 def replay_sequence(spark, d):
-    c = stream_clusters(spark, d)
-    a = c.select(F.col("protocol").alias("p"), "start_block", "end_block")
-    q = A.liquidations(spark, d).join(a, (F.col("p") == F.col("protocol")) & F.col("block_number").between(F.col("start_block"), F.col("end_block"))).groupBy("protocol", "start_block", "block_number").agg(F.count("*").alias("n")).withColumn("rank", F.lit(0))
+    c = cluster_table(spark, d)
+    spans = c.select("protocol", "start_block", "end_block")
+    q = intervals.within_spans(A.liquidations(spark, d), "block_number", spans, "start_block", "end_block", by=["protocol"])
+    q = q.groupBy("protocol", "start_block", "block_number").agg(F.count("*").alias("n")).withColumn("rank", F.lit(0))
     both = q.unionByName(c.select("protocol", "start_block", F.col("end_block").alias("block_number"), "n", F.lit(1).alias("rank")))
     return both.withColumn("nth", F.row_number().over(W.partitionBy("protocol", "start_block").orderBy("block_number", "rank")).cast("long"))

@@ -67,7 +67,7 @@ _MULTI = cte("grid") + BARS + ", cb as (select i, " + ", ".join(f"(select count(
 def _channel_bars(spark, d):
     from tremor.operators import bars as B
 
-    q, w = A.liquidations(spark, d), A.grid(spark, d)[2]
+    q, w = A.liquidations(spark, d), A.BAR
     lo, hi = B.bounds(q)
     n = max(1, -(-(hi - lo) // w))
     slot = F.least(F.floor((F.col("block_number") - lo) / w), F.lit(n - 1)).cast("long").alias("i")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tremor.operators import intervals
 from tremor.operators.asof import asof_join
+from tremor.operators.bars import percentiles
 from tremor.plans import evaluation as E
 from tremor.plans import hawkes
 from tremor.queries.alarms import ALL, CUT, GRID, LABELS, LEAD, auprc, episode_table, labelled, per_episode, score_table
@@ -70,7 +71,7 @@ def cross_protocol_peak(spark, d):
     top = top.select("protocol", "t.ep", (F.col("t.start_block") - _PAD).alias("lo"), (F.col("t.end_block") + _PAD).alias("hi"))
     s = score_table(spark, d)
     peak = intervals.within_spans(s.select("block", "score"), "block", top, "lo", "hi").groupBy("protocol").agg(F.max("score").alias("peak"))
-    level = s.agg(F.percentile("score", 0.999).alias("level"))
+    level = percentiles(s, [], "score", [0.999]).select(F.col("p")[0].alias("level"))
     return top.select("protocol", "ep").join(peak, "protocol", "left").crossJoin(level).select("protocol", "ep", "peak", "level")
 
 

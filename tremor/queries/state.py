@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from tremor.functions import interest
 from tremor.operators.asof import asof_join as asof
+from tremor.operators.intervals import running
 from tremor.plans import state as S
 from tremor.queries.ingest import _TRANSFERS, risk_config, transfers
-from tremor.queries.registry import query
+from tremor.queries.registry import once, query
 from tremor.sources import adapter as A
 from tremor.sources.adapter import cte
 
@@ -249,6 +250,7 @@ rep as (select *, hf is not null and fully_covered as measurable, coalesce(hf >=
 TRIGGER = cte("ledger", "px", "reg") + _TRIGGER
 
 
+@once
 def trigger_legs(spark, d):
     """Each trigger's balances at the block before, with the price before its log and the threshold."""
     q = A.liquidations(spark, d).select("user", "block_number", "log_index", "protocol", (F.col("block_number") * 1000000 + F.col("log_index")).alias("ord"))
@@ -259,6 +261,7 @@ def trigger_legs(spark, d):
     return rows.join(F.broadcast(reg), "reserve", "left").withColumn("enabled", F.lit(True))
 
 
+@once
 def trigger_report(spark, d):
     hf = S.health_factor(trigger_legs(spark, d), ["user", "block_number", "log_index", "protocol"])
     ok = F.col("fully_covered")
@@ -299,5 +302,6 @@ def ledger_crosscheck(spark, d):
 
 @query(cte("ev") + " select event_type, block_number, log_index, sum(cast(amount_raw as bigint)) over (partition by event_type order by block_number, log_index rows unbounded preceding)::bigint as total from ev where event_type in ('Deposit', 'Withdraw')")
 def signed_supply(spark, d):
-    w = W.partitionBy("event_type").orderBy("block_number", "log_index").rowsBetween(W.unboundedPreceding, 0)
-    return A.events(spark, d).where("event_type in ('Deposit', 'Withdraw')").select("event_type", "block_number", "log_index", F.sum(F.col("amount_raw").cast("decimal(38,0)")).over(w).cast("long").alias("total"))
+    rows = A.events(spark, d).where("event_type in ('Deposit', 'Withdraw')").select("event_type", "block_number", "log_index", F.col("amount_raw").cast("decimal(38,0)").alias("raw"))
+    out = running(rows, ["event_type"], "block_number", ["block_number", "log_index"], total=("sum", F.col("raw")))
+    return out.select("event_type", "block_number", "log_index", F.col("total").cast("long").alias("total"))

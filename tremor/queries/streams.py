@@ -6,42 +6,73 @@ from pyspark.sql import functions as F
 
 from tremor.operators import intervals
 from tremor.queries.alarms import ALL, fires
-from tremor.queries.cascades import CLUSTERS, stream_clusters
+from tremor.queries.cascades import CLUSTERS, cluster_table
 from tremor.queries.graph import _NODES, node_table
-from tremor.queries.registry import query
+from tremor.queries.registry import once, query
 from tremor.sources import adapter as A
 from tremor.sources.adapter import cte
-from tremor.sources.shared import shared_folder
+from tremor.sources.shared import saved, shared_folder
 from tremor.streaming import live
 
 
-@query("select case when event_id % 3 = 0 then 'p1' else 'p0' end as protocol, cast(epoch_us(ts) // 3600000000 * 3600 as bigint) as start_s, count(*) as n, sum(value) as usd from events group by all having (epoch_us(ts) // 3600000000 + 1) * 3600000000 <= (select max(epoch_us(ts)) - 600000000 from events)".replace("having (epoch_us(ts) // 3600000000 + 1) * 3600000000", "having (max(epoch_us(ts)) // 3600000000 + 1) * 3600000000"))
+FINAL_LAG, STREAM_BAR, STREAM_GAP = 64, 50, 200
+
+
+def liquidation_stream(spark, d):
+    """(protocol, ts, block_number, usd) of the liquidations as a stream."""
+    e = live.event_stream(spark, d).where("event_type = 'error'")
+    ts = F.col("ts").cast("timestamp")
+    block = F.floor((F.unix_micros(ts) - A.GENESIS_US) / A.BLOCK_US).cast("long")
+    return e.select(F.when(F.col("event_id") % 3 == 0, "p1").otherwise("p0").alias("protocol"), ts.alias("ts"), block.alias("block_number"), F.col("value").alias("usd"))
+
+
+@query(cte("liq") + f""" select protocol, block_number // {STREAM_BAR} * {STREAM_BAR} as start_block, block_number // {STREAM_BAR} * {STREAM_BAR} + {STREAM_BAR} as end_block, count(*) as n, sum(amount_usd) as usd from liq group by all
+having (max(block_number) // {STREAM_BAR} + 1) * {STREAM_BAR * A.BLOCK_US} + {A.GENESIS_US} <= (select max(epoch_us(block_timestamp)) - {FINAL_LAG * A.BLOCK_US} from liq)""")
 def stream_bars(spark, d):
-    return live.run_to_table(live.final_bars(live.event_stream(spark, d), 3600, "10 minutes"), "bars")
+    rows = liquidation_stream(spark, d).drop("block_number")
+    return live.run_to_table(live.final_bars(rows, STREAM_BAR, FINAL_LAG, A.GENESIS_US // 10**6, A.BLOCK_US // 10**6), "bars")
 
 
 @query(cte("grid") + """, m as (select protocol, block_number // 50 as bar, count(*) as n from liq group by all) select a.protocol, a.bar, any_value(a.n) as n, coalesce(sum(b.n * exp(-0.05 * (a.bar - b.bar))), 0) as r, 0.02 * coalesce(sum(b.n * exp(-0.05 * (a.bar - b.bar))), 0) / (0.05 + 0.02 * coalesce(sum(b.n * exp(-0.05 * (a.bar - b.bar))), 0)) as score
 from m a left join m b on a.protocol = b.protocol and b.bar < a.bar where a.bar < (select max(bar) from m c where c.protocol = a.protocol) group by a.protocol, a.bar""")
 def stream_score(spark, d):
-    e = live.event_stream(spark, d).where("event_type = 'error'")
-    block = F.floor((F.unix_micros(F.col("ts").cast("timestamp")) - A.GENESIS_US) / A.BLOCK_US).cast("long")
-    rows = e.select(F.when(F.col("event_id") % 3 == 0, "p1").otherwise("p0").alias("protocol"), block.alias("block_number"))
-    return live.run_to_table(live.scored_bars(rows, 0.05, 0.02, 0.05, 50), "scores")
+    rows = liquidation_stream(spark, d).select("protocol", "block_number")
+    return live.run_to_table(live.scored_bars(rows, 0.05, 0.02, 0.05, STREAM_BAR), "scores")
 
 
-@query("select distinct event_id - event_id % 2 as tx, cast(0 as bigint) as log from events")
+@query("select event_id // 2 as tx, event_id // 2 % 3 as log, max(event_id % 2) = 1 as confirmed, max_by(value, event_id % 2) as usd from events group by event_id // 2")
 def stream_dedup(spark, d):
-    return live.run_to_table(live.deduplicated(live.event_stream(spark, d), "60 days"), "dedup")
+    """Of two rows of a transaction's log, the odd one confirms the even one."""
+    e = live.event_stream(spark, d)
+    tx = F.floor(F.col("event_id") / 2).cast("long")
+    rows = e.select(F.col("ts").cast("timestamp").alias("ts"), tx.alias("tx"), (tx % 3).alias("log"), (F.col("event_id") % 2 == 1).alias("confirmed"), F.col("value").alias("usd"))
+    return live.current_rows(live.run_to_table(live.deduplicated(rows, "60 days"), "dedup"))
+
 
+_STREAMED = f""", c as (select protocol, min(block_number) as start_block, max(block_number) as last_block, count(*) as n, sum(amount_usd) as usd from (select *, sum(case when p is null or block_number - p > {STREAM_GAP} then 1 else 0 end) over (partition by protocol order by block_number range unbounded preceding) as g
+from (select protocol, block_number, amount_usd, lag(block_number) over (partition by protocol order by block_number) as p from liq)) group by protocol, g), streamed as (select c.*, case when last_block < max(last_block) over (partition by protocol) then last_block end as end_block from c)"""
 
-@query()
+
+@once
+def streamed_clusters(spark, d):
+    rows = liquidation_stream(spark, d).select("protocol", "block_number", "usd")
+    return live.current_clusters(live.run_to_table(live.clusters(rows, STREAM_GAP), "clusters"))
+
+
+@query(cte("liq") + _STREAMED + " select protocol, start_block, last_block as end_block, n, usd from streamed where n >= 3")
+def stream_clusters(spark, d):
+    return streamed_clusters(spark, d).where("n >= 3").select("protocol", "start_block", F.col("last_block").alias("end_block"), "n", "usd")
+
+
+@query(cte("liq") + _STREAMED + " select protocol, start_block, last_block, end_block, n from streamed where end_block is null or n >= 5")
 def ongoing_cluster(spark, d):
-    return live.run_to_table(live.sessions(live.event_stream(spark, d), "10 minutes", 5, "1 hour"), "sessions")
+    """Closed clusters of five events or more, and each protocol's open one with a null end."""
+    return streamed_clusters(spark, d).where("end_block is null or n >= 5").select("protocol", "start_block", "last_block", "end_block", "n")
 
 
 @query(ALL + CLUSTERS + ", c as (select * from clusters) select c.protocol, c.start_block, count(f.block) > 0 as early_warned, min(f.block) as first_alert, c.start_block - min(f.block) as lead_blocks from c left join fires f on f.block between c.start_block - 500 and c.end_block group by all".replace("group by all", "group by c.protocol, c.start_block"))
 def cluster_alert_tags(spark, d):
-    c = stream_clusters(spark, d).withColumn("lo", F.col("start_block") - 500)
+    c = cluster_table(spark, d).withColumn("lo", F.col("start_block") - 500)
     hit = intervals.within_spans(fires(spark, d).select("block"), "block", c, "lo", "end_block").groupBy("protocol", "start_block").agg(F.min("block").alias("first_alert"))
     return c.select("protocol", "start_block").join(hit, ["protocol", "start_block"], "left").select("protocol", "start_block", F.col("first_alert").isNotNull().alias("early_warned"), "first_alert", (F.col("start_block") - F.col("first_alert")).alias("lead_blocks"))
 
@@ -60,10 +91,18 @@ def write_events(spark, d):
     return spark.read.parquet(folder).where("protocol = 'p1' and chain = 1").groupBy("event_type").agg(F.count("*").alias("n"), F.sum("amount_usd").alias("usd"))
 
 
+def save_nodes(nodes, folder):
+    """Snapshots by block; an empty one is an error, as a reader couldn't tell it from a snapshot that failed."""
+    nodes = saved(nodes)
+    if not nodes.limit(1).count():
+        raise ValueError("the snapshot has no nodes")
+    nodes.write.partitionBy("snapshot_block").mode("overwrite").parquet(folder)
+
+
 @query(_NODES + " select 120000 as snapshot_block, * from nodes")
 def save_snapshots(spark, d):
     folder = shared_folder(spark, "snapshots")
-    node_table(spark, d).withColumn("snapshot_block", F.lit(120000)).write.partitionBy("snapshot_block").mode("overwrite").parquet(folder)
+    save_nodes(node_table(spark, d).withColumn("snapshot_block", F.lit(120000)), folder)
     return spark.read.parquet(folder)
 
 

@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 GENESIS_US, BLOCK_US = 1704067200000000, 12000000
+#: Blocks of a cascade's window, between two waves of it, and of a bar. Fixed: ten, ten and two times the usual 100, 20 and 5,
+#: as the given month of events is thin.
+WINDOW, LAG, BAR = 1000, 200, 10
 #: asset, decimals, liquidation threshold (fixed values)
 REGISTRY = [("a0", 2, 0.80), ("a1", 2, 0.75), ("a2", 2, 0.70), ("a3", 2, 0.65), ("a4", 2, 0.005)]
 
@@ -29,7 +32,7 @@ SQL = {
     "reg": "reg as (select * from (values " + ", ".join(f"('{a}', {d}, {t}::double, {str(t > 0.01).lower()})" for a, d, t in REGISTRY) + ") v(asset, decimals, liquidation_threshold, historical_reliable))",
     "toggles": """toggles as (select "user", asset as reserve, block_number, log_index, event_type = 'Deposit' as enabled from ev where (event_type = 'Withdraw' and event_id % 7 = 0) or (event_type = 'Deposit' and event_id % 11 = 0))""",
     "daily": """daily as (select asset, cast(block_timestamp as date) as day, avg(cast(amount_raw as double) / 100) as price from ev where event_type = 'AnswerUpdated' group by all)""",
-    "grid": "grid as (select greatest(2000000 // count(*), 2) as w, greatest(2000000 // count(*) // 5, 1) as lag, greatest(20000 // count(*), 1) as bw from liq)",
+    "grid": f"grid as (select {WINDOW} as w, {LAG} as lag, {BAR} as bw)",
     "ledger": """ledger as (select block_number, log_index, tx_hash, "user", debt_asset as reserve, case event_type when 'Deposit' then 1 when 'Withdraw' then -1 else 0 end * cast(amount_raw as double) / 100 as d_collateral,
         case event_type when 'Borrow' then 1 when 'Repay' then -1 else 0 end * cast(amount_raw as double) / 100 as d_debt from ev where event_type in ('Deposit', 'Withdraw', 'Borrow', 'Repay')
         union all select block_number, log_index, tx_hash, "user", debt_asset, 0, -cast(amount_raw as double) / 100 from liq
@@ -103,9 +106,3 @@ def toggles(spark: SparkSession, sf_dir: str) -> DataFrame:
 def daily_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = events(spark, sf_dir).where("event_type = 'AnswerUpdated'")
     return e.groupBy("asset", F.col("block_timestamp").cast("date").alias("day")).agg(F.avg(F.col("amount_raw").cast("double") / 100).alias("price"))
-
-
-def grid(spark: SparkSession, sf_dir: str) -> tuple[int, int, int]:
-    """(window, lag, bar width) in blocks for the density of the liquidations."""
-    n = max(1, events(spark, sf_dir).where("event_type = 'LiquidationCall'").count())
-    return max(2000000 // n, 2), max(2000000 // n // 5, 1), max(20000 // n, 1)

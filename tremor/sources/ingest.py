@@ -68,6 +68,35 @@ def data_word(data: Column, i: int) -> Column:
     return F.substring(data, 3 + 64 * i, 64)
 
 
+def word_text(word: Column, signed: bool = False) -> Column:
+    """A big-endian word of up to 64 hex digits as decimal text, exactly; `signed`: two's complement of 256 bits.
+
+    The word is read in groups of 7 digits into limbs of 10**9, each step a multiplication and a carry, as no SQL number holds 78 digits.
+    """
+    digits = F.lower(F.regexp_replace(word, "^0x", ""))
+    negative = F.lit(signed) & (F.length(digits) == 64) & (F.substring(digits, 1, 1) >= "8")
+    flipped = F.translate(digits, "0123456789abcdef", "fedcba9876543210")  # 2**256 - 1 - x; one is added below
+    hexes = F.lpad(F.when(negative, flipped).otherwise(digits), 70, "0")
+    groups = F.transform(F.sequence(F.lit(0), F.lit(9)), lambda i: F.conv(F.substring(hexes, i * 7 + 1, F.lit(7)), 16, 10).cast("long"))
+    carried = lambda limbs, factor, start: F.aggregate(
+        limbs,
+        F.struct(F.array().cast("array<bigint>").alias("out"), start.cast("bigint").alias("carry")),
+        lambda a, x: F.struct(F.concat(a["out"], F.array((x * factor + a["carry"]) % 10**9)).alias("out"), F.floor((x * factor + a["carry"]) / 10**9).cast("bigint").alias("carry")),
+        lambda a: a["out"],
+    )
+    zero = F.array_repeat(F.lit(0).cast("bigint"), 9)
+    limbs = F.aggregate(groups, zero, lambda a, g: carried(a, F.lit(1 << 28), g))
+    limbs = carried(limbs, F.lit(1), F.when(negative, 1).otherwise(0))
+    text = F.ltrim(F.array_join(F.transform(F.reverse(limbs), lambda x: F.lpad(x.cast("string"), 9, "0")), ""), F.lit("0"))
+    text = F.when(text == "", "0").otherwise(text)
+    return F.when(negative, F.concat(F.lit("-"), text)).otherwise(text)
+
+
 def decode_liquidation_logs(logs: DataFrame) -> DataFrame:
-    """Raw logs (topics, data, blockNumber, logIndex, transactionHash) -> typed rows; amounts of up to 63 bits as text."""
-    return logs.select(hex_int(F.col("blockNumber")).alias("block_number"), hex_int(F.col("logIndex")).cast("int").alias("log_index"), F.col("transactionHash").alias("tx_hash"), address(F.element_at("topics", 2)).alias("collateral_asset"), address(F.element_at("topics", 3)).alias("debt_asset"), address(F.element_at("topics", 4)).alias("user"), hex_int(F.ltrim(data_word(F.col("data"), 0), F.lit("0"))).cast("string").alias("amount_raw"), hex_int(F.ltrim(data_word(F.col("data"), 1), F.lit("0"))).cast("string").alias("collateral_seized_raw"))
+    """Raw logs (topics, data, blockNumber, logIndex, transactionHash) -> typed rows; amounts of up to 256 bits as decimal text."""
+    topic = lambda i: address(F.element_at("topics", i))
+    amount = lambda i: word_text(data_word(F.col("data"), i))
+    return logs.select(
+        hex_int(F.col("blockNumber")).alias("block_number"), hex_int(F.col("logIndex")).cast("int").alias("log_index"), F.col("transactionHash").alias("tx_hash"),
+        topic(2).alias("collateral_asset"), topic(3).alias("debt_asset"), topic(4).alias("user"), amount(0).alias("amount_raw"), amount(1).alias("collateral_seized_raw"),
+    )

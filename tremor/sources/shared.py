@@ -1,18 +1,31 @@
-"""A folder that driver and executors share, for sinks and stream checkpoints."""
+"""A folder that driver and executors share, for sinks, stream checkpoints and intermediate tables."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder under spark.checkpoint.dir; in local mode without that setting, a temporary one."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+def shared_root(spark: SparkSession) -> str:
+    """spark.checkpoint.dir, or the folder set on the context; in local mode without either, a new temporary one."""
+    sc = spark.sparkContext
+    root = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if root is None:
-        if not spark.sparkContext.master.startswith("local"):
+        if not sc.master.startswith("local[") and sc.master != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="tremor-")
-    return f"{root}/{name}-{uuid.uuid4().hex}"
+        sc.setCheckpointDir(root)
+    return root
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder of that name in the shared root."""
+    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def saved(df: DataFrame) -> DataFrame:
+    """df written once to the shared root, for a table that is read several times."""
+    shared_root(df.sparkSession)
+    return df.checkpoint()

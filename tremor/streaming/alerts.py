@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tremor.streaming.live import bar_counts
+
 
 def alert_bars(events: DataFrame, mu: float, alpha: float, beta: float, width: int, threshold: float, k: int, window: int) -> DataFrame:
     """(protocol, bar, score) of each bar at which k of the last `window` bars come to be above the threshold.
@@ -23,7 +25,7 @@ def alert_bars(events: DataFrame, mu: float, alpha: float, beta: float, width: i
         r, bar, n, flags, active = state.get if state.exists else (0.0, -1, 0, "", False)
         counts: Counter = Counter()
         for pdf in batches:
-            counts.update((pdf["block_number"] // width).value_counts().to_dict())
+            counts.update(pdf.groupby("bar")["n"].sum().to_dict())
         out = []
         for b in sorted(counts):
             if b == bar:
@@ -43,10 +45,10 @@ def alert_bars(events: DataFrame, mu: float, alpha: float, beta: float, width: i
                 if bar >= 0:
                     r = (r + n) * math.exp(-beta * (b - bar))
                 bar, n = int(b), int(counts[b])
-        state.update((r, bar, n, flags, active))
+        state.update((r, bar, int(n), flags, active))
         yield pd.DataFrame(out, columns=["protocol", "bar", "score"])
 
-    return events.groupBy("protocol").applyInPandasWithState(step, "protocol string, bar long, score double", "r double, bar long, n long, flags string, active boolean", "append", GroupStateTimeout.NoTimeout)
+    return bar_counts(events, width).groupBy("protocol").applyInPandasWithState(step, "protocol string, bar long, score double", "r double, bar long, n long, flags string, active boolean", "append", GroupStateTimeout.NoTimeout)
 
 
 def catch_up_start(scored_through: int, head: int, cap: int, width: int, origin: int = 0) -> tuple[int, bool]:

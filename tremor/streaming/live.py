@@ -29,18 +29,67 @@ def run_to_table(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(f"{folder}/out")
 
 
-def final_bars(events: DataFrame, seconds: int, delay: str) -> DataFrame:
-    """Counts per protocol and window, emitted once when the watermark has passed the window's end."""
-    rows = events.select(F.col("ts").cast("timestamp").alias("ts"), F.when(F.col("event_id") % 3 == 0, "p1").otherwise("p0").alias("protocol"), "value")
-    g = rows.withWatermark("ts", delay).groupBy("protocol", F.window("ts", f"{seconds} seconds")).agg(F.count("*").alias("n"), F.sum("value").alias("usd"))
-    return g.select("protocol", F.unix_seconds("window.start").alias("start_s"), "n", "usd")
+def bar_counts(events: DataFrame, width: int) -> DataFrame:
+    """(protocol, bar, n) counted where the events (protocol, block_number) lie, so the state functions get a row a bar and Arrow batch, not a row an event."""
 
+    def run(batches):
+        for pdf in batches:
+            yield pdf.assign(bar=pdf["block_number"] // width).groupby(["protocol", "bar"], as_index=False).agg(n=("block_number", "size"))
+
+    return events.mapInPandas(run, "protocol string, bar long, n long")
+
+
+def final_bars(events: DataFrame, width: int, lag: int, genesis_s: int, block_s: int) -> DataFrame:
+    """(protocol, start_block, end_block, n, usd) of block bars, emitted once: when the bar's end is `lag` blocks or more behind the head.
+
+    events: protocol, ts, usd. A block lasts block_s seconds from genesis_s on, so a bar is a time window and the lag a watermark.
+    """
+    rows = events.withWatermark("ts", f"{lag * block_s} seconds")
+    span = F.window("ts", f"{width * block_s} seconds", startTime=f"{genesis_s % (width * block_s)} seconds")
+    g = rows.groupBy("protocol", span.alias("w")).agg(F.count("*").alias("n"), F.sum("usd").alias("usd"))
+    start = F.floor((F.unix_seconds("w.start") - genesis_s) / block_s)
+    return g.select("protocol", start.alias("start_block"), (start + width).alias("end_block"), "n", "usd")
+
+
+def clusters(events: DataFrame, gap: int) -> DataFrame:
+    """(protocol, start_block, last_block, end_block, n, usd) of clusters of events at most `gap` blocks apart: a row each time a batch
+    adds to a cluster, end_block null while it is open, and one with its end once a later event has closed it.
+
+    events: protocol, block_number, usd. The state, which a restart reads again, is the open cluster. Events before the open
+    cluster's start are late and dropped. current_clusters() gives the newest row of each.
+    """
+
+    def counted(batches):
+        for pdf in batches:
+            yield pdf.groupby(["protocol", "block_number"], as_index=False).agg(n=("usd", "size"), usd=("usd", "sum"))
 
-def sessions(events: DataFrame, gap: str, least: int, delay: str) -> DataFrame:
-    """Clusters of events at most `gap` apart of `least` events or more, emitted once closed."""
-    rows = events.select(F.col("ts").cast("timestamp").alias("ts"), F.when(F.col("event_id") % 3 == 0, "p1").otherwise("p0").alias("protocol"))
-    g = rows.withWatermark("ts", delay).groupBy("protocol", F.session_window("ts", gap).alias("w")).agg(F.count("*").alias("n"), F.max("ts").alias("last"))
-    return g.where(F.col("n") >= least).select("protocol", F.unix_seconds("w.start").alias("start_s"), F.unix_seconds("last").alias("last_s"), "n")
+    def step(key, batches, state: GroupState):
+        start, last, n, usd = state.get if state.exists else (-1, -1, 0, 0.0)
+        pdf = pd.concat(list(batches)).groupby("block_number", as_index=False).sum(numeric_only=True).sort_values("block_number")
+        out = []
+        for block, k, x in zip(pdf["block_number"], pdf["n"], pdf["usd"]):
+            if n and block - last > gap:
+                out.append((key[0], start, last, last, n, usd))
+                n = 0
+            if not n:
+                start, last, n, usd = int(block), int(block), 0, 0.0
+            if block >= start:
+                last, n, usd = max(last, int(block)), n + int(k), usd + float(x)
+        out.append((key[0], start, last, None, n, usd))
+        state.update((start, last, n, usd))
+        table = pd.DataFrame(out, columns=["protocol", "start_block", "last_block", "end_block", "n", "usd"])
+        yield table.astype({"end_block": "Int64"})
+
+    rows = events.mapInPandas(counted, "protocol string, block_number long, n long, usd double")
+    fields = "protocol string, start_block long, last_block long, end_block long, n long, usd double"
+    return rows.groupBy("protocol").applyInPandasWithState(step, fields, "start long, last long, n long, usd double", "append", GroupStateTimeout.NoTimeout)
+
+
+def current_clusters(emitted: DataFrame) -> DataFrame:
+    """The newest row of each cluster that clusters() emitted: the closed one, else the one of most events."""
+    newest = F.struct(F.col("end_block").isNotNull(), "n")
+    row = F.struct("last_block", "end_block", "n", "usd")
+    return emitted.groupBy("protocol", "start_block").agg(F.max_by(row, newest).alias("x")).select("protocol", "start_block", "x.*")
 
 
 def scored_bars(events: DataFrame, mu: float, alpha: float, beta: float, width: int) -> DataFrame:
@@ -54,7 +103,7 @@ def scored_bars(events: DataFrame, mu: float, alpha: float, beta: float, width:
         r, bar, n = state.get if state.exists else (0.0, -1, 0)
         counts: Counter = Counter()
         for pdf in batches:
-            counts.update((pdf["block_number"] // width).value_counts().to_dict())
+            counts.update(pdf.groupby("bar")["n"].sum().to_dict())
         out = []
         for b in sorted(counts):
             if b == bar:
@@ -64,13 +113,37 @@ def scored_bars(events: DataFrame, mu: float, alpha: float, beta: float, width:
                     out.append((key[0], bar, n, r, alpha * r / (mu + alpha * r)))
                     r = (r + n) * math.exp(-beta * (b - bar))
                 bar, n = int(b), int(counts[b])
-        state.update((r, bar, n))
+        state.update((r, bar, int(n)))
         yield pd.DataFrame(out, columns=["protocol", "bar", "n", "r", "score"])
 
-    return events.groupBy("protocol").applyInPandasWithState(step, "protocol string, bar long, n long, r double, score double", "r double, bar long, n long", "append", GroupStateTimeout.NoTimeout)
+    bars = bar_counts(events, width).groupBy("protocol")
+    return bars.applyInPandasWithState(step, "protocol string, bar long, n long, r double, score double", "r double, bar long, n long", "append", GroupStateTimeout.NoTimeout)
 
 
 def deduplicated(events: DataFrame, delay: str) -> DataFrame:
-    """Confirmed rows replace pending ones: one row per (tx, log) within the watermark."""
-    rows = events.select(F.col("ts").cast("timestamp").alias("ts"), (F.col("event_id") - F.col("event_id") % 2).alias("tx"), (F.col("event_id") % 2 * 0).alias("log"))
-    return rows.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["tx", "log"]).select("tx", "log")
+    """(tx, log, confirmed, usd): the first row of each (tx, log), and its confirmed row once that has come after a pending one.
+
+    events: ts, tx, log, confirmed, usd. A key's state is whether it is confirmed, and is dropped once the watermark is past
+    its last row by `delay`. current_rows() gives the row that counts.
+    """
+
+    def step(key, batches, state: GroupState):
+        if state.hasTimedOut:
+            state.remove()
+            return
+        done = state.get[0] if state.exists else None
+        pdf = pd.concat(list(batches)).sort_values(["ts", "confirmed"])
+        best = pdf[pdf["confirmed"]].head(1) if pdf["confirmed"].any() else pdf.head(1)
+        now = bool(best["confirmed"].iloc[0])
+        if done is None or (now and not done):
+            yield pd.DataFrame({"tx": [key[0]], "log": [key[1]], "confirmed": [now], "usd": best["usd"].to_list()})
+        state.update((bool(done) or now,))
+        state.setTimeoutTimestamp(max(int(pdf["ts"].max().timestamp() * 1000), state.getCurrentWatermarkMs()) + 1)
+
+    rows = events.withWatermark("ts", delay).groupBy("tx", "log")
+    return rows.applyInPandasWithState(step, "tx long, log long, confirmed boolean, usd double", "confirmed boolean", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def current_rows(emitted: DataFrame) -> DataFrame:
+    """Of what deduplicated() emitted, a key's confirmed row, else its pending one."""
+    return emitted.groupBy("tx", "log").agg(F.max_by(F.struct("confirmed", "usd"), "confirmed").alias("x")).select("tx", "log", "x.*")
