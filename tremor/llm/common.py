@@ -52,15 +52,19 @@ def spread_join(left: DataFrame, right: DataFrame, key: str, sizes: DataFrame, t
     """left.join(right, key, how) for a left whose keys may be hot and a right of few rows a key.
 
     `sizes` has (key, n), at least for keys of many left rows, and `total` is the number of left rows. Keys of more than
-    max(key_rows, total / 4096) rows, so 4096 keys at most, are broadcast with their number of parts: left rows of such
+    max(key_rows, total / 4096) rows, so 4096 keys at most, are found first and broadcast with their number of parts: left rows of such
     a key go to a part by a hash of the columns `by`, and its right rows to every part.
     """
     limit = max(key_rows, -(-total // 4096))
     hot = sizes.where(F.col("n") > limit).select(key, F.ceil(F.col("n") / limit).cast("int").alias("__parts"))
+    found = hot.collect() if total > limit else []  # 4096 keys at most
+    if not found:
+        return left.join(right, key, how)
+    hot = F.broadcast(left.sparkSession.createDataFrame(found, hot.schema))
     part = F.pmod(F.xxhash64(*by), F.coalesce("__parts", F.lit(1)).cast("long")).cast("int")
-    dealt = left.join(F.broadcast(hot), key, "left").withColumn("__part", part).drop("__parts")
+    dealt = left.join(hot, key, "left").withColumn("__part", part).drop("__parts")
     copies = F.explode(F.sequence(F.lit(0), F.coalesce("__parts", F.lit(1)) - 1))
-    met = right.join(F.broadcast(hot), key, "left").withColumn("__part", copies).drop("__parts")
+    met = right.join(hot, key, "left").withColumn("__part", copies).drop("__parts")
     return dealt.join(met, [key, "__part"], how).drop("__part")
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -99,16 +100,15 @@ def references(n: int) -> list[int]:
     return [int(x) for x in _mix(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))]
 
 
-def pivot_table(fps: DataFrame, in_key: int, max_bits: int = MAX_BITS) -> DataFrame:
-    """(key, fp, d0, d1): fingerprints in buckets, with CHECKED more distances to references packed into two numbers.
+def pivot_buckets(fps: DataFrame, in_key: int, max_bits: int = MAX_BITS) -> DataFrame:
+    """(key, fp): fingerprints in buckets of their distances to references.
 
-    The table holds the Hamming distances of a fingerprint to full-width references. Two fingerprints of m or fewer
-    differing bits have distances that differ by m or less in every coordinate. Each of the first `in_key` coordinates is
-    cut into ranges, and a fingerprint goes to all ranges within m / 2 of its own distance: one, or two near an edge. So
-    such a pair shares a range in each coordinate and a bucket, the combination of ranges.
+    Two fingerprints of m or fewer differing bits have Hamming distances to a reference that differ by m or less. Each of
+    the first `in_key` distances is cut into ranges, and a fingerprint goes to all ranges within m / 2 of its own
+    distance: one, or two near an edge. So such a pair shares a range in each coordinate and a bucket, the combination of ranges.
     """
     margin = -(-max_bits // 2)
-    refs = np.array(references(in_key + CHECKED), np.uint64)
+    refs = np.array(references(in_key), np.uint64)
 
     def run(batches):
         for batch in batches:
@@ -122,21 +122,93 @@ def pivot_table(fps: DataFrame, in_key: int, max_bits: int = MAX_BITS) -> DataFr
                     step = lambda at, cell: _mix(key[at] * np.uint64(31) + (cell + 64 * k).astype(np.uint64) + np.uint64(1))  # noqa: B023, E731
                     key = np.concatenate([step(slice(None), low), step(both, high[both])])
                     own = np.concatenate([own, own[both]])
-            packed = []
-            for g in range(CHECKED // 8):
-                d = [np.bitwise_count(fp ^ refs[in_key + 8 * g + i]).astype(np.uint64) << np.uint64(8 * i) for i in range(8)]
-                packed.append(np.bitwise_or.reduce(d).view(np.int64)[own])
-            yield pa.RecordBatch.from_pydict({"key": key.view(np.int64), "fp": fp.view(np.int64)[own], "d0": packed[0], "d1": packed[1]})
+            yield pa.RecordBatch.from_pydict({"key": key.view(np.int64), "fp": fp.view(np.int64)[own]})
 
-    return fps.select("fp").mapInArrow(run, "key long, fp long, d0 long, d1 long")
+    return fps.select("fp").mapInArrow(run, "key long, fp long")
 
 
-def _split_buckets(keyed: DataFrame, pairs_up_to: int, by: list[str], key_rows: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(rows of buckets of 2 to pairs_up_to, rows of larger ones, (key, n) of the larger ones)."""
-    counts = checkpoint(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    rows = spread_join(keyed, counts, "key", counts, total, by, "inner", key_rows)
-    return rows.where(F.col("n") <= pairs_up_to).drop("n"), rows.where(F.col("n") > pairs_up_to), counts.where(F.col("n") > pairs_up_to)
+def pivot_filter(max_bits: int):
+    """A test of pairs of rows: discards those whose distances to any of CHECKED more references differ by over max_bits,
+    and verifies the rest by their differing bits."""
+    refs = np.array(references(REFERENCES + CHECKED)[REFERENCES:], np.uint64)
+
+    def close(values, a, b):
+        fp = values[0].view(np.uint64)
+        keep = np.arange(len(a))
+        for r in refs:
+            d = np.bitwise_count(fp ^ r).astype(np.int16)
+            keep = keep[np.abs(d[a[keep]] - d[b[keep]]) <= max_bits]
+        return keep[np.bitwise_count(fp[a[keep]] ^ fp[b[keep]]) <= max_bits]
+
+    return close
+
+
+def bits_filter(max_bits: int):
+    """A test of pairs of rows: those of up to max_bits differing bits in all their numbers together."""
+
+    def close(values, a, b):
+        d = sum(np.bitwise_count(v.view(np.uint64)[a] ^ v.view(np.uint64)[b]).astype(np.int64) for v in values)
+        return np.flatnonzero(d <= max_bits)
+
+    return close
+
+
+def meet(keyed: DataFrame, pairs_up_to: int, close, key_rows: int = KEY_ROWS, shares: int = 64) -> tuple[DataFrame, DataFrame]:
+    """(pairs, dense) of rows (key, numbers..): pairs has columns a_.. and b_.. of the pairs of rows of one key, in keys of up
+    to `pairs_up_to` rows, that `close` keeps; dense has the rows of all larger keys.
+
+    Rows are sorted by key and streamed, a key's rows held only until there are more than `pairs_up_to`. Keys of very many rows,
+    as counted in a 64th of all rows by a hash, need no place of their own: their rows are dense wherever they lie.
+    """
+    names = [c for c in keyed.columns if c != "key"]
+    some = keyed.where(F.pmod(F.xxhash64(*names), F.lit(shares)) == 0).groupBy("key").agg(F.count("*").alias("n"))
+    some = checkpoint(some)
+    limit = max(key_rows // shares, (some.agg(F.sum("n")).first()[0] or 0) // 4096, pairs_up_to // 4, 2)
+    hot = keyed.sparkSession.createDataFrame([(r.key,) for r in some.where(F.col("n") > limit).select("key").collect()], "key long")  # 4096 keys at most
+    rest = keyed.join(F.broadcast(hot), "key", "left_anti").repartition("key").sortWithinPartitions("key")
+
+    def run(batches):
+        key, values, large = np.zeros(0, np.int64), [np.zeros(0, np.int64) for _ in names], None
+        for batch in chain(batches, [None]):
+            if batch is not None:
+                if not batch.num_rows:
+                    continue
+                key = np.concatenate([key, np.asarray(batch.column("key"))])
+                values = [np.concatenate([v, np.asarray(batch.column(c))]) for v, c in zip(values, names)]
+            end = len(key)
+            if batch is not None and end:
+                start = int(np.searchsorted(key, key[-1]))
+                if end - start <= pairs_up_to and key[-1] != large:
+                    end = start  # the last key may go on
+            now, part = key[:end], [v[:end] for v in values]
+            starts = np.flatnonzero(np.diff(now, prepend=now[:1] - 1)) if end else np.zeros(0, np.int64)
+            sizes = np.diff(starts, append=end)
+            many = np.repeat((sizes > pairs_up_to) | (now[starts] == large if large is not None else False), sizes) if end else np.zeros(0, bool)
+            found = [(np.zeros(0, np.int64),) * 2]
+            few = np.flatnonzero(~many)
+            for step in range(1, pairs_up_to):
+                a, b = few[:-step], few[step:]
+                a, b = (x[now[a] == now[b]] for x in (a, b))
+                if not len(a):
+                    break
+                keep = close(part, a, b)
+                found.append((a[keep], b[keep]))
+            a, b = (np.concatenate(x) for x in zip(*found))
+            rows = np.flatnonzero(many)
+            if len(a) + len(rows):
+                cols = {"key": pa.array(np.concatenate([now[a], now[rows]])), "pair": pa.array(np.arange(len(a) + len(rows)) < len(a))}
+                for v, c in zip(part, names):
+                    cols[f"a_{c}"] = np.concatenate([v[a], v[rows]])
+                    cols[f"b_{c}"] = np.concatenate([v[b], v[rows]])
+                yield pa.RecordBatch.from_pydict(cols)
+            if end:
+                large = now[-1] if many[-1] else None
+            key, values = key[end:], [v[end:] for v in values]
+
+    fields = "key long, pair boolean, " + ", ".join(f"a_{c} long, b_{c} long" for c in names)
+    out = checkpoint(rest.mapInArrow(run, fields))
+    dense = out.where("not pair").select("key", *[F.col(f"a_{c}").alias(c) for c in names]).unionByName(keyed.join(F.broadcast(hot), "key"))
+    return out.where("pair").drop("key", "pair"), dense
 
 
 def links(fps: DataFrame, max_bits: int = MAX_BITS, pairs_up_to: int = PAIRS_UP_TO, key_rows: int = KEY_ROWS) -> DataFrame:
@@ -153,22 +225,16 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS, pairs_up_to: int = PAIRS_UP_
     if not 0 <= max_bits <= 2:
         raise ValueError("links are made for up to two differing bits")
     many = fps.count()
-    in_key = min(REFERENCES, max(1, math.ceil(math.log(max(many, 2) * 2 / pairs_up_to) / math.log(1 / 0.53)))) if many > pairs_up_to else 1
-    few, dense, _ = _split_buckets(pivot_table(fps, in_key, max_bits), pairs_up_to, ["fp"], key_rows)
-    a, b = few.alias("a"), few.alias("b")
-    cond = (F.col("a.key") == F.col("b.key")) & (F.col("a.fp") < F.col("b.fp"))
-    for g in range(CHECKED // 8):
-        for i in range(8):
-            at = lambda side: F.shiftrightunsigned(F.col(f"{side}.d{g}"), 8 * i).bitwiseAND(F.lit(255))  # noqa: B023, E731
-            cond &= F.abs(at("a") - at("b")) <= max_bits
-    cond &= F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) <= max_bits
-    pairs = a.join(b, cond).select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b"))
+    in_key = min(REFERENCES, max(1, math.ceil(math.log(max(many * 2 / pairs_up_to, 1)) / math.log(1 / 0.53))))
+    pairs, dense = meet(pivot_buckets(fps, in_key, max_bits), pairs_up_to, pivot_filter(max_bits), key_rows)
+    pairs = pairs.select(F.least("a_fp", "b_fp").alias("a"), F.greatest("a_fp", "b_fp").alias("b"))
+    if max_bits < 2:
+        return pairs.unionByName(_one_bit(dense, max_bits)).distinct()
     flips = F.array(F.lit(0).cast("long"), *[F.lit(_signed(1 << i)) for i in range(64)])
-    meet = dense.select("fp").distinct().select("fp", F.explode(F.transform(flips, lambda m: F.col("fp").bitwiseXOR(m))).alias("z"))
-    least = meet.groupBy("z").agg(F.min("fp").alias("a"), F.max("fp").alias("top")).where("a < top").select("z", "a")
-    stars = meet.join(least, "z").where("a < fp").select("a", F.col("fp").alias("b"))
-    stars = stars.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits) if max_bits == 2 else _one_bit(dense, max_bits)
-    return pairs.unionByName(stars).distinct()
+    near = dense.select("fp").distinct().select("fp", F.explode(F.transform(flips, lambda m: F.col("fp").bitwiseXOR(m))).alias("z"))
+    least = near.groupBy("z").agg(F.min("fp").alias("a"), F.max("fp").alias("top")).where("a < top").select("z", "a")
+    stars = near.join(least, "z").where("a < fp").select("a", F.col("fp").alias("b"))
+    return pairs.unionByName(stars.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits)).distinct()
 
 
 def _one_bit(dense: DataFrame, max_bits: int) -> DataFrame:
@@ -261,13 +327,25 @@ def _differing(a: str, b: str) -> Column:
     return sum((F.bit_count(F.col(f"{a}.{c}").bitwiseXOR(F.col(f"{b}.{c}"))) for c in ("fp", "fp1")), F.lit(0))
 
 
-def bucket_centres(dense: DataFrame, sizes: DataFrame, key_rows: int) -> DataFrame:
-    """(a, b): each fingerprint of a large bucket with the bucket's centre, the member next to the majority of each bit."""
-    bit = lambda c, i: F.shiftrightunsigned(c, i).bitwiseAND(F.lit(1))
-    ones = dense.groupBy("key").agg(F.count("*").alias("n"), *[F.sum(bit(F.col(c), i)).alias(f"{c}_{i}") for c in ("fp", "fp1") for i in range(64)])
-    whole = lambda c: sum((F.when(F.col(f"{c}_{i}") * 2 > F.col("n"), F.lit(_signed(1 << i))).otherwise(F.lit(0)) for i in range(64)), F.lit(0).cast("long"))
-    middle = ones.select("key", F.struct(whole("fp").alias("fp"), whole("fp1").alias("fp1")).alias("middle"))
+def bucket_centres(dense: DataFrame, sizes: DataFrame, key_rows: int, block: int = BLOCK) -> DataFrame:
+    """(a, b): each fingerprint of a large bucket with the bucket's centre, the member next to the majority of each bit.
+
+    The majority is that of about a block of the members; where it doesn't find the best centre, bucket_trees() has more to do.
+    """
     total = sizes.agg(F.sum("n")).first()[0] or 0
+    some = spread_join(dense, sizes, "key", sizes, total, ["fp", "fp1"], "inner", key_rows)
+    some = some.where(F.pmod(F.xxhash64("fp", "fp1", F.lit("centre")), F.ceil(F.col("n") / block)) == 0)
+
+    def majority(table: pa.Table) -> pa.Table:
+        bits = np.zeros(128, np.int64)
+        for k, c in enumerate(("fp", "fp1")):
+            raw = np.ascontiguousarray(np.asarray(table.column(c).combine_chunks())).view(np.uint8).reshape(-1, 8)
+            bits[64 * k : 64 * k + 64] = np.unpackbits(raw, axis=1, bitorder="little").sum(0)
+        f, g = np.packbits(bits * 2 > table.num_rows, bitorder="little").view(np.int64)
+        return pa.table({"key": table.column("key")[:1], "fp": pa.array([f], pa.int64()), "fp1": pa.array([g], pa.int64())})
+
+    middle = some.select("key", "fp", "fp1").groupBy("key").applyInArrow(majority, "key long, fp long, fp1 long")
+    middle = checkpoint(middle.select("key", F.struct("fp", "fp1").alias("middle")))
     rows = dense.select("key", F.struct("fp", "fp1").alias("b"))
     at = spread_join(rows, middle, "key", sizes, total, ["b"], "inner", key_rows).withColumn("d", _differing("middle", "b"))
     centre = at.groupBy("key").agg(F.min(F.struct("d", "b")).alias("c")).select("key", F.col("c.b").alias("a"))
@@ -348,18 +426,19 @@ def near_copies(documents: DataFrame, shingle: int = NEAR_SHINGLE, least: float
     fps = checkpoint(fingerprints(docs, shingle, 2))
     nodes = checkpoint(fps.groupBy(F.struct("fp", "fp1").alias("node")).agg(F.min(F.struct("doc_id", "row")).alias("m")).select("node", "m.*"))
     keyed = sampled_tables(nodes.select("node.fp", "node.fp1"), nodes.count())
-    few, dense, sizes = _split_buckets(keyed, pairs_up_to, ["fp", "fp1"], key_rows)
-    sizes, dense = checkpoint(sizes), checkpoint(dense.select("key", "fp", "fp1"))
-    a, b = few.select("key", F.struct("fp", "fp1").alias("a")), few.select("key", F.struct("fp", "fp1").alias("b"))
-    pairs = a.join(b, "key").where(F.col("a") < F.col("b")).select("a", "b")
+    found, dense = meet(keyed, pairs_up_to, bits_filter(NEAR_BITS), key_rows)
+    pairs = found.select(F.struct(F.col("a_fp").alias("fp"), F.col("a_fp1").alias("fp1")).alias("a"), F.struct(F.col("b_fp").alias("fp"), F.col("b_fp1").alias("fp1")).alias("b"))
+    dense = checkpoint(dense)
+    sizes = checkpoint(dense.groupBy("key").agg(F.count("*").alias("n")))
     large = sizes.limit(1).count() > 0
     if large:
-        pairs = pairs.unionByName(bucket_centres(dense, sizes, key_rows))
-    edges = checkpoint(similar(docs, nodes, pairs.where(_differing("a", "b") <= NEAR_BITS), shingle, least, key_rows))
+        pairs = pairs.unionByName(bucket_centres(dense, sizes, key_rows, block).where(_differing("a", "b") <= NEAR_BITS))
+    edges = checkpoint(similar(docs, nodes, pairs, shingle, least, key_rows))
     if large:
         found = checkpoint(components(nodes.select("node"), edges, key_rows))
-        more = bucket_trees(dense, found, sizes, key_rows, block)
-        edges = checkpoint(edges.unionByName(similar(docs, nodes, more, shingle, least, key_rows)))
+        more = checkpoint(bucket_trees(dense, found, sizes, key_rows, block))
+        if more.limit(1).count():
+            edges = checkpoint(edges.unionByName(similar(docs, nodes, more, shingle, least, key_rows)))
     return _named(fps, edges, ["fp", "fp1"], key_rows).select("doc_id", "component_id")
 
 
