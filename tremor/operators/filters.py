@@ -37,3 +37,22 @@ def keep_last(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     """The last row of each key by `order`."""
     w = W.partitionBy(*key).orderBy(*[F.desc(c) for c in order])
     return df.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
+
+
+def same_block_earlier(triggers: DataFrame, activity: DataFrame) -> DataFrame:
+    """The triggers whose user has activity in the same block under another transaction and a lower log index."""
+    first = activity.groupBy(F.col("user").alias("__u"), F.col("block_number").alias("__b"), F.col("tx_hash").alias("__tx")).agg(F.min("log_index").alias("__first"))
+    cond = (F.col("user") == F.col("__u")) & (F.col("block_number") == F.col("__b")) & (F.col("__tx") != F.col("tx_hash")) & (F.col("__first") < F.col("log_index"))
+    return triggers.join(first, cond, "left_semi")
+
+
+def withdraw_owners(withdraws: DataFrame, transfers: DataFrame) -> DataFrame:
+    """(tx, log_index, owner): the sender of the last transfer before each withdrawal in its transaction, of the same token and exact amount."""
+    t = transfers.select("tx", "token", "amount", F.col("log_index").alias("__log"), F.col("user").alias("__from"))
+    met = withdraws.select("tx", "token", "amount", "log_index").join(t, ["tx", "token", "amount"]).where("__log < log_index")
+    return met.groupBy("tx", "log_index").agg(F.max_by("__from", "__log").alias("owner"))
+
+
+def without_dust(positions: DataFrame, dust: float = 1e-9) -> DataFrame:
+    """Positions of which a leg (collateral, debt) is more than `dust`."""
+    return positions.where((F.abs("collateral") > dust) | (F.abs("debt") > dust))

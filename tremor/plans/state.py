@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tremor.operators.asof import asof_join
+from tremor.operators.filters import without_dust
 
 EPS = 1e-12
 
@@ -30,7 +31,7 @@ def cumulative(led: DataFrame) -> DataFrame:
 
 def positions_at(led: DataFrame, block: int, dust: float = 1e-9) -> DataFrame:
     p = led.where(F.col("block_number") <= block).groupBy("user", "reserve").agg(F.sum("d_collateral").alias("collateral"), F.sum("d_debt").alias("debt"))
-    return p.where((F.abs("collateral") > dust) | (F.abs("debt") > dust))
+    return without_dust(p, dust)
 
 
 def positions_at_many(led: DataFrame, keys: DataFrame) -> DataFrame:

@@ -47,8 +47,8 @@ def _day_prices(rows, spark, d, block):
 
 
 _DAY = "(d.day - date '2024-01-01') = "
-_OTHER = """, case when sum(greatest(debt, 0) * coalesce(other, 0)) > 1e-12 then sum(greatest(collateral, 0) * coalesce(other, 0) * coalesce(threshold, 0)) / sum(greatest(debt, 0) * coalesce(other, 0)) end as hf"""
-_TRIGGER_DAILY = TRIGGER.replace(cte("ledger", "px", "reg"), cte("ledger", "px", "reg", "daily"))
+_OTHER = """, case when sum(b * coalesce(other, 0)) > 1e-12 then sum(c * coalesce(other, 0) * coalesce(threshold, 0)) / sum(b * coalesce(other, 0)) end as hf"""
+_TRIGGER_DAILY = TRIGGER.replace(cte("ledger", "px", "reg", "toggles"), cte("ledger", "px", "reg", "toggles", "daily"))
 
 
 @query(
@@ -70,7 +70,7 @@ def mismatch_override(spark, d):
 
 @query(
     _TRIGGER_DAILY
-    + f""", dh as (select "user", block_number, log_index, bool_and(not (greatest(collateral, 0) > 1e-12 or greatest(debt, 0) > 1e-12) or other is not null) as covered {_OTHER} from (select tl.*, d.price as other from tl left join daily d on d.asset = tl.reserve and {_DAY} tl.block_number // 7200) group by "user", block_number, log_index)
+    + f""", dh as (select "user", block_number, log_index, bool_and(not (c > 1e-12 or b > 1e-12) or other is not null) as covered {_OTHER} from (select tl.*, d.price as other from tl left join daily d on d.asset = tl.reserve and {_DAY} tl.block_number // 7200) group by "user", block_number, log_index)
 select rep.block_number // 20000 as span, avg(case when rep.hf >= 1 then 1.0::double else 0 end) as log_rate, avg(case when dh.hf >= 1 then 1.0::double else 0 end) as daily_rate, count(*) as n
 from rep join dh using ("user", block_number, log_index) where rep.fully_covered and dh.covered and rep.hf is not null and dh.hf is not null group by 1"""
 )
@@ -83,6 +83,20 @@ def oracle_compare(spark, d):
     return both.groupBy(F.floor(F.col("block_number") / 20000).alias("span")).agg(rate("hf").alias("log_rate"), rate("hf2").alias("daily_rate"), F.count("*").alias("n"))
 
 
+@query(
+    _TRIGGER_DAILY
+    + f""", dh as (select "user", block_number, log_index, bool_and(not (c > 1e-12 or b > 1e-12) or other is not null) as covered {_OTHER} from (select tl.*, d.price as other from tl left join daily d on d.asset = tl.reserve and {_DAY} tl.block_number // 7200) group by "user", block_number, log_index)
+select rep."user", rep.block_number, rep.log_index, case when not mismatch_exact then 'none' when not rep.historical_reliable then 'param_drift' when not dh.covered then 'no_coverage' when dh.hf < 1 then 'oracle_lag' else 'unexplained' end as cause from rep join dh using ("user", block_number, log_index)"""
+)
+def mismatch_cause(spark, d):
+    """Why a trigger's health factor is one or more: an unreliable threshold, legs that the second prices lack, a second
+    health factor below one under those, or none of these."""
+    other = _day_prices(trigger_legs(spark, d), spark, d, F.col("block_number")).withColumn("price", F.col("other"))
+    second = S.health_factor(other, KEY).select(*KEY, F.col("hf").alias("hf2"), F.col("fully_covered").alias("covered"))
+    cause = F.when(~F.col("mismatch_exact"), "none").when(~F.col("historical_reliable"), "param_drift").when(~F.col("covered"), "no_coverage").when(F.col("hf2") < 1, "oracle_lag")
+    return trigger_report(spark, d).join(second, KEY).select(*KEY, cause.otherwise("unexplained").alias("cause"))
+
+
 @query(
     STATE
     + """, o as (select "user", floor(collateral_usd * 0.97) as oc, floor(debt_usd * 1.01) + 1 as od, hf * 0.9 as ohf from hf where cast(substr("user", 2) as bigint) % 5 <> 0),

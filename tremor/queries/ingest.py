@@ -75,9 +75,11 @@ def risk_config(spark, d):
     return e.select("asset", "block_number", (0.5 + 0.1 * (F.col("k") % 4)).alias("liquidation_threshold"))
 
 
-@query(cte("reg") + " select * from reg")
+@query(cte("reg", "ev") + " select reg.*, count(*) as n_events, min(block_number) as first_block from reg join ev using (asset) group by all")
 def reserve_registry(spark, d):
-    return A.registry(spark)
+    """The registered reserves that the events know, with their first block."""
+    seen = A.events(spark, d).groupBy("asset").agg(F.count("*").alias("n_events"), F.min("block_number").alias("first_block"))
+    return A.registry(spark).join(seen, "asset")
 
 
 _MINUTE = "minute as (select asset, date_trunc('minute', block_timestamp) as minute, avg(price) as price from px group by all)"
@@ -214,12 +216,13 @@ def cache_evict_nulls(spark, d):
     return cache.withColumn("part", F.when(F.col("n").isNotNull(), "kept").otherwise("again"))
 
 
-_TRANSFERS = """, transfers as (select tx_hash, block_number, log_index, asset as reserve, case when event_id % 4 = 0 then '0x0' else "user" end as from_user, case when event_id % 6 = 0 then '0x0' else 'u' || (k % 50) end as to_user, cast(amount_raw as double) / 100 as value from ev where event_type in ('Repay', 'Withdraw'))"""
+_TRANSFERS = """, transfers as (select 'tx' || (event_id - event_id % 5) as tx_hash, block_number, log_index, asset as reserve, case when event_id % 4 = 0 then '0x0' else "user" end as from_user, case when event_id % 6 = 0 then '0x0' else 'u' || (k % 50) end as to_user, cast(amount_raw as double) / 100 as value from ev where event_type in ('Repay', 'Withdraw'))"""
 
 
 def transfers(spark, d):
     e = A.events(spark, d).where("event_type in ('Repay', 'Withdraw')")
-    return e.select("tx_hash", "block_number", "log_index", F.col("asset").alias("reserve"), F.when(F.col("event_id") % 4 == 0, "0x0").otherwise(F.col("user")).alias("from_user"), F.when(F.col("event_id") % 6 == 0, "0x0").otherwise(F.concat(F.lit("u"), F.col("k") % 50)).alias("to_user"), (F.col("amount_raw").cast("double") / 100).alias("value"))
+    tx = F.concat(F.lit("tx"), F.col("event_id") - F.col("event_id") % 5).alias("tx_hash")  # as of another event, at times a liquidation
+    return e.select(tx, "block_number", "log_index", F.col("asset").alias("reserve"), F.when(F.col("event_id") % 4 == 0, "0x0").otherwise(F.col("user")).alias("from_user"), F.when(F.col("event_id") % 6 == 0, "0x0").otherwise(F.concat(F.lit("u"), F.col("k") % 50)).alias("to_user"), (F.col("amount_raw").cast("double") / 100).alias("value"))
 
 
 @query(cte("ev") + _TRANSFERS + " select * from transfers where from_user <> '0x0' and to_user <> '0x0'")
@@ -227,10 +230,10 @@ def naked_transfers(spark, d):
     return transfers(spark, d).where("from_user != '0x0' and to_user != '0x0'")
 
 
-@query(cte("ev", "liq") + _TRANSFERS + " select t.* from transfers t where not exists (select 1 from liq where liq.block_number = t.block_number)")
+@query(cte("ev", "liq") + _TRANSFERS + " select t.* from transfers t where not exists (select 1 from liq where liq.tx_hash = t.tx_hash)")
 def anti_same_tx(spark, d):
     t = transfers(spark, d)
-    return t.join(A.liquidations(spark, d).select("block_number"), "block_number", "left_anti").select(t.columns)
+    return t.join(A.liquidations(spark, d).select("tx_hash"), "tx_hash", "left_anti").select(t.columns)
 
 
 _OWNERS = """, owners as (select tx_hash, log_index, 'r' || event_id as owner from ev where event_type in ('Borrow', 'Deposit') and event_id % 5 = 0)"""
@@ -258,13 +261,14 @@ def needed_pairs(spark, d):
     return A.events(spark, d).where("event_type = 'Withdraw'").join(g, "user", "left_semi").select(F.concat(F.lit("t"), F.col("asset")).alias("token"), F.col("user").alias("gateway")).distinct()
 
 
-@query(cte("ev") + """, w as (select block_number as tx, asset, k, log_index from ev where event_type = 'Withdraw'), t as (select block_number // 50 as b, block_number as tx, asset, k, log_index, "user" from ev where event_type = 'Repay')
-select w.tx, w.log_index, max_by(t."user", t.log_index) as owner from w join t on w.tx // 50 = t.b and w.asset = t.asset and w.k = t.k and t.log_index < w.log_index group by all""")
+@query(cte("ev") + """, m as (select 'tx' || (event_id // 50) as tx, asset as token, cast(k % 7 * 1000 as varchar) as amount, log_index, event_type, "user" from ev where event_type in ('Withdraw', 'Repay'))
+select w.tx, w.log_index, max_by(t."user", t.log_index) as owner from m w join m t on w.tx = t.tx and w.token = t.token and w.amount = t.amount and t.log_index < w.log_index where w.event_type = 'Withdraw' and t.event_type = 'Repay' group by all""")
 def withdraw_owner(spark, d):
-    e = A.events(spark, d)
-    w = e.where("event_type = 'Withdraw'").select(F.col("block_number").alias("tx"), "asset", "k", "log_index").withColumn("b", F.floor(F.col("tx") / 50))
-    t = e.where("event_type = 'Repay'").select(F.floor(F.col("block_number") / 50).alias("b"), "asset", "k", F.col("log_index").alias("log_t"), F.col("user").alias("sender"))
-    return w.join(t, ["b", "asset", "k"]).where("log_t < log_index").groupBy("tx", "log_index").agg(F.max_by("sender", "log_t").alias("owner"))
+    """The sender of the closest transfer before a withdrawal, of its transaction, token and exact amount."""
+    m = A.events(spark, d, "event_type not in ('error', 'signup', 'click', 'purchase')").select(
+        F.concat(F.lit("tx"), F.floor(F.col("event_id") / 50)).alias("tx"), F.col("asset").alias("token"), (F.col("k") % 7 * 1000).cast("string").alias("amount"), "log_index", "event_type", "user"
+    )
+    return filters.withdraw_owners(m.where("event_type = 'Withdraw'"), m.where("event_type = 'Repay'"))
 
 
 @query(cte("liq") + """ select distinct asset, block_number - 1 as block_number from (select collateral_asset as asset, block_number from liq union all select debt_asset, block_number from liq) where asset <> 'a4'""")
@@ -286,12 +290,9 @@ def same_block_svr(spark, d):
     return e.select("block_number", "log_index", "amount_usd", (same & (F.col("block_number") >= 50000)).alias("routed"))
 
 
-@query(cte("liq", "ev") + """ select l.block_number, l.log_index from liq l where exists (select 1 from ev e where e.asset = l.asset and e.block_number = l.block_number and e.tx_hash <> l.tx_hash and e.log_index < l.log_index and e.event_type <> 'AnswerUpdated')""")
+@query(cte("liq", "ev") + """ select l.block_number, l.log_index from liq l where exists (select 1 from ev e where e."user" = l."user" and e.block_number = l.block_number and e.tx_hash <> l.tx_hash and e.log_index < l.log_index and e.event_type <> 'AnswerUpdated')""")
 def same_block_earlier(spark, d):
-    # the account is the asset here: users of the given table rarely meet in a block
-    e = A.events(spark, d).where("event_type != 'AnswerUpdated'").groupBy("asset", "block_number", F.col("tx_hash").alias("tx")).agg(F.min("log_index").alias("first"))
-    q = A.liquidations(spark, d)
-    return q.join(e, (q["asset"] == e["asset"]) & (q["block_number"] == e["block_number"]) & (F.col("tx") != F.col("tx_hash")) & (F.col("first") < F.col("log_index")), "left_semi").select("block_number", "log_index")
+    return filters.same_block_earlier(A.liquidations(spark, d), A.events(spark, d, "event_type != 'purchase'")).select("block_number", "log_index")
 
 
 @query(cte("ev") + """ select feed, asset, min(block_number) as first_block from (select 'f' || (k % 7) as feed, asset, block_number from ev) where feed not in ('f0', 'f1') group by all""")

@@ -7,12 +7,14 @@ from pyspark.sql import functions as F
 
 from tremor.functions import interest
 from tremor.operators.asof import asof_join as asof
+from tremor.operators.filters import same_block_earlier, without_dust
 from tremor.operators.intervals import running
 from tremor.plans import state as S
 from tremor.queries.ingest import _TRANSFERS, risk_config, transfers
 from tremor.queries.registry import once, query
 from tremor.sources import adapter as A
 from tremor.sources.adapter import cte
+from tremor.sources.shared import saved
 
 AT = 120000
 _POS = """, pos as (select "user", reserve, sum(d_collateral) as collateral, sum(d_debt) as debt from ledger where block_number <= 120000 group by all having abs(sum(d_collateral)) > 1e-9 or abs(sum(d_debt)) > 1e-9)"""
@@ -73,9 +75,11 @@ def positions_at(spark, d):
     return S.positions_at(led(spark, d), AT)
 
 
-@query(STATE + " select * from pos")
+@query(cte("ev", "liq") + _TRANSFERS + """, t as (select unnest([from_user, to_user]) as "user", reserve, unnest([-value, value]) as x from transfers where from_user <> '0x0' and to_user <> '0x0') select "user", reserve, sum(x) as collateral, 0.0::double as debt from t group by all having abs(sum(x)) > 40""")
 def drop_dust(spark, d):
-    return S.positions_at(led(spark, d), AT)
+    """Net transferred balances, those of 40 or less dropped as dust."""
+    net = transfer_ledger(spark, d).groupBy("user", "reserve").agg(F.sum("d_collateral").alias("collateral")).withColumn("debt", F.lit(0.0))
+    return without_dust(net, 40)
 
 
 @query(STATE + " select * from pos where \"user\" = 'u7'")
@@ -242,30 +246,59 @@ def prev_trigger(spark, d):
     return A.liquidations(spark, d).select("user", "block_number", "log_index", F.lag("log_index").over(w.orderBy("block_number", "log_index")).alias("previous"), F.count("*").over(w).alias("cascade_size"))
 
 
-_TRIGGER = """, keys as (select "user", block_number, log_index, protocol, ord from (select *, block_number * 1000000 + log_index as ord from liq)),
-bal as (select k."user", k.block_number, k.log_index, k.protocol, k.ord, r.reserve, coalesce(sum(d_collateral), 0) as collateral, coalesce(sum(d_debt), 0) as debt from keys k join (select distinct "user", reserve from ledger) r on k."user" = r."user" left join ledger l on l."user" = k."user" and l.reserve = r.reserve and l.block_number < k.block_number group by all),
-tl as (select bal.*, p.price, reg.liquidation_threshold as threshold, historical_reliable as reliable from bal asof left join px p on bal.reserve = p.asset and bal.ord >= p.ord left join reg on bal.reserve = reg.asset),
-th as (select "user", block_number, log_index, protocol, case when sum(greatest(debt, 0) * coalesce(price, 0)) > 1e-12 then sum(greatest(collateral, 0) * coalesce(price, 0) * coalesce(threshold, 0)) / sum(greatest(debt, 0) * coalesce(price, 0)) end as hf, bool_and(not (greatest(collateral, 0) > 1e-12 or greatest(debt, 0) > 1e-12) or price is not null) as fully_covered from tl group by all),
+_TRIGGER = """, keys as (select "user", block_number, log_index, protocol, tx_hash, block_number * 1000000 + log_index as ord, lag(block_number * 1000000 + log_index) over (partition by "user", tx_hash order by block_number, log_index) as after,
+  count(*) over (partition by "user", block_number) > 1 or exists (select 1 from ev e where e."user" = liq."user" and e.block_number = liq.block_number and e.tx_hash <> liq.tx_hash and e.log_index < liq.log_index and e.event_type <> 'AnswerUpdated') as precise from liq),
+own as (select k."user", k.ord, least(k.ord, min(l.block_number * 1000000 + l.log_index)) as cut from keys k left join ledger l on l."user" = k."user" and l.tx_hash = k.tx_hash and l.block_number * 1000000 + l.log_index > coalesce(k.after, -1) group by k."user", k.ord),
+bal as (select k."user", k.block_number, k.log_index, k.protocol, k.ord, r.reserve, coalesce(sum(d_collateral), 0) as collateral, coalesce(sum(d_debt), 0) as debt from keys k join own using ("user", ord) join (select distinct "user", reserve from ledger) r on k."user" = r."user" left join ledger l on l."user" = k."user" and l.reserve = r.reserve
+  and case when precise then l.block_number * 1000000 + l.log_index < own.cut else l.block_number < k.block_number end group by all),
+rc as (select asset, block_number, max(0.5::double + 0.1::double * (k % 4)) as lt from ev where event_type = 'Deposit' and event_id % 13 = 0 group by all),
+tg as (select "user", reserve, block_number, max_by(enabled, log_index) as enabled from toggles group by all),
+t1 as (select bal.*, p.price from bal asof left join px p on bal.reserve = p.asset and bal.ord >= p.ord),
+t2 as (select t1.*, rc.lt from t1 asof left join rc on t1.reserve = rc.asset and t1.block_number >= rc.block_number),
+t3 as (select t2.*, coalesce(tg.enabled, true) as enabled from t2 asof left join tg on t2."user" = tg."user" and t2.reserve = tg.reserve and t2.block_number > tg.block_number),
+tl as (select t3.*, coalesce(lt, liquidation_threshold) as threshold, lt is not null or coalesce(historical_reliable, false) as reliable, case when enabled then greatest(collateral, 0) else 0 end as c, greatest(debt, 0) as b from t3 left join reg on t3.reserve = reg.asset),
+th as (select "user", block_number, log_index, protocol, case when sum(b * coalesce(price, 0)) > 1e-12 then sum(c * coalesce(price, 0) * coalesce(threshold, 0)) / sum(b * coalesce(price, 0)) end as hf, bool_and(not (c > 1e-12 or b > 1e-12) or price is not null) as fully_covered, bool_and(not (c > 1e-12) or reliable) as historical_reliable from tl group by all),
 rep as (select *, hf is not null and fully_covered as measurable, coalesce(hf >= 1.01 and fully_covered, false) as mismatch, coalesce(hf >= 1.0 and fully_covered, false) as mismatch_exact from th)"""
-TRIGGER = cte("ledger", "px", "reg") + _TRIGGER
+TRIGGER = cte("ledger", "px", "reg", "toggles") + _TRIGGER
 
 
 @once
 def trigger_legs(spark, d):
-    """Each trigger's balances at the block before, with the price before its log and the threshold."""
-    q = A.liquidations(spark, d).select("user", "block_number", "log_index", "protocol", (F.col("block_number") * 1000000 + F.col("log_index")).alias("ord"))
-    pos = S.positions_at_many(led(spark, d), q.select("user", (F.col("block_number") - 1).alias("block_number")))
-    rows = q.join(pos.withColumn("block_number", F.col("block_number") + 1), ["user", "block_number"])
-    rows = asof(rows, A.price_updates(spark, d).select(F.col("asset").alias("reserve"), "ord", "price"), ["reserve"], "ord", ["price"], cell=1 << 34)
-    reg = A.registry(spark).select(F.col("asset").alias("reserve"), F.col("liquidation_threshold").alias("threshold"), F.col("historical_reliable").alias("reliable"))
-    return rows.join(F.broadcast(reg), "reserve", "left").withColumn("enabled", F.lit(True))
+    """Each trigger's balances, with the price before its log, the threshold at its block and the toggles as of the block before.
+
+    Balances are those of the block before; where the user has another trigger in the block, or earlier activity there
+    under another transaction, those just before the trigger's own transaction.
+    """
+    q = A.liquidations(spark, d).withColumn("ord", F.col("block_number") * 1000000 + F.col("log_index"))
+    same = W.partitionBy("user", "block_number")
+    q = q.withColumn("several", F.count("*").over(same) > 1).withColumn("after", F.lag("ord").over(W.partitionBy("user", "tx_hash").orderBy("ord")))
+    earlier = same_block_earlier(q, A.events(spark, d, "event_type != 'purchase'")).select("user", "ord", F.lit(True).alias("earlier"))
+    q = saved(q.join(earlier, ["user", "ord"], "left").select("user", "block_number", "log_index", "protocol", "tx_hash", "ord", "after", (F.col("several") | F.col("earlier").isNotNull()).alias("precise")))
+    ledger = saved(led(spark, d).withColumn("ord", F.col("block_number") * 1000000 + F.col("log_index")))
+    key = ["user", "block_number", "log_index", "protocol", "ord"]
+    solo = q.where("not precise")
+    pos = S.positions_at_many(ledger, solo.select("user", (F.col("block_number") - 1).alias("block_number")))
+    rows = solo.select(*key).join(pos.withColumn("block_number", F.col("block_number") + 1), ["user", "block_number"])
+    own = q.where("precise").withColumnRenamed("tx_hash", "tx")
+    exact = S.positions_before(ledger.withColumnRenamed("tx_hash", "tx"), own.select("user", "tx", "ord", "after")).join(own.select(*key), ["user", "ord"])
+    columns = [*key, "reserve", "collateral", "debt"]
+    rows = rows.select(*columns).unionByName(exact.select(*columns))
+    rows = asof(rows, A.price_updates(spark, d).select(F.col("asset").alias("reserve"), "ord", "price"), ["reserve"], "ord", ["price"], cell=1 << 34).drop("ord_r")
+    config = risk_config(spark, d).groupBy(F.col("asset").alias("reserve"), "block_number").agg(F.max("liquidation_threshold").alias("lt"))
+    rows = asof(rows, config, ["reserve"], "block_number", ["lt"]).drop("block_number_r")
+    toggles = A.toggles(spark, d).groupBy("user", "reserve", "block_number").agg(F.max_by("enabled", "log_index").alias("on"))
+    rows = asof(rows, toggles, ["user", "reserve"], "block_number", ["on"], strict=True).drop("block_number_r")
+    reg = A.registry(spark).select(F.col("asset").alias("reserve"), "liquidation_threshold", "historical_reliable")
+    rows = rows.join(F.broadcast(reg), "reserve", "left")  # a row per reserve of the registry
+    reliable = F.col("lt").isNotNull() | F.coalesce("historical_reliable", F.lit(False))
+    return rows.select(*columns, "price", F.coalesce("lt", "liquidation_threshold").alias("threshold"), reliable.alias("reliable"), F.coalesce("on", F.lit(True)).alias("enabled"))
 
 
 @once
 def trigger_report(spark, d):
     hf = S.health_factor(trigger_legs(spark, d), ["user", "block_number", "log_index", "protocol"])
-    ok = F.col("fully_covered")
-    return hf.select("user", "block_number", "log_index", "protocol", "hf", "fully_covered", (F.col("hf").isNotNull() & ok).alias("measurable"), F.coalesce((F.col("hf") >= 1.01) & ok, F.lit(False)).alias("mismatch"), F.coalesce((F.col("hf") >= 1.0) & ok, F.lit(False)).alias("mismatch_exact"))
+    ok, at = F.col("fully_covered"), lambda x: F.coalesce((F.col("hf") >= x) & F.col("fully_covered"), F.lit(False))
+    return hf.select("user", "block_number", "log_index", "protocol", "hf", "fully_covered", "historical_reliable", (F.col("hf").isNotNull() & ok).alias("measurable"), at(1.01).alias("mismatch"), at(1.0).alias("mismatch_exact"))
 
 
 @query(TRIGGER + " select * from rep")
@@ -285,13 +318,6 @@ def diagnostics_join(spark, d):
     return A.liquidations(spark, d).join(r, ["user", "block_number", "log_index"], "left").select("tx_hash", "log_index", "hf", "mismatch")
 
 
-@query(TRIGGER + """ select "user", block_number, log_index, case when not mismatch_exact then 'none' when hf < 1.05 then 'param_drift' when not fully_covered then 'no_coverage' when hf < 2 then 'oracle_lag' else 'unexplained' end as cause from rep""")
-def mismatch_cause(spark, d):
-    hf = F.col("hf")
-    cause = F.when(~F.col("mismatch_exact"), "none").when(hf < 1.05, "param_drift").when(~F.col("fully_covered"), "no_coverage").when(hf < 2, "oracle_lag").otherwise("unexplained")
-    return trigger_report(spark, d).select("user", "block_number", "log_index", cause.alias("cause"))
-
-
 @query(STATE + """ select pos.reserve, count(*) as n, avg(pos.debt - o.debt) as mean_diff, max(abs(pos.debt - o.debt)) as max_diff, count(*) filter (where o.debt is null) as n_missing from pos left join (select "user", reserve, floor(debt + 0.123) as debt from pos where reserve <> 'a3') o using ("user", reserve) group by all""")
 def ledger_crosscheck(spark, d):
     p = S.positions_at(led(spark, d), AT)

@@ -56,8 +56,11 @@ def cte(*names: str) -> str:
     return "with " + ",\n".join(SQL[n] for n in done)
 
 
-def events(spark: SparkSession, sf_dir: str) -> DataFrame:
+def events(spark: SparkSession, sf_dir: str, raw: str | None = None) -> DataFrame:
+    """The canonical events; `raw` is a condition on the table's own columns, which reaches the scan."""
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    if raw:
+        e = e.where(raw)
     k = F.get_json_object("props", "$.k").cast("long")
     kind = F.expr(_KINDS)
     rows = e.select(
@@ -81,16 +84,16 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
 def liquidations(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tremor.operators.filters import with_position_id
 
-    return with_position_id(events(spark, sf_dir).where("event_type = 'LiquidationCall'"))
+    return with_position_id(events(spark, sf_dir, "event_type = 'error'"))
 
 
 def price_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = events(spark, sf_dir).where("event_type = 'AnswerUpdated'")
+    e = events(spark, sf_dir, "event_type = 'purchase'")
     return e.select("asset", F.concat(F.lit("f"), F.col("k") % 5).alias("feed"), "block_number", "log_index", "block_timestamp", (F.col("amount_raw").cast("double") / 100).alias("price"), (F.col("block_number") * 1000000 + F.col("log_index")).alias("ord"))
 
 
 def reserve_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = events(spark, sf_dir).where("event_type = 'AnswerUpdated'")
+    e = events(spark, sf_dir, "event_type = 'purchase'")
     return e.groupBy(F.col("asset").alias("reserve"), "block_number").agg(F.max("block_timestamp").alias("block_timestamp")).select("*", (1 + F.col("block_number") / 1e7).alias("liquidity_index"), F.lit(0.03).alias("rate"))
 
 
@@ -104,5 +107,5 @@ def toggles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def daily_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = events(spark, sf_dir).where("event_type = 'AnswerUpdated'")
+    e = events(spark, sf_dir, "event_type = 'purchase'")
     return e.groupBy("asset", F.col("block_timestamp").cast("date").alias("day")).agg(F.avg(F.col("amount_raw").cast("double") / 100).alias("price"))
