@@ -1,7 +1,9 @@
 """Hand-computed cases of the event analytics, and a few registered queries against their SQL."""
 
 import math
+from datetime import datetime
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -9,9 +11,11 @@ from tremor.functions.interest import compounded, hf_band, linear
 from tremor.operators import bars, filters, intervals
 from tremor.operators.asof import asof_join
 from tremor.operators.recurrence import decayed_history
-from tremor.plans import evaluation, hawkes, multifit, state
+from tremor.plans import cascades, evaluation, hawkes, multifit, state
 from tremor.plans.anchors import snapshot_anchors
-from tremor.queries import ORACLE_SQL, QUERIES
+from tremor.queries import ORACLE_SQL, QUERIES, graph, streams
+from tremor.queries.cascades import bar_table
+from tremor.sources.ingest import word_text
 from tremor.streaming import alerts, live
 
 
@@ -60,6 +64,80 @@ def test_merge_intervals(spark):
     assert sorted(one(intervals.merge_intervals(df, ["g"]).select("start_block", "end_block"))) == [(1, 7), (9, 10)]
 
 
+def test_running_over_cells(spark):
+    rows = [("a", t, x) for t, x in [(3, 5), (4, None), (17, 2), (17, 7), (40, 1), (99, 4)]] + [(None, 5, 3), (None, 60, 8)]
+    df = spark.createDataFrame(rows, "k string, t long, x long")
+    for cell in (1, 10, 1000):
+        for inclusive in (True, False):
+            got = intervals.running(df, ["k"], "t", ["t", "x"], cell, inclusive, s=("sum", F.col("x")), m=("max", F.col("x")), n=("count", F.col("x")), z=("last", F.col("x")))
+            for r in got.collect():
+                before = [x for k, t, x in rows if k == r.k and x is not None and ((t, x) < (r.t, -1 if r.x is None else r.x) or (inclusive and (t, x) == (r.t, r.x)))]
+                last = [x for _, x in sorted((t, x) for k, t, x in rows if k == r.k and x is not None and ((t, x) < (r.t, -1 if r.x is None else r.x) or (inclusive and (t, x) == (r.t, r.x))))]
+                want = (sum(before), max(before), last[-1]) if before else (None, None, None)
+                assert (r.s, r.m, r.z) == want and (r.n or 0) == len(before)
+
+
+def test_runs_and_merges_over_cells(spark):
+    rng = np.random.default_rng(0)
+    points = sorted({int(x) for x in rng.integers(0, 3000, 120)})
+    df = spark.createDataFrame([("p", x) for x in points] + [("q", 5), ("q", 5)], "k string, t long")
+    for cell in (7, 100, 1 << 20):
+        got = sorted(one(intervals.runs(df, ["k"], "t", 20, cell).groupBy("k", "run").agg(F.min("t"), F.max("t"), F.count("*")).drop("run")))
+        want, start = [], 0
+        for i in range(1, len(points) + 1):
+            if i == len(points) or points[i] - points[i - 1] > 20:
+                want.append(("p", points[start], points[i - 1], i - start))
+                start = i
+        assert got == sorted([*want, ("q", 5, 5, 2)])
+    spans = [(int(a), int(a + w)) for a, w in zip(rng.integers(0, 500, 40), rng.integers(0, 12, 40))]
+    sdf = spark.createDataFrame(spans, "start_block long, end_block long").withColumn("g", F.lit(1))
+    merged = []
+    for a, b in sorted(spans):
+        if merged and a <= merged[-1][1]:
+            merged[-1] = (merged[-1][0], max(merged[-1][1], b), merged[-1][2] + 1)
+        else:
+            merged.append((a, b, 1))
+    assert sorted(one(intervals.merge_intervals(sdf, ["g"], cell=3).select("start_block", "end_block", "n"))) == merged
+
+
+def test_percentiles_are_exact(spark):
+    rng = np.random.default_rng(1)
+    x = np.round(rng.lognormal(0, 3, 500), 3)
+    df = spark.createDataFrame([("a", float(v)) for v in x] + [("b", 2.0), ("c", None)], "k string, v double")
+    got = {r.k: r.p for r in bars.percentiles(df, ["k"], "v", [0.0, 0.37, 0.9, 1.0], cells=16).collect()}
+    assert np.allclose(got["a"], np.percentile(x, [0, 37, 90, 100])) and got["b"] == [2.0] * 4 and "c" not in got
+
+
+def test_window_stats_brute_force(spark):
+    rng = np.random.default_rng(2)
+    rows = [("p", int(b), i, f"u{rng.integers(4)}", f"x{rng.integers(3)}" if i % 7 else None, float(i)) for i, b in enumerate(np.sort(rng.integers(0, 300, 80)))]
+    df = spark.createDataFrame([(*r, f"{r[3]}|{r[4]}") for r in rows], "protocol string, block_number long, log_index long, user string, collateral_asset string, amount_usd double, position_id string")
+    got = {(r.block_number, r.log_index): tuple(r)[3:] for r in cascades.window_stats(df, 40, 5).collect()}
+    for _, b, i, *_ in rows:
+        near = [r for r in rows if (r[1], r[2]) >= (b, i) and r[1] < b + 40]
+        waves = {}
+        for r in near:
+            waves.setdefault(r[4], []).append(r[1])
+        most = max(1 + sum(y - x > 5 for x, y in zip(v, v[1:])) for v in waves.values())
+        assert got[b, i] == (sum(r[5] for r in near), len({(r[3], r[4]) for r in near}), len({r[3] for r in near}), most, near[-1][1])
+
+
+def test_keys_of_the_gate(spark):
+    trig = spark.createDataFrame([("u", 5, "t1", 9), ("v", 5, "t2", 3), ("w", 6, "t3", 2)], "user string, block_number long, tx_hash string, log_index int")
+    act = spark.createDataFrame([("u", 5, "t0", 4), ("u", 5, "t1", 2), ("v", 5, "t0", 7), ("w", 6, "t3", 1)], "user string, block_number long, tx_hash string, log_index int")
+    assert [r.user for r in filters.same_block_earlier(trig, act).collect()] == ["u"]
+    w = spark.createDataFrame([("x", "k", "10", 9), ("y", "k", "10", 9)], "tx string, token string, amount string, log_index int")
+    t = spark.createDataFrame([("x", "k", "10", 2, "a"), ("x", "k", "10", 8, "b"), ("x", "k", "10", 11, "c"), ("x", "k", "11", 8, "d"), ("x", "j", "10", 8, "e")], "tx string, token string, amount string, log_index int, user string")
+    assert one(filters.withdraw_owners(w, t)) == [("x", 9, "b")]
+
+
+def test_words_of_256_bits(spark):
+    values = [0, 1, 10**9, 2**63, 2**64 - 1, 2**128 + 7, 2**255 - 1, 2**255, 2**256 - 1]
+    df = spark.createDataFrame([(f"{v:064x}",) for v in values], "w string")
+    got = df.select(word_text(F.col("w")).alias("a"), word_text(F.col("w"), True).alias("b")).collect()
+    assert [(r.a, r.b) for r in got] == [(str(v), str(v - (1 << 256) if v >> 255 else v)) for v in values]
+
+
 def test_classify_alerts(spark):
     alerts = spark.createDataFrame([(50,), (90,), (105,)], "block long")
     eps = spark.createDataFrame([(1, 100, 110)], "ep long, start_block long, end_block long")
@@ -113,6 +191,29 @@ def test_hawkes_gradient_and_fit(spark):
         assert abs(near - grad[k]) < 1e-3 * max(1, abs(grad[k]))
 
 
+def test_hawkes_fit_finds_the_least_likelihood(spark):
+    """The fit of a simulated process is at least as good as every point of a grid around it, and near the truth."""
+    rng, r, n = np.random.default_rng(4), 0.0, []
+    for _ in range(3000):
+        n.append(int(rng.poisson(0.1 + 0.12 * r)))
+        r = math.exp(-0.3) * (r + n[-1])
+    b = spark.createDataFrame([(i, k) for i, k in enumerate(n)], "i long, n_liquidations long").coalesce(2)
+    m = hawkes.fit(b, steps=12)
+
+    def nll(mu, alpha, beta):
+        total, r = 0.0, 0.0
+        for k in n:
+            lam = mu + alpha * r
+            total, r = total + lam - (k * math.log(lam) if k else 0), math.exp(-beta) * (r + k)
+        return total
+
+    assert abs(nll(m["mu"], m["alpha"], m["beta"]) - m["nll"]) < 1e-6 * abs(m["nll"])
+    grid = [nll(m["mu"] * a, m["alpha"] * c, m["beta"] * e) for a in (0.8, 1, 1.25) for c in (0.8, 1, 1.25) for e in (0.8, 1, 1.25)]
+    assert m["nll"] <= min(grid) + 0.05 and abs(m["alpha"] - 0.12) < 0.05
+    radius = hawkes.spectral_radius([[0.2, 0.1], [0.05, 0.3]], 0.5)
+    assert math.isclose(radius, (0.5 + math.sqrt(0.25 - 4 * (0.06 - 0.005))) / 2 / 0.5)
+
+
 @pytest.mark.parametrize("stress", [[], [(100, 110)], [(3, 4), (90, 140), (141, 150), (160, 161), (480, 600)], [(0, 500)]])
 def test_snapshot_anchors_follow_the_walk(spark, stress):
     b, want = 7, []
@@ -156,6 +257,68 @@ def test_alerts_over_batches(spark, tmp_path):
     assert got == want and len(want) == 2
 
 
+def two_batches(spark, path, schema, parts):
+    for k, part in enumerate(parts):
+        spark.createDataFrame(part, schema).coalesce(1).write.parquet(f"{path}/in/{k}")
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in/*")
+
+
+def test_clusters_over_batches(spark, tmp_path):
+    """A cluster that a batch leaves open is carried on by the next; the last one stays open."""
+    blocks = [1, 2, 2, 5, 30, 31, 90, 92, 95, 140]
+    rows = two_batches(spark, tmp_path, "protocol string, block_number long, usd double", [[("p", b, float(b)) for b in part] for part in (blocks[:3], blocks[3:8], blocks[8:])])
+    emitted = live.run_to_table(live.clusters(rows, 10), "test-clusters")
+    got = sorted(one(live.current_clusters(emitted).select("start_block", "last_block", "end_block", "n", "usd")), key=lambda r: r[0])
+    assert got == [(1, 5, 5, 4, 10.0), (30, 31, 31, 2, 61.0), (90, 95, 95, 3, 277.0), (140, 140, None, 1, 140.0)]
+
+
+def test_confirmed_rows_replace_pending_ones(spark, tmp_path):
+    at = lambda s: datetime(2024, 1, 1, 0, 0, s)
+    parts = [[(at(1), 1, 0, False, 1.0), (at(2), 2, 0, True, 2.0), (at(3), 3, 0, False, 3.0)], [(at(4), 1, 0, True, 10.0), (at(5), 2, 0, False, 20.0), (at(6), 1, 1, False, 5.0)]]
+    rows = two_batches(spark, tmp_path, "ts timestamp, tx long, log long, confirmed boolean, usd double", parts)
+    got = one(live.current_rows(live.run_to_table(live.deduplicated(rows, "1 hour"), "test-dedup")))
+    assert sorted(got) == [(1, 0, True, 10.0), (1, 1, False, 5.0), (2, 0, True, 2.0), (3, 0, False, 3.0)]
+
+
+def test_final_bars_wait_for_the_lag(spark, tmp_path):
+    at = lambda block: datetime.fromtimestamp(1704067200 + 12 * block)
+    parts = [[("p", at(b), 1.0) for b in (0, 9, 11)], [("p", at(b), 1.0) for b in (25, 31)], [("p", at(33), 1.0)]]
+    rows = two_batches(spark, tmp_path, "protocol string, ts timestamp, usd double", parts)
+    got = sorted(one(live.run_to_table(live.final_bars(rows, 10, 5, 1704067200, 12), "test-bars")))
+    assert got == [("p", 0, 10, 2, 2.0), ("p", 10, 20, 1, 1.0)]  # the bar up to block 30 is final from block 35 on
+
+
+def test_an_empty_snapshot_is_an_error(spark):
+    with pytest.raises(ValueError):
+        streams.save_nodes(spark.createDataFrame([], "node_id string, snapshot_block int"), "unused")
+    with pytest.raises(ValueError):
+        graph.limited(spark.range(graph.MOST_NODES + 1))
+
+
+def test_auprc_of_each_key(spark):
+    df = spark.createDataFrame([("a", 0.9, True), ("a", 0.8, False), ("a", 0.7, True), ("b", 0.5, False)], "k string, s double, y boolean")
+    got = {r.k: (r.auprc, r.positives, r.n) for r in evaluation.auprc(df, "s", "y", by=["k"]).collect()}
+    assert math.isclose(got["a"][0], (1 + 2 / 3) / 2) and got["a"][1:] == (2, 3) and got["b"] == (None, 0, 1)
+
+
+def test_out_of_fold_scores_and_calibration(spark):
+    """Scores of a week come from the fit of the weeks before; the chosen threshold is the best of a plain sweep."""
+    sf = "/root/testdata/sf0.001"
+    s = {r.i: r for r in QUERIES["oof_scores"](spark, sf).collect()}
+    folds = sorted({r.fold for r in s.values()})
+    assert all((r.score is None) == (r.fold == folds[0]) for r in s.values()) and all(0 <= r.score < 1 for r in s.values() if r.score is not None)
+    b = {r.i: r for r in bar_table(spark, sf).collect()}
+    fold = folds[-1]
+    m = hawkes.fit(spark.createDataFrame([(i, r.n_liquidations) for i, r in b.items() if s[i].fold < fold], "i long, n_liquidations long"), steps=6)
+    r = 0.0
+    for i in sorted(b):
+        if s[i].fold == fold:
+            assert math.isclose(s[i].score, m["alpha"] * r / (m["mu"] + m["alpha"] * r) if r else 0.0, rel_tol=1e-3, abs_tol=1e-6)
+        r = math.exp(-m["beta"]) * (r + b[i].n_liquidations)
+    best = QUERIES["calibrate"](spark, sf).first()
+    assert best.threshold is not None and 0 <= best.alarming <= 1
+
+
 def test_hawkes_multi_fit_lowers_the_likelihood(spark):
     bars = spark.range(2000).select(F.col("id").alias("i"), (F.pmod(F.xxhash64("id"), F.lit(9)) == 0).cast("int").alias("x"), (F.pmod(F.xxhash64(F.col("id") - 1), F.lit(9)) == 0).cast("int").alias("y"))
     m = multifit.fit_multi(bars, ["x", "y"], betas=(0.5, 1.5), steps=12)

@@ -49,19 +49,21 @@ def sweep(scores: DataFrame, episodes: DataFrame, lead: int, thresholds: list[fl
     return out.select("threshold", run("alerts").alias("alerts"), run("t").alias("true_alerts"), run("f").alias("false_alarms"), run("e").alias("detected"))
 
 
-def auprc(rows: DataFrame, score: str, label: str) -> DataFrame:
-    """Average precision: the sum over distinct scores, from the highest, of recall gained times precision.
+def auprc(rows: DataFrame, score: str, label: str, by: list[str] | None = None) -> DataFrame:
+    """Average precision, of each key if `by` is given: the sum over distinct scores, from the highest, of recall gained times precision.
 
     Scores are first grouped, then cumulated in ranges of the score, so no task sorts all rows.
     """
-    g = rows.where(F.col(score).isNotNull()).groupBy(score).agg(F.sum(F.col(label).cast("long")).alias("tp"), F.count("*").alias("n"))
+    by = by or []
+    g = rows.where(F.col(score).isNotNull()).groupBy(*by, score).agg(F.sum(F.col(label).cast("long")).alias("tp"), F.count("*").alias("n"))
     g = g.withColumn("cell", F.floor(F.col(score) * 256))
-    cells = g.groupBy("cell").agg(F.sum("tp").alias("ctp"), F.sum("n").alias("cn"))
-    down = W.orderBy(F.desc("cell"))  # as many rows as there are cells
-    cells = cells.select("cell", (F.sum("ctp").over(down) - F.col("ctp")).alias("tp0"), (F.sum("cn").over(down) - F.col("cn")).alias("n0"))
-    w = W.partitionBy("cell").orderBy(F.desc(score)).rowsBetween(W.unboundedPreceding, 0)
-    g = g.join(cells, "cell").withColumn("ctp", F.col("tp0") + F.sum("tp").over(w)).withColumn("cn", F.col("n0") + F.sum("n").over(w))
-    return g.agg((F.sum(F.col("tp") * F.col("ctp") / F.col("cn")) / F.nullif(F.sum("tp"), F.lit(0))).alias("auprc"), F.sum("tp").alias("positives"), F.sum("n").alias("n"))
+    cells = g.groupBy(*by, "cell").agg(F.sum("tp").alias("ctp"), F.sum("n").alias("cn"))
+    down = W.partitionBy(*by).orderBy(F.desc("cell"))  # as many rows as there are cells
+    cells = cells.select(*by, "cell", (F.sum("ctp").over(down) - F.col("ctp")).alias("tp0"), (F.sum("cn").over(down) - F.col("cn")).alias("n0"))
+    w = W.partitionBy(*by, "cell").orderBy(F.desc(score)).rowsBetween(W.unboundedPreceding, 0)
+    g = g.join(cells, [*by, "cell"]).withColumn("ctp", F.col("tp0") + F.sum("tp").over(w)).withColumn("cn", F.col("n0") + F.sum("n").over(w))
+    gained = F.sum(F.col("tp") * F.col("ctp") / F.col("cn")) / F.nullif(F.sum("tp"), F.lit(0))
+    return g.groupBy(*by).agg(gained.alias("auprc"), F.sum("tp").alias("positives"), F.sum("n").alias("n"))
 
 
 def calibration(rows: DataFrame, p: Column, y: Column, bins: int) -> DataFrame:

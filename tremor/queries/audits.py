@@ -8,13 +8,14 @@ from pyspark.sql import functions as F
 from tremor.functions.interest import hf_band
 from tremor.operators import bars as B
 from tremor.operators.asof import asof_join as asof
-from tremor.plans import multifit
+from tremor.plans import hawkes, multifit
 from tremor.plans import state as S
 from tremor.plans.anchors import snapshot_anchors as anchors
-from tremor.queries.cascades import stress_windows
+from tremor.queries.alarms import ALPHA, MU, SCORES, score_table
+from tremor.queries.cascades import BARS, stress_windows
 from tremor.queries.graph import _NODES
 from tremor.queries.models import CHANNELS, _channel_bars
-from tremor.queries.registry import query
+from tremor.queries.registry import ORACLE_SQL, once, query
 from tremor.queries.state import STATE, TRIGGER, accounts, led, trigger_legs, trigger_report
 from tremor.queries.streams import liquidation_stream
 from tremor.sources import adapter as A
@@ -147,6 +148,33 @@ def graph_sequence(spark, d):
     return g.select("snapshot_block", "node_id", "node_type", F.round("c", 6).alias("collateral_usd"), F.round("b", 6).alias("debt_usd"), F.when(F.col("b") > 1e-12, F.round(F.col("w") / F.col("b"), 6)).alias("hf"), "n_positions")
 
 
+_FRAGILE = ORACLE_SQL["graph_sequence"].join(["select snapshot_block, avg(case when hf >= 1.0 and hf < 1.25 then 1.0::double else 0 end) as fragility from (", ") where node_type = 'whale' group by snapshot_block"])
+_COVARIATE = cte("grid") + BARS + SCORES + f""", fragile as ({_FRAGILE}), cov as (select s.i, s.r, f.fragility from scores s asof left join fragile f on s.block >= f.snapshot_block)"""
+
+
+@once
+def fragile_bars(spark, d):
+    """Bars with r and the fragility of the last snapshot at or before their end: the share of whales with a health factor in [1, 1.25)."""
+    risk = F.coalesce((F.col("hf") >= 1.0) & (F.col("hf") < 1.25), F.lit(False)).cast("double")
+    per = graph_sequence(spark, d).where("node_type = 'whale'").groupBy(F.col("snapshot_block").cast("long").alias("block")).agg(F.avg(risk).alias("fragility"))
+    return asof(score_table(spark, d).select("i", "block", "r"), per, [], "block", ["fragility"]).select("i", "r", "fragility")
+
+
+@query(_COVARIATE + " select i, fragility from cov")
+def fragility_asof(spark, d):
+    return fragile_bars(spark, d).select("i", "fragility")
+
+
+@query(_COVARIATE + f", z as (select *, coalesce((fragility - avg(fragility) over ()) / nullif(stddev_pop(fragility) over (), 0), 0) as z from cov) select i, {MU} * exp(0.1 * z) + {ALPHA} * r as lam_baseline, {ALPHA} * r + 0.01 * greatest(z, 0) as excitation from z")
+def hawkes_covariate(spark, d):
+    """The intensity with the standardised fragility in its base, and with its positive part as excitation; 0 where there is no snapshot yet."""
+    s = fragile_bars(spark, d)
+    st = s.agg(F.avg("fragility").alias("m"), F.stddev_pop("fragility").alias("s"))
+    z = F.coalesce((F.col("fragility") - F.col("m")) / F.nullif("s", F.lit(0.0)), F.lit(0.0))
+    s = s.crossJoin(F.broadcast(st)).withColumn("z", z)  # st is one row
+    return s.select("i", (MU * F.exp(0.1 * F.col("z")) + ALPHA * F.col("r")).alias("lam_baseline"), (ALPHA * F.col("r") + 0.01 * F.greatest("z", F.lit(0.0))).alias("excitation"))
+
+
 @query()
 def hawkes_multi_fit(spark, d):
     m = multifit.fit_multi(_channel_bars(spark, d), CHANNELS)
@@ -154,6 +182,13 @@ def hawkes_multi_fit(spark, d):
     return spark.createDataFrame(rows, "channel string, mu double, alpha array<double>, r_end double, beta double, nll double")
 
 
+@query()
+def spectral_radius(spark, d):
+    """The largest eigenvalue of alpha / beta, alpha being the fitted channel matrix: below one, the process dies out."""
+    m = multifit.fit_multi(_channel_bars(spark, d), CHANNELS, betas=(0.05, 0.2), steps=8)
+    return spark.createDataFrame([(hawkes.spectral_radius(m["alpha"], m["beta"]), float(m["beta"]))], "spectral_radius double, beta double")
+
+
 _R = "coalesce(sum(b.n * exp(-0.05 * (a.bar - b.bar))), 0)"
 _M = cte("liq") + ", m as (select protocol, block_number // 50 as bar, count(*) as n from liq group by all)"
 

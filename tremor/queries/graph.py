@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from tremor.functions.interest import hf_band
 from tremor.queries.registry import query
-from tremor.queries.state import STATE, frame, latest_prices
+from tremor.queries.state import AT, STATE, frame, latest_prices
 from tremor.sources.adapter import cte
+from tremor.sources.shared import saved
 
 _BAND = "case when hf is null then 'no_debt' when hf <= 1 then '<=1' when hf <= 1.1 then '1-1.1' when hf <= 1.25 then '1.1-1.25' when hf <= 1.5 then '1.25-1.5' when hf <= 2 then '1.5-2' else '>2' end"
 _NODES = STATE + f""", fr as (select "user", reserve, round(greatest(collateral, 0) * coalesce(price, 0), 6) as collateral_usd, round(greatest(debt, 0) * coalesce(price, 0), 6) as debt_usd, round(greatest(collateral, 0) * coalesce(price, 0) * coalesce(threshold, 0), 6) as weighted_usd from legs),
@@ -68,18 +69,55 @@ def exposure_edges(spark, d):
     return exposure(spark, d)
 
 
-@query(_NODES + " select node_id, node_type, collateral_usd, debt_usd, hf, n_positions from nodes union all select 'asset:' || asset, 'asset', price, null, null, null from price_at union all select 'protocol:p0', 'protocol', null, null, null, null")
-def graph_nodes(spark, d):
-    none = F.lit(None).cast("double")
-    a = latest_prices(spark, d).select(F.concat(F.lit("asset:"), "reserve").alias("node_id"), F.lit("asset").alias("node_type"), F.col("price").alias("collateral_usd"), none.alias("debt_usd"), none.alias("hf"), F.lit(None).cast("long").alias("n_positions"))
-    p = spark.createDataFrame([("protocol:p0", "protocol")], "node_id string, node_type string")
-    return node_table(spark, d).unionByName(a).unionByName(p, allowMissingColumns=True)
+#: Wrapped asset and what it stands for (fixed values).
+WRAPS = [("a1", "a0"), ("a3", "a2"), ("a9", "a0")]
+MOST_NODES = 10_000
+_POOLS = """, depth as (select case when k % 3 = 0 then 'v2' when k % 3 = 1 then 'v3' else 'curve' end as dex, 'pool' || (k % 12) as pool, asset as symbol, block_number // 1200 as day, max(amount_usd * case when k % 3 = 1 then 2 else 1 end) as depth_usd from ev where event_type = 'Deposit' group by all),
+pools as (select 'pool:' || dex || ':' || pool as node_id, symbol, max_by(depth_usd, day) as depth_usd from depth where day <= 100 group by all),
+wraps as (select * from (values ('a1', 'a0'), ('a3', 'a2'), ('a9', 'a0')) v(wrapped, underlying)), symbols as (select asset as s from price_at union select wrapped from wraps union select underlying from wraps)"""
+
+
+def limited(nodes):
+    """The nodes of one snapshot, written once; more than MOST_NODES are an error."""
+    nodes = saved(nodes)
+    if nodes.limit(MOST_NODES + 1).count() > MOST_NODES:
+        raise ValueError(f"a snapshot has more than {MOST_NODES} nodes")
+    return nodes
 
 
-@query(_NODES + " select node_id as src_id, 'asset:' || reserve as dst_id, channel, weight from expo union all select 'asset:' || asset, 'protocol:p0', 'listing', price from price_at")
+def pools_now(spark, d):
+    """(node_id, symbol, depth_usd): each pool's last depth of an asset as of the snapshot."""
+    p = pool_depth(spark, d).where(F.col("day") <= AT // 1200)
+    return p.groupBy(F.concat(F.lit("pool:"), "dex", F.lit(":"), "pool").alias("node_id"), "symbol").agg(F.max_by("depth_usd", "day").alias("depth_usd"))
+
+
+@query(_NODES + _POOLS + """ select node_id, node_type, collateral_usd, debt_usd, hf, n_positions from nodes union all select 'asset:' || s, 'asset', price, null, null, 0 from symbols left join price_at on asset = s
+ union all select distinct node_id, 'pool', null::double, null, null, 0 from pools union all select 'protocol:p0', 'protocol', null, null, null, 0""")
+def graph_nodes(spark, d):
+    """Whales, buckets, assets (with those that only wraps name), pools and the protocol."""
+    wraps = spark.createDataFrame([(x,) for pair in WRAPS for x in pair], "reserve string")
+    prices = latest_prices(spark, d)
+    symbols = prices.select("reserve").unionByName(wraps).distinct().join(prices, "reserve", "left")
+    assets = symbols.select(F.concat(F.lit("asset:"), "reserve").alias("node_id"), F.lit("asset").alias("node_type"), F.col("price").alias("collateral_usd"))
+    pools = pools_now(spark, d).select("node_id", F.lit("pool").alias("node_type")).distinct()
+    protocol = spark.createDataFrame([("protocol:p0", "protocol")], "node_id string, node_type string")
+    rest = assets.unionByName(pools, allowMissingColumns=True).unionByName(protocol, allowMissingColumns=True).withColumn("n_positions", F.lit(0).cast("long"))
+    return limited(node_table(spark, d).unionByName(rest, allowMissingColumns=True))
+
+
+@query(_NODES + _POOLS + """ select node_id as src_id, 'asset:' || reserve as dst_id, channel, weight from expo union all select 'asset:' || asset, 'protocol:p0', 'listing', price from price_at
+ union all select 'asset:' || symbol, node_id, 'pool_depth', depth_usd from pools union all select 'asset:' || wrapped, 'asset:' || underlying, 'wrap', coalesce((select round(sum(weight), 6) from expo where reserve = wrapped and channel = 'collateral'), 0) from wraps""")
 def graph_edges(spark, d):
-    e = exposure(spark, d).select(F.col("node_id").alias("src_id"), F.concat(F.lit("asset:"), "reserve").alias("dst_id"), "channel", "weight")
-    return e.unionByName(latest_prices(spark, d).select(F.concat(F.lit("asset:"), "reserve").alias("src_id"), F.lit("protocol:p0").alias("dst_id"), F.lit("listing").alias("channel"), F.col("price").alias("weight")))
+    """Exposures by collateral and debt, listings, pool depths and wraps, weighted by the wrapped asset's collateral."""
+    asset = lambda c: F.concat(F.lit("asset:"), c)
+    expo = saved(exposure(spark, d))
+    edges = expo.select(F.col("node_id").alias("src_id"), asset("reserve").alias("dst_id"), "channel", "weight")
+    listed = latest_prices(spark, d).select(asset("reserve").alias("src_id"), F.lit("protocol:p0").alias("dst_id"), F.lit("listing").alias("channel"), F.col("price").alias("weight"))
+    deep = pools_now(spark, d).select(asset("symbol").alias("src_id"), F.col("node_id").alias("dst_id"), F.lit("pool_depth").alias("channel"), F.col("depth_usd").alias("weight"))
+    held = expo.where("channel = 'collateral'").groupBy("reserve").agg(F.round(F.sum("weight"), 6).alias("w"))
+    wraps = spark.createDataFrame(WRAPS, "reserve string, underlying string").join(held, "reserve", "left")
+    wraps = wraps.select(asset("reserve").alias("src_id"), asset("underlying").alias("dst_id"), F.lit("wrap").alias("channel"), F.coalesce("w", F.lit(0.0)).alias("weight"))
+    return edges.unionByName(listed).unionByName(deep).unionByName(wraps)
 
 
 @query(_NODES + " select avg(case when hf >= 1.0 and hf < 1.25 then 1.0::double else 0 end) as frac_at_risk, count(*) as n_whales from nodes where node_type = 'whale'")

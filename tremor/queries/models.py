@@ -46,15 +46,6 @@ def hawkes_nll(spark, d):
     return spark.createDataFrame([(float(nll),)], "nll double")
 
 
-@query(_BASE + f", z as (select *, case when i % 17 = 0 then 0 else (i % 100 - avg(i % 100) over ()) / stddev_pop(i % 100) over () end as z from scores) select i, {MU} * exp(0.1 * z) + {ALPHA} * r as lam_baseline, {ALPHA} * r + 0.01 * greatest(z, 0) as excitation from z")
-def hawkes_covariate(spark, d):
-    s = score_table(spark, d)
-    st = s.agg(F.avg(F.col("i") % 100).alias("m"), F.stddev_pop(F.col("i") % 100).alias("s")).first()
-    z = F.when(F.col("i") % 17 != 0, (F.col("i") % 100 - st.m) / st.s)  # every 17th covariate is missing
-    s = s.withColumn("z", F.coalesce(z, F.lit(0.0)))
-    return s.select("i", (MU * F.exp(0.1 * F.col("z")) + ALPHA * F.col("r")).alias("lam_baseline"), (ALPHA * F.col("r") + 0.01 * F.greatest("z", F.lit(0.0))).alias("excitation"))
-
-
 @query()
 def hawkes_fit(spark, d):
     m = hawkes.fit(bar_table(spark, d))
@@ -87,12 +78,6 @@ def hawkes_multi_score(spark, d):
     return rows.select("i", (1 - sum(M_MU) / (lam[0] + lam[1] + lam[2])).alias("score"), *[x.alias(f"lam_{k}") for k, x in enumerate(lam)], *[(1 - M_MU[k] / x).alias(f"score_{k}") for k, x in enumerate(lam)])
 
 
-@query()
-def spectral_radius(spark, d):
-    m = hawkes.fit(bar_table(spark, d), steps=6)
-    return spark.createDataFrame([(hawkes.spectral_radius([[m["alpha"]]], m["beta"]),)], "spectral_radius double")
-
-
 @query(_BASE + ", b as (select *, cast(row_number() over (order by lam, i) - 1 as bigint) * 20 // count(*) over () as bin from scores) select bin, avg(ln(lam)) as log_lam, avg(n_liquidations) as observed, avg(lam) as expected, count(*) as n from b group by bin")
 def gof(spark, d):
     from pyspark.sql import Window as W

@@ -6,15 +6,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tremor.operators import intervals
-from tremor.operators.asof import asof_join
-from tremor.operators.bars import percentiles
+from tremor.operators.bars import percentiles, ranked
 from tremor.plans import evaluation as E
 from tremor.plans import hawkes
 from tremor.queries.alarms import ALL, CUT, GRID, LABELS, LEAD, auprc, episode_table, labelled, per_episode, score_table
-from tremor.queries.cascades import BARS, bar_table
-from tremor.queries.graph import _SNAPS, snapshots
+from tremor.queries.cascades import bar_table
 from tremor.queries.registry import query
-from tremor.sources.adapter import cte
+from tremor.sources.shared import saved
 
 _TUNE = f""", ls as (select ep, block, round(score, 6) as score from eps join scores on block >= eps.start_block - {LEAD} and block < eps.start_block),
 pe as (select ep, max(score) as peak, arg_min(score, block) filter (where score >= {CUT}) as v0 from ls group by ep)"""
@@ -75,17 +73,51 @@ def cross_protocol_peak(spark, d):
     return top.select("protocol", "ep").join(peak, "protocol", "left").crossJoin(level).select("protocol", "ep", "peak", "level")
 
 
-@query(ALL + " select protocol, count(*) as n_episodes, count(*) filter (where ep in (select episode from kinds)) as n_detected, (select min(score) from scores) as n_t_min, (select max(score) from scores) as n_t_max from eps group by protocol")
+@query(ALL + """, y2 as (select p.protocol, i, score, exists (select 1 from eps where eps.protocol = p.protocol and start_block > block and start_block <= block + 500) as y from scores, (select distinct protocol from eps) p),
+g as (select protocol, round(score, 6) as score, sum(y::int) as tp, count(*) as n from y2 group by all), c as (select protocol, tp, n, sum(tp) over w as ctp, sum(n) over w as cn from g window w as (partition by protocol order by score desc)),
+a as (select protocol, sum(tp * ctp / cn) / nullif(sum(tp), 0) as auprc, sum(tp) / sum(n) as prevalence from c group by protocol),
+e as (select protocol, count(*) as n_episodes, count(*) filter (where ep in (select episode from kinds)) as n_detected from eps group by protocol)
+select protocol, n_episodes, n_detected, prevalence, auprc, auprc / nullif(prevalence, 0) as lift, (select min(score) from scores) as n_t_min, (select max(score) from scores) as n_t_max from e join a using (protocol)""")
 def multiprotocol_summary(spark, d):
-    span = score_table(spark, d).agg(F.min("score").alias("n_t_min"), F.max("score").alias("n_t_max"))
-    e = episode_table(spark, d).select("ep", "protocol").join(per_episode(spark, d), "ep")
-    return e.groupBy("protocol").agg(F.count("*").alias("n_episodes"), F.count_if("detected").alias("n_detected")).crossJoin(span)
-
-
-@query(cte("grid") + BARS + _SNAPS + " select b.i, s.n_edges as fragility from bars b asof left join snaps s on b.end_block >= s.last_block")
-def fragility_asof(spark, d):
-    snaps = snapshots(spark, d).select(F.col("at").alias("end_block"), "n_edges")
-    return asof_join(bar_table(spark, d).select("i", "end_block"), snaps, [], "end_block", ["n_edges"]).select("i", F.col("n_edges").alias("fragility"))
+    """A row per protocol: its episodes detected, the score's precision against its own episodes, lift over prevalence, and the score's range."""
+    s = score_table(spark, d)
+    eps = episode_table(spark, d)
+    spans = eps.select("protocol", (F.col("start_block") - 500).alias("lo"), (F.col("start_block") - 1).alias("hi"))
+    hit = intervals.within_spans(s.select("i", "block"), "block", spans, "lo", "hi").select("protocol", "i").distinct().withColumn("y", F.lit(True))
+    each = s.select("i", F.round("score", 6).alias("score")).join(F.broadcast(eps.select("protocol").distinct()))  # a row per protocol
+    rows = each.join(hit, ["protocol", "i"], "left").withColumn("y", F.coalesce("y", F.lit(False)))
+    a = E.auprc(rows, "score", "y", by=["protocol"]).select("protocol", (F.col("positives") / F.col("n")).alias("prevalence"), "auprc")
+    span = s.agg(F.min("score").alias("n_t_min"), F.max("score").alias("n_t_max"))
+    n = eps.select("ep", "protocol").join(per_episode(spark, d), "ep").groupBy("protocol").agg(F.count("*").alias("n_episodes"), F.count_if("detected").alias("n_detected"))
+    lift = (F.col("auprc") / F.nullif("prevalence", F.lit(0.0))).alias("lift")
+    return n.join(a, "protocol").crossJoin(span).select("protocol", "n_episodes", "n_detected", "prevalence", "auprc", lift, "n_t_min", "n_t_max")  # span is one row
+
+
+_FRONTIER = _TUNE.replace("pe as", f"""vals as (select score, row_number() over (order by score) - 1 as at, count(*) over () as n from (select distinct score from ls where score >= {CUT})),
+th as (select score as threshold from vals where n <= 14 or at in (select cast(floor(k * (n - 1) / 13.0::double) as bigint) from (select unnest(generate_series(0, 13)) as k))),
+rs as (select i, block, round(score, 6) as score, coalesce(lag(round(score, 6)) over (order by i), -1) as before from scores),
+ed as (select threshold, block from th join rs on score >= threshold and before < threshold),
+fa as (select threshold, count(*) as n from ed where not exists (select 1 from eps where block >= start_block - {LEAD} and block <= end_block) group by threshold),
+pe as""").rstrip()
+
+
+@query(ALL + _FRONTIER + """ select th.threshold, count(distinct ls.ep) / (select count(*) from eps) as recall, min(x.lead) as min_lead, coalesce(any_value(fa.n), 0) / ((select max(block) - min(block) from scores) / 50400.0::double) as far_per_week
+from th left join ls on ls.score >= th.threshold left join (select threshold, ep, max(start_block - block) as lead from th join ls on score >= threshold join eps using (ep) group by all) x on x.threshold = th.threshold left join fa on fa.threshold = th.threshold group by th.threshold""")
+def threshold_frontier(spark, d):
+    """Up to 14 of the scores seen in the lead windows, each as a threshold: recall, least lead and false alarms a week."""
+    lead = saved(lead_scores(spark, d))
+    vals = ranked(lead.where(F.col("score") >= CUT).select("score").distinct(), "score")
+    n = vals.count()
+    at = sorted({k * (n - 1) // 13 for k in range(14)}) if n > 14 else list(range(n))
+    grid = [r.score for r in vals.where(F.col("place").isin(at)).orderBy("score").collect()]  # 14 at most
+    s = score_table(spark, d).select("i", "block", F.round("score", 6).alias("score"))
+    eps = episode_table(spark, d)
+    rows = E.sweep(s, eps, LEAD, grid).select("threshold", "false_alarms")
+    above = lead.withColumn("threshold", F.explode(F.filter(F.array(*[F.lit(t) for t in grid]), lambda t: t <= F.col("score"))))
+    best = above.groupBy("threshold", "ep").agg(F.max(F.col("start_block") - F.col("block")).alias("lead")).groupBy("threshold").agg(F.count("*").alias("found"), F.min("lead").alias("min_lead"))
+    span = s.agg(((F.max("block") - F.min("block")) / 50400.0).alias("weeks")).crossJoin(eps.agg(F.count("*").alias("n")))  # one row each
+    out = rows.join(best, "threshold", "left").crossJoin(span)
+    return out.select("threshold", (F.coalesce("found", F.lit(0)) / F.col("n")).alias("recall"), "min_lead", (F.col("false_alarms") / F.col("weeks")).alias("far_per_week"))
 
 
 WEEK, FIT_STEPS = 50400, 6
