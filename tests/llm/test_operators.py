@@ -12,7 +12,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tremor.llm import decontam, langid, licenses, linededup, lmscore, mixing, quality, simhash, topk, urls
+from tremor.llm import decontam, langid, licence_texts, licenses, linededup, lmscore, mixing, quality, simhash, topk, urls
 from tremor.llm.common import crc_mod, spread_join
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, w string, size string"
@@ -253,10 +253,26 @@ def test_line_dedup_sql(spark):
 
 
 def test_licenses(spark):
-    d = docs(spark, [(1, "Copyright 2020 Me\nReleased under the MIT License.", "en", "s"), (2, "text\nlicensed under the APACHE licence, version 2.0", "en", "s"), (3, "nothing", "en", "s")])
-    got = {r.doc_id: r for r in licenses.scan(d, licenses.known(spark)).collect()}
-    assert (got[1].license, got[1].n_notices) == ("MIT", 1)
-    assert (got[2].license, got[2].notices) == (None, "Apache-2.0") and got[3].n_notices == 0
+    wrapped = "The code below is ours.\nLicensed under the Apache\n * License,\n * Version 2.0.\nend"
+    mit = dict(licence_texts.TEXTS[::-1])["MIT"]
+    full = [t for i, t in licence_texts.TEXTS if i == "MIT"][1]
+    bsd = [t for i, t in licence_texts.TEXTS if i == "BSD-3-Clause"][1]
+    lines = "\n".join(" ".join(full.split()[k : k + 9]) for k in range(0, len(full.split()), 9))
+    texts = ["Copyright 2020 Me\nReleased under the MIT License.", "text\nlicensed under the APACHE licence, version 2.0", "nothing", wrapped, "Copyright (c) 2001 A Person. All rights reserved.\nx", lines, f"# header\n{bsd.upper()}\nint x;", f"(c) You\n{mit}", "We all said: all rights reserved. Not ours.", "all rights\n\nreserved", "Licensed under CC BY 4.0.\nLicensed under CC BY 4.0.\nAll rights reserved.", ""]
+    d = docs(spark, [(i, t, "en", "s") for i, t in enumerate(texts)] + [(2, "Released under CC0 1.0.", "en", "s")])
+    got = {r.doc_id: (r.license, r.n_notices, r.notices) for r in licenses.scan(d, licenses.known(spark)).collect()}
+    assert got[0] == ("MIT", 1, "MIT") and got[1] == (None, 1, "Apache-2.0") and got[2] == ("CC0-1.0", 1, "CC0-1.0")
+    assert got[3] == (None, 1, "Apache-2.0") and got[4] == (None, 1, "reserved")
+    assert got[5][:1] == ("MIT",) and got[6] == (None, 1, "BSD-3-Clause") and got[7][0] == "MIT"
+    assert got[8] == (None, 0, "") and got[9] == ("reserved", 1, "reserved") and got[10] == (None, 3, "CC-BY-4.0,reserved") and got[11] == (None, 0, "")
+    assert {r.doc_id: (r.license, r.n_notices, r.notices) for r in licenses.scan(d, licenses.known(spark, [])).collect()} == {i: (None, 0, "") for i in range(12)}
+
+
+def test_licenses_of_a_shuffled_table(spark, monkeypatch):
+    d = docs(spark, [(1, "x\nReleased under the MIT\nLicence.", "en", "s"), (2, "All rights reserved.", "en", "s"), (3, None, "en", "s")])
+    want = sorted(map(tuple, licenses.scan(d, licenses.known(spark)).collect()), key=repr)
+    monkeypatch.setattr(licenses, "BROADCAST_ROWS", 1)
+    assert sorted(map(tuple, licenses.scan(d, licenses.known(spark)).collect()), key=repr) == want
 
 
 def test_topk(spark):

@@ -5,33 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tremor.llm.common import NOT_ALNUM, lower_ascii
-
-#: Known notices (fixed values): licence id and text. More can be passed to scan().
-NOTICES = [
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    ("MIT", "Released under the MIT License."),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
-    ("BSD-3-Clause", "Released under the BSD 3-Clause License."),
-    ("CC-BY-4.0", "Licensed under CC BY 4.0."),
-    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
-    ("CC0-1.0", "Released under CC0 1.0."),
-    ("MPL-2.0", "Licensed under the Mozilla Public License, version 2.0."),
-    ("LGPL-3.0", "Licensed under the GNU Lesser General Public License, version 3."),
-    ("AGPL-3.0", "Licensed under the GNU Affero General Public License, version 3."),
-    ("Unlicense", "Released into the public domain under the Unlicense."),
-    ("reserved", "All rights reserved."),
-]
+from tremor.llm.common import NOT_ALNUM, checkpoint, lower_ascii
+from tremor.llm.licence_texts import TEXTS
+
 #: Spellings that count as one (fixed values), applied to whole words in this order.
 SPELLINGS = [("licence", "license"), ("licences", "licenses"), ("licenced", "licensed"), ("organisation", "organization"), ("recognise", "recognize"), ("merchantibility", "merchantability"), ("whilst", "while"), ("v2", "version 2"), ("v3", "version 3")]
-COPYRIGHT = r"(?m)^[ \t]*(?:copyright\b|\(c\)|©)[^\n]*$"
+#: A copyright statement at the start of a line, up to the end of its sentence or of the line.
+COPYRIGHT = r"(?m)^[ \t]*(?:copyright\b|\(c\)|©)(?:[^\n.]|\.[^ \t\n])*\.?"
 #: The known table is broadcast up to this many rows and shuffled beyond.
 BROADCAST_ROWS = 100_000
+#: Words of a known text's start that a document must hold to be looked into.
+HEAD = 3
 
 
 def plain(text: Column) -> Column:
-    """Lower case, copyright lines out, punctuation to single spaces. Null and empty give ''."""
+    """Lower case, copyright statements out, punctuation to single spaces. Null and empty give ''."""
     c = F.regexp_replace(lower_ascii(F.coalesce(text, F.lit(""))), COPYRIGHT, " ")
     return F.trim(F.regexp_replace(c, NOT_ALNUM, " "))
 
@@ -47,28 +35,51 @@ def canonical(text: Column) -> Column:
     return spelled(plain(text))
 
 
-def known(spark: SparkSession, rows=NOTICES) -> DataFrame:
+def known(spark: SparkSession, rows=TEXTS) -> DataFrame:
     return spark.createDataFrame(rows, "license_id string, text string")
 
 
+def any_spelling(word: str) -> str:
+    """A regular expression of a canonical word and what SPELLINGS make it of."""
+    return "(?:" + "|".join([word, *[old for old, new in SPELLINGS if new == word]]) + ")"
+
+
 def scan(documents: DataFrame, licenses: DataFrame) -> DataFrame:
-    """One row per document: doc_id, license (of the whole text, else null), n_notices (lines that are a known text) and
-    notices (their ids, sorted and comma-joined).
+    """One row per document: doc_id, license (of the whole text, else null), n_notices (runs of lines that are a known text)
+    and notices (their ids, sorted and comma-joined).
 
-    A whole text and each of its lines is hashed after canonical() and looked up. A licence text may be any length; of two
-    ids with one digest the smaller counts. Empty or null texts and licences match nothing. Rows that repeat a
-    doc_id add up to one row; rows with a null doc_id take no part.
+    A known text is found where a run of whole lines has its digest after canonical(), however it is wrapped; the whole
+    text is such a run, too. Only documents that hold the first words of a known text are looked into, and there
+    only lines that begin with such a word: the words from there on, in as many as each known text of that
+    first word has, are hashed and the digests joined. Of two ids with one digest the smaller counts. Empty or null texts and
+    licences match nothing. Rows that repeat a doc_id add up to one row; rows with a null doc_id take no part.
     """
     small = licenses.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    table = licenses.select("license_id", canonical(F.col("text")).alias("c")).where("c != ''")
-    sizes = table.agg(F.min(F.length("c")).alias("a"), F.max(F.length("c")).alias("b")).first()
-    table = table.select(F.sha2("c", 256).alias("d"), "license_id").groupBy("d").agg(F.min("license_id").alias("license_id"))
+    texts = licenses.select("license_id", F.split(canonical(F.col("text")), " ").alias("k")).where("k[0] != ''")
+    table = texts.groupBy(F.sha2(F.array_join("k", " "), 256).alias("digest"), F.col("k")[0].alias("first"), F.size("k").alias("m"), F.slice("k", 1, HEAD).alias("head")).agg(F.min("license_id").alias("license_id"))
+    table = checkpoint(table)
     docs = documents.where("doc_id is not null").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    lines = F.transform(F.split("text", "\n"), lambda x: F.struct(F.lit(False).alias("whole"), x.alias("t")))
-    units = docs.select("doc_id", F.explode(F.concat(F.array(F.struct(F.lit(True).alias("whole"), F.col("text").alias("t"))), lines)).alias("u"))
-    units = units.select("doc_id", "u.whole", plain(F.col("u.t")).alias("p"))
-    # spelling makes a text at most 4.5 times longer or 1.5 times shorter, so others can't be equal to a known text
-    fits = F.length("p").between(int((sizes.a or 0) / 4.5), int((sizes.b or 0) * 1.5))
-    units = units.where(F.col("whole") | fits).select("doc_id", "whole", F.when(fits & (F.col("p") != ""), F.sha2(spelled(F.col("p")), 256)).alias("d"))
-    rows = units.join(F.broadcast(table) if small else table, "d", "left").where("whole or license_id is not null")
-    return rows.groupBy("doc_id").agg(F.min(F.when(F.col("whole"), F.col("license_id"))).alias("license"), F.count_if(~F.col("whole")).alias("n_notices"), F.array_join(F.array_sort(F.collect_set(F.when(~F.col("whole"), F.col("license_id")))), ",").alias("notices"))
+    longest = table.agg(F.max("m")).first()[0]
+    if not longest:
+        return docs.groupBy("doc_id").agg(F.lit(None).cast("string").alias("license"), F.lit(0).cast("long").alias("n_notices"), F.lit("").alias("notices"))
+    lines = docs.select("doc_id", F.filter(F.transform(F.split("text", "\n"), plain), lambda x: x != "").alias("lines"))
+    if small:  # first words as one expression; a larger table leaves all documents in
+        heads = sorted({tuple(r["head"]) for r in table.select("head").distinct().collect()})
+        holds = F.array_join("lines", " ").rlike(r"\b(?:" + "|".join(" ".join(any_spelling(w) for w in h) for h in heads) + r")\b")
+        firsts = F.array(*[F.lit(w) for w in sorted({h[0] for h in heads})])
+    else:
+        holds, firsts = F.lit(True), None
+    lines = lines.select("doc_id", F.when(holds, F.transform("lines", spelled)).otherwise(F.array()).alias("lines"))
+    word = lambda x: F.substring_index(x, " ", 1)
+    starts = F.expr("if(size(lines) = 0, array(), sequence(0, size(lines) - 1))")
+    starts = F.filter(starts, lambda i: F.array_contains(firsts, word(F.get("lines", i)))) if small else starts
+    # each line is a word or more, so a known text takes `longest` lines at most
+    rest = F.transform(starts, lambda i: F.struct(word(F.get("lines", i)).alias("first"), (i == 0).alias("begins"), F.slice("lines", i + 1, longest).alias("ahead"), (F.size("lines") - i).alias("left")))
+    at = lines.select("doc_id", F.explode_outer(rest).alias("x")).select("doc_id", "x.*")
+    ends = F.expr("aggregate(ahead, cast(array() as array<int>), (a, x) -> concat(a, array(if(size(a) = 0, 0, element_at(a, -1)) + size(split(x, ' ')))))")
+    at = at.select("doc_id", "first", "begins", "left", F.split(F.array_join("ahead", " "), " ").alias("w"), ends.alias("ends"))
+    rows = at.join(F.broadcast(table.drop("head")) if small else table.drop("head"), "first", "left")
+    same = F.array_contains("ends", F.col("m")) & (F.sha2(F.array_join(F.slice("w", 1, F.coalesce("m", F.lit(0))), " "), 256) == F.col("digest"))
+    whole = F.col("begins") & (F.element_at("ends", -1) == F.col("m")) & (F.size("ends") == F.col("left"))
+    found = rows.select("doc_id", F.when(same, F.col("license_id")).alias("id"), F.when(same & whole, F.col("license_id")).alias("whole"))
+    return found.groupBy("doc_id").agg(F.min("whole").alias("license"), F.count("id").alias("n_notices"), F.array_join(F.array_sort(F.collect_set("id")), ",").alias("notices"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tremor.llm import decontam, langid, licenses, linededup, lmscore, mixing, quality, simhash, topk, urls
+from tremor.llm import decontam, langid, licence_texts, licenses, linededup, lmscore, mixing, quality, simhash, topk, urls
 from tremor.llm.common import crc_mod, table
 
 
@@ -98,11 +98,11 @@ select s.doc_id, case when s.text is null then 0 else len(ls) end as n_lines, co
 from s left join o on s.doc_id = o.doc_id and s.r = o.r
 """
 
-_NOTICES = ", ".join("('{}', '{}')".format(i, t.replace("'", "''")) for i, t in licenses.NOTICES)
+_KNOWN = ", ".join("('{}', '{}')".format(i, t.replace("'", "''")) for i, t in licence_texts.TEXTS)
 
 
 def _canonical(text: str) -> str:
-    c = f"regexp_replace(translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '(?m)^[ \\t]*(?:copyright\\b|\\(c\\)|©)[^\\n]*$', ' ', 'g')"
+    c = f"regexp_replace(translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{licenses.COPYRIGHT}', ' ', 'g')"
     c = rf"trim(regexp_replace({c}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+', ' ', 'g'))"
     for old, new in licenses.SPELLINGS:
         c = rf"regexp_replace({c}, '\b{old}\b', '{new}', 'g')"
@@ -110,12 +110,14 @@ def _canonical(text: str) -> str:
 
 
 OP5 = f"""
-with known as (select {_canonical("text")} as c, min(license_id) as license_id from (values {_NOTICES}) v(license_id, text) group by 1 having c <> ''),
-d as (select doc_id, coalesce(text, '') as text from documents where doc_id is not null),
-w as (select doc_id, min(license_id) as license from d left join known on {_canonical("text")} = c group by doc_id),
-n as (select doc_id, count(*) as n, string_agg(distinct license_id, ',' order by license_id) as ids
-      from (select doc_id, unnest(string_split(text, chr(10))) as line from d) join known on {_canonical("line")} = c group by doc_id)
-select w.doc_id, license, coalesce(n, 0) as n_notices, coalesce(ids, '') as notices from w left join n using (doc_id)
+with known as (select {_canonical("text")} as k, min(license_id) as license_id from (values {_KNOWN}) v(license_id, text) group by 1 having k <> ''),
+d as (select doc_id, text, row_number() over () as r from (select doc_id, coalesce(text, '') as text from documents where doc_id is not null)),
+l as (select r, i, {_canonical("line")} as c from (select r, ls[i] as line, i from (select r, ls, unnest(generate_series(1, len(ls))) as i from (select r, string_split(text, chr(10)) as ls from d)))),
+p as (select r, i, c, sum(len(string_split(c, ' '))) over (partition by r order by i) as upto, len(string_split(c, ' ')) as n from l where c <> ''),
+t as (select r, string_split(string_agg(c, ' ' order by i), ' ') as w from p group by r),
+s as (select r, upto - n as before, license_id, len(string_split(k, ' ')) as m, k from p, known where split_part(c, ' ', 1) = split_part(k, ' ', 1)),
+f as (select s.r, license_id, before = 0 and m = len(w) as whole from s join t using (r) where array_to_string(w[before + 1:before + m], ' ') = k and exists (select 1 from p where p.r = s.r and p.upto = before + m))
+select doc_id, min(license_id) filter (where whole) as license, count(license_id) as n_notices, coalesce(string_agg(distinct license_id, ',' order by license_id), '') as notices from d left join f using (r) group by doc_id
 """
 
 OP6 = """
