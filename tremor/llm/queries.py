@@ -123,8 +123,8 @@ select doc_id, min(license_id) filter (where whole) as license, count(license_id
 OP6 = """
 with v as (select vec_id, min(x) as x from (
         select vec_id, list_transform(embedding, lambda e: cast(floor(256 * cast(e as double)) as double)) as x from embeddings
-        where vec_id is not null and len(embedding) > 0 and len(list_filter(embedding, lambda e: e is null or not isfinite(e))) = 0) group by vec_id),
-s as (select q.vec_id as query_id, c.vec_id, cast(list_dot_product(q.x, c.x) as bigint) as score from v q, v c where q.vec_id % 50 = 0 and q.vec_id <> c.vec_id),
+        where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda e: e is null or not isfinite(e))) = 0) group by vec_id),
+s as (select q.vec_id as query_id, c.vec_id, cast(coalesce(list_dot_product(q.x, c.x), 0) as bigint) as score from v q, v c where q.vec_id % 50 = 0 and q.vec_id <> c.vec_id),
 r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as k from s)
 select query_id, cast(k as integer) as rank, vec_id, score from r where k <= 5
 """

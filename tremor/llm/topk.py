@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import io
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Rows of an index block and queries of a query block; a task holds one of each.
-BLOCK_ROWS, BLOCK_QUERIES = 16_384, 256
+from tremor.llm.common import checkpoint
+
+#: Rows of an index block, a task's share of queries (of all tasks of a block), and queries in a row that is streamed past it.
+BLOCK_ROWS, SHARE_QUERIES, BATCH_QUERIES = 65_536, 2_048, 64
 
 
 def slices(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -19,8 +23,12 @@ def slices(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     width = max(1, int(rest.max(initial=0)).bit_length())
     pad = -len(values) % 64
     rest = np.pad(rest, ((0, pad), (0, 0)))
-    bits = (rest.T[:, None, :] >> np.arange(width, dtype=np.uint64)[None, :, None]) & np.uint64(1)
-    return np.packbits(bits.astype(np.uint8), axis=2, bitorder="little").view(np.uint64), least
+    out = np.empty((rest.shape[1], width, len(rest) // 64), np.uint64)
+    rest = np.ascontiguousarray(rest.T)
+    for b in range(width):
+        bit = ((rest >> np.uint64(b)) & np.uint64(1)).astype(np.uint8)
+        out[:, b] = np.packbits(bit, axis=1, bitorder="little").view(np.uint64)
+    return out, least
 
 
 def add_slices(index: np.ndarray, query: np.ndarray) -> list[np.ndarray]:
@@ -74,59 +82,97 @@ def top_rows(sums: list[np.ndarray], live: np.ndarray, k: int) -> np.ndarray:
     return np.flatnonzero(np.unpackbits((sure | rest).view(np.uint8), bitorder="little"))
 
 
-def search(embeddings: DataFrame, queries: DataFrame, k: int, scale: float = 256.0, block_rows: int = BLOCK_ROWS, block_queries: int = BLOCK_QUERIES) -> DataFrame:
-    """(query_id, rank, vec_id, score): each query's k best rows but its own, by integer inner product, ties to smaller ids.
+def usable(df: DataFrame, scale: float) -> DataFrame:
+    """(vec_id, x): vectors as integers floor(scale * x), one a vec_id."""
+    x = F.transform("embedding", lambda v: F.floor(v.cast("double") * scale).cast("long"))
+    finite = ~F.exists("embedding", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
+    good = F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & finite
+    return df.where(F.coalesce(good, F.lit(False))).select("vec_id", x.alias("x")).groupBy("vec_id").agg(F.min("x").alias("x"))
+
+
+def matrix(ids, lists) -> tuple[np.ndarray, np.ndarray]:
+    """(ids in order, values [row, dimension]) of Arrow columns; shorter vectors are filled up with 0."""
+    ids, lists = np.asarray(ids), lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
+    off = np.asarray(lists.offsets).astype(np.int64)
+    vals, size = np.asarray(lists.values), np.diff(off)
+    out = np.zeros((len(ids), int(size.max(initial=0))), np.int64)
+    out[np.repeat(np.arange(len(ids)), size), np.arange(off[0], off[-1]) - np.repeat(off[:-1], size)] = vals[off[0] : off[-1]]
+    order = np.argsort(ids, kind="stable")
+    return ids[order], out[order]
+
+
+def packed(array: np.ndarray) -> bytes:
+    out = io.BytesIO()
+    np.save(out, array)
+    return out.getvalue()
 
-    Components become floor(scale * x). Vectors that are null or empty or hold null or non-finite components, and null
-    ids, take no part. Of rows that repeat a vec_id the least vector counts. Vectors that are shorter than others of their block
-    are filled up with 0. Scores must fit in 63 bits. A block of rows is indexed in one task and meets the queries
-    in blocks: each query block goes to each row block, which gives its own k best, of which the k best are kept.
-    """
-    spark = embeddings.sparkSession
 
-    def ready(df):
-        x = F.transform("embedding", lambda v: F.floor(v.cast("double") * scale).cast("long"))
-        good = F.col("vec_id").isNotNull() & F.coalesce(F.size("embedding") > 0, F.lit(False)) & ~F.exists("embedding", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
-        return df.where(F.coalesce(good, F.lit(False))).select("vec_id", x.alias("x")).groupBy("vec_id").agg(F.min("x").alias("x"))
+def unpacked(data: bytes) -> np.ndarray:
+    return np.load(io.BytesIO(data))
 
-    rows, asked = ready(embeddings), ready(queries)
+
+def build_index(rows: DataFrame, blocks: int) -> DataFrame:
+    """(block, ids, slices, vectors), written through a checkpoint: each block's rows sliced once, all as bytes."""
+
+    def build(table: pa.Table) -> pa.Table:
+        ids, values = matrix(table.column("vec_id"), table.column("x"))
+        cut, _ = slices(values) if values.shape[1] else (np.zeros((0, 1, -(-len(ids) // 64)), np.uint64), None)
+        return pa.table({"block": table.column("block")[:1], "ids": [packed(ids)], "slices": [packed(cut)], "vectors": [packed(values.astype(np.int32) if np.abs(values).max(initial=0) < 1 << 31 else values)]})
+
+    part = F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("block")
+    return checkpoint(rows.select(part, "vec_id", "x").groupBy("block").applyInArrow(build, "block int, ids binary, slices binary, vectors binary"))
+
+
+def search(embeddings: DataFrame, queries: DataFrame, k: int, scale: float = 256.0, block_rows: int = BLOCK_ROWS, share: int = SHARE_QUERIES, batch: int = BATCH_QUERIES) -> DataFrame:
+    """(query_id, rank, vec_id, score): each query's k best rows but its own, by integer inner product, ties to smaller ids.
+
+    Components become floor(scale * x). Vectors that are null or hold null or non-finite components, and null ids, take
+    no part; empty ones score 0. Of rows that repeat a vec_id the least vector counts. Vectors that are shorter than
+    others are filled up with 0. Scores must fit in 63 bits. Each block of rows is sliced once and its index written;
+    a task reads a block's index once and the queries of its share stream past it, and gives the k best of the
+    block for each, of which the k best are kept.
+    """
+    rows, asked = usable(embeddings, scale), usable(queries, scale)
     n, m = rows.count(), asked.count()
-    blocks, parts = max(1, -(-n // block_rows)), max(1, -(-m // block_queries))
-    part = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
-    index = rows.select(part(blocks).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), "vec_id", "x")
-    asks = asked.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("int").alias("part"), "vec_id", "x")
-
-    def matrix(table):
-        ids, lists = np.asarray(table.column("vec_id")), table.column("x").combine_chunks()
-        off = np.asarray(lists.offsets).astype(np.int64)
-        vals, size = np.asarray(lists.values), np.diff(off)
-        out = np.zeros((len(ids), int(size.max(initial=0))), np.int64)
-        out[np.repeat(np.arange(len(ids)), size), np.arange(off[0], off[-1]) - np.repeat(off[:-1], size)] = vals[off[0] : off[-1]]
-        order = np.argsort(ids, kind="stable")
-        return ids[order], out[order]
-
-    def best(left, right):
-        if not left.num_rows or not right.num_rows:
-            return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.int64())})
-        ids, values = matrix(left)
-        qids, qs = matrix(right)
-        dims = max(values.shape[1], qs.shape[1])
-        values, qs = (np.pad(a, ((0, 0), (0, dims - a.shape[1]))) for a in (values, qs))
-        cut, _ = slices(values)
-        everyone = np.packbits(np.arange(cut.shape[2] * 64) < len(ids), bitorder="little").view(np.uint64)
-        got = []
-        for qid, q in zip(qids, qs):
+    blocks, shares = max(1, -(-n // block_rows)), max(1, -(-m // share))
+    index = build_index(rows, blocks).withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))))
+    groups = max(1, -(-m // batch))
+    group = F.pmod(F.xxhash64("vec_id"), F.lit(groups)).cast("int")
+    asks = asked.groupBy(group.alias("group")).agg(F.collect_list(F.struct("vec_id", "x")).alias("q")).withColumn("share", F.pmod("group", F.lit(shares)))
+    asks = asks.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    none = lambda *names: [F.lit(None).cast("binary").alias(c) for c in names]
+    empty = F.lit(None).cast(asks.schema["q"].dataType).alias("q")
+    left = index.select("block", "share", F.lit(-1).alias("group"), "ids", "slices", "vectors", empty)
+    right = asks.select("block", "share", "group", *none("ids", "slices", "vectors"), "q")
+    stream = left.unionByName(right).repartition(blocks * shares, "block", "share").sortWithinPartitions("block", "share", "group")
+
+    def run(batches):
+        ids = values = cut = everyone = None
+        for part in batches:
+            got = []
+            for r in range(part.num_rows):
+                if part.column("group")[r].as_py() < 0:
+                    ids, values, cut = (unpacked(part.column(c)[r].as_py()) for c in ("ids", "vectors", "slices"))
+                    everyone = np.packbits(np.arange(cut.shape[2] * 64) < len(ids), bitorder="little").view(np.uint64)
+                elif ids is not None:
+                    q = part.column("q").slice(r, 1).flatten()
+                    got += best(ids, values, cut, everyone, *matrix(q.field("vec_id"), q.field("x")))
+            if got:
+                a, b, c = (np.concatenate(x) for x in zip(*got))
+                yield pa.RecordBatch.from_pydict({"query_id": a.astype(np.int64), "vec_id": b.astype(np.int64), "score": c.astype(np.int64)})
+
+    def best(ids, values, cut, everyone, qids, qs):
+        dims = min(values.shape[1], qs.shape[1])
+        for qid, q in zip(qids, qs[:, :dims]):
             live = everyone.copy()
             own = np.searchsorted(ids, qid)
             if own < len(ids) and ids[own] == qid:
                 live[own // 64] &= ~(np.uint64(1) << np.uint64(own % 64))
-            found = top_rows(add_slices(cut, q), live, k)
-            exact = values[found] @ q  # the boundary's ties are resolved on exact scores
+            found = top_rows(add_slices(cut[:dims], q), live, k)
+            exact = values[found][:, :dims].astype(np.int64) @ q  # the boundary's ties are resolved on exact scores
             order = np.lexsort((ids[found], -exact))[:k]
-            got.append((np.full(len(order), qid), ids[found][order], exact[order]))
-        a, b, c = (np.concatenate(x) for x in zip(*got))
-        return pa.table({"query_id": a, "vec_id": b, "score": c})
+            yield np.full(len(order), qid), ids[found][order], exact[order]
 
-    found = index.groupBy("block", "part").cogroup(asks.groupBy("block", "part")).applyInArrow(best, "query_id long, vec_id long, score long")
+    found = stream.mapInArrow(run, "query_id long, vec_id long, score long")
     order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
