@@ -25,7 +25,18 @@ def features(documents: DataFrame, *keep: str) -> DataFrame:
     share = lambda chars: (size - F.length(F.translate("text", chars, ""))) / F.greatest(size, F.lit(1))
     per_word = lambda x: x / F.greatest(n, F.lit(1))
     twice = F.expr("if(size(w) < 2, 0, size(filter(w, (x, i) -> i > 0 and x = w[greatest(i - 1, 0)])))")
-    return t.select(*keep, F.least(n, F.lit(10**6)).cast("double").alias("n_words"), per_word(size).alias("word_length"), share(PUNCT).alias("punct"), share(UPPER).alias("upper"), share("0123456789").alias("digits"), per_word(F.size(F.array_distinct("w"))).alias("distinct"), per_word(twice).alias("repeats"), (n / F.greatest(F.size(F.split("text", "\n")), F.lit(1))).alias("line_words"), per_word(F.size(F.filter("w", lambda x: F.length(x) > 12))).alias("long_words"))
+    return t.select(
+        *keep,
+        n.cast("double").alias("n_words"),
+        per_word(size).alias("word_length"),
+        share(PUNCT).alias("punct"),
+        share(UPPER).alias("upper"),
+        share("0123456789").alias("digits"),
+        per_word(F.size(F.array_distinct("w"))).alias("distinct"),
+        per_word(twice).alias("repeats"),
+        (n / F.greatest(F.size(F.split("text", "\n")), F.lit(1))).alias("line_words"),
+        per_word(F.size(F.filter("w", lambda x: F.length(x) > 12))).alias("long_words"),
+    )
 
 
 def tree_rules(debug: str) -> list[list[tuple[int, str, float]]]:
