@@ -280,7 +280,10 @@ def test_topk(spark):
     v = np.round(rng.normal(0, 0.3, (300, 7)), 1).astype(np.float32)
     rows = [(i, [float(x) for x in r], 0, "x") for i, r in enumerate(v)] + [(5, [float(x) for x in v[5]], 0, "x"), (900, None, 0, "x"), (950, [float("nan")] * 7, 0, "x"), (None, [1.0] * 7, 0, "x"), (1000, [], 0, "x"), (1050, [1.0, None], 0, "x")]
     df = spark.createDataFrame(rows, EMBED)
-    got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in topk.search(df, df.where("vec_id % 50 = 0"), 5, block_rows=100, block_queries=2).collect()}
+    rows.pop(-2)
+    df = spark.createDataFrame(rows, EMBED)
+    got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in topk.search(df, df.where("vec_id % 50 = 0"), 5, block_rows=100, share=2, batch=1).collect()}
+    assert got == {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in topk.search(df, df.where("vec_id % 50 = 0"), 5).collect()}
     x = np.floor(256 * v.astype(np.float64)).astype(int)
     want = {}
     for q in range(0, 300, 50):
@@ -288,6 +291,8 @@ def test_topk(spark):
         want |= {(q, k + 1): (c, -s) for k, (s, c) in enumerate(best)}
     assert got == want
     assert topk.search(df.limit(0), df.limit(0), 5).collect() == []
+    few = spark.createDataFrame([(50, [], 0, "x"), (51, [1.0], 0, "x"), (52, [-1.0, 2.0], 0, "x")], EMBED)
+    assert [tuple(r) for r in topk.search(few, few.where("vec_id in (50, 52)"), 5).orderBy("query_id", "rank").collect()] == [(50, 1, 51, 0), (50, 2, 52, 0), (52, 1, 50, 0), (52, 2, 51, -65536)]
 
 
 def test_quality(spark):
@@ -300,6 +305,38 @@ def test_quality(spark):
     assert any(len(rule) > 0 for rule, _ in model["rules"])
 
 
+def plain_features(t):
+    """The statistics of a text in plain Python."""
+    w = [x for x in re.split("[\x20\x09-\x0d]+", t or "") if x]
+    n, t = len(w), t or ""
+    share = lambda chars: sum(c in chars for c in t) / max(len(t), 1)
+    per = lambda x: x / max(n, 1)
+    return [float(n), per(len(t)), share(quality.PUNCT), share(quality.UPPER), share("0123456789"), per(len(set(w))), per(sum(a == b for a, b in zip(w, w[1:]))), n / (t.count("\n") + 1), per(sum(len(x) > 12 for x in w))]
+
+
+def test_quality_brute_force(spark):
+    """Scores are the fitted rules' weights through a logistic, on statistics counted in plain Python; held-out labels are met."""
+    sf = "/root/testdata/sf0.01"
+    d, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    model = quality.fit(d, labels, crc_mod(F.col("doc_id"), 4) != 2)
+    assert 0 < len(model["rules"]) and all(w for _, w in model["rules"])
+    texts = {r.doc_id: r.text for r in d.collect()} | {-1: None, -2: "", -3: "a" * 50_000 + " b\n\nB 1!", -4: "x " * 300_000}
+    got = {r.doc_id: r for r in quality.classify(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), model).collect()}
+    for i, t in texts.items():
+        f = plain_features(t)
+        total = model["bias"] + sum(w for rule, w in model["rules"] if all(f[k] <= x if op == "<=" else f[k] > x for k, op, x in rule))
+        assert math.isclose(got[i].score, 1 / (1 + math.exp(-total)), rel_tol=1e-6) and got[i].predicted == (got[i].score >= 0.7)
+    held = [r for r in labels.collect() if r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 4 == 2 and r.quality is not None]
+    assert sum((got[r.doc_id].score >= 0.5) == (r.quality == 1) for r in held) >= 0.95 * len(held)
+
+
+def test_language_held_out(spark):
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = langid.predict(d, langid.fit(d, crc_mod(F.col("doc_id"), 3) != 1)).join(d.select("doc_id", "lang"), "doc_id")
+    held = got.where((crc_mod(F.col("doc_id"), 3) == 1) & F.col("lang").isNotNull())
+    assert held.where("lang = lang_pred").count() >= 0.98 * held.count()
+
+
 def test_simhash_brute_force(spark):
     rng = np.random.default_rng(2)
     base = [" ".join(f"w{k}" for k in rng.integers(0, 500, 80)) for _ in range(12)]
@@ -344,6 +381,18 @@ def test_simhash_links(spark, bits, pairs_up_to, key_rows):
     assert got == reach(values, lambda u, v: (u ^ v).bit_count() <= bits)
 
 
+def test_forest_has_the_components_of_all_edges():
+    rng = np.random.default_rng(9)
+    for n, m in ((1, 0), (2, 1), (30, 25), (30, 300)):
+        a, b = rng.integers(0, n, m), rng.integers(0, n, m)
+        a, b = a[a != b], b[a != b]
+        w = rng.integers(0, 4, len(a))
+        tree = simhash.forest(n, a, b, w)
+        near = lambda edges: (lambda u, v: u == v or (u, v) in edges or (v, u) in edges)
+        want, got = (reach(range(n), near(set(zip(a[k].tolist(), b[k].tolist())))) for k in (slice(None), tree))
+        assert want == got and len(tree) == n - len(set(want.values()))
+
+
 def jaccard(a, b):
     x, y = ({tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set() for w in (words(a), words(b)))
     return len(x & y) / len(x | y) if x | y else 1.0
@@ -399,6 +448,33 @@ def test_mixing(spark):
     assert sorted(map(tuple, got), key=repr) == sorted(map(tuple, mixing.mix(docs(spark, rows), ranges=16).collect()), key=repr)
 
 
+def test_urls_held_out(spark):
+    """URLs that the rules decide, a third held out: the trees agree with the rules, and judge like pages alike."""
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
+    labelled = urls.rule_labels(pages).distinct()
+    held = F.pmod(F.crc32(F.col("url").cast("binary")), F.lit(3)) == 0
+    model = urls.fit(labelled.where(~held))
+    test = labelled.where(held).withColumn("page_id", F.col("url"))
+    got = urls.judge(test, model, rules=[]).join(test, "page_id").collect()
+    right = sum((r.verdict == "block") == (r.label == 1.0) for r in got)
+    assert len(got) > 50 and right >= 0.9 * len(got)
+    again = urls.judge(test.unionByName(test), model, rules=[]).groupBy("page_id").agg(F.countDistinct("block_score").alias("n")).where("n > 1")
+    assert again.count() == 0
+
+
+def test_url_features_and_rates(spark):
+    u = ["http://ab.de/x/1?q=1&r=2#f", "http://ab.de/y/2", None, "http://c-d.ef.fr/x/17.html"]
+    rows = [r.asDict() for r in urls.lexical(spark.createDataFrame([(x,) for x in u], "url string")).collect()]
+    assert rows[0]["values"] == ["de", "ab.de", "x", "1", "1"] and rows[3]["values"] == ["fr", "ef.fr", "x", "17.html", "1"] and rows[2]["values"] == [""] * 5
+    assert (rows[0]["n_params"], rows[0]["has_fragment"], rows[0]["depth"], rows[3]["has_extension"], rows[3]["hyphens"]) == (2, 1, 2, 1, 1)
+    for r, x in zip(rows, u):
+        n = Counter(x or "")
+        assert math.isclose(r["entropy"], -sum(c / n.total() * math.log2(c / n.total()) for c in n.values()), abs_tol=1e-12)
+    many = spark.createDataFrame([(f"http://h{i}.de/a/{i}", 1.0) for i in range(8)] + [("http://z.fr/b", 0.0)] * 9, "url string, label double")
+    rates = urls.learned_rates(urls.lexical(many, "label"), 0.5)
+    assert rates[0] == {"de": (8 + 2.5) / 13, "fr": 2.5 / 14} and "h1.de" not in rates[1]
+
+
 def test_urls(spark):
     u = ["http://A.org/x", "https://example.org/es/1?q", "http://x.example.org/en/12", "http://b.com/fr/1", "http://b.com/de/", "http://b.net/de/", "no scheme", None, "http://c.org", "http://notorg/x", ""]
     pages = spark.createDataFrame([(i, x, None) for i, x in enumerate(u)], "page_id long, url string, host string")
