@@ -138,7 +138,8 @@ def pivot_filter(max_bits: int):
         for r in refs:
             d = np.bitwise_count(fp ^ r).astype(np.int16)
             keep = keep[np.abs(d[a[keep]] - d[b[keep]]) <= max_bits]
-        return keep[np.bitwise_count(fp[a[keep]] ^ fp[b[keep]]) <= max_bits]
+        bits = np.bitwise_count(fp[a[keep]] ^ fp[b[keep]])
+        return keep[bits <= max_bits], bits[bits <= max_bits]
 
     return close
 
@@ -148,14 +149,40 @@ def bits_filter(max_bits: int):
 
     def close(values, a, b):
         d = sum(np.bitwise_count(v.view(np.uint64)[a] ^ v.view(np.uint64)[b]).astype(np.int64) for v in values)
-        return np.flatnonzero(d <= max_bits)
+        keep = np.flatnonzero(d <= max_bits)
+        return keep, d[keep]
 
     return close
 
 
+def forest(n: int, a: np.ndarray, b: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Places of the edges (a, b) of n rows that make a spanning forest of least weight: in rounds, each tree takes its lightest edge to another."""
+    order = np.lexsort((b, a, weight))
+    a, b, kept = a[order], b[order], [np.zeros(0, np.int64)]
+    label, live = np.arange(n), np.arange(len(a))
+    while True:
+        x, y = label[a[live]], label[b[live]]
+        live, x, y = live[x != y], x[x != y], y[x != y]
+        if not len(live):
+            return order[np.concatenate(kept)]
+        best = np.full(n, len(a))
+        np.minimum.at(best, x, live)
+        np.minimum.at(best, y, live)
+        chosen = np.unique(best[best < len(a)])
+        kept.append(chosen)
+        x, y, parent, before = label[a[chosen]], label[b[chosen]], np.arange(n), None
+        while before is None or (parent != before).any():
+            before = parent.copy()
+            np.minimum.at(parent, x, parent[y])
+            np.minimum.at(parent, y, parent[x])
+            parent = parent[parent]
+        label = parent[label]
+
+
 def meet(keyed: DataFrame, pairs_up_to: int, close, key_rows: int = KEY_ROWS, shares: int = 64) -> tuple[DataFrame, DataFrame]:
-    """(pairs, dense) of rows (key, numbers..): pairs has columns a_.. and b_.. of the pairs of rows of one key, in keys of up
-    to `pairs_up_to` rows, that `close` keeps; dense has the rows of all larger keys.
+    """(pairs, dense) of rows (key, numbers..): of the pairs of rows of one key that `close` keeps, pairs has those, as columns
+    a_.. and b_.., that make a spanning forest of least differing bits, for keys of up to `pairs_up_to` rows; dense has the rows of
+    all larger keys.
 
     Rows are sorted by key and streamed, a key's rows held only until there are more than `pairs_up_to`. Keys of very many rows,
     as counted in a 64th of all rows by a hash, need no place of their own: their rows are dense wherever they lie.
@@ -184,16 +211,18 @@ def meet(keyed: DataFrame, pairs_up_to: int, close, key_rows: int = KEY_ROWS, sh
             starts = np.flatnonzero(np.diff(now, prepend=now[:1] - 1)) if end else np.zeros(0, np.int64)
             sizes = np.diff(starts, append=end)
             many = np.repeat((sizes > pairs_up_to) | (now[starts] == large if large is not None else False), sizes) if end else np.zeros(0, bool)
-            found = [(np.zeros(0, np.int64),) * 2]
+            found = [(np.zeros(0, np.int64),) * 3]
             few = np.flatnonzero(~many)
             for step in range(1, pairs_up_to):
                 a, b = few[:-step], few[step:]
                 a, b = (x[now[a] == now[b]] for x in (a, b))
                 if not len(a):
                     break
-                keep = close(part, a, b)
-                found.append((a[keep], b[keep]))
-            a, b = (np.concatenate(x) for x in zip(*found))
+                keep, bits = close(part, a, b)
+                found.append((a[keep], b[keep], bits))
+            a, b, bits = (np.concatenate(x) for x in zip(*found))
+            tree = forest(end, a, b, bits)
+            a, b = a[tree], b[tree]
             rows = np.flatnonzero(many)
             if len(a) + len(rows):
                 cols = {"key": pa.array(np.concatenate([now[a], now[rows]])), "pair": pa.array(np.arange(len(a) + len(rows)) < len(a))}
@@ -417,10 +446,10 @@ def near_copies(documents: DataFrame, shingle: int = NEAR_SHINGLE, least: float
     `shingle`-word shingles have a similarity of `least` or more.
 
     Candidates are 128-bit fingerprints of up to NEAR_BITS differing bits that share a bucket of sampled bits; texts of
-    one such fingerprint count as copies. Pairs of a bucket of up to `pairs_up_to` fingerprints are compared by
-    their whole texts. In a larger bucket, all members are compared with its centre; only where that leaves it in several
-    components, its blocks are searched for the pairs of least differing bits between them, and those compared. So
-    no bucket emits all its pairs, and none is cut short.
+    one such fingerprint count as copies. Of each bucket, the pairs of a spanning forest of least differing bits are compared by
+    their whole texts. In a bucket of more than `pairs_up_to` fingerprints, all members are compared with its centre
+    first; only where that leaves it in several components, its blocks are searched for the forest that connects
+    these. So no bucket emits all its pairs, and none is cut short.
     """
     docs = documents.where("doc_id is not null").select("doc_id", "text")
     fps = checkpoint(fingerprints(docs, shingle, 2))
