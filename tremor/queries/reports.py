@@ -93,8 +93,8 @@ def multiprotocol_summary(spark, d):
     return n.join(a, "protocol").crossJoin(span).select("protocol", "n_episodes", "n_detected", "prevalence", "auprc", lift, "n_t_min", "n_t_max")  # span is one row
 
 
-_FRONTIER = _TUNE.replace("pe as", f"""vals as (select score, row_number() over (order by score) - 1 as at, count(*) over () as n from (select distinct score from ls where score >= {CUT})),
-th as (select score as threshold from vals where n <= 14 or at in (select cast(floor(k * (n - 1) / 13.0::double) as bigint) from (select unnest(generate_series(0, 13)) as k))),
+_FRONTIER = _TUNE.replace("pe as", f"""vals as (select score, row_number() over (order by score) - 1 as place, count(*) over () as n from (select distinct score from ls where score >= {CUT})),
+th as (select score as threshold from vals where n <= 14 or place in (select cast(floor(k * (n - 1) / 13.0::double) as bigint) from (select unnest(generate_series(0, 13)) as k))),
 rs as (select i, block, round(score, 6) as score, coalesce(lag(round(score, 6)) over (order by i), -1) as before from scores),
 ed as (select threshold, block from th join rs on score >= threshold and before < threshold),
 fa as (select threshold, count(*) as n from ed where not exists (select 1 from eps where block >= start_block - {LEAD} and block <= end_block) group by threshold),
