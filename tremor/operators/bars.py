@@ -39,14 +39,12 @@ def channel_counts(liq: DataFrame, width: int, origin: int, channels: list[str])
 
 def stress_windows(bars: DataFrame, window: int, least: int, z: float) -> DataFrame:
     """[start_block, next start) of runs of bars whose USD is z deviations above the mean of the `window` bars before them."""
-    from tremor.operators.intervals import trailing
+    from tremor.operators.intervals import runs, trailing
 
     rows = trailing(bars, [], "i", window + 1, m=lambda w: F.avg("liquidated_usd").over(w.rowsBetween(-window, -1)), s=lambda w: F.stddev_pop("liquidated_usd").over(w.rowsBetween(-window, -1)), c=lambda w: F.count("*").over(w.rowsBetween(-window, -1)))
     hot = rows.where((F.col("c") >= least) & (F.col("s") > 0) & (F.col("liquidated_usd") - F.col("m") >= z * F.col("s")))
-    # flagged bars are few; runs are found among them alone
-    w = W.orderBy("i")
-    runs = hot.withColumn("g", F.col("i") - F.row_number().over(w))
-    return runs.groupBy("g").agg(F.min("start_block").alias("start_block"), F.max("end_block").alias("end_block"), F.count("*").alias("n_bars")).drop("g")
+    found = runs(hot, [], "i", 1)
+    return found.groupBy("run").agg(F.min("start_block").alias("start_block"), F.max("end_block").alias("end_block"), F.count("*").alias("n_bars")).drop("run")
 
 
 def percentiles(df: DataFrame, by: list[str], value: str, at: list[float], cells: int = 4096) -> DataFrame:

@@ -110,8 +110,8 @@ _FILES = ", files as (select block_number // 2000 as f, min(block_number) as a,
 @query(cte("ev") + _FILES + " select prev + 1 as gap_start, a - 1 as gap_end from (select *, max(b) over (order by a rows between unbounded preceding and 1 preceding) as prev from files) where a > prev + 1")
 def coverage_gaps(spark, d):
     f = A.events(spark, d).where("block_number % 2000 < 1500 and floor(block_number / 2000) % 7 != 3").groupBy(F.floor(F.col("block_number") / 2000).alias("f")).agg(F.min("block_number").alias("a"), F.max("block_number").alias("b"))
-    prev = F.max("b").over(W.orderBy("a").rowsBetween(W.unboundedPreceding, -1))  # a row per file
-    return f.withColumn("prev", prev).where("a > prev + 1").select((F.col("prev") + 1).alias("gap_start"), (F.col("a") - 1).alias("gap_end"))
+    f = intervals.running(f, [], "a", ["a"], inclusive=False, prev=("max", F.col("b")))
+    return f.where("a > prev + 1").select((F.col("prev") + 1).alias("gap_start"), (F.col("a") - 1).alias("gap_end"))
 
 
 @query(cte("idx") + """ select reserve, min(block_number) as start_block, max(block_number) as end_block, count(*) as n from (select *, sum(case when p is null or block_number - p > 1000 then 1 else 0 end) over (partition by reserve order by block_number rows unbounded preceding) as g
