@@ -12,7 +12,7 @@ from tremor.plans import hawkes, multifit
 from tremor.plans import state as S
 from tremor.plans.anchors import snapshot_anchors as anchors
 from tremor.queries.alarms import ALPHA, MU, SCORES, score_table
-from tremor.queries.cascades import BARS, stress_windows
+from tremor.queries.cascades import BARS, STRESS, stress_windows
 from tremor.queries.graph import _NODES
 from tremor.queries.models import CHANNELS, _channel_bars
 from tremor.queries.registry import ORACLE_SQL, once, query
@@ -115,7 +115,12 @@ def onchain_crosscheck(spark, d):
     return s.agg(F.count("*").alias("n"), F.count_if("confirmed").alias("n_confirmed"), F.avg(c).alias("mean_collateral_diff"), F.percentile(c, 0.5).alias("median_collateral_diff"), F.avg(b).alias("mean_debt_diff"), F.percentile(b, 0.5).alias("median_debt_diff"))
 
 
-@query()
+@query(
+    (cte("grid") + BARS + STRESS).replace("with ", "with recursive ", 1).replace("stress as (", "stress as materialized (")
+    + """, ends as materialized (select min(block_number) as lo, max(block_number) as hi from liq),
+walk as (select lo as block from ends where hi > lo union all select block + case when exists (select 1 from stress where start_block < block + 25 and end_block > block) then 5 else 25 end from walk where block < (select hi from ends))
+select block from walk where block < (select hi from ends)"""
+)
 def snapshot_anchors(spark, d):
     lo, hi = B.bounds(A.liquidations(spark, d))
     return anchors(stress_windows(spark, d), lo, hi)
