@@ -142,7 +142,7 @@ def exact_score(text, toks, held):
 
 def test_filter_holds_every_count(spark):
     rng = np.random.default_rng(2)
-    ids, n = np.unique(rng.integers(-(1 << 63), 1 << 63, 3000)), None
+    ids = np.unique(rng.integers(-(1 << 57), 1 << 57, 3000)) << 6
     n = rng.integers(1, 5000, len(ids))
     rows = [(int(i), int(c) - int(c) // 2) for i, c in zip(ids, n)] + [(int(i), int(c) // 2) for i, c in zip(ids, n) if c > 1]
     bits = lmscore.build_filter(spark.createDataFrame(rows, "id long, n long"), 20)
@@ -152,11 +152,19 @@ def test_filter_holds_every_count(spark):
 
 def test_filter_has_no_largest_size_and_folds(spark):
     assert all(8 * m <= 1 << lmscore.filter_log2(m) <= max(1 << 22, 16 * m) for m in (1, 10**6, 10**8, 10**10, 10**13))
-    ids = np.random.default_rng(5).integers(-(1 << 63), 1 << 63, 2000)
+    ids = np.random.default_rng(5).integers(-(1 << 57), 1 << 57, 2000) << 6
     counts = spark.createDataFrame([(int(i), 1 + k % 9) for k, i in enumerate(ids)], "id long, n long")
-    parts = lmscore.build_segments(counts, 22, 11)
+    cut_rows = lmscore.segment_rows(counts, 11)
+    parts = lmscore.build_segments(cut_rows, 22, 11)
     assert parts.agg(F.sum("members")).first()[0] == sum(int(lmscore.level(np.array([1 + k % 9]))[0]) for k in range(len(ids)))
-    assert (lmscore.gathered(lmscore.folded(parts, 20, 11), 20, 11) == lmscore.gathered(lmscore.folded(lmscore.build_segments(counts, 20, 11), 20, 11), 20, 11)).all()
+    assert (lmscore.gathered(lmscore.folded(parts, 20, 11), 20, 11) == lmscore.gathered(lmscore.folded(lmscore.build_segments(cut_rows, 20, 11), 20, 11), 20, 11)).all()
+
+
+def test_ids_in_six_bytes():
+    for known in (10, 13, 20):
+        ids = np.sort((np.random.default_rng(8).integers(-(1 << 57), 1 << 57, 500) << 6).view(np.uint64))
+        first = ids >> np.uint64(64 - known)
+        assert (lmscore.from_low_bytes(lmscore.low_bytes(ids.view(np.int64), known), first, known).view(np.uint64) == ids).all()
 
 
 def test_lm_score_of_a_filter_in_a_table(spark):

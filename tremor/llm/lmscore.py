@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tremor.llm.common import checkpoint, crc_mod, spread_join
-from tremor.llm.langid import text_chunks
+from tremor.llm.langid import STEP, text_chunks
 
 #: Bits of the filter for each member at least, and the least log2 of its bits; it has no largest size.
 BITS_A_MEMBER, LEAST_LOG2 = 8, 22
@@ -19,6 +17,7 @@ SENT_LOG2 = 29
 #: The filter is made in 2**CUT segments at least, each of the n-grams whose ids begin with its number; more if they would
 #: have over 2**SEGMENT_LOG2 bits. In the table, up to 2**RUN_LOG2 neighbours are probed together.
 CUT, SEGMENT_LOG2, RUN_LOG2 = 10, 22, 5
+SEGMENT_COUNTS = "segment int, ids binary, counts binary"
 #: A count c is held as the number of steps 1, 2, 3, 4, 6, 8, 12, 16 .. up to c: a member for each level up to its own.
 STEPS = np.array([1] + [s << k for k in range(40) for s in (2, 3)], np.int64)
 #: Words of exact counts that are sent to the workers; the counts of all others are joined.
@@ -28,7 +27,9 @@ HEAD = 1 << 19
 WEIGHT, DISCOUNT = 0.5, 0.75
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
-END = np.int64(0x6A09E667F3BCC909)
+#: Ids have 58 bits, so one takes 6 bytes where the first 10 are known.
+KEPT = np.uint64((1 << 64) - (1 << 6))
+END = np.int64(0x6A09E667F3BCC900)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -63,7 +64,7 @@ def token_ids(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray):
     with np.errstate(over="ignore"):
         mixed = _mix((eights[np.repeat(first, groups) + 8 * nth] & inside) + _mix((nth + 1).astype(np.uint64)))
         sums = np.add.reduceat(mixed, np.cumsum(groups) - groups) if len(groups) else mixed
-        ids = _mix(sums + size.astype(np.uint64)).view(np.int64)
+        ids = (_mix(sums + size.astype(np.uint64)) & KEPT).view(np.int64)
     row = np.searchsorted(starts + lengths, first, "right")
     order_row = np.concatenate([row, np.arange(len(lengths))])
     count = np.bincount(row, minlength=len(lengths))
@@ -86,33 +87,87 @@ def shifted(values: np.ndarray, rows: np.ndarray, first) -> np.ndarray:
 def pair_ids(prev: np.ndarray, ids: np.ndarray) -> np.ndarray:
     """Ids of (previous token, token)."""
     with np.errstate(over="ignore"):
-        return _mix(prev.view(np.uint64) * np.uint64(3) + _mix(ids.view(np.uint64) + np.uint64(1))).view(np.int64)
+        return (_mix(prev.view(np.uint64) * np.uint64(3) + _mix(ids.view(np.uint64) + np.uint64(1))) & KEPT).view(np.int64)
 
 
-def _counts(training: DataFrame, pairs: bool) -> DataFrame:
-    """(id, n) of all tokens of the texts, or of all pairs of tokens that follow each other: one or more rows an id, summed within a task."""
+def _counted(batches, pairs: bool):
+    """(ids, counts) of all tokens of the texts, or of all pairs of tokens that follow each other, in pieces."""
+    for batch in batches:
+        for _, data, starts, lengths in text_chunks(batch.column("text"), 1 << 22):
+            ids, rows = token_ids(data, starts, lengths)
+            yield np.unique(pair_ids(shifted(ids, rows, END), ids) if pairs else ids, return_counts=True)
 
-    def run(batches):
-        held, size = [], 0
-        for batch in batches:
-            for _, data, starts, lengths in text_chunks(batch.column("text"), 1 << 22):
-                ids, rows = token_ids(data, starts, lengths)
-                held.append(np.unique(pair_ids(shifted(ids, rows, END), ids) if pairs else ids, return_counts=True))
-                size += len(held[-1][0])
-                if size > 1 << 20:
-                    yield summed(held)
-                    held, size = [], 0
-        if held:
+
+def _merged(pieces, size: int = 1 << 20):
+    """Pieces of (ids, counts) added up to pieces of about `size` ids or more, in the order of the ids as unsigned numbers."""
+    held, n = [], 0
+    for piece in pieces:
+        held.append(piece)
+        n += len(piece[0])
+        if n > size:
             yield summed(held)
+            held, n = [], 0
+    if held:
+        yield summed(held)
+
+
+def _unigrams(training: DataFrame) -> DataFrame:
+    """(id, n) of all tokens of the texts: one or more rows an id."""
+
+    def run(batches):
+        for ids, n in _merged(_counted(batches, pairs=False)):
+            yield pa.RecordBatch.from_pydict({"id": ids, "n": n})
 
     return training.select("text").mapInArrow(run, "id long, n long")
 
 
-def summed(held: list) -> pa.RecordBatch:
-    """One batch of (id, n) from several pairs of arrays."""
-    ids, back = np.unique(np.concatenate([x for x, _ in held]), return_inverse=True)
+def low_bytes(ids: np.ndarray, known: int = CUT) -> bytes:
+    """Ids without their first `known` bits, 6 bytes each."""
+    rest = ((ids.view(np.uint64) << np.uint64(known)) >> np.uint64(16)).astype("<u8")
+    return rest.view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def from_low_bytes(data: bytes, first, known: int = CUT) -> np.ndarray:
+    """Ids from low_bytes() and their first `known` bits."""
+    raw = np.zeros((len(data) // 6, 8), np.uint8)
+    raw[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
+    rest = (raw.reshape(-1).view("<u8") << np.uint64(16)) >> np.uint64(known)
+    return (rest | (np.asarray(first).astype(np.uint64) << np.uint64(64 - known))).view(np.int64)
+
+
+def by_segment(pieces, cut: int):
+    """Record batches (segment, ids, counts) of pieces: the ids of each segment as bytes of low_bytes() and their counts."""
+    for ids, n in pieces:
+        segs = (ids.view(np.uint64) >> np.uint64(64 - cut)).astype(np.int64)
+        cuts = np.flatnonzero(np.diff(segs, prepend=-1))
+        ends = [*cuts[1:], len(segs)]
+        yield pa.RecordBatch.from_pydict({
+            "segment": segs[cuts].astype(np.int32),
+            "ids": pa.array([low_bytes(ids[a:b], cut) for a, b in zip(cuts, ends)], pa.binary()),
+            "counts": pa.array([n[a:b].astype("<u4").tobytes() for a, b in zip(cuts, ends)], pa.binary()),
+        })
+
+
+def segment_counts(training: DataFrame, cut: int) -> DataFrame:
+    """(segment, ids, counts) of all pairs of tokens of the texts."""
+    return training.select("text").mapInArrow(lambda batches: by_segment(_merged(_counted(batches, pairs=True)), cut), SEGMENT_COUNTS)
+
+
+def segment_rows(counts: DataFrame, cut: int) -> DataFrame:
+    """(segment, ids, counts) of rows (id, n)."""
+
+    def run(batches):
+        pieces = ((np.asarray(b.column("id")), np.asarray(b.column("n"))) for b in batches if b.num_rows)
+        yield from by_segment(_merged(pieces), cut)
+
+    return counts.select("id", "n").mapInArrow(run, SEGMENT_COUNTS)
+
+
+def summed(held: list) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, counts) from several pairs of arrays."""
+    ids, back = np.unique(np.concatenate([x for x, _ in held]).view(np.uint64), return_inverse=True)
     n = np.bincount(back, weights=np.concatenate([x for _, x in held]), minlength=len(ids))
-    return pa.RecordBatch.from_pydict({"id": ids, "n": n.astype(np.int64)})
+    return ids.view(np.int64), n.astype(np.int64)
 
 
 def level(counts: np.ndarray) -> np.ndarray:
@@ -136,29 +191,36 @@ def _bits(ids: np.ndarray, j, log2: int, cut: int) -> list[np.ndarray]:
 
 def build_segments(counts: DataFrame, log2: int, cut: int = CUT) -> DataFrame:
     """(segment, bits, members), written through a checkpoint: the filter of 2**log2 bits in 2**cut segments, without empty
-    ones. Counts are shuffled once, by segment, and summed there, and each task makes its segments."""
+    ones, from rows (segment, ids, counts). These are shuffled once, by segment, and sorted, and each segment is made
+    from its own rows, which are as many ids as it has bits for."""
     width = (1 << log2) >> cut
 
+    def made(segment: int, held: list) -> pa.RecordBatch:
+        ids, n = summed(held)
+        lev, bits, members = level(n), np.zeros(width, bool), 0
+        for j in range(1, int(lev.max(initial=0)) + 1):
+            for at in _bits(ids[lev >= j], j, log2, cut):
+                bits[at % np.uint64(width)] = True
+            members += int((lev >= j).sum())
+        return pa.RecordBatch.from_pydict({"segment": pa.array([segment], pa.int32()), "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary()), "members": pa.array([members], pa.int64())})
+
     def fill(batches):
-        done: dict[int, np.ndarray] = {}
-        members: dict[int, int] = {}
+        last, held = None, []
         for batch in batches:
-            ids, lev = np.asarray(batch.column("id")), level(np.asarray(batch.column("n")))
-            for j in range(1, int(lev.max(initial=0)) + 1):
-                at = np.sort(np.concatenate(_bits(ids[lev >= j], j, log2, cut)))
-                segs = at // np.uint64(width)
-                cuts = np.flatnonzero(np.diff(segs, prepend=np.uint64(1 << cut)))
-                for a, b in zip(cuts, [*cuts[1:], len(at)]):
-                    s = int(segs[a])
-                    done.setdefault(s, np.zeros(width, bool))[at[a:b] % np.uint64(width)] = True
-                    members[s] = members.get(s, 0) + int(b - a) // 2
-        for s, seg in done.items():
-            yield pa.RecordBatch.from_pydict({"segment": pa.array([s], pa.int32()), "bits": pa.array([np.packbits(seg, bitorder="little").tobytes()], pa.binary()), "members": pa.array([members[s]], pa.int64())})
-
-    rows = counts.select(F.shiftrightunsigned("id", 64 - cut).cast("int").alias("segment"), "id", "n")
-    rows = rows.repartition("segment") if cut == CUT else rows.repartition(1 << (cut - RUN_LOG2), "segment")
-    sums = rows.groupBy("segment", "id").agg(F.sum("n").alias("n"))
-    return checkpoint(sums.select("id", "n").mapInArrow(fill, "segment int, bits binary, members long"))
+            for s, x, n in zip(batch.column("segment").to_pylist(), batch.column("ids"), batch.column("counts")):
+                if s != last and held:
+                    yield made(last, held)
+                    held = []
+                last = s
+                ids = from_low_bytes(x.as_py(), s, cut)
+                held.append((ids, np.frombuffer(n.as_py(), "<u4").astype(np.int64)))
+                if len(held) > 64:
+                    held = [summed(held)]
+        if held:
+            yield made(last, held)
+
+    rows = counts.repartition("segment") if cut == CUT else counts.repartition(1 << (cut - RUN_LOG2), "segment")
+    return checkpoint(rows.sortWithinPartitions("segment").mapInArrow(fill, "segment int, bits binary, members long"))
 
 
 def folded(segments: DataFrame, log2: int, cut: int = CUT) -> DataFrame:
@@ -188,8 +250,8 @@ def gathered(segments: DataFrame, log2: int, cut: int = CUT) -> np.ndarray:
 
 
 def build_filter(counts: DataFrame, log2: int) -> np.ndarray:
-    """The filter of 2**log2 bits as bytes on the driver."""
-    return gathered(build_segments(counts, log2), log2)
+    """The filter of 2**log2 bits as bytes on the driver, from rows (id, n)."""
+    return gathered(build_segments(segment_rows(counts, CUT), log2), log2)
 
 
 def probe(bits: np.ndarray, log2: int, ids: np.ndarray, cut: int = CUT, first: int = 0) -> np.ndarray:
@@ -212,43 +274,33 @@ def _distinct(ids: np.ndarray, rows: np.ndarray) -> np.ndarray:
 
 
 def with_chunks(docs: DataFrame) -> DataFrame:
-    """The rows of docs with a chunk each, written through a checkpoint as chunks have names by chance."""
+    """The rows of docs with a chunk of about STEP bytes each, by a hash of the row: the same in every run, in whatever order rows are read."""
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return docs.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(size // STEP + 1)))
 
-    def run(batches):
-        for batch in batches:
-            names = [x for _, _, _, lengths in text_chunks(batch.column("text")) for x in [uuid.uuid4().hex] * len(lengths)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string())], names=[*batch.schema.names, "chunk"])
 
-    return checkpoint(docs.mapInArrow(run, ", ".join(f"{c} {t}" for c, t in docs.dtypes) + ", chunk string"))
+def chunk_ids(table: pa.Table) -> np.ndarray:
+    (_, *texts), = text_chunks(table.column("text").combine_chunks(), 1 << 40)
+    return _distinct(*token_ids(*texts))
 
 
 def probes(texts: DataFrame, cut: int) -> DataFrame:
-    """(chunk, run, ids): the distinct ids that a chunk's texts look up in each run of segments, as bytes and in order.
-    Rows of a chunk follow each other within one partition of texts."""
+    """(chunk, run, segments, ids): the distinct ids that each chunk's texts look up in each run of segments, in order: the
+    place of each one's segment in the run, and low_bytes()."""
 
-    def asked(chunk, held):
-        (_, *chunk_texts), = text_chunks(pa.concat_arrays(held), 1 << 40)
-        ids = _distinct(*token_ids(*chunk_texts))
-        runs = ids >> np.uint64(64 - cut + RUN_LOG2)
-        cuts = np.flatnonzero(np.diff(runs, prepend=np.uint64(1 << cut)))
-        parts = [ids[a:b].tobytes() for a, b in zip(cuts, [*cuts[1:], len(ids)])]
-        return pa.RecordBatch.from_pydict({"chunk": pa.array([chunk] * len(parts), pa.string()), "run": runs[cuts].astype(np.int32), "ids": pa.array(parts, pa.binary())})
+    def asked(table: pa.Table) -> pa.Table:
+        ids = chunk_ids(table)
+        segs = (ids >> np.uint64(64 - cut)).astype(np.int64)
+        cuts = np.flatnonzero(np.diff(segs >> RUN_LOG2, prepend=-1))
+        spans = list(zip(cuts, [*cuts[1:], len(ids)]))
+        return pa.table({
+            "chunk": pa.array([table.column("chunk")[0].as_py()] * len(spans), pa.int64()),
+            "run": (segs[cuts] >> RUN_LOG2).astype(np.int32),
+            "segments": pa.array([(segs[a:b] % (1 << RUN_LOG2)).astype(np.uint8).tobytes() for a, b in spans], pa.binary()),
+            "ids": pa.array([low_bytes(ids[a:b], cut) for a, b in spans], pa.binary()),
+        })
 
-    def run(batches):
-        last, held = None, []
-        for batch in batches:
-            names = np.asarray(batch.column("chunk").to_pylist(), object)
-            cuts = [0, *(np.flatnonzero(names[1:] != names[:-1]) + 1), len(names)] if len(names) else []
-            for a, b in zip(cuts, cuts[1:]):
-                if names[a] != last and held:
-                    yield asked(last, held)
-                    held = []
-                last = names[a]
-                held.append(batch.column("text").slice(a, b - a))
-        if held:
-            yield asked(last, held)
-
-    return texts.select("text", "chunk").mapInArrow(run, "chunk string, run int, ids binary")
+    return texts.groupBy("chunk").applyInArrow(asked, "chunk long, run int, segments binary, ids binary")
 
 
 def answers(asked: DataFrame, segments: DataFrame, log2: int, cut: int) -> DataFrame:
@@ -261,13 +313,13 @@ def answers(asked: DataFrame, segments: DataFrame, log2: int, cut: int) -> DataF
         for s, x in zip(right.column("segment").to_pylist(), right.column("bits")):
             k = s % (1 << RUN_LOG2)
             bits[k * size : (k + 1) * size] = np.frombuffer(x.as_py(), np.uint8)
-        for r, x in zip(runs, left.column("ids")):
-            ids = np.frombuffer(x.as_py(), np.int64)
+        for r, k, x in zip(runs, left.column("segments"), left.column("ids")):
+            ids = from_low_bytes(x.as_py(), np.frombuffer(k.as_py(), np.uint8).astype(np.int64) + (r << RUN_LOG2), cut)
             out.append(probe(bits, log2, ids, cut, (r * 8 * size) << RUN_LOG2).astype(np.uint8).tobytes())
-        return pa.table({"chunk": pa.array(left.column("chunk").to_pylist(), pa.string()), "run": pa.array(runs, pa.int32()), "levels": pa.array(out, pa.binary())})
+        return pa.table({"chunk": pa.array(left.column("chunk").to_pylist(), pa.int64()), "run": pa.array(runs, pa.int32()), "levels": pa.array(out, pa.binary())})
 
     runs = segments.withColumn("run", F.shiftright("segment", RUN_LOG2))
-    return asked.groupBy("run").cogroup(runs.groupBy("run")).applyInArrow(look, "chunk string, run int, levels binary")
+    return asked.groupBy("run").cogroup(runs.groupBy("run")).applyInArrow(look, "chunk long, run int, levels binary")
 
 
 def model_log10(own, before, c2, mass: float, kinds: int) -> np.ndarray:
@@ -305,7 +357,7 @@ def score(documents: DataFrame, head: int = HEAD, sent_log2: int = SENT_LOG2) ->
     held = (crc_mod(F.col("doc_id"), 10) == 0).alias("held_out")
     docs = documents.select("doc_id", "text", held)
     training = docs.where("not held_out")
-    unigrams = checkpoint(_counts(training, pairs=False).groupBy("id").agg(F.sum("n").alias("n")))
+    unigrams = checkpoint(_unigrams(training).groupBy("id").agg(F.sum("n").alias("n")))
     binary = F.bin("n")  # its length and second digit give the level
     lev = F.greatest(2 * (F.length(binary) - 1) + (F.substring(binary, 2, 1) == "1").cast("int"), F.lit(1))
     steps = {r.k: r for r in unigrams.groupBy(lev.alias("k")).agg(F.count("*").alias("v"), F.sum("n").alias("n")).collect()}  # a row per level
@@ -322,7 +374,7 @@ def score(documents: DataFrame, head: int = HEAD, sent_log2: int = SENT_LOG2) ->
     order = np.argsort(ids := np.asarray(top.column("id").combine_chunks()))
     keys_n = ids[order], np.asarray(top.column("n").combine_chunks())[order]
     del top, ids
-    segments = build_segments(_counts(training, pairs=True).unionByName(unigrams), raw, cut)
+    segments = build_segments(segment_counts(training, cut).unionByName(segment_rows(unigrams, cut)), raw, cut)
     log2 = min(raw, filter_log2(segments.agg(F.sum("members")).first()[0] or 0))
     segments = folded(segments, log2, cut)
     near = log2 <= sent_log2
@@ -362,12 +414,11 @@ def score(documents: DataFrame, head: int = HEAD, sent_log2: int = SENT_LOG2) ->
             yield pa.RecordBatch.from_pydict(scored(batch, lambda ids: probe(flt, log2, ids, cut)))
 
     def joined_up(left: pa.Table, right: pa.Table) -> pa.Table:
-        batch = left.combine_chunks().to_batches()[0]
-        (_, *texts), = text_chunks(batch.column("text"), 1 << 40)
-        ids = _distinct(*token_ids(*texts))
+        ids = chunk_ids(left)
         order = np.argsort(np.asarray(right.column("run")))
         levels = right.column("levels").to_pylist()
         lev = np.frombuffer(b"".join(levels[k] for k in order), np.uint8).astype(np.int64)
+        batch = left.combine_chunks().to_batches()[0]
         return pa.table(scored(batch, lambda x: lev[np.searchsorted(ids, x.view(np.uint64))], step=1 << 40))
 
     kind = dict(documents.dtypes)["doc_id"]
