@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tremor.llm.common import checkpoint, crc_mod, spread_join
-from tremor.llm.langid import STEP, text_chunks
+from tremor.llm.langid import text_chunks
 
 #: Bits of the filter for each member at least, and the least log2 of its bits; it has no largest size.
 BITS_A_MEMBER, LEAST_LOG2 = 8, 22
@@ -17,6 +17,8 @@ SENT_LOG2 = 29
 #: The filter is made in 2**CUT segments at least, each of the n-grams whose ids begin with its number; more if they would
 #: have over 2**SEGMENT_LOG2 bits. In the table, up to 2**RUN_LOG2 neighbours are probed together.
 CUT, SEGMENT_LOG2, RUN_LOG2 = 10, 22, 5
+#: Bytes of texts that look up their n-grams together.
+CHUNK = 1 << 22
 SEGMENT_COUNTS = "segment int, ids binary, counts binary"
 #: A count c is held as the number of steps 1, 2, 3, 4, 6, 8, 12, 16 .. up to c: a member for each level up to its own.
 STEPS = np.array([1] + [s << k for k in range(40) for s in (2, 3)], np.int64)
@@ -268,28 +270,35 @@ def probe(bits: np.ndarray, log2: int, ids: np.ndarray, cut: int = CUT, first: i
     return lev
 
 
-def _distinct(ids: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """The distinct ids of tokens and of pairs, as unsigned numbers in order."""
-    return np.unique(np.concatenate([ids, pair_ids(shifted(ids, rows, END), ids)]).view(np.uint64))
+def _distinct(ids: np.ndarray, rows: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """The distinct ids of tokens but those in `known`, and of all pairs, as unsigned numbers in order."""
+    tokens = np.unique(ids)
+    return np.unique(np.concatenate([tokens[~_inside(known, tokens)[1]], pair_ids(shifted(ids, rows, END), ids)]).view(np.uint64))
+
+
+def _inside(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place of each id in the sorted keys, whether it is there)."""
+    at = np.minimum(np.searchsorted(keys, ids), max(len(keys) - 1, 0))
+    return at, keys[at] == ids if len(keys) else np.zeros(len(ids), bool)
 
 
 def with_chunks(docs: DataFrame) -> DataFrame:
-    """The rows of docs with a chunk of about STEP bytes each, by a hash of the row: the same in every run, in whatever order rows are read."""
+    """The rows of docs with a chunk of about CHUNK bytes each, by a hash of the row: the same in every run, in whatever order rows are read."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    return docs.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(size // STEP + 1)))
+    return docs.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(size // CHUNK + 1)))
 
 
-def chunk_ids(table: pa.Table) -> np.ndarray:
+def chunk_ids(table: pa.Table, known: np.ndarray) -> np.ndarray:
     (_, *texts), = text_chunks(table.column("text").combine_chunks(), 1 << 40)
-    return _distinct(*token_ids(*texts))
+    return _distinct(*token_ids(*texts), known)
 
 
-def probes(texts: DataFrame, cut: int) -> DataFrame:
+def probes(texts: DataFrame, cut: int, shared) -> DataFrame:
     """(chunk, run, segments, ids): the distinct ids that each chunk's texts look up in each run of segments, in order: the
-    place of each one's segment in the run, and low_bytes()."""
+    place of each one's segment in the run, and low_bytes(). Words of the head, the broadcast's first array, aren't looked up."""
 
     def asked(table: pa.Table) -> pa.Table:
-        ids = chunk_ids(table)
+        ids = chunk_ids(table, shared.value[0])
         segs = (ids >> np.uint64(64 - cut)).astype(np.int64)
         cuts = np.flatnonzero(np.diff(segs >> RUN_LOG2, prepend=-1))
         spans = list(zip(cuts, [*cuts[1:], len(ids)]))
@@ -389,14 +398,14 @@ def score(documents: DataFrame, head: int = HEAD, sent_log2: int = SENT_LOG2) ->
         for i, data, starts, lengths in text_chunks(batch.column("text"), **step):
             ids, rows = token_ids(data, starts, lengths)
             uniq, back = np.unique(ids, return_inverse=True)
-            at = np.minimum(np.searchsorted(keys, uniq), max(len(keys) - 1, 0))
-            inside = keys[at] == uniq if len(keys) else np.zeros(len(uniq), bool)
+            at, inside = _inside(keys, uniq)
             count = np.where(inside, freq[at], 0) if len(keys) else np.zeros(len(uniq), np.int64)
             found, m = inside[back], len(lengths)
             tokens[i : i + m] = np.bincount(rows, minlength=m)
             known[i : i + m] = np.bincount(rows[found], minlength=m)
             base[i : i + m] = np.bincount(rows[found], weights=(np.log10(count + 0.1) - norm)[back][found], minlength=m)
-            lev = look(uniq)
+            lev = level(count)  # exact for words of the head, looked up for others
+            lev[~inside] = look(uniq[~inside])
             prev = shifted(ids, rows, END)
             before = shifted(lev[back], rows, lev[np.searchsorted(uniq, END)])
             pairs, place = np.unique(pair_ids(prev, ids), return_inverse=True)
@@ -414,7 +423,7 @@ def score(documents: DataFrame, head: int = HEAD, sent_log2: int = SENT_LOG2) ->
             yield pa.RecordBatch.from_pydict(scored(batch, lambda ids: probe(flt, log2, ids, cut)))
 
     def joined_up(left: pa.Table, right: pa.Table) -> pa.Table:
-        ids = chunk_ids(left)
+        ids = chunk_ids(left, shared.value[0])
         order = np.argsort(np.asarray(right.column("run")))
         levels = right.column("levels").to_pylist()
         lev = np.frombuffer(b"".join(levels[k] for k in order), np.uint8).astype(np.int64)
@@ -427,7 +436,7 @@ def score(documents: DataFrame, head: int = HEAD, sent_log2: int = SENT_LOG2) ->
         rows = docs.mapInArrow(run, fields)
     else:
         texts = with_chunks(docs)
-        levels = answers(probes(texts, cut), segments, log2, cut)
+        levels = answers(probes(texts, cut, shared), segments, log2, cut)
         rows = texts.groupBy("chunk").cogroup(levels.groupBy("chunk")).applyInArrow(joined_up, fields)
     rows = checkpoint(rows).withColumn("row", F.monotonically_increasing_id())
     tail = unigrams.where(F.col("n") < F.lit(floor)).withColumnRenamed("n", "freq")
