@@ -290,7 +290,7 @@ def test_topk(spark):
     df = spark.createDataFrame(rows, EMBED)
     rows.pop(-2)
     df = spark.createDataFrame(rows, EMBED)
-    got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in topk.search(df, df.where("vec_id % 50 = 0"), 5, block_rows=100, share=2, batch=1).collect()}
+    got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in topk.search(df, df.where("vec_id % 50 = 0"), 5, block_rows=100, batch=1, tasks=7).collect()}
     assert got == {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in topk.search(df, df.where("vec_id % 50 = 0"), 5).collect()}
     x = np.floor(256 * v.astype(np.float64)).astype(int)
     want = {}

@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from tremor.llm.common import checkpoint
 
-#: Rows of an index block, a task's share of queries (of all tasks of a block), and queries in a row that is streamed past it.
-BLOCK_ROWS, SHARE_QUERIES, BATCH_QUERIES = 65_536, 2_048, 64
+#: Rows of an index block, and queries in a row that is streamed past it.
+BLOCK_ROWS, BATCH_QUERIES = 65_536, 64
 
 
 def slices(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -123,20 +123,21 @@ def build_index(rows: DataFrame, blocks: int) -> DataFrame:
     return checkpoint(rows.select(part, "vec_id", "x").groupBy("block").applyInArrow(build, "block int, ids binary, slices binary, vectors binary"))
 
 
-def search(embeddings: DataFrame, queries: DataFrame, k: int, scale: float = 256.0, block_rows: int = BLOCK_ROWS, share: int = SHARE_QUERIES, batch: int = BATCH_QUERIES) -> DataFrame:
+def search(embeddings: DataFrame, queries: DataFrame, k: int, scale: float = 256.0, block_rows: int = BLOCK_ROWS, batch: int = BATCH_QUERIES, tasks: int | None = None) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k best rows but its own, by integer inner product, ties to smaller ids.
 
     Components become floor(scale * x). Vectors that are null or hold null or non-finite components, and null ids, take
     no part; empty ones score 0. Of rows that repeat a vec_id the least vector counts. Vectors that are shorter than
     others are filled up with 0. Scores must fit in 63 bits. Each block of rows is sliced once and its index written;
-    a task reads a block's index once and the queries of its share stream past it, and gives the k best of the
-    block for each, of which the k best are kept.
+    a task reads a block's index once and queries stream past it, and gives the k best of the block for each, of which the
+    k best are kept. Only where there are fewer blocks than `tasks` (default: twice the cluster's cores) is a
+    block's index copied to several tasks, which share the queries.
     """
     rows, asked = usable(embeddings, scale), usable(queries, scale)
     n, m = rows.count(), asked.count()
-    blocks, shares = max(1, -(-n // block_rows)), max(1, -(-m // share))
+    blocks, groups = max(1, -(-n // block_rows)), max(1, -(-m // batch))
+    shares = min(groups, max(1, (tasks or 2 * embeddings.sparkSession.sparkContext.defaultParallelism) // blocks))
     index = build_index(rows, blocks).withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))))
-    groups = max(1, -(-m // batch))
     group = F.pmod(F.xxhash64("vec_id"), F.lit(groups)).cast("int")
     asks = asked.groupBy(group.alias("group")).agg(F.collect_list(F.struct("vec_id", "x")).alias("q")).withColumn("share", F.pmod("group", F.lit(shares)))
     asks = asks.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
