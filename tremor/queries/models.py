@@ -52,7 +52,21 @@ def hawkes_fit(spark, d):
     return spark.createDataFrame([tuple(m[k] for k in ("mu", "alpha", "beta", "nll", "branching", "n_bars"))], "mu double, alpha double, beta double, nll double, branching double, n_bars long")
 
 
-_MULTI = cte("grid") + BARS + ", cb as (select i, " + ", ".join(f"(select count(*) from liq, b0 where collateral_asset = '{c}' and least((block_number - lo) // (select bw from grid), n - 1) = bars.i) as {c}" for c in CHANNELS) + " from bars), mh as (select b.i, any_value(b.a0) as a0, any_value(b.a1) as a1, any_value(b.a2) as a2, " + ", ".join(f"coalesce(sum(m.{c} * exp(-{M_BETA} * (b.i - m.i))), 0) as r_{c}" for c in CHANNELS) + " from cb b left join cb m on m.i < b.i and m.a0 + m.a1 + m.a2 > 0 group by b.i), ml as (select *, " + ", ".join(f"{M_MU[k]} + " + " + ".join(f"{M_ALPHA[k][j]} * r_{e}" for j, e in enumerate(CHANNELS)) + f" as lam_{k}" for k in range(3)) + " from mh)"
+_COUNTS = ", ".join(f"(select count(*) from liq, b0 where collateral_asset = '{c}' and least((block_number - lo) // (select bw from grid), n - 1) = bars.i) as {c}" for c in CHANNELS)
+_KEPT = ", ".join(f"any_value(b.{c}) as {c}" for c in CHANNELS)
+_HISTORY = ", ".join(f"coalesce(sum(m.{c} * exp(-{M_BETA} * (b.i - m.i))), 0) as r_{c}" for c in CHANNELS)
+_LAMBDA = ", ".join(f"{M_MU[k]} + " + " + ".join(f"{M_ALPHA[k][j]} * r_{e}" for j, e in enumerate(CHANNELS)) + f" as lam_{k}" for k in range(3))
+#: Channel counts of the bars, each channel's decayed history, and each channel's intensity.
+_MULTI = (
+    cte("grid")
+    + BARS
+    + f""", cb as (select i, {_COUNTS} from bars),
+mh as (select b.i, {_KEPT}, {_HISTORY} from cb b left join cb m on m.i < b.i and m.a0 + m.a1 + m.a2 > 0 group by b.i),
+ml as (select *, {_LAMBDA} from mh)"""
+)
+_NLL = " + ".join(f"lam_{k} - {c} * ln(lam_{k})" for k, c in enumerate(CHANNELS))
+_BY_MU = ", ".join(f"sum(1 - {c} / lam_{k}) as g_mu_{k}" for k, c in enumerate(CHANNELS))
+_BY_ALPHA = ", ".join(f"sum((1 - {c} / lam_{k}) * r_{e}) as g_alpha_{k}_{j}" for k, c in enumerate(CHANNELS) for j, e in enumerate(CHANNELS))
 
 
 def _channel_bars(spark, d):
@@ -66,16 +80,22 @@ def _channel_bars(spark, d):
     return spark.range(n).withColumnRenamed("id", "i").join(counts, "i", "left").na.fill(0, CHANNELS)
 
 
-@query(_MULTI + " select sum(" + " + ".join(f"lam_{k} - {c} * ln(lam_{k})" for k, c in enumerate(CHANNELS)) + ") as nll, " + ", ".join(f"sum(1 - {c} / lam_{k}) as g_mu_{k}" for k, c in enumerate(CHANNELS)) + ", " + ", ".join(f"sum((1 - {c} / lam_{k}) * r_{e}) as g_alpha_{k}_{j}" for k, c in enumerate(CHANNELS) for j, e in enumerate(CHANNELS)) + " from ml")
+@query(_MULTI + f" select sum({_NLL}) as nll, {_BY_MU}, {_BY_ALPHA} from ml")
 def hawkes_multi_nll_grad(spark, d):
     return hawkes.multi_nll(_channel_bars(spark, d), CHANNELS, M_MU, M_ALPHA, M_BETA)
 
 
-@query(_MULTI + " select i, 1 - 0.06 / (lam_0 + lam_1 + lam_2) as score, " + ", ".join(f"lam_{k}" for k in range(3)) + ", " + ", ".join(f"1 - {M_MU[k]} / lam_{k} as score_{k}" for k in range(3)) + " from ml")
+_PARTS = ", ".join(f"lam_{k}, 1 - {M_MU[k]} / lam_{k} as score_{k}" for k in range(3))
+
+
+@query(_MULTI + f" select i, 1 - 0.06 / (lam_0 + lam_1 + lam_2) as score, {_PARTS} from ml")
 def hawkes_multi_score(spark, d):
     rows = hawkes.multi_history(_channel_bars(spark, d), CHANNELS, M_BETA)
     lam = [F.lit(M_MU[k]) + sum((M_ALPHA[k][j] * F.col(f"r_{e}") for j, e in enumerate(CHANNELS)), F.lit(0.0)) for k in range(3)]
-    return rows.select("i", (1 - sum(M_MU) / (lam[0] + lam[1] + lam[2])).alias("score"), *[x.alias(f"lam_{k}") for k, x in enumerate(lam)], *[(1 - M_MU[k] / x).alias(f"score_{k}") for k, x in enumerate(lam)])
+    whole = (1 - sum(M_MU) / (lam[0] + lam[1] + lam[2])).alias("score")
+    each = [x.alias(f"lam_{k}") for k, x in enumerate(lam)]
+    shares = [(1 - M_MU[k] / x).alias(f"score_{k}") for k, x in enumerate(lam)]
+    return rows.select("i", whole, *each, *shares)
 
 
 @query(_BASE + ", b as (select *, cast(row_number() over (order by lam, i) - 1 as bigint) * 20 // count(*) over () as bin from scores) select bin, avg(ln(lam)) as log_lam, avg(n_liquidations) as observed, avg(lam) as expected, count(*) as n from b group by bin")
