@@ -165,7 +165,7 @@ def _judge(spark, model: dict):
         best, share, bits = np.zeros(len(text), np.int64), np.zeros(len(text)), np.zeros(len(text))
         if langs:
             found = built(name, shared)
-            for i, data, starts, lengths in text_chunks(text):
+            for i, data, starts, lengths in text_chunks(text, STEP // 4):
                 if not len(data):
                     continue
                 full = np.flatnonzero(lengths)

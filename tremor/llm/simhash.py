@@ -75,16 +75,18 @@ def fingerprints(documents: DataFrame, shingle: int = SHINGLE, longs: int = 1) -
             off = np.asarray(col.offsets).astype(np.int64)
             vals = np.ascontiguousarray(np.asarray(col.values)[off[0] : off[-1]])
             n = np.diff(off)
+            counts = {name: np.zeros((len(col), 64), np.int64) for name in names}
+            i = 0
+            while i < len(col):  # about half a million hashes at a time
+                j = min(len(col), max(i + 1, int(np.searchsorted(off, off[i] + (1 << 19), "right")) - 1))
+                hashes = vals[off[i] - off[0] : off[j] - off[0]]
+                for name in names:
+                    counts[name][i:j] = _bit_counts(hashes, off[i:j] - off[i], n[i:j])
+                    hashes = _mix(hashes)
+                i = j
             out = {"doc_id": batch.column("doc_id"), "row": batch.column("row")}
             for name in names:
-                counts, step, i = np.zeros((len(col), 64), np.int64), 1 << 20, 0
-                while i < len(col):  # about a million hashes at a time
-                    j = min(len(col), max(i + 1, int(np.searchsorted(off, off[i] + step, "right")) - 1))
-                    a, b = off[i] - off[0], off[j] - off[0]
-                    counts[i:j] = _bit_counts(vals[a:b], off[i:j] - off[i], n[i:j])
-                    i = j
-                out[name] = np.packbits(counts * 2 > n[:, None], axis=1, bitorder="little").view(np.int64).ravel()
-                vals = _mix(vals)
+                out[name] = np.packbits(counts[name] * 2 > n[:, None], axis=1, bitorder="little").view(np.int64).ravel()
             yield pa.RecordBatch.from_pydict(out)
 
     fields = ", ".join(f"{name} long" for name in names)
