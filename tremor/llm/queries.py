@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tremor.llm import decontam, langid, licence_texts, licenses, linededup, lmscore, mixing, quality, simhash, topk, urls
+from tremor.llm import audit, decontam, langid, licence_texts, licenses, linededup, lmscore, mixing, quality, simhash, topk, urls
 from tremor.llm.common import crc_mod, table
 
 
@@ -55,6 +55,10 @@ def op10_url_filter(spark, sf_dir):
     return urls.judge(pages, urls.fit(urls.rule_labels(pages))).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op11_filter_audit(spark, sf_dir):
+    return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def pipeline(spark, sf_dir):
     import corpus_pipeline
 
@@ -150,5 +154,25 @@ select doc_id, size, source_size, target,
 from o
 """
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_language, op3_lm_score, op4_line_dedup, op5_license_scan, op6_topk_search, op7_quality, op8_simhash, op9_mixing, op10_url_filter, pipeline)}
-ORACLE_SQL = {"op1_decontamination": OP1, "op4_line_dedup": OP4, "op5_license_scan": OP5, "op6_topk_search": OP6, "op9_mixing": OP9}
+OP11 = r"""
+with d as (select doc_id, coalesce(source, '') as part, coalesce(text, '') as text, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents),
+g as (select doc_id, max(quality = 1) as good, max(toxic = 1) as toxic from labels group by doc_id),
+e as (select part, len(w) < 50 as a, 100 * len(list_distinct(w)) < 65 * len(w) as b, 100 * len(regexp_replace(text, '[^A-Z]', '', 'g')) > 5 * len(text) as c,
+             regexp_matches(text, '[#$%&*|]') as d, coalesce(d.doc_id > min(d.doc_id) over (partition by text), false) as e, coalesce(good, false) as good, coalesce(toxic, false) as toxic
+      from d left join g on d.doc_id = g.doc_id),
+f as (select part, good, toxic, list_filter(['A', 'B', 'C', 'D', 'E'], lambda x, i: [a, b, c, d, e][i]) as fails, count(*) as n from e group by all),
+l as (select unnest(['A', 'B', 'C', 'D', 'E']) as l),
+o as (select a.l || b.l || c.l || d.l || e.l as filter_order from l a, l b, l c, l d, l e where len(list_distinct([a.l, b.l, c.l, d.l, e.l])) = 5),
+s as (select filter_order, cast(i as integer) as step, filter_order[i] as own, list_filter(['A', 'B', 'C', 'D', 'E'], lambda x: contains(filter_order[1:i - 1], x)) as before from o, generate_series(1, 5) t(i)),
+r as (select part, filter_order, step, own, cast(coalesce(sum(n) filter (where not list_contains(fails, own) and not list_has_any(fails, before)), 0) as bigint) as kept,
+             cast(coalesce(sum(n) filter (where list_contains(fails, own) and not list_has_any(fails, before)), 0) as bigint) as removed,
+             cast(coalesce(sum(n) filter (where list_contains(fails, own) and list_has_any(fails, before)), 0) as bigint) as redundant,
+             cast(coalesce(sum(n) filter (where fails = [own]), 0) as bigint) as unique_fails,
+             cast(coalesce(sum(n) filter (where good and list_contains(fails, own) and not list_has_any(fails, before)), 0) as bigint) as good_lost,
+             cast(coalesce(sum(n) filter (where toxic and list_contains(fails, own) and not list_has_any(fails, before)), 0) as bigint) as toxic_lost
+      from f, s group by all)
+select * exclude (own), cast(sum(removed) over (partition by part, own) as bigint) as shapley from r
+"""
+
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_language, op3_lm_score, op4_line_dedup, op5_license_scan, op6_topk_search, op7_quality, op8_simhash, op9_mixing, op10_url_filter, op11_filter_audit, pipeline)}
+ORACLE_SQL = {"op1_decontamination": OP1, "op4_line_dedup": OP4, "op5_license_scan": OP5, "op6_topk_search": OP6, "op9_mixing": OP9, "op11_filter_audit": OP11}
