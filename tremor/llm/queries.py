@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tremor.llm import audit, decontam, langid, licence_texts, licenses, linededup, lmscore, mixing, quality, simhash, topk, urls
+from tremor.llm import audit, decontam, langid, licence_texts, licenses, linededup, lmscore, minhash, mixing, quality, simhash, topk, urls
 from tremor.llm.common import crc_mod, table
 
 
@@ -59,6 +59,10 @@ def op11_filter_audit(spark, sf_dir):
     return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op12_minhash(spark, sf_dir):
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark, sf_dir):
     import corpus_pipeline
 
@@ -174,5 +178,19 @@ r as (select part, filter_order, step, own, cast(coalesce(sum(n) filter (where n
 select * exclude (own), cast(sum(removed) over (partition by part, own) as bigint) as shapley from r
 """
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_language, op3_lm_score, op4_line_dedup, op5_license_scan, op6_topk_search, op7_quality, op8_simhash, op9_mixing, op10_url_filter, op11_filter_audit, pipeline)}
-ORACLE_SQL = {"op1_decontamination": OP1, "op4_line_dedup": OP4, "op5_license_scan": OP5, "op6_topk_search": OP6, "op9_mixing": OP9, "op11_filter_audit": OP11}
+OP12 = rf"""
+with recursive d as (select doc_id, list_filter(string_split_regex({_LOWER}, '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents),
+h as (select doc_id, case when len(w) >= 4 then list_distinct([array_to_string(w[i:i + 3], ' ') for i in generate_series(1, len(w) - 3)]) when len(w) > 0 then [array_to_string(w, ' ')] else [] end as s from d),
+n as (select s, len(s) as size, min(doc_id) as node from (select doc_id, list_sort(s) as s from h) group by s),
+x as (select node, size, hash(unnest(s)) as g from n where size > 0),
+p as (select a.node as a, b.node as b, count(*) as common, any_value(a.size + b.size) as total from x a join x b on a.g = b.g and a.node < b.node where 100 * least(a.size, b.size) >= 80 * greatest(a.size, b.size) group by a.node, b.node),
+e as (select a, b from p where 100 * common >= 80 * (total - common)),
+u as (select a, b from e union all select b, a from e),
+r as (select node as a, node as b from n where size > 0 union select r.a, u.b from r join u on r.b = u.a),
+c as (select a as node, min(b) as component_id from r group by a)
+select doc_id, cast(len(h.s) as bigint) as n_shingles, coalesce(component_id, doc_id) as component_id, doc_id = coalesce(component_id, doc_id) as kept
+from h left join n on list_sort(h.s) = n.s and n.size > 0 left join c using (node)
+"""
+
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_language, op3_lm_score, op4_line_dedup, op5_license_scan, op6_topk_search, op7_quality, op8_simhash, op9_mixing, op10_url_filter, op11_filter_audit, op12_minhash, pipeline)}
+ORACLE_SQL = {"op1_decontamination": OP1, "op4_line_dedup": OP4, "op5_license_scan": OP5, "op6_topk_search": OP6, "op9_mixing": OP9, "op11_filter_audit": OP11, "op12_minhash": OP12}
