@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tremor.llm import audit, decontam, langid, licence_texts, licenses, linededup, lmscore, minhash, mixing, quality, simhash, topk, urls
+from tremor.llm import audit, decontam, divergence, langid, licence_texts, licenses, linededup, lmscore, minhash, mixing, quality, simhash, topk, urls
 from tremor.llm.common import crc_mod, table
 
 
@@ -63,6 +63,10 @@ def op12_minhash(spark, sf_dir):
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op13_divergence(spark, sf_dir):
+    return divergence.divergence(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark, sf_dir):
     import corpus_pipeline
 
@@ -192,5 +196,22 @@ select doc_id, cast(len(h.s) as bigint) as n_shingles, coalesce(component_id, do
 from h left join n on list_sort(h.s) = n.s and n.size > 0 left join c using (node)
 """
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_language, op3_lm_score, op4_line_dedup, op5_license_scan, op6_topk_search, op7_quality, op8_simhash, op9_mixing, op10_url_filter, op11_filter_audit, op12_minhash, pipeline)}
-ORACLE_SQL = {"op1_decontamination": OP1, "op4_line_dedup": OP4, "op5_license_scan": OP5, "op6_topk_search": OP6, "op9_mixing": OP9, "op11_filter_audit": OP11, "op12_minhash": OP12}
+OP13 = rf"""
+with d as (select row_number() over () as r, coalesce(lang, '') as lang, coalesce(source, '') as source, list_filter(string_split_regex({_LOWER}, '[\x00-\x40\x5B-\x60\x7B-\x7F]+'), lambda x: x <> '') as w from documents),
+t as (select r, lang, source, unnest(w) as term from d),
+k as (select lang, term from t group by lang, term having count(distinct r) >= 10),
+v as (select lang, cast(count(*) as hugeint) as v from k group by lang),
+c as (select lang, source, term, cast(count(*) as hugeint) as n from t join k using (lang, term) group by all),
+g as (select distinct lang, source from d),
+s as (select lang, source, cast(coalesce(sum(n), 0) as hugeint) as total from g left join c using (lang, source) group by all),
+p as (select lang, source, term, coalesce(n, 0) as n, 1 + 1000000000::hugeint * (coalesce(n, 0) + 2) // (total + 2 * v) as p from s join v using (lang) join k using (lang) left join c using (lang, source, term)),
+q as (select lang, term, 1 + 1000000000::hugeint * (sum(n) + 2)::hugeint // ((sum(sum(n)) over (partition by lang))::hugeint + 2 * any_value(v)) as q from p join v using (lang) group by lang, term),
+x as (select a.lang, a.source, b.source as item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) as value from p a join p b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by all),
+u as (select a.lang, a.source, 'pair' as part, b.source as item, cast(coalesce(value, 0) as bigint) as value from g a join g b on a.lang = b.lang and a.source <> b.source left join x on x.lang = a.lang and x.source = a.source and x.item = b.source
+      union all select lang, source, 'term', term, cast((p - q) * (p - q) // (p + q) as bigint) from p join q using (lang, term) where n > 0 and p > q),
+o as (select *, cast(row_number() over (partition by lang, source, part order by value desc, item) as integer) as rank from u)
+select * from o where part = 'pair' or rank <= 10
+"""
+
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_language, op3_lm_score, op4_line_dedup, op5_license_scan, op6_topk_search, op7_quality, op8_simhash, op9_mixing, op10_url_filter, op11_filter_audit, op12_minhash, op13_divergence, pipeline)}
+ORACLE_SQL = {"op1_decontamination": OP1, "op4_line_dedup": OP4, "op5_license_scan": OP5, "op6_topk_search": OP6, "op9_mixing": OP9, "op11_filter_audit": OP11, "op12_minhash": OP12, "op13_divergence": OP13}
