@@ -10,8 +10,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tremor.llm.common import KEY_ROWS, checkpoint, spread_join, words
-from tremor.llm.simhash import _mix, _named, _shingle_hashes, components, forest
+from tremor.llm.common import KEY_ROWS, checkpoint, spread_join
+from tremor.llm.simhash import _mix, _named, components, forest
+from tremor.llm.spans import TEXT, Spans, pieces
 
 SHINGLE = 4
 #: Least similarity of the sets, in hundredths.
@@ -47,6 +48,28 @@ def fewest_matches(n: int, least: int = LEAST, miss: float = MISS) -> int:
     return n
 
 
+def _sets(text: pa.Array, shingle: int):
+    """(i, j, sets) for runs of texts: of texts i to j - 1 the sorted 64-bit hashes of their distinct shingles, made from those of the words; of fewer words the whole sequence, of none no hash."""
+    for i, j, data, ends in pieces(text):
+        s = Spans(data, ends, TEXT, lower=True)
+        n = np.bincount(s.doc, minlength=j - i)
+        first = np.cumsum(n) - n
+        with np.errstate(over="ignore"):
+            hashes = s.hash
+            for k in range(1, shingle):
+                hashes = _mix(hashes[: len(s.hash) - k] * np.uint64(31) + s.hash[k:])
+            sets = []
+            for at, many in zip(first.tolist(), n.tolist()):
+                if many >= shingle:
+                    sets.append(np.unique(hashes[at : at + many - shingle + 1]))
+                else:
+                    whole = np.uint64(many)
+                    for h in s.hash[at : at + many]:
+                        whole = _mix(np.array([whole * np.uint64(29) + h]))[0]
+                    sets.append(np.full(min(many, 1), whole, np.uint64))
+        yield i, j, sets
+
+
 def signatures(documents: DataFrame, shingle: int, size: int) -> DataFrame:
     """(doc_id, row, s0, s1, n_shingles, sig) of each row: row is a hash of the text, (s0, s1) a digest of its set of distinct
     shingles, sig `size` 16-bit MinHash values (none for an empty set)."""
@@ -54,31 +77,37 @@ def signatures(documents: DataFrame, shingle: int, size: int) -> DataFrame:
     rng = np.random.default_rng(5)
     flips, factors = rng.integers(0, 1 << 63, size, np.uint64), rng.integers(0, 1 << 63, size, np.uint64) * np.uint64(2) + np.uint64(1)
 
+    def signed(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Digests and signatures of sets that aren't empty."""
+        n = np.array([len(x) for x in sets], np.int64)
+        at, h, sig = np.cumsum(n) - n, np.concatenate(sets), np.zeros((len(sets), size), np.uint16)
+        with np.errstate(over="ignore"):
+            once = _mix(h)
+            digest = np.stack([np.add.reduceat(once, at), np.add.reduceat(_mix(once * np.uint64(31)), at)], axis=1)
+            for k in range(size):
+                sig[:, k] = _mix(np.minimum.reduceat((h ^ flips[k]) * factors[k], at)) & np.uint64(0xFFFF)
+        return digest, sig
+
     def run(batches):
         for batch in batches:
-            col = batch.column("hashes")
-            off = np.asarray(col.offsets).astype(np.int64)
-            values = np.ascontiguousarray(np.asarray(col.values)).view(np.uint64)
-            i = 0
-            while i < len(col):  # a quarter of a million hashes at a time
-                j = min(len(col), max(i + 1, int(np.searchsorted(off, off[i] + (1 << 18), "right")) - 1))
-                sets = [np.unique(values[off[k] : off[k + 1]]) for k in range(i, j)]
-                n = np.array([len(s) for s in sets], np.int64)
-                full, h = np.flatnonzero(n), np.concatenate(sets)
-                digest, sig = np.zeros((j - i, 2), np.uint64), np.zeros((j - i, size), np.uint16)
-                if len(full):
-                    at = (np.cumsum(n) - n)[full]
-                    with np.errstate(over="ignore"):
-                        once = _mix(h)
-                        digest[full, 0], digest[full, 1] = np.add.reduceat(once, at), np.add.reduceat(_mix(once * np.uint64(31)), at)
-                        for k in range(size):
-                            sig[full, k] = _mix(np.minimum.reduceat((h ^ flips[k]) * factors[k], at)) & np.uint64(0xFFFF)
-                raw = [s.tobytes() if m else None for s, m in zip(sig, n)]
+            for i, j, sets in _sets(batch.column("text"), shingle):
+                n = np.array([len(x) for x in sets], np.int64)
+                digest, raw = np.zeros((j - i, 2), np.uint64), [None] * (j - i)
+                full = np.flatnonzero(n)
+                cuts = np.searchsorted(np.cumsum(n[full]), np.arange(0, n.sum(), 1 << 15)[1:])
+                for some in np.split(full, np.unique(cuts)):  # about as many hashes at a time as a cache holds
+                    if len(some):
+                        digest[some], sig = signed([sets[k] for k in some])
+                        for k, one in zip(some.tolist(), sig):
+                            raw[k] = one.tobytes()
                 yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id").slice(i, j - i), "row": batch.column("row").slice(i, j - i), "s0": digest[:, 0].view(np.int64), "s1": digest[:, 1].view(np.int64), "n_shingles": n, "sig": pa.array(raw, pa.binary())})
-                i = j
 
-    w = documents.select("doc_id", F.xxhash64("text").alias("row"), words(F.col("text")).alias("w"))
-    return w.select("doc_id", "row", _shingle_hashes(shingle).alias("hashes")).mapInArrow(run, f"doc_id {kind}, row long, s0 long, s1 long, n_shingles long, sig binary")
+    texts = documents.select("doc_id", F.xxhash64("text").alias("row"), F.col("text").cast("binary").alias("text"))
+    return texts.mapInArrow(run, f"doc_id {kind}, row long, s0 long, s1 long, n_shingles long, sig binary")
+
+
+def _node(a: str = "s0", b: str = "s1") -> Column:
+    return F.struct(F.col(a).alias("s0"), F.col(b).alias("s1"))
 
 
 def _matrix(column: pa.Array, size: int) -> np.ndarray:
@@ -191,7 +220,15 @@ def shingle_sets(documents: DataFrame, wanted: DataFrame, shingle: int, sent: in
     w = wanted.select("node", F.col("doc_id").alias("d"), F.col("row").alias("r"))
     texts = documents.select("doc_id", F.xxhash64("text").alias("row"), "text")
     texts = texts.join(F.broadcast(w) if few else w, (F.col("row") == F.col("r")) & F.col("doc_id").eqNullSafe(F.col("d")))
-    sets = texts.select("node", words(F.col("text")).alias("w")).select("node", F.array_distinct(_shingle_hashes(shingle)).alias("s"))
+
+    def run(batches):
+        for batch in batches:
+            for i, j, found in _sets(batch.column("text"), shingle):
+                ends = np.cumsum([0, *(len(x) for x in found)])
+                s = pa.LargeListArray.from_arrays(pa.array(ends, pa.int64()), pa.array(np.concatenate(found).view(np.int64))).cast(pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_pydict({"s0": batch.column("s0").slice(i, j - i), "s1": batch.column("s1").slice(i, j - i), "s": s})
+
+    sets = texts.select("node.s0", "node.s1", F.col("text").cast("binary").alias("text")).mapInArrow(run, "s0 long, s1 long, s array<long>").select(_node().alias("node"), "s")
     return sets.groupBy("node").agg(F.first("s").alias("s"))  # repeated rows have the same set
 
 
@@ -205,17 +242,13 @@ def verified(pairs: DataFrame, sets: DataFrame, least: int, key_rows: int) -> Da
     return both.where(100 * common >= least * (F.size("x") + F.size("y") - common)).select("a", "b")
 
 
-def _node(a: str = "s0", b: str = "s1") -> Column:
-    return F.struct(F.col(a).alias("s0"), F.col(b).alias("s1"))
-
-
 def links(documents: DataFrame, nodes: DataFrame, rows: int, bands: int, shingle: int, least: int = LEAST, miss: float = MISS, key_rows: int = KEY_ROWS, block: int = BLOCK) -> DataFrame:
     """(a, b): enough verified pairs of nodes to make the components of all pairs of a similarity of `least` or more.
 
     Buckets that hold the same nodes as another are left out. In rounds, members of different components meet in each
     bucket that still has several, first within blocks, then across them: meetings() gives a forest over the
-    components and, from the third round on, ever more of each member's best pairs, which are verified; the rounds end when no
-    pair that the bound leaves is untried. So no bucket emits all its pairs, and none is cut short.
+    components and ever more of each member's best pairs, which are verified; the rounds end when no pair that the bound leaves is
+    untried. So no bucket emits all its pairs, and none is cut short.
     """
     keyed = band_keys(nodes, rows, bands)
     sizes = keyed.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("s0", "s1")).alias("x"), F.min("s0").alias("m")).where("n > 1")
@@ -225,7 +258,8 @@ def links(documents: DataFrame, nodes: DataFrame, rows: int, bands: int, shingle
     members = checkpoint(met.join(nodes.select("s0", "s1", "n_shingles", "sig"), ["s0", "s1"]).withColumn("node", _node()))
     wanted = checkpoint(members.select("node").distinct().join(nodes.select(_node().alias("node"), "doc_id", "row"), "node"))
     sets = checkpoint(shingle_sets(documents, wanted, shingle))
-    edges, rooted, picks, across = None, members.withColumn("root", F.col("node")), 0, False
+    large = live.where(F.col("n") > block).limit(1).count() > 0
+    edges, rooted, picks, across = None, members.withColumn("root", F.col("node")), 2, not large
     while True:
         found = checkpoint(meetings(rooted, rows * bands, picks, across, least, miss, block))
         pairs = checkpoint(found.select(F.least(_node("a0", "a1"), _node("b0", "b1")).alias("a"), F.greatest(_node("a0", "a1"), _node("b0", "b1")).alias("b")).distinct())
@@ -233,7 +267,7 @@ def links(documents: DataFrame, nodes: DataFrame, rows: int, bands: int, shingle
         edges = new if edges is None else checkpoint(edges.unionByName(new))
         if across and not found.where("more").limit(1).count():
             return edges
-        picks, across = (0 if not across else max(4, 8 * picks)), True
+        picks, across = (16 * picks if across else picks), True
         roots = checkpoint(components(wanted.select("node"), edges, key_rows))
         rooted = members.join(roots, "node")
         apart = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
