@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tremor.llm.common import KEY_ROWS, checkpoint, spread_join
-from tremor.llm.simhash import _mix, _named, components, forest
+from tremor.llm.simhash import _mix, components, forest
 from tremor.llm.spans import TEXT, Spans, pieces
 
 SHINGLE = 4
@@ -242,8 +242,23 @@ def verified(pairs: DataFrame, sets: DataFrame, least: int, key_rows: int) -> Da
     return both.where(100 * common >= least * (F.size("x") + F.size("y") - common)).select("a", "b")
 
 
+def joined(roots: DataFrame, new: DataFrame, key_rows: int) -> DataFrame | None:
+    """(node, root) after new links (a, b) between nodes; None if they connect nothing new. Only roots are linked, so what is already one component costs nothing."""
+    of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"r{c}"))
+    ends = new.join(of("a"), "a").join(of("b"), "b").where("ra != rb")
+    edges = checkpoint(ends.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct())
+    if not edges.limit(1).count():
+        return None
+    ends = edges.select(F.col("a").alias("node")).unionByName(edges.select(F.col("b").alias("node"))).distinct()
+    higher = checkpoint(components(ends, edges, key_rows).select(F.col("node").alias("root"), F.col("root").alias("higher")))
+    sizes = roots.groupBy("root").agg(F.count("*").alias("n"))
+    met = spread_join(roots, higher, "root", sizes, roots.count(), ["node"], "left", key_rows)
+    return checkpoint(met.select("node", F.coalesce("higher", "root").alias("root")))
+
+
 def links(documents: DataFrame, nodes: DataFrame, rows: int, bands: int, shingle: int, least: int = LEAST, miss: float = MISS, key_rows: int = KEY_ROWS, block: int = BLOCK) -> DataFrame:
-    """(a, b): enough verified pairs of nodes to make the components of all pairs of a similarity of `least` or more.
+    """(node, root) of the nodes that share a bucket with others: the least node of the component that all pairs of a similarity of
+    `least` or more make.
 
     Buckets that hold the same nodes as another are left out. In rounds, members of different components meet in each
     bucket that still has several, first within blocks, then across them: meetings() gives a forest over the
@@ -259,16 +274,15 @@ def links(documents: DataFrame, nodes: DataFrame, rows: int, bands: int, shingle
     wanted = checkpoint(members.select("node").distinct().join(nodes.select(_node().alias("node"), "doc_id", "row"), "node"))
     sets = checkpoint(shingle_sets(documents, wanted, shingle))
     large = live.where(F.col("n") > block).limit(1).count() > 0
-    edges, rooted, picks, across = None, members.withColumn("root", F.col("node")), 2, not large
+    roots, picks, across = wanted.select("node", F.col("node").alias("root")), 2, not large
+    rooted = members.withColumn("root", F.col("node"))
     while True:
         found = checkpoint(meetings(rooted, rows * bands, picks, across, least, miss, block))
         pairs = checkpoint(found.select(F.least(_node("a0", "a1"), _node("b0", "b1")).alias("a"), F.greatest(_node("a0", "a1"), _node("b0", "b1")).alias("b")).distinct())
-        new = checkpoint(verified(pairs, sets, least, key_rows))
-        edges = new if edges is None else checkpoint(edges.unionByName(new))
+        roots = joined(roots, verified(pairs, sets, least, key_rows), key_rows) or roots
         if across and not found.where("more").limit(1).count():
-            return edges
+            return roots
         picks, across = (16 * picks if across else picks), True
-        roots = checkpoint(components(wanted.select("node"), edges, key_rows))
         rooted = members.join(roots, "node")
         apart = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
         rooted = spread_join(rooted, apart, "key", live, total, ["node"], "left_semi", key_rows)
@@ -285,10 +299,16 @@ def near_duplicates(documents: DataFrame, shingle: int = SHINGLE, least: int = L
     docs = documents.select("doc_id", "text")
     rows, bands = bands_for(docs.count(), least, miss)
     fps = checkpoint(signatures(docs, shingle, rows * bands))
-    full = fps.where("n_shingles > 0")
-    nodes = full.groupBy("s0", "s1").agg(F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"), F.min(F.struct("doc_id", "row")).alias("m"))
-    nodes = checkpoint(nodes.select("s0", "s1", "n_shingles", "sig", "m.*"))
-    edges = links(docs, nodes, rows, bands, shingle, least, miss, key_rows, block)
-    found = _named(full.drop("sig"), edges, ["s0", "s1"], key_rows).select("doc_id", "n_shingles", "component_id")
+    full = fps.where("n_shingles > 0").select("doc_id", "row", "n_shingles", "sig", _node().alias("node"))
+    nodes = full.groupBy("node").agg(F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"), F.min(F.struct("doc_id", "row")).alias("m"), F.min("doc_id").alias("first"), F.count("*").alias("n"))
+    nodes = checkpoint(nodes.select("node", "node.*", "n_shingles", "sig", "m.*", "first", "n"))
+    roots = links(docs, nodes.drop("node", "first", "n"), rows, bands, shingle, least, miss, key_rows, block)
+    own = nodes.select("node", "first", "n").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    own = checkpoint(own)
+    names = own.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("n"))
+    names = checkpoint(names)
+    named = spread_join(own.select("node", "root"), names.select("root", "component_id"), "root", names.select("root", "n"), own.count(), ["node"], "inner", key_rows)
+    found = spread_join(full.drop("sig"), named.select("node", "component_id"), "node", own.select("node", "n"), full.count(), ["doc_id", "row"], "inner", key_rows)
+    found = found.select("doc_id", "n_shingles", "component_id")
     alone = fps.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return found.unionByName(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
