@@ -112,7 +112,7 @@ def test_window_stats_brute_force(spark):
     rng = np.random.default_rng(2)
     rows = [("p", int(b), i, f"u{rng.integers(4)}", f"x{rng.integers(3)}" if i % 7 else None, float(i)) for i, b in enumerate(np.sort(rng.integers(0, 300, 80)))]
     df = spark.createDataFrame([(*r, f"{r[3]}|{r[4]}") for r in rows], "protocol string, block_number long, log_index long, user string, collateral_asset string, amount_usd double, position_id string")
-    got = {(r.block_number, r.log_index): tuple(r)[3:] for r in cascades.window_stats(df, 40, 5).collect()}
+    got = {(r.block_number, r.log_index): tuple(r)[3:] for r in cascades.window_stats(df, [40], 5).drop("w").collect()}
     for _, b, i, *_ in rows:
         near = [r for r in rows if (r[1], r[2]) >= (b, i) and r[1] < b + 40]
         waves = {}

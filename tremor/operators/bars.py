@@ -63,13 +63,13 @@ def percentiles(df: DataFrame, by: list[str], value: str, at: list[float], cells
     sums = rows.groupBy(*by, "cell", "total").agg(F.sum("n").alias("c"))
     sums = sums.withColumn("before", F.sum("c").over(W.partitionBy(*by).orderBy("cell")) - F.col("c"))  # a row per cell
     want = F.explode(F.flatten(F.array(*[F.array(*[F.struct(F.lit(i).alias("i"), F.lit(float(q)).alias("q"), up(F.lit(float(q)) * (F.col("total") - 1)).cast("long").alias("rank"), F.lit(k).alias("k")) for k, up in enumerate((F.floor, F.ceil))]) for i, q in enumerate(at)])))
-    asked = sums.select(*by, "cell", "before", "c", "total", want.alias("w")).where((F.col("w.rank") >= F.col("before")) & (F.col("w.rank") < F.col("before") + F.col("c")))
+    asked = sums.select(*by, "cell", "before", "c", "total", want.alias("__want")).where((F.col("__want.rank") >= F.col("before")) & (F.col("__want.rank") < F.col("before") + F.col("c")))
     inside = rows.join(asked.select(*by, "cell", "before").distinct(), [*by, "cell"])
     upto = F.sum("n").over(W.partitionBy(*by, "cell").orderBy("v"))
     inside = inside.select(*by, "cell", "v", (F.col("before") + upto - F.col("n")).alias("a"), (F.col("before") + upto).alias("b"))
-    got = asked.join(inside, [*by, "cell"]).where((F.col("w.rank") >= F.col("a")) & (F.col("w.rank") < F.col("b")))
-    pick = lambda k: F.max(F.when(F.col("w.k") == k, F.col("v")))
-    each = got.groupBy(*by, F.col("w.i").alias("i"), (F.col("w.q") * (F.col("total") - 1)).alias("at")).agg(pick(0).alias("low"), pick(1).alias("high"))
+    got = asked.join(inside, [*by, "cell"]).where((F.col("__want.rank") >= F.col("a")) & (F.col("__want.rank") < F.col("b")))
+    pick = lambda k: F.max(F.when(F.col("__want.k") == k, F.col("v")))
+    each = got.groupBy(*by, F.col("__want.i").alias("i"), (F.col("__want.q") * (F.col("total") - 1)).alias("at")).agg(pick(0).alias("low"), pick(1).alias("high"))
     value_at = F.when(F.col("low") == F.col("high"), F.col("low")).otherwise((F.ceil("at") - F.col("at")) * F.col("low") + (F.col("at") - F.floor("at")) * F.col("high"))
     out = each.select(*by, "i", value_at.alias("x")).groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("p"))
     return out.drop("__one")

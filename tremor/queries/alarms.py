@@ -9,7 +9,7 @@ from tremor.operators import intervals
 from tremor.operators.bars import percentiles
 from tremor.plans import evaluation as E
 from tremor.plans import hawkes
-from tremor.queries.cascades import _EPISODES, BARS, bar_table, episodes
+from tremor.queries.cascades import _EPISODES, BARS, bar_table, primary_episodes
 from tremor.queries.registry import once, query
 from tremor.sources.adapter import cte
 
@@ -32,7 +32,7 @@ def score_table(spark, d):
 @once
 def episode_table(spark, d):
     w = W.orderBy("start_block", "protocol")  # episodes are few: a row per cascade
-    return episodes(spark, d).select(F.row_number().over(w).cast("long").alias("ep"), "start_block", "end_block", "severity_usd", "protocol")
+    return primary_episodes(spark, d).select(F.row_number().over(w).cast("long").alias("ep"), "start_block", "end_block", "severity_usd", "protocol")
 
 
 def edges(spark, d):

@@ -12,7 +12,7 @@ from tremor.plans import cascades
 from tremor.queries.registry import once, query
 from tremor.sources import adapter as A
 from tremor.sources.adapter import cte
-from tremor.sources.shared import shared_folder
+from tremor.sources.shared import saved, shared_folder
 
 _STATS = """, near as (select a.protocol, a.block_number as b, a.log_index as l, x.block_number, x.log_index, x."user", x.position_id, x.amount_usd, coalesce(x.collateral_asset, 'unknown') as asset,
    lag(x.block_number) over (partition by a.protocol, a.block_number, a.log_index, coalesce(x.collateral_asset, 'unknown') order by x.block_number, x.log_index) as prev
@@ -21,16 +21,38 @@ waves as (select protocol, b, l, asset, count(*) filter (where prev is null or b
 stats as (select protocol, b as block_number, l as log_index, sum(amount_usd) as sum_usd, count(distinct position_id) as n_positions, count(distinct "user") as n_users, max(block_number) as last_block,
    (select max(n) from waves where waves.protocol = near.protocol and waves.b = near.b and waves.l = near.l) as generations from near group by all)"""
 _EPISODES = _STATS + """, theta as (select protocol, quantile_cont(sum_usd, 0.95) as t from stats group by all),
-hits as (select protocol, block_number as s, last_block as e from stats join theta using (protocol) where sum_usd >= t and n_positions >= 5),
+hits as (select protocol, block_number as s, last_block as e from stats join theta using (protocol) where sum_usd >= t and n_positions >= 5 and n_users >= 2 and generations >= 2),
 isl as (select *, sum(case when p is null or s > p then 1 else 0 end) over (partition by protocol order by s, e rows unbounded preceding) as g from (select *, max(e) over (partition by protocol order by s, e rows between unbounded preceding and 1 preceding) as p from hits)),
 spans as (select protocol, min(s) as start_block, max(e) as end_block, count(*) as n from isl group by protocol, g),
 episodes as (select p.protocol, start_block, end_block, count(*) as n_events, sum(amount_usd) as severity_usd, count(distinct position_id) as n_positions, count(distinct "user") as n_users
   from spans p join liq l on l.protocol = p.protocol and l.block_number between start_block and end_block group by all)"""
 
 
+_LABELS = f""", ws as (select unnest([{", ".join(map(str, A.WIDTHS))}])::bigint as w),
+near as (select w, a.protocol, a.block_number as b, a.log_index as l, x.block_number, x."user", x.position_id, x.amount_usd, coalesce(x.collateral_asset, 'unknown') as asset,
+   lag(x.block_number) over (partition by w, a.protocol, a.block_number, a.log_index, coalesce(x.collateral_asset, 'unknown') order by x.block_number, x.log_index) as prev
+   from ws, liq a join liq x on a.protocol = x.protocol and (x.block_number, x.log_index) >= (a.block_number, a.log_index) and x.block_number < a.block_number + {max(A.WIDTHS)} where x.block_number < a.block_number + w),
+waves as (select w, protocol, b, l, asset, count(*) filter (where prev is null or block_number - prev > {A.LAG}) as n from near group by all),
+stats as (select w, protocol, b as block_number, l as log_index, sum_usd, n_positions, n_users, last_block, generations from
+   (select w, protocol, b, l, sum(amount_usd) as sum_usd, count(distinct position_id) as n_positions, count(distinct "user") as n_users, max(block_number) as last_block from near group by all)
+   join (select w, protocol, b, l, max(n) as generations from waves group by all) using (w, protocol, b, l)),
+levels as (select protocol, w, quantile_cont(sum_usd, [{", ".join(str(t / 100) for t in A.THETAS)}]) as p from stats group by all),
+points as (select protocol, w, k, theta, theta_usd from (select protocol, w, unnest([{", ".join(map(str, A.THETAS))}])::double as theta, unnest(p) as theta_usd from levels), (select unnest([{", ".join(map(str, A.POSITIONS))}])::bigint as k)),
+hits as (select protocol, w, k, theta, theta_usd, block_number as s, last_block as e from stats join points using (protocol, w) where sum_usd >= theta_usd and n_positions >= k and n_users >= 2 and generations >= 2),
+isl as (select *, sum(case when p is null or s > p then 1 else 0 end) over (partition by protocol, w, k, theta order by s, e rows unbounded preceding) as g
+   from (select *, max(e) over (partition by protocol, w, k, theta order by s, e rows between unbounded preceding and 1 preceding) as p from hits)),
+spans as (select protocol, w, k, theta, any_value(theta_usd) as theta_usd, min(s) as start_block, max(e) as end_block from isl group by protocol, w, k, theta, g),
+within as (select s.*, l.* exclude (protocol, k), coalesce(collateral_asset, 'unknown') as asset_key, lag(block_number) over (partition by s.protocol, w, s.k, theta, start_block, coalesce(collateral_asset, 'unknown') order by block_number, log_index) as prev
+   from spans s join liq l on l.protocol = s.protocol and l.block_number between start_block and end_block),
+labels_ as (select protocol, w, k, theta, theta_usd, start_block, end_block, count(*) as n_events, sum(amount_usd) as severity_usd, count(distinct position_id) as n_positions, count(distinct "user") as n_users, min(block_timestamp) as start_time, max(block_timestamp) as end_time from within group by all),
+gens as (select protocol, w, k, theta, start_block, max(n) as generations from (select protocol, w, k, theta, start_block, asset_key, count(*) filter (where prev is null or block_number - prev > {A.LAG}) as n from within group by all) group by all),
+grid_episodes as (select protocol || '_w' || w || '_k' || k || '_p' || cast(theta as bigint) || '_' || start_block || '_' || end_block as episode_id, labels_.*, generations, w = {A.PRIMARY[0]} and k = {A.PRIMARY[1]} and theta = {A.PRIMARY[2]} as is_primary
+   from labels_ join gens using (protocol, w, k, theta, start_block))"""
+
+
 @once
 def _stats(spark, d):
-    return cascades.window_stats(A.liquidations(spark, d), A.WINDOW, A.LAG)
+    return cascades.window_stats(A.liquidations(spark, d), [A.WINDOW], A.LAG).drop("w")
 
 
 @query(cte("grid") + _STATS + " select * from stats")
@@ -48,10 +70,25 @@ def theta_percentile(spark, d):
     return B.percentiles(_stats(spark, d), ["protocol"], "sum_usd", [0.9, 0.95, 0.99]).select("protocol", *[F.col("p")[i].alias(n) for i, n in enumerate(("p90", "p95", "p99"))])
 
 
-@query(cte("grid") + _EPISODES + " select * from episodes")
+@once
+def primary_episodes(spark, d):
+    """The episodes of the primary grid point, which alarms are judged by."""
+    w, k, theta = A.PRIMARY
+    stats = cascades.window_stats(A.liquidations(spark, d), [w], A.LAG)
+    found = cascades.label_grid(A.liquidations(spark, d), saved(stats), [k], [theta], A.LAG)
+    return found.select("protocol", "start_block", "end_block", "n_events", "severity_usd", "n_positions", "n_users")
+
+
+@query(cte("liq") + _LABELS + " select * from grid_episodes")
 @once
 def episodes(spark, d):
-    return cascades.episodes(A.liquidations(spark, d), _stats(spark, d), A.WINDOW, 5, 95)
+    """All 27 points of the label grid from one pass over the liquidations."""
+    liq = A.liquidations(spark, d)
+    stats = saved(cascades.window_stats(liq, list(A.WIDTHS), A.LAG))
+    found = cascades.label_grid(liq, stats, list(A.POSITIONS), list(A.THETAS), A.LAG)
+    primary = (F.col("w") == A.PRIMARY[0]) & (F.col("k") == A.PRIMARY[1]) & (F.col("theta") == A.PRIMARY[2])
+    name = F.concat("protocol", F.lit("_w"), "w", F.lit("_k"), "k", F.lit("_p"), F.col("theta").cast("long"), F.lit("_"), "start_block", F.lit("_"), "end_block")
+    return found.select(name.alias("episode_id"), "*", primary.alias("is_primary"))
 
 
 @query(cte("liq") + """, w as (select protocol, block_number // 5000 * 5000 as start_block, block_number // 5000 * 5000 + 6000 as end_block from liq group by all)
@@ -63,20 +100,25 @@ def interval_rollup(spark, d):
     return cascades.interval_rollup(liq, spans, A.WINDOW)
 
 
-@query(cte("grid") + _EPISODES + " select protocol, count(*) as n_episodes, sum(severity_usd) as total_usd, max(severity_usd) as largest_usd from episodes group by all")
+@query(cte("liq") + _LABELS + """ select protocol, w, k, theta, n_episodes, total_usd, largest_usd, n_primary from
+(select protocol, w, k, theta, count(*) as n_episodes, sum(severity_usd) as total_usd, max(severity_usd) as largest_usd, count(*) filter (where is_primary) as n_primary from grid_episodes group by grouping sets ((protocol, w, k, theta), ()))""")
 def write_episodes(spark, d):
-    """Writes the episodes by protocol and reads them again for the summary."""
-    folder = shared_folder(spark, "episodes")
-    episodes(spark, d).write.partitionBy("protocol").parquet(folder)
-    schema = "start_block long, end_block long, n_events long, severity_usd double, n_positions long, n_users long, protocol string"
+    """Writes the labels by protocol and their summary, of each grid point and of all together, as JSON, and reads the summary again."""
+    folder, summary = shared_folder(spark, "episodes"), shared_folder(spark, "episode-summary")
+    episodes(spark, d).write.partitionBy("protocol").option("compression", "zstd").parquet(folder)
+    schema = "episode_id string, w long, k long, theta double, theta_usd double, start_block long, end_block long, n_events long, severity_usd double, n_positions long, n_users long, start_time timestamp_ntz, end_time timestamp_ntz, generations long, is_primary boolean, protocol string"
     e = spark.read.schema(schema).parquet(folder)
-    return e.groupBy("protocol").agg(F.count("*").alias("n_episodes"), F.sum("severity_usd").alias("total_usd"), F.max("severity_usd").alias("largest_usd"))
+    sums = [F.count("*").alias("n_episodes"), F.sum("severity_usd").alias("total_usd"), F.max("severity_usd").alias("largest_usd"), F.count_if("is_primary").alias("n_primary")]
+    each = e.groupBy("protocol", "w", "k", "theta").agg(*sums)
+    whole = e.agg(*sums).select(*[F.lit(None).cast(t).alias(c) for c, t in (("protocol", "string"), ("w", "long"), ("k", "long"), ("theta", "double"))], "*")
+    each.unionByName(whole).write.json(summary)
+    return spark.read.schema("protocol string, w long, k long, theta double, n_episodes long, total_usd double, largest_usd double, n_primary long").json(summary)
 
 
 @query(cte("grid") + _EPISODES + " select protocol, start_block, end_block, severity_usd from (select *, row_number() over (partition by protocol order by severity_usd desc, start_block) as n from episodes) where n <= 3")
 def primary_by_severity(spark, d):
     w = W.partitionBy("protocol").orderBy(F.desc("severity_usd"), "start_block")
-    return episodes(spark, d).withColumn("n", F.row_number().over(w)).where("n <= 3").select("protocol", "start_block", "end_block", "severity_usd")
+    return primary_episodes(spark, d).withColumn("n", F.row_number().over(w)).where("n <= 3").select("protocol", "start_block", "end_block", "severity_usd")
 
 
 @query(cte("grid") + _STATS + """, hits as (select protocol, block_number as s, last_block as e from stats where n_positions >= 5),
@@ -130,12 +172,15 @@ def reconcile(spark, d):
     return g.select("name", "n_events", "usd", dev.alias("usd_deviation"), (F.col("n_events") / F.col("n_target") - 1).alias("n_deviation"), (F.abs(dev) <= 0.1).alias("within"))
 
 
-@query(cte("grid") + _EPISODES + ", t as (select * from (values ('early', 0, 60000), ('late', 100000, 200000)) v(name, lo, hi)) select name, (select count(*) from liq where block_number between lo and hi) as n_events, (select sum(amount_usd) from liq where block_number between lo and hi) as usd, (select count(distinct protocol) from episodes where start_block <= hi and end_block >= lo) as n_hit from t")
+@query(cte("liq") + _LABELS + ", t as (select * from (values ('early', 0, 60000), ('late', 100000, 200000)) v(name, lo, hi)) select name, (select count(*) from liq where block_number between lo and hi) as n_events, (select sum(amount_usd) from liq where block_number between lo and hi) as usd, exists (select 1 from grid_episodes where is_primary and start_block between lo and hi) as detected_primary, (select count(distinct (w, k, theta)) from grid_episodes where start_block <= hi and end_block >= lo) as n_points from t")
 def golden_summary(spark, d):
+    """Named windows: what they hold, whether the primary labels begin in them, and how many of the 27 grid points meet them."""
     t = spark.createDataFrame([("early", 0, 60000), ("late", 100000, 200000)], "name string, lo long, hi long")
     seen = A.liquidations(spark, d).join(F.broadcast(t), F.col("block_number").between(F.col("lo"), F.col("hi"))).groupBy("name").agg(F.count("*").alias("n_events"), F.sum("amount_usd").alias("usd"))
-    hit = episodes(spark, d).join(F.broadcast(t), (F.col("start_block") <= F.col("hi")) & (F.col("end_block") >= F.col("lo"))).groupBy("name").agg(F.countDistinct("protocol").alias("n_hit"))
-    return t.select("name").join(seen, "name", "left").join(hit, "name", "left").select("name", F.coalesce("n_events", F.lit(0)).alias("n_events"), "usd", F.coalesce("n_hit", F.lit(0)).alias("n_hit"))
+    met = episodes(spark, d).join(F.broadcast(t), (F.col("start_block") <= F.col("hi")) & (F.col("end_block") >= F.col("lo")))
+    hit = met.groupBy("name").agg(F.max(F.col("is_primary") & (F.col("start_block") >= F.col("lo"))).alias("hit"), F.countDistinct("w", "k", "theta").alias("n"))
+    out = t.select("name").join(seen, "name", "left").join(hit, "name", "left")
+    return out.select("name", F.coalesce("n_events", F.lit(0)).alias("n_events"), "usd", F.coalesce("hit", F.lit(False)).alias("detected_primary"), F.coalesce("n", F.lit(0)).alias("n_points"))
 
 
 BARS = """, b0 as (select min(block_number) as lo, max(block_number) as hi, greatest(1, cast(ceil((max(block_number) - min(block_number)) / (select bw from grid)) as bigint)) as n from liq),
@@ -196,7 +241,7 @@ def cascade_list(spark, d):
 
 @query(cte("grid") + _EPISODES + BARS + " select e.protocol, e.start_block as episode, b.i, b.n_liquidations from episodes e join bars b on b.end_block >= e.start_block - 100 and b.start_block <= e.end_block + 100")
 def window_slice(spark, d):
-    e = episodes(spark, d).select("protocol", F.col("start_block").alias("episode"), F.col("end_block").alias("last"))
+    e = primary_episodes(spark, d).select("protocol", F.col("start_block").alias("episode"), F.col("end_block").alias("last"))
     cell = 1 << 14
     e = e.withColumn("c", F.explode(F.sequence(F.floor((F.col("episode") - 100) / cell) - 1, F.floor((F.col("last") + 100) / cell))))
     b = bar_table(spark, d).withColumn("c", F.floor(F.col("start_block") / cell))

@@ -12,6 +12,9 @@ GENESIS_US, BLOCK_US = 1704067200000000, 12000000
 #: Blocks of a cascade's window, between two waves of it, and of a bar. Fixed: ten, ten and two times the usual 100, 20 and 5,
 #: as the given month of events is thin.
 WINDOW, LAG, BAR = 1000, 200, 10
+#: The label grid: widths, ten times the usual ones, least positions, and percentiles; and its primary point.
+WIDTHS, POSITIONS, THETAS = (500, 1000, 3000), (3, 5, 10), (90.0, 95.0, 99.0)
+PRIMARY = (WINDOW, 5, 95.0)
 #: asset, decimals, liquidation threshold (fixed values)
 REGISTRY = [("a0", 2, 0.80), ("a1", 2, 0.75), ("a2", 2, 0.70), ("a3", 2, 0.65), ("a4", 2, 0.005)]
 
