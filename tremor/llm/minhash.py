@@ -118,7 +118,7 @@ def _matrix(column: pa.Array, size: int) -> np.ndarray:
 
 
 def band_keys(nodes: DataFrame, rows: int, bands: int) -> DataFrame:
-    """(key, s0, s1): each node once a band, under a hash of the band's values."""
+    """(key, band, s0, s1): each node once a band, under a hash of the band's values."""
 
     def run(batches):
         for batch in batches:
@@ -128,33 +128,76 @@ def band_keys(nodes: DataFrame, rows: int, bands: int) -> DataFrame:
                     key = np.full(len(sig), b + 1, np.uint64)
                     for k in range(rows):
                         key = _mix(key * np.uint64(31) + sig[:, b * rows + k])
-                yield pa.RecordBatch.from_pydict({"key": key.view(np.int64), "s0": batch.column("s0"), "s1": batch.column("s1")})
-
-    return nodes.select("s0", "s1", "sig").mapInArrow(run, "key long, s0 long, s1 long")
-
-
-def meetings(members: DataFrame, size: int, picks: int, across: bool, least: int, miss: float, block: int) -> DataFrame:
+                yield pa.RecordBatch.from_pydict({"key": key.view(np.int64), "band": np.full(len(key), b, np.int32), "s0": batch.column("s0"), "s1": batch.column("s1")})
+
+    return nodes.select("s0", "s1", "sig").mapInArrow(run, "key long, band int, s0 long, s1 long")
+
+
+def common_counts(sets: list[np.ndarray], p: np.ndarray, q: np.ndarray, bits: int = 1 << 12, pairs: int = 1 << 15) -> np.ndarray:
+    """Sizes of the intersections of sets p[i] and q[i], of sorted numbers: by rows of bits over the numbers that two sets or more have, some thousands at a time."""
+    used, at = np.unique(np.concatenate([p, q]), return_inverse=True)
+    p, q, out = at[: len(p)], at[len(p) :], np.zeros(len(p), np.int64)
+    owner = np.repeat(np.arange(len(used)), [len(sets[k]) for k in used])
+    number, many = np.unique(np.concatenate([sets[k] for k in used]), return_inverse=True, return_counts=True)[1:]
+    shared = many[number] > 1
+    number, owner = (np.cumsum(many > 1) - 1)[number[shared]], owner[shared]
+    order = np.argsort(number, kind="stable")
+    number, owner = number[order], owner[order]
+    for low in range(0, int(number[-1]) + 1 if len(number) else 0, bits):
+        i, j = np.searchsorted(number, [low, low + bits])
+        rows = np.zeros((len(used), bits), bool)
+        rows[owner[i:j], number[i:j] - low] = True
+        rows = np.packbits(rows, axis=1).view(np.uint64)
+        for k in range(0, len(p), pairs):
+            out[k : k + pairs] += np.bitwise_count(rows[p[k : k + pairs]] & rows[q[k : k + pairs]]).sum(1, dtype=np.int64)
+    return out
+
+
+def meetings(members: DataFrame, rows: int, bands: int, exact: bool, least: int, miss: float, block: int) -> DataFrame:
     """(a0, a1, b0, b1, more): of the members of a bucket with different roots, pairs that the posterior bound doesn't prune.
 
-    Members are compared in blocks, two at a time, or only each block with itself if not `across`, in sequence: after each
-    batch of signature values, pairs with fewer equal ones than fewest_matches() are dropped. Of the others, those go out
-    that make a forest of most equal values over the roots, and each member's `picks` best; `more` tells on each row
-    whether its meeting holds others still. Rows are sorted and streamed, so a task holds two blocks and not its bucket's pairs.
+    A pair is compared where it first shares a band, batch of signature values by batch, and dropped as soon as it has fewer equal
+    ones than fewest_matches(). If not `exact`, each block of a bucket is compared with itself alone, and of the pairs left
+    those go out that make a forest of most equal values over the roots, and each member's best; `more` tells on each row
+    whether its bucket may hold others. If `exact`, all pairs of blocks meet, members bring their sets `s`, each pair left is
+    verified there and then, and a forest of the verified ones goes out. Rows are sorted and streamed, so a task holds
+    two blocks, and no bucket hands out its pairs.
     """
+    size = rows * bands
     ends = [size * (k + 1) // BATCHES for k in range(BATCHES)]
     needed = [fewest_matches(n, least, miss) for n in ends]
     own = F.pmod(F.xxhash64("s0", "s1", F.lit("block")), F.col("blocks")).cast("int")
-    rows = members.withColumn("blocks", F.ceil(F.col("n") / block)).withColumn("own", own)
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1)) if across else F.col("own")
-    rows = rows.withColumn("other", other).withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
-    rows = rows.select("key", "i", "j", "own", "s0", "s1", F.xxhash64("root").alias("root"), "n_shingles", "sig")
-    rows = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    longs = ("key", "i", "j", "own", "s0", "s1", "root", "n_shingles")
-
-    def compared(x, sig, group, last):
+    blocks = F.greatest(F.ceil(F.col("n") / block), F.ceil(F.col("weight") / (block << 9))) if exact else F.ceil(F.col("n") / block)
+    dealt = members.withColumn("blocks", blocks).withColumn("own", own)
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1)) if exact else F.col("own")
+    dealt = dealt.withColumn("other", other).withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
+    longs = ("key", "i", "j", "own", "s0", "s1", "root", "n_shingles", "band", "blocks")
+    dealt = dealt.select("key", "i", "j", "own", "s0", "s1", F.xxhash64("root").alias("root"), "n_shingles", "band", "blocks", "sig", *(["s"] if exact else []))
+    dealt = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+
+    def verified_ones(x, sets, group, p, q):
+        """Which pairs have a similarity of `least` or more."""
+        out = np.zeros(len(p), bool)
+        order = np.argsort(group[p], kind="stable")
+        for some in np.split(order, np.flatnonzero(np.diff(group[p][order])) + 1):
+            if len(some):
+                common = common_counts(sets, p[some], q[some])
+                out[some] = 100 * common >= least * (x["n_shingles"][p[some]] + x["n_shingles"][q[some]] - common)
+        return out
+
+    def compared(x, sig, sets, group, last):
         """Places of surviving pairs and their equal values."""
-        found = [(np.zeros(0, np.int64),) * 3]
+        found, waiting = [(np.zeros(0, np.int64),) * 3], []
         a, step = np.arange(len(group)), 1
+
+        def settle():
+            p, q, equal = (np.concatenate(f) for f in zip(*waiting))
+            waiting.clear()
+            if exact:
+                keep = verified_ones(x, sets, group, p, q)
+                p, q, equal = p[keep], q[keep], equal[keep]
+            found.append((p, q, equal))
+
         while True:
             a = a[a + step < last[a]]
             if not len(a):
@@ -168,7 +211,14 @@ def meetings(members: DataFrame, size: int, picks: int, across: bool, least: int
                 equal += (sig[p, begin:end] == sig[q, begin:end]).sum(1)
                 keep = equal >= need
                 p, q, equal, begin = p[keep], q[keep], equal[keep], end
-            found.append((p, q, equal))
+            if len(p):
+                shared = (sig[p] == sig[q]).reshape(len(p), bands, rows).all(2)
+                keep = shared.argmax(1) == x["band"][p]
+                waiting.append((p[keep], q[keep], equal[keep]))
+                if sum(len(w[0]) for w in waiting) > 1 << 18:
+                    settle()
+        if waiting:
+            settle()
         return tuple(np.concatenate(f) for f in zip(*found))
 
     def chosen(x, group, p, q, equal):
@@ -178,21 +228,25 @@ def meetings(members: DataFrame, size: int, picks: int, across: bool, least: int
         place = np.unique(_mix(both ^ _mix(np.concatenate([group[p], group[p]]).astype(np.uint64))), return_inverse=True)[1]
         if len(p):
             out[forest(int(place.max()) + 1, place[: len(p)], place[len(p) :], size - equal)] = True
-        if picks:
+        if not exact:
             ends_of, pair = np.concatenate([p, q]), np.tile(np.arange(len(p)), 2)
             order = np.lexsort((pair, -equal[pair], ends_of))
-            nth = np.arange(len(order)) - np.searchsorted(ends_of[order], ends_of[order])
-            out[pair[order[nth < picks]]] = True
+            best = np.ones(len(order), bool)
+            best[1:] = ends_of[order][1:] != ends_of[order][:-1]
+            out[pair[order[best]]] = True
         return out
 
     def run(batches):
-        held, sigs = {c: np.zeros(0, np.int64) for c in longs}, np.zeros((0, size), np.uint16)
+        held, sigs, sets = {c: np.zeros(0, np.int64) for c in longs}, np.zeros((0, size), np.uint16), []
         for batch in chain(batches, [None]):
             if batch is not None:
                 if not batch.num_rows:
                     continue
                 held = {c: np.concatenate([held[c], np.asarray(batch.column(c)).astype(np.int64)]) for c in longs}
                 sigs = np.concatenate([sigs, _matrix(batch.column("sig"), size)])
+                if exact:
+                    off, values = np.asarray(batch.column("s").offsets), np.asarray(batch.column("s").values)
+                    sets += [np.sort(values[i:j]) for i, j in zip(off[:-1], off[1:])]
             many = len(held["key"])
             if not many:
                 continue
@@ -203,15 +257,15 @@ def meetings(members: DataFrame, size: int, picks: int, across: bool, least: int
             x, sig = {c: v[:end] for c, v in held.items()}, sigs[:end]
             group = np.cumsum(new[:end]) - 1
             last = np.append(starts, many)[group + 1] if end else np.zeros(0, np.int64)
-            p, q, equal = compared(x, sig, group, last)
+            p, q, equal = compared(x, sig, sets, group, last)
             out = chosen(x, group, p, q, equal)
             if len(p):
-                rest = np.bincount(group[p[~out]], minlength=int(group[-1]) + 1) > 0
+                rest = (np.bincount(group[p[~out]], minlength=int(group[-1]) + 1) > 0) & (not exact)
                 p, q = p[out], q[out]
-                yield pa.RecordBatch.from_pydict({"a0": x["s0"][p], "a1": x["s1"][p], "b0": x["s0"][q], "b1": x["s1"][q], "more": rest[group[p]]})
-            held, sigs = {c: v[end:] for c, v in held.items()}, sigs[end:]
+                yield pa.RecordBatch.from_pydict({"key": x["key"][p], "a0": x["s0"][p], "a1": x["s1"][p], "b0": x["s0"][q], "b1": x["s1"][q], "more": rest[group[p]]})
+            held, sigs, sets = {c: v[end:] for c, v in held.items()}, sigs[end:], sets[end:]
 
-    return rows.mapInArrow(run, "a0 long, a1 long, b0 long, b1 long, more boolean")
+    return dealt.mapInArrow(run, "key long, a0 long, a1 long, b0 long, b1 long, more boolean")
 
 
 def shingle_sets(documents: DataFrame, wanted: DataFrame, shingle: int, sent: int = SENT) -> DataFrame:
@@ -260,32 +314,34 @@ def links(documents: DataFrame, nodes: DataFrame, rows: int, bands: int, shingle
     """(node, root) of the nodes that share a bucket with others: the least node of the component that all pairs of a similarity of
     `least` or more make.
 
-    Buckets that hold the same nodes as another are left out. In rounds, members of different components meet in each
-    bucket that still has several, first within blocks, then across them: meetings() gives a forest over the
-    components and ever more of each member's best pairs, which are verified; the rounds end when no pair that the bound leaves is
-    untried. So no bucket emits all its pairs, and none is cut short.
+    Of buckets that hold the same nodes, the one of the first band stays. First each bucket gives a forest of likely pairs, and each
+    member's best, which are verified by joining their sets. Then the buckets that may hold more, and whose members aren't one component by
+    now, get the sets of their members, and all pairs that the bound leaves are verified inside. So no bucket emits all its pairs, and none is cut short.
     """
     keyed = band_keys(nodes, rows, bands)
-    sizes = keyed.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("s0", "s1")).alias("x"), F.min("s0").alias("m")).where("n > 1")
-    live = checkpoint(sizes.groupBy("n", "x", "m").agg(F.min("key").alias("key")).select("key", "n"))
+    sizes = keyed.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("s0", "s1")).alias("x"), F.min("s0").alias("m"), F.first("band").alias("band")).where("n > 1")
+    live = checkpoint(sizes.groupBy("n", "x", "m").agg(F.min(F.struct("band", "key")).alias("k")).select("k.key", "n"))
     total = live.agg(F.sum("n")).first()[0] or 0
     met = spread_join(keyed, live, "key", live, total, ["s0", "s1"], "inner", key_rows)
     members = checkpoint(met.join(nodes.select("s0", "s1", "n_shingles", "sig"), ["s0", "s1"]).withColumn("node", _node()))
     wanted = checkpoint(members.select("node").distinct().join(nodes.select(_node().alias("node"), "doc_id", "row"), "node"))
     sets = checkpoint(shingle_sets(documents, wanted, shingle))
-    large = live.where(F.col("n") > block).limit(1).count() > 0
-    roots, picks, across = wanted.select("node", F.col("node").alias("root")), 2, not large
-    rooted = members.withColumn("root", F.col("node"))
-    while True:
-        found = checkpoint(meetings(rooted, rows * bands, picks, across, least, miss, block))
-        pairs = checkpoint(found.select(F.least(_node("a0", "a1"), _node("b0", "b1")).alias("a"), F.greatest(_node("a0", "a1"), _node("b0", "b1")).alias("b")).distinct())
-        roots = joined(roots, verified(pairs, sets, least, key_rows), key_rows) or roots
-        if across and not found.where("more").limit(1).count():
-            return roots
-        picks, across = (16 * picks if across else picks), True
-        rooted = members.join(roots, "node")
-        apart = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
-        rooted = spread_join(rooted, apart, "key", live, total, ["node"], "left_semi", key_rows)
+    roots = wanted.select("node", F.col("node").alias("root"))
+    found = checkpoint(meetings(members.withColumn("root", F.col("node")), rows, bands, False, least, miss, block))
+    pairs = lambda found: found.select(F.least(_node("a0", "a1"), _node("b0", "b1")).alias("a"), F.greatest(_node("a0", "a1"), _node("b0", "b1")).alias("b")).distinct()
+    roots = joined(roots, verified(checkpoint(pairs(found)), sets, least, key_rows), key_rows) or roots
+    open_keys = found.where("more").select("key").unionByName(live.where(F.col("n") > block).select("key")).distinct()
+    left = spread_join(members, checkpoint(open_keys), "key", live, total, ["node"], "left_semi", key_rows)
+    rooted = checkpoint(left.select("key", "node").join(roots, "node"))
+    apart = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
+    weights = left.groupBy("key").agg(F.sum("n_shingles").alias("weight"))
+    apart = checkpoint(apart.join(weights, "key"))
+    if not apart.limit(1).count():
+        return roots
+    rooted = spread_join(rooted, apart, "key", live, total, ["node"], "inner", key_rows)
+    again = left.join(rooted, ["key", "node"])
+    again = spread_join(again, sets, "node", again.groupBy("node").agg(F.count("*").alias("n")), total, ["key"], "inner", key_rows)
+    return joined(roots, checkpoint(pairs(meetings(again, rows, bands, True, least, miss, 8 * block))), key_rows) or roots
 
 
 def near_duplicates(documents: DataFrame, shingle: int = SHINGLE, least: int = LEAST, miss: float = MISS, key_rows: int = KEY_ROWS, block: int = BLOCK) -> DataFrame:
