@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -105,6 +107,35 @@ def debounced(df: DataFrame, by: list[str], order: str, above: Column, k: int, w
     return rows.where((F.col("__n") >= k) & (F.coalesce("__m", F.lit(0)) < k)).drop("__above", "__n", "__m")
 
 
+def kth_largest(df: DataFrame, by: list[str], order: str, value: str, ks: list[int], window: int, part: int = 1 << 16) -> DataFrame:
+    """(by.., order, k, before, level): for each k, the k-th largest value of a row and the `window` - 1 rows before it in a dense integer order, and that of the row before.
+
+    At least k of these values reach a threshold just if the level does, so debouncing at any threshold is a rising edge of the level.
+    Null where there are fewer than k values. Rows are dealt to ranges, with the rows that they look back on.
+    """
+    window = max(window, *ks)
+    rows, _ = _with_margin(df.select(*by, order, F.col(value).cast("double").alias("__v")), by, order, window, max(part, window))
+
+    def levels(key, pdf):
+        pdf = pdf.sort_values(order, ignore_index=True)
+        v = np.concatenate([np.full(window, -np.inf), pdf["__v"].fillna(-np.inf).to_numpy()])
+        own = np.flatnonzero(pdf["__own"].to_numpy())
+        out = []
+        for begin in range(0, len(own), 1 << 14):
+            at = own[begin : begin + (1 << 14)]
+            near = -np.lib.stride_tricks.sliding_window_view(v, window)[np.concatenate([at, at + 1])]  # before, and with, the row
+            near = -np.partition(near, [k - 1 for k in ks], axis=1)[:, [k - 1 for k in ks]]
+            near[np.isneginf(near)] = np.nan
+            for c, k in enumerate(ks):
+                out.append(pdf.loc[at, [*by, order]].assign(k=k, before=near[: len(at), c], level=near[len(at) :, c]))
+        return pd.concat(out) if out else pd.DataFrame(columns=[*by, order, "k", "before", "level"])
+
+    kinds = dict(df.dtypes)
+    fields = ", ".join([f"{c} {kinds[c]}" for c in (*by, order)] + ["k int", "before double", "level double"])
+    found = rows.groupBy(*by, "__part").applyInPandas(levels, fields)
+    return found.withColumn("before", F.nanvl("before", F.lit(None).cast("double"))).withColumn("level", F.nanvl("level", F.lit(None).cast("double")))
+
+
 def within_spans(points: DataFrame, t: str, spans: DataFrame, lo: str, hi: str, cell: int = 1 << 12, how: str = "inner", by: list[str] | None = None) -> DataFrame:
     """Rows of points joined with the spans of equal `by` whose [lo, hi] holds t: an equi-join on cells of t, so neither side is sent whole to every task."""
     cut = spans.withColumn("__cell", F.explode(F.sequence(F.floor(F.col(lo) / cell), F.floor(F.col(hi) / cell))))

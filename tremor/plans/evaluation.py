@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tremor.operators.intervals import merge_intervals, trailing, within_spans
+from tremor.operators.intervals import kth_largest, merge_intervals, trailing, within_spans
+from tremor.sources.shared import saved
 
 
 def classify_alerts(alerts: DataFrame, episodes: DataFrame, lead: int) -> DataFrame:
@@ -49,6 +50,55 @@ def sweep(scores: DataFrame, episodes: DataFrame, lead: int, thresholds: list[fl
     return out.select("threshold", run("alerts").alias("alerts"), run("t").alias("true_alerts"), run("f").alias("false_alarms"), run("e").alias("detected"))
 
 
+def debounced_sweep(scores: DataFrame, episodes: DataFrame, lead: int, thresholds: list[float], ks: list[int], window: int, pad: int, minutes: float = 0.2) -> DataFrame:
+    """(k, threshold, fires, false_alarms, detected, detected_primary, n_leads, mean_lead) for all thresholds and k in one pass.
+
+    A bar fires at the thresholds between the k-th largest of the last `window` scores before it and with it. A fire is false if it
+    lies in no episode's [start - lead, end], else it detects all episodes whose it lies in. The lead of a primary episode is
+    counted from the first fire in [start - pad, start + pad), in blocks of `minutes` each. scores: i, block, score; episodes: ep,
+    start_block, end_block, is_primary. Counts are sums of rank differences; only fires near primary episodes are dealt to their thresholds.
+    """
+    array = F.array(*[F.lit(float(t)) for t in thresholds])
+    rank = lambda c: F.size(F.filter(array, lambda t: t <= c))
+    low = F.lit(float("-inf"))
+    levels = kth_largest(scores, [], "i", "score", ks, window)
+    fires = levels.withColumn("a", rank(F.coalesce("before", low)) + 1).withColumn("b", rank(F.coalesce("level", low))).where("b >= a")
+    fires = saved(fires.join(scores.select("i", "block"), "i").select("k", "block", "a", "b"))
+    spans = episodes.select("ep", "is_primary", (F.col("start_block") - lead).alias("lo"), F.col("end_block").alias("hi"))
+    met = saved(within_spans(fires.select("block").distinct(), "block", spans, "lo", "hi").select("block", "ep", "is_primary"))
+    true = met.select("block").distinct().withColumn("true", F.lit(1))
+    steps = lambda df, by, lo, hi: df.select(*by, F.explode(F.array(F.struct(F.col(lo).alias("rank"), F.lit(1).alias("d")), F.struct((F.col(hi) + 1).alias("rank"), F.lit(-1).alias("d")))).alias("x")).select(*by, "x.*")
+    counts = steps(fires.join(true, "block", "left"), ["k", "true"], "a", "b").groupBy("k", "rank").agg(F.sum("d").alias("fires"), F.sum(F.when(F.col("true").isNull(), F.col("d"))).alias("false"))
+    found = merge_intervals(fires.join(met, "block"), ["k", "ep", "is_primary"], "a", "b", touch=1)
+    found = steps(found, ["k", "is_primary"], "a", "b").groupBy("k", "rank").agg(F.sum("d").alias("found"), F.sum(F.when(F.col("is_primary"), F.col("d"))).alias("primary"))
+    near = episodes.where("is_primary").select("ep", "start_block", (F.col("start_block") - pad).alias("lo"), (F.col("start_block") + pad - 1).alias("hi"))
+    first = within_spans(fires, "block", near, "lo", "hi").select("k", "ep", "start_block", "block", F.explode(F.sequence("a", "b")).alias("rank"))
+    first = first.groupBy("k", "rank", "ep").agg(F.max(F.col("start_block") - F.col("block")).alias("lead"))
+    leads = first.groupBy("k", "rank").agg(F.count("*").alias("n_leads"), (F.avg("lead") * minutes).alias("mean_lead"))
+    spark = scores.sparkSession
+    points = spark.createDataFrame([(k, i + 1, float(t)) for k in ks for i, t in enumerate(thresholds)], "k int, rank int, threshold double")
+    w = W.partitionBy("k").orderBy("rank").rowsBetween(W.unboundedPreceding, 0)  # a row per threshold
+    run = lambda c: F.sum(F.coalesce(F.col(c), F.lit(0))).over(w).cast("long")
+    out = points.join(counts, ["k", "rank"], "left").join(found, ["k", "rank"], "left").join(leads, ["k", "rank"], "left")
+    return out.select("k", "threshold", run("fires").alias("fires"), run("false").alias("false_alarms"), run("found").alias("detected"), run("primary").alias("detected_primary"), F.coalesce("n_leads", F.lit(0)).alias("n_leads"), F.coalesce("mean_lead", F.lit(0.0)).alias("mean_lead"))
+
+
+def bootstrap_totals(values: DataFrame, replicates: int, at: list[float]) -> DataFrame:
+    """One row `p`: the percentiles `at` of the totals of resamples with replacement of rows (place, x), place being 0, 1, ...
+
+    Draw j of replicate b is the row whose place is a hash of (b, j) modulo their number, so each rerun, and any other program,
+    makes the same draws. Replicates are dealt over tasks; no rows give no percentiles.
+    """
+    from tremor.operators.bars import percentiles
+
+    values = saved(values.select("place", "x"))
+    n = values.count()
+    number = F.conv(F.substring(F.md5(F.concat_ws(":", "b", "j")), 1, 15), 16, 10).cast("long") % max(n, 1)
+    draws = values.sparkSession.range(replicates).select(F.col("id").alias("b")).select("b", F.explode(F.sequence(F.lit(1), F.lit(n)) if n else F.array().cast("array<int>")).alias("j"))
+    totals = draws.select("b", number.alias("place")).join(values, "place").groupBy("b").agg(F.sum("x").alias("total"))
+    return percentiles(totals, [], "total", at)
+
+
 def auprc(rows: DataFrame, score: str, label: str, by: list[str] | None = None) -> DataFrame:
     """Average precision, of each key if `by` is given: the sum over distinct scores, from the highest, of recall gained times precision.
 

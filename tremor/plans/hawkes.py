@@ -6,6 +6,7 @@ import math
 
 import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tremor.operators.recurrence import decayed_history
@@ -83,6 +84,25 @@ def fit(bars: DataFrame, mark: str = "n_liquidations", steps: int = 25) -> dict:
     return {"mu": mu, "alpha": alpha, "beta": beta, "nll": float(y), "branching": alpha * math.exp(-beta) / (1 - math.exp(-beta)), "n_bars": n_bars}
 
 
+def residuals(rows: DataFrame, seed: int) -> DataFrame:
+    """rows (i, lam, n_liquidations) with u: uniform if counts are Poisson of mean lam, between the distribution function below and at
+    the count by a hash of (seed, i), so that reruns agree. The function is a finite sum of terms lam^k / k! exp(-lam)."""
+    below = F.expr("""aggregate(sequence(0, cast(n_liquidations as int)), named_struct('term', exp(-lam), 'below', 0D, 'upto', 0D),
+        (a, k) -> named_struct('term', a.term * lam / (k + 1), 'below', a.upto, 'upto', a.upto + a.term))""")
+    draw = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), "i")), 1, 15), 16, 10).cast("double") / float(1 << 60)
+    return rows.withColumn("__c", below).withColumn("u", F.col("__c.below") + draw * (F.col("__c.upto") - F.col("__c.below"))).drop("__c")
+
+
+def ks_distance(rows: DataFrame, u: str, cells: int = 4096) -> DataFrame:
+    """One row `ks`: the largest distance of a column's distribution from the uniform one on [0, 1]. Ranks are counts of cells before and places within a cell."""
+    rows = rows.select(F.col(u).alias("u"), F.least(F.floor(F.col(u) * cells), F.lit(cells - 1)).alias("cell"))
+    counts = rows.groupBy("cell").agg(F.count("*").alias("c"))
+    before = counts.select("cell", (F.sum("c").over(W.orderBy("cell")) - F.col("c")).alias("before"), F.sum("c").over(W.partitionBy()).alias("n"))  # a row per cell
+    rank = F.col("before") + F.row_number().over(W.partitionBy("cell").orderBy("u"))
+    placed = rows.join(F.broadcast(before), "cell").select("u", "n", rank.alias("rank"))
+    return placed.agg(F.max(F.greatest(F.col("rank") / F.col("n") - F.col("u"), F.col("u") - (F.col("rank") - 1) / F.col("n"))).alias("ks"))
+
+
 def multi_history(bars: DataFrame, channels: list[str], beta: float) -> DataFrame:
     """bars with r_<channel> for each channel, one decayed history each."""
     for c in channels:

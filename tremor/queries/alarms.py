@@ -9,9 +9,11 @@ from tremor.operators import intervals
 from tremor.operators.bars import percentiles
 from tremor.plans import evaluation as E
 from tremor.plans import hawkes
-from tremor.queries.cascades import _EPISODES, BARS, bar_table, primary_episodes
+from tremor.queries.cascades import _EPISODES, _LABELS, BARS, bar_table, primary_episodes
+from tremor.queries.cascades import episodes as all_episodes
 from tremor.queries.registry import once, query
 from tremor.sources.adapter import cte
+from tremor.sources.shared import saved
 
 MU, ALPHA, BETA, CUT, LEAD = 0.05, 0.02, 0.05, 0.5, 2000
 SCORES = f""", hist as (select b.i, coalesce(sum(m.n_liquidations * exp(-{BETA} * (b.i - m.i))), 0) as r from bars b left join bars m on m.i < b.i and m.n_liquidations > 0 group by b.i),
@@ -92,9 +94,39 @@ def sweep_table(spark, d):
     return E.sweep(score_table(spark, d), episode_table(spark, d), LEAD, GRID)
 
 
-@query(ALL + SWEEP + " select * from sweep")
+PAD, KS, DEBOUNCE = 3000, [1, 2, 3, 5, 8], 10
+#: Every grid point's episodes, with those of the primary one marked, and the fires at each threshold and k.
+EVERY = _LABELS + ", alleps as (select row_number() over (order by episode_id) as ep, start_block, end_block, is_primary from grid_episodes)"
+
+
+def _sweep_sql(thresholds: list[float], ks: list[int]) -> str:
+    return f""", th as (select unnest([{", ".join(map(str, thresholds))}])::double as threshold), ks as (select unnest({ks})::integer as k),
+cnt as (select threshold, i, block, sum((score >= threshold)::int) over (partition by threshold order by i rows between {DEBOUNCE - 1} preceding and current row) as n, coalesce(sum((score >= threshold)::int) over (partition by threshold order by i rows between {DEBOUNCE} preceding and 1 preceding), 0) as m from th, (select i, block, score from scores)),
+df as (select k, threshold, block from cnt, ks where n >= k and m < k),
+ft as (select df.*, exists (select 1 from alleps where block between start_block - {LEAD} and end_block) as hit from df),
+fc as (select k, threshold, count(*) as fires, count(*) filter (where not hit) as false_alarms from ft group by all),
+fe as (select distinct k, threshold, ep, is_primary from df join alleps on block between start_block - {LEAD} and end_block),
+fd as (select k, threshold, count(*) as detected, count(*) filter (where is_primary) as detected_primary from fe group by all),
+fl as (select k, threshold, ep, max(start_block - block) as lead from df join alleps on is_primary and block >= start_block - {PAD} and block < start_block + {PAD} group by all),
+fm as (select k, threshold, count(*) as n_leads, avg(lead) * 0.2 as mean_lead from fl group by all),
+curve as (select k, threshold, coalesce(fires, 0) as fires, coalesce(false_alarms, 0) as false_alarms, coalesce(false_alarms, 0) / ((select max(block) - min(block) from scores) / 50400.0::double) as far_per_week,
+   coalesce(detected, 0) / (select count(*) from alleps) as recall, coalesce(detected_primary, 0) / (select count(*) filter (where is_primary) from alleps) as recall_primary, coalesce(n_leads, 0) as n_leads, coalesce(mean_lead, 0) as mean_lead_min
+   from ks cross join th left join fc using (k, threshold) left join fd using (k, threshold) left join fm using (k, threshold))"""
+
+
+def curve_table(spark, d, thresholds, ks):
+    """Rates of the debounced alarm for thresholds and k, judged by the episodes of all grid points."""
+    eps = saved(all_episodes(spark, d).select(F.col("episode_id").alias("ep"), "start_block", "end_block", "is_primary"))
+    s = score_table(spark, d).select("i", "block", "score")
+    rows = E.debounced_sweep(s, eps, LEAD, thresholds, ks, DEBOUNCE, PAD)
+    one = s.agg(((F.max("block") - F.min("block")) / 50400.0).alias("weeks")).crossJoin(eps.agg(F.count("*").alias("n"), F.count_if("is_primary").alias("n_primary")))  # one row each
+    share = lambda a, b: (F.col(a) / F.nullif(b, F.lit(0)))
+    return rows.crossJoin(F.broadcast(one)).select("k", "threshold", "fires", "false_alarms", (F.col("false_alarms") / F.col("weeks")).alias("far_per_week"), share("detected", "n").alias("recall"), share("detected_primary", "n_primary").alias("recall_primary"), "n_leads", F.col("mean_lead").alias("mean_lead_min"))
+
+
+@query(cte("grid") + BARS + SCORES + EVERY + _sweep_sql(GRID, [3]) + " select * from curve")
 def operating_curve(spark, d):
-    return sweep_table(spark, d)
+    return curve_table(spark, d, GRID, [3])
 
 
 @query(ALL + SWEEP + """ select threshold, detected, false_alarms, true as feasible from sweep where false_alarms / ((select max(end_block) - min(start_block) from bars) / 50400.0::double) <= 20 order by detected desc, threshold limit 1""")
@@ -162,17 +194,34 @@ def quantile_loss(spark, d):
     return score_table(spark, d).agg(F.avg(F.greatest(0.9 * e, -0.1 * e)).alias("pinball"))
 
 
-@query(ALL + " select sum(severity_usd) filter (where ep in (select episode from kinds)) as protectable_usd, sum(severity_usd) as total_usd, count(*) as n_episodes from eps")
+REPLICATES = 2000
+
+
+def _boot_sql(protected: str) -> str:
+    """p: each episode with the USD that counts for it; ci: the 95 % interval of their total over resamples."""
+    return f""", p as (select ep - 1 as place, severity_usd, {protected} as hit from eps), x as (select place, case when hit then severity_usd else 0 end as x from p),
+draws as (select b, cast('0x' || substr(md5(b || ':' || j), 1, 15) as bigint) % (select count(*) from p) as place from generate_series(0, {REPLICATES - 1}) t(b), generate_series(1, (select count(*) from p)) u(j)),
+ci as (select quantile_cont(total, 0.025) as ci_low, quantile_cont(total, 0.975) as ci_high from (select b, sum(x) as total from draws join x using (place) group by b))
+select coalesce(sum(severity_usd) filter (where hit), 0) as protectable_usd, count(*) filter (where hit) as n_protected, sum(severity_usd) as total_usd, count(*) as n_episodes, any_value(ci_low) as ci_low, any_value(ci_high) as ci_high from p, ci"""
+
+
+def with_interval(eps, hit):
+    """Total USD of the episodes in hit (ep), of all, and a percentile interval over resampled episodes."""
+    rows = saved(eps.join(hit.select("ep").distinct().withColumn("hit", F.lit(True)), "ep", "left").select((F.col("ep") - 1).alias("place"), "severity_usd", F.coalesce("hit", F.lit(False)).alias("hit")))
+    mine = F.when(F.col("hit"), F.col("severity_usd")).otherwise(0.0)
+    ends = E.bootstrap_totals(rows.select("place", mine.alias("x")), REPLICATES, [0.025, 0.975]).select(F.col("p")[0].alias("ci_low"), F.col("p")[1].alias("ci_high"))
+    return rows.agg(F.sum(mine).alias("protectable_usd"), F.count_if("hit").alias("n_protected"), F.sum("severity_usd").alias("total_usd"), F.count("*").alias("n_episodes")).crossJoin(ends)  # one row each
+
+
+@query(ALL + _boot_sql("ep in (select episode from kinds)"))
 def usd_protectable(spark, d):
-    k = classify_alerts(spark, d).where("episode is not null").select(F.col("episode").alias("ep")).distinct().withColumn("hit", F.lit(True))
-    return episode_table(spark, d).join(k, "ep", "left").agg(F.sum(F.when(F.col("hit"), F.col("severity_usd"))).alias("protectable_usd"), F.sum("severity_usd").alias("total_usd"), F.count("*").alias("n_episodes"))
+    return with_interval(episode_table(spark, d), classify_alerts(spark, d).where("episode is not null").select(F.col("episode").alias("ep")))
 
 
-@query(ALL + f" select count(*) as n_in_time, sum(severity_usd) as usd_in_time from eps where exists (select 1 from fires where block >= start_block - {LEAD} and block < start_block)")
+@query(ALL + _boot_sql(f"exists (select 1 from fires where block >= start_block - {LEAD} and block < start_block)"))
 def protectable_in_time(spark, d):
     e = episode_table(spark, d).withColumn("lo", F.col("start_block") - LEAD).withColumn("hi", F.col("start_block") - 1)
-    hit = intervals.within_spans(fires(spark, d).select("block"), "block", e, "lo", "hi").select("ep", "severity_usd").distinct()
-    return hit.agg(F.count("*").alias("n_in_time"), F.sum("severity_usd").alias("usd_in_time"))
+    return with_interval(episode_table(spark, d), intervals.within_spans(fires(spark, d).select("block"), "block", e, "lo", "hi").select("ep"))
 
 
 @query(ALL + ", f as (select ep, min(block) as alarm from eps join fires on block >= start_block - 3000 and block <= end_block group by ep) select ep, sum(amount_usd) filter (where block_number < alarm) as usd_before, sum(amount_usd) filter (where block_number >= alarm) as usd_after from eps join f using (ep) join liq on liq.protocol = eps.protocol and block_number between start_block and end_block group by ep")
@@ -226,12 +275,10 @@ def far_by_year(spark, d):
     return s.join(f, "week", "left").join(e, "week", "left").select("week", "bars", "alarming", F.coalesce("f", F.lit(0)).alias("false_alarms"), F.coalesce("e", F.lit(0)).alias("episodes"))
 
 
-@query(ALL + ", c as (select *, sum(a) over (order by i rows between 9 preceding and current row) as n, coalesce(sum(a) over (order by i rows between 10 preceding and 1 preceding), 0) as m from (select *, (score >= 0.5)::int as a from scores)) select k, count(*) as n_fires, min(block) as first_block from c, (select unnest([1, 2, 3, 5, 8]) as k) where n >= k and m < k group by k")
+@query(cte("grid") + BARS + SCORES + EVERY + _sweep_sql([CUT], KS) + " select * exclude (threshold) from curve")
 def debounce_sweep(spark, d):
-    rows = score_table(spark, d).withColumn("a", (F.col("score") >= CUT).cast("int"))
-    rows = intervals.trailing(rows, [], "i", 10, n=lambda w: F.sum("a").over(w.rowsBetween(-9, 0)), m=lambda w: F.coalesce(F.sum("a").over(w.rowsBetween(-10, -1)), F.lit(0)))
-    ks = rows.withColumn("k", F.explode(F.array(*[F.lit(k) for k in (1, 2, 3, 5, 8)]))).where("n >= k and m < k")
-    return ks.groupBy("k").agg(F.count("*").alias("n_fires"), F.min("block").alias("first_block"))
+    """Every k in one pass at the deployed threshold."""
+    return curve_table(spark, d, [CUT], KS).drop("threshold")
 
 
 @query(ALL + " select (max(end_block) - min(start_block)) / 50400.0::double as weeks, floor((max(end_block) - min(start_block)) / 50400.0::double * 5)::bigint as allowed, (select count(*) from kinds where kind = 'false') <= floor((max(end_block) - min(start_block)) / 50400.0::double * 5) as within_budget from bars")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from tremor.operators.recurrence import decayed_history
@@ -11,6 +13,7 @@ from tremor.queries.cascades import BARS, bar_table
 from tremor.queries.registry import query
 from tremor.sources import adapter as A
 from tremor.sources.adapter import cte
+from tremor.sources.shared import saved
 
 _BASE = cte("grid") + BARS + SCORES
 CHANNELS = ["a0", "a1", "a2"]
@@ -98,16 +101,26 @@ def hawkes_multi_score(spark, d):
     return rows.select("i", whole, *each, *shares)
 
 
-@query(_BASE + ", b as (select *, cast(row_number() over (order by lam, i) - 1 as bigint) * 20 // count(*) over () as bin from scores) select bin, avg(ln(lam)) as log_lam, avg(n_liquidations) as observed, avg(lam) as expected, count(*) as n from b group by bin")
+BINS, LEAST_BARS, GOF_SEED = 21, 50, 7
+
+
+@query(
+    _BASE
+    + f""", u as (select i, n_liquidations as m, lam, coalesce(list_sum(list_transform(generate_series(0, n_liquidations - 1), lambda k: exp(-lam + k * ln(lam) - lgamma(k + 1)))), 0) as a, exp(-lam + n_liquidations * ln(lam) - lgamma(n_liquidations + 1)) as t,
+   cast('0x' || substr(md5('{GOF_SEED}:' || i), 1, 15) as bigint) / 1152921504606846976.0::double as z from scores),
+v as (select a + z * t as u, count(*) over () as n, row_number() over (order by a + z * t) as r from u),
+one as (select (select max(greatest(r / n - u, u - (r - 1) / n)) from v) as ks, (select sum(lam) from u) as total_pred, (select sum(m) from u)::double as total_obs, {ALPHA} * exp(-{BETA}) / (1 - exp(-{BETA})) as branching),
+e as (select ln(min(lam)) as lo, ln(max(lam)) as hi from u),
+b as (select least(cast(floor((ln(lam) - lo) / (hi - lo) * {BINS}) as bigint), {BINS - 1}) as bin, avg(lam) as expected, avg(m) as observed, count(*) as n from u, e group by 1 having count(*) >= {LEAST_BARS})
+select bin, expected, observed, n, ks, branching, total_pred, total_obs from b, one"""
+)
 def gof(spark, d):
-    from pyspark.sql import Window as W
-
-    s = score_table(spark, d).select("i", "lam", "n_liquidations")
-    n = s.count()
-    # ranks: counts of coarse cells of log lambda first, then ranks within a cell
-    s = s.withColumn("cell", F.floor(F.log("lam") * 64))
-    cells = s.groupBy("cell").agg(F.count("*").alias("c"))
-    cells = cells.select("cell", (F.sum("c").over(W.orderBy("cell")) - F.col("c")).alias("before"))  # a row per cell
-    rank = F.col("before") + F.row_number().over(W.partitionBy("cell").orderBy("lam", "i")) - 1
-    s = s.join(cells, "cell").withColumn("bin", F.floor(rank * 20 / n))
-    return s.groupBy("bin").agg(F.avg(F.log("lam")).alias("log_lam"), F.avg("n_liquidations").alias("observed"), F.avg("lam").alias("expected"), F.count("*").alias("n"))
+    """Bins of equal log intensity with 50 bars or more, beside the distance of randomised residuals from uniform, the branching ratio and both sums."""
+    s = saved(hawkes.residuals(score_table(spark, d).select("i", "lam", "n_liquidations"), GOF_SEED))
+    decay = math.exp(-BETA)
+    sums = s.agg(F.sum("lam").alias("total_pred"), F.sum("n_liquidations").cast("double").alias("total_obs"), F.min(F.log("lam")).alias("lo"), F.max(F.log("lam")).alias("hi"))
+    one = sums.crossJoin(hawkes.ks_distance(s, "u")).withColumn("branching", F.lit(ALPHA * decay / (1 - decay)))  # one row each
+    share = F.coalesce((F.log("lam") - F.col("lo")) / F.nullif(F.col("hi") - F.col("lo"), F.lit(0.0)), F.lit(0.0))
+    rows = s.crossJoin(F.broadcast(one)).withColumn("bin", F.least(F.floor(share * BINS), F.lit(BINS - 1)))
+    g = rows.groupBy("bin", "ks", "branching", "total_pred", "total_obs").agg(F.avg("lam").alias("expected"), F.avg("n_liquidations").alias("observed"), F.count("*").alias("n"))
+    return g.where(F.col("n") >= LEAST_BARS).select("bin", "expected", "observed", "n", "ks", "branching", "total_pred", "total_obs")
