@@ -290,7 +290,7 @@ def test_final_bars_wait_for_the_lag(spark, tmp_path):
 
 def test_an_empty_snapshot_is_an_error(spark):
     with pytest.raises(ValueError):
-        streams.save_nodes(spark.createDataFrame([], "node_id string, snapshot_block int"), "unused")
+        graph.save_snapshot(spark.createDataFrame([], "node_id string"), None, "unused", 1, "p0")
     with pytest.raises(ValueError):
         graph.limited(spark.range(graph.MOST_NODES + 1))
 

@@ -32,3 +32,16 @@ def asof_join(left: DataFrame, right: DataFrame, by: list[str], t: str, values:
     if tolerance is not None:
         got = got.withColumn("__v", F.when(F.col("__t") - F.col(f"__v.{out_t}") <= tolerance, F.col("__v")))
     return got.select("__l.*", *[F.col(f"__v.{c}").alias(c) for c in (out_t, *values)])
+
+
+def merged_series(points: DataFrame, by: list[str], t: str, name: str, value: str, names: list[str], cell: int = CELL) -> DataFrame:
+    """(by.., t, one column for each of `names`): at each t at which any of the named series of a key has a value, the last value of every one,
+    once all have begun. points: by.., t, `name`, `value`; of equal t and name the greatest value counts.
+
+    One union of all series, whatever their number: rows of a time become one, and each series is carried within cells of t and over the table of cells.
+    """
+    from tremor.operators.intervals import running
+
+    at = points.where(F.col(name).isin(names)).groupBy(*by, t).agg(*[F.max(F.when(F.col(name) == n, F.col(value))).alias(f"__{n}") for n in names])
+    carried = running(at, by, t, [t], cell, **{n: ("last", F.col(f"__{n}")) for n in names})
+    return carried.where(" and ".join(f"`{n}` is not null" for n in names)).select(*by, t, *names)

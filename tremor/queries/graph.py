@@ -6,10 +6,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tremor.functions.interest import hf_band
-from tremor.queries.registry import query
+from tremor.operators.bars import ranked as ranked_rows
+from tremor.queries.registry import ORACLE_SQL, query
 from tremor.queries.state import AT, STATE, frame, latest_prices
+from tremor.sources import adapter as A
 from tremor.sources.adapter import cte
-from tremor.sources.shared import saved
+from tremor.sources.shared import saved, shared_folder
 
 _BAND = "case when hf is null then 'no_debt' when hf <= 1 then '<=1' when hf <= 1.1 then '1-1.1' when hf <= 1.25 then '1.1-1.25' when hf <= 1.5 then '1.25-1.5' when hf <= 2 then '1.5-2' else '>2' end"
 _NODES = STATE + f""", fr as (select "user", reserve, round(greatest(collateral, 0) * coalesce(price, 0), 6) as collateral_usd, round(greatest(debt, 0) * coalesce(price, 0), 6) as debt_usd, round(greatest(collateral, 0) * coalesce(price, 0) * coalesce(threshold, 0), 6) as weighted_usd from legs),
@@ -133,10 +135,29 @@ def legible_subgraph(spark, d):
     return e.join(keep, "node_id", "left_semi").select(e.columns)
 
 
-@query(_NODES + " select node_id, node_type, row_number() over (partition by node_type order by node_id) - 1 as local_id, collateral_usd, debt_usd, coalesce(hf, 0) as hf from nodes")
+@query("""with n as (select node_id, node_type, row_number() over (partition by node_type order by node_id) - 1 as local_id, coalesce(collateral_usd, 0) as x0, coalesce(debt_usd, 0) as x1, coalesce(hf, 0) as x2, n_positions::double as x3 from (NODES)),
+e as (select s.node_type as src_type, channel, t.node_type as dst_type, s.local_id as src, t.local_id as dst, weight from (EDGES) e join n s on s.node_id = e.src_id join n t on t.node_id = e.dst_id where channel <> 'listing')
+select 'node' as part, node_type as src_type, null as channel, null as dst_type, local_id as src, null::bigint as dst, node_id, x0, x1, x2, x3, null::double as weight from n
+union all select 'edge', src_type, channel, dst_type, src, dst, null, null, null, null, null, weight from e""".replace("NODES", ORACLE_SQL["graph_nodes"]).replace("EDGES", ORACLE_SQL["graph_edges"]))
 def graph_tensor(spark, d):
-    w = W.partitionBy("node_type").orderBy("node_id")  # at most 10,000 nodes a snapshot
-    return node_table(spark, d).select("node_id", "node_type", (F.row_number().over(w) - 1).cast("long").alias("local_id"), "collateral_usd", "debt_usd", F.coalesce("hf", F.lit(0.0)).alias("hf"))
+    """The snapshot as tensors, with the channel `listing` left out: of each node its place in its type and four features, null being zero; of
+    each edge the places of its ends, by (source type, channel, target type), and its weight."""
+    return tensor(graph_nodes(spark, d), graph_edges(spark, d), without=["listing"])
+
+
+def tensor(nodes, edges, without=()):
+    """Node and edge rows of a snapshot's tensors. Places are dense: nodes are sorted in ranges, a range's rows follow those of the ranges
+    before it, and a type's begin at its least place; the driver gets a count a range. Channels in `without` are left out, for ablations."""
+    placed = ranked_rows(nodes.withColumn("at", F.struct("node_type", "node_id")), "at").drop("at")
+    first = placed.groupBy("node_type").agg(F.min("place").alias("first"))
+    zero = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(0.0))
+    n = placed.join(F.broadcast(first), "node_type")  # a row a type
+    n = saved(n.select("node_id", "node_type", (F.col("place") - F.col("first")).alias("local_id"), *[zero(c).alias(f"x{k}") for k, c in enumerate(("collateral_usd", "debt_usd", "hf", "n_positions"))]))
+    end = lambda side: n.select(F.col("node_id").alias(f"{side}_id"), F.col("node_type").alias(f"{side}_type"), F.col("local_id").alias(side))
+    e = edges.where(~F.col("channel").isin(*without)) if without else edges
+    e = e.join(end("src"), "src_id").join(end("dst"), "dst_id").select(F.lit("edge").alias("part"), "src_type", "channel", "dst_type", "src", "dst", "weight")
+    rows = n.select(F.lit("node").alias("part"), F.col("node_type").alias("src_type"), F.col("local_id").alias("src"), "node_id", "x0", "x1", "x2", "x3")
+    return rows.unionByName(e, allowMissingColumns=True)
 
 
 @query(_NODES + f" select {_BAND} as band, count(*) as n, sum(debt_usd) as debt_usd from ur group by 1")
@@ -191,10 +212,55 @@ def depth_asof(spark, d):
     return asof_join(keys, p, ["dex", "pool", "symbol"], "day", ["depth_usd"], cell=256).where("depth_usd is not null").select("day", "dex", "pool", "symbol", "depth_usd")
 
 
-@query(_NODES + " select 120000 as snapshot_block, node_id, hf from nodes where node_type = 'whale'")
-def load_snapshots(spark, d):
-    from tremor.sources.shared import shared_folder
+def save_snapshot(nodes, edges, folder, block, protocol):
+    """Writes a snapshot's nodes and edges below `folder` by block, each row with its time and protocol. One without nodes is an error, as a
+    reader couldn't tell it from a snapshot that failed; an earlier one of the block is replaced, others stay."""
+    nodes = saved(nodes)
+    if not nodes.limit(1).count():
+        raise ValueError("the snapshot has no nodes")
+    at = F.timestamp_seconds(F.lit(A.GENESIS_US // 10**6 + block * (A.BLOCK_US // 10**6)))
+    for name, rows in (("nodes", nodes), ("edges", edges)):
+        rows = rows.select("*", at.alias("snapshot_time"), F.lit(protocol).alias("protocol"), F.lit(block).cast("long").alias("snapshot_block"))
+        rows.write.partitionBy("snapshot_block").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(f"{folder}/{name}")
+
+
+def load_snapshot(spark, folder, first, last):
+    """(nodes, edges) of the snapshots of blocks first to last."""
+    n = "node_id string, node_type string, collateral_usd double, debt_usd double, hf double, n_positions long"
+    e = "src_id string, dst_id string, channel string, weight double"
+    tail = ", snapshot_time timestamp, protocol string, snapshot_block long"
+    inside = F.col("snapshot_block").between(first, last)
+    return tuple(spark.read.schema(c + tail).parquet(f"{folder}/{name}").where(inside) for name, c in (("nodes", n), ("edges", e)))
+
+
+def _saved_sql(*blocks: int) -> str:
+    rows = "select 'node' as part, node_id as a, node_type as b, null as channel, collateral_usd as value from (NODES) union all select 'edge', src_id, dst_id, channel, weight from (EDGES)"
+    rows = rows.replace("NODES", ORACLE_SQL["graph_nodes"]).replace("EDGES", ORACLE_SQL["graph_edges"])
+    return f"select snapshot_block, {A.GENESIS_US // 10**6} + snapshot_block * {A.BLOCK_US // 10**6} as seconds, 'p0' as protocol, x.* from ({rows}) x, (select unnest({list(blocks)})::bigint as snapshot_block)"
+
 
+def snapshot_rows(nodes, edges):
+    at = ["snapshot_block", F.unix_seconds("snapshot_time").alias("seconds"), "protocol"]
+    n = nodes.select(*at, F.lit("node").alias("part"), F.col("node_id").alias("a"), F.col("node_type").alias("b"), F.lit(None).cast("string").alias("channel"), F.col("collateral_usd").alias("value"))
+    return n.unionByName(edges.select(*at, F.lit("edge").alias("part"), F.col("src_id").alias("a"), F.col("dst_id").alias("b"), "channel", F.col("weight").alias("value")))
+
+
+@query(_saved_sql(AT))
+def save_snapshots(spark, d):
+    """A snapshot's nodes and edges, written twice and once for another block, as they are on disk."""
+    folder = shared_folder(spark, "snapshots")
+    nodes, edges = graph_nodes(spark, d), saved(graph_edges(spark, d))
+    save_snapshot(nodes.limit(1), edges, folder, AT, "p0")
+    save_snapshot(nodes.limit(1), edges, folder, AT - 1, "p0")
+    save_snapshot(nodes, edges, folder, AT, "p0")
+    return snapshot_rows(*load_snapshot(spark, folder, AT, AT))
+
+
+@query(_saved_sql(AT - 100, AT))
+def load_snapshots(spark, d):
+    """Snapshots of a range of blocks, of three that are on disk."""
     folder = shared_folder(spark, "snapshots")
-    node_table(spark, d).withColumn("snapshot_block", F.lit(120000)).write.partitionBy("snapshot_block", "node_type").parquet(folder)
-    return spark.read.parquet(folder).where("snapshot_block = 120000 and node_type = 'whale'").select("snapshot_block", "node_id", "hf")
+    nodes, edges = saved(graph_nodes(spark, d)), saved(graph_edges(spark, d))
+    for block in (AT - 200, AT - 100, AT):
+        save_snapshot(nodes, edges, folder, block, "p0")
+    return snapshot_rows(*load_snapshot(spark, folder, AT - 100, AT))

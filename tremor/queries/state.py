@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tremor.functions import interest
+from tremor.functions import exact, interest
 from tremor.operators.asof import asof_join as asof
+from tremor.operators.asof import merged_series
 from tremor.operators.filters import same_block_earlier, without_dust
 from tremor.operators.intervals import running
 from tremor.plans import state as S
@@ -55,11 +56,20 @@ def transfer_ledger(spark, d):
     return t.select("block_number", "log_index", "reserve", F.explode(F.array(F.struct(F.col("from_user").alias("user"), (-F.col("value")).alias("d_collateral")), F.struct(F.col("to_user").alias("user"), F.col("value").alias("d_collateral")))).alias("x")).select("block_number", "log_index", "reserve", "x.*")
 
 
-@query(cte("ev") + """ select block_number, log_index, asset as reserve, "user", case event_type when 'Deposit' then 1 else -1 end * cast(amount_raw as double) / 100 / (1 + block_number / 1e7) as d_scaled from ev where event_type in ('Deposit', 'Withdraw')""")
+@query(cte("ev", "liq") + _TRANSFERS + """, i as (select block_number, log_index, asset as reserve, "user", event_type, cast(amount_raw as double) / 100 / (1 + block_number / 1e7) as v from ev where event_type in ('Deposit', 'Withdraw', 'Borrow', 'Repay')),
+t as (select block_number, log_index, reserve, from_user, to_user, value / (1 + block_number / 1e7) as v from transfers where from_user <> '0x0' and to_user <> '0x0')
+select block_number, log_index, reserve, "user", case event_type when 'Deposit' then v when 'Withdraw' then -v else 0 end as scaled_collateral, case event_type when 'Borrow' then v when 'Repay' then -v else 0 end as scaled_debt from i
+union all select block_number, log_index, reserve, from_user, -v, 0 from t union all select block_number, log_index, reserve, to_user, v, 0 from t""")
 def exact_ledger(spark, d):
-    e = A.events(spark, d).where("event_type in ('Deposit', 'Withdraw')")
-    sign = F.when(F.col("event_type") == "Deposit", 1).otherwise(-1)
-    return e.select("block_number", "log_index", F.col("asset").alias("reserve"), "user", (sign * F.col("amount_raw").cast("double") / 100 / (1 + F.col("block_number") / 1e7)).alias("d_scaled"))
+    """Scaled deltas of token events by the index of their own block: collateral minted and burnt, debt minted and burnt, and two legs of each transfer."""
+    index = 1 + F.col("block_number") / 1e7
+    e = A.events(spark, d).where("event_type in ('Deposit', 'Withdraw', 'Borrow', 'Repay')").withColumn("v", F.col("amount_raw").cast("double") / 100 / index)
+    signed = lambda up, down: F.when(F.col("event_type") == up, F.col("v")).when(F.col("event_type") == down, -F.col("v")).otherwise(0.0)
+    own = e.select("block_number", "log_index", F.col("asset").alias("reserve"), "user", signed("Deposit", "Withdraw").alias("scaled_collateral"), signed("Borrow", "Repay").alias("scaled_debt"))
+    t = transfers(spark, d).where("from_user != '0x0' and to_user != '0x0'").withColumn("v", F.col("value") / index)
+    legs = F.explode(F.array(F.struct(F.col("from_user").alias("user"), (-F.col("v")).alias("scaled_collateral")), F.struct(F.col("to_user").alias("user"), F.col("v").alias("scaled_collateral"))))
+    moved = t.select("block_number", "log_index", "reserve", legs.alias("x")).select("block_number", "log_index", "reserve", "x.*", F.lit(0.0).alias("scaled_debt"))
+    return own.unionByName(moved)
 
 
 @query(cte("ledger", "idx") + """, i as (select reserve, block_number, liquidity_index from idx) select l.block_number, l.log_index, l."user", l.reserve, l.d_collateral / coalesce(i.liquidity_index, 1) as scaled_collateral, l.d_debt / coalesce(i.liquidity_index, 1) as scaled_debt from ledger l asof left join i on l.reserve = i.reserve and l.block_number >= i.block_number""")
@@ -163,9 +173,32 @@ def _cross(spark, d):
     return asof(p.where("asset != 'a0'"), eth, ["g"], "ord", ["eth"], cell=1 << 34).where("eth is not null")
 
 
-@query(cte("px") + " select a.asset, a.ord, floor(a.price * 100 / e.price)::bigint as cross_rate" + _ETH)
+_RAW = ", raws as (select asset, ord, cast(round(price * 100) as bigint)::hugeint as raw from px)"
+
+
+@query(cte("px") + _RAW + """, pts as (select asset, ord from raws where asset <> 'a0' union select a.asset, e.ord from (select distinct asset from raws where asset <> 'a0') a, raws e where e.asset = 'a0'),
+two as (select p.asset, p.ord, a.raw as asset_raw, e.raw as eth_raw from pts p asof join raws a on p.asset = a.asset and p.ord >= a.ord asof join (select * from raws where asset = 'a0') e on p.ord >= e.ord),
+three as (select p.ord, b.raw as balance, s.raw as supply, x.raw as price from (select ord from raws where asset in ('a1', 'a2', 'a3')) p asof join (select * from raws where asset = 'a1') b on p.ord >= b.ord
+   asof join (select * from raws where asset = 'a2') s on p.ord >= s.ord asof join (select * from raws where asset = 'a3') x on p.ord >= x.ord)
+select asset, ord, cast(asset_raw * 1000000000000000000::hugeint // eth_raw as varchar) as answer from two where asset_raw > 0 and eth_raw > 0
+union all select 'share', ord, cast(price * balance // supply as varchar) from three where supply > 0""")
 def combine_feeds(spark, d):
-    return _cross(spark, d).select("asset", "ord", F.floor(F.col("price") * 100 / F.col("eth")).cast("long").alias("cross_rate"))
+    """Two-feed cross rates at every breakpoint of either feed, and a share price at every breakpoint of three series, in whole numbers."""
+    raw = F.round(F.col("price") * 100).cast("decimal(20,0)")
+    p = A.price_updates(spark, d).select("asset", "ord", raw.alias("raw"))
+    eth = p.where("asset = 'a0'").select(F.explode(F.array(*[F.lit(a) for a, *_ in A.REGISTRY if a != "a0"])).alias("asset"), "ord", F.lit("eth").alias("series"), "raw")
+    two = merged_series(p.where("asset != 'a0'").select("asset", "ord", F.lit("own").alias("series"), "raw").unionByName(eth), ["asset"], "ord", "series", "raw", ["own", "eth"], 1 << 34)
+    two = two.where("own > 0 and eth > 0").select("asset", "ord", F.expr("cast(cast(own as decimal(18, 0)) * cast(1000000000000000000 as decimal(19, 0)) as decimal(38, 0))").alias("n"), "eth")
+    two = two.select("asset", "ord", _floor_div("n", "eth").alias("answer"))
+    parts = F.create_map(F.lit("a1"), F.lit("balance"), F.lit("a2"), F.lit("supply"), F.lit("a3"), F.lit("price"))
+    three = merged_series(p.select("ord", parts[F.col("asset")].alias("series"), "raw"), [], "ord", "series", "raw", ["balance", "supply", "price"], 1 << 34)
+    three = three.where("supply > 0").select(F.lit("share").alias("asset"), "ord", F.expr("cast(cast(price as decimal(18, 0)) * cast(balance as decimal(18, 0)) as decimal(38, 0))").alias("n"), "supply")
+    return two.unionByName(three.select("asset", "ord", _floor_div("n", "supply").alias("answer")))
+
+
+def _floor_div(a: str, b: str):
+    """a // b of non-negative whole decimals as text, exact beyond 64 bits: the remainder goes first, so that the division has none."""
+    return F.expr(f"cast(cast(({a} - {a} % {b}) / cast({b} as decimal(20, 0)) as decimal(38, 0)) as string)")
 
 
 @query(cte("liq", "px") + """ select l.block_number, l.log_index, case when l.collateral_asset = 'a0' then 1.0::double when l.collateral_asset = 'a3' and l.block_number >= 150000 then null else price end as price_eth from (select *, block_number * 1000000 + log_index as ord from liq) l asof left join px on l.collateral_asset = px.asset and l.ord >= px.ord""")
@@ -326,8 +359,14 @@ def ledger_crosscheck(spark, d):
     return p.join(o, ["user", "reserve"], "left").groupBy("reserve").agg(F.count("*").alias("n"), F.avg(diff).alias("mean_diff"), F.max(F.abs(diff)).alias("max_diff"), F.count_if(F.col("seen").isNull()).alias("n_missing"))
 
 
-@query(cte("ev") + " select event_type, block_number, log_index, sum(cast(amount_raw as bigint)) over (partition by event_type order by block_number, log_index rows unbounded preceding)::bigint as total from ev where event_type in ('Deposit', 'Withdraw')")
+@query(cte("ev") + """, s as (select event_type, block_number, log_index, sum(cast(amount_raw as hugeint)) over w as hi, sum(event_id) over w as lo from ev where event_type in ('Deposit', 'Withdraw') window w as (partition by event_type order by block_number, log_index rows unbounded preceding))
+select event_type, block_number, log_index, case when event_type = 'Withdraw' then '-' else '' end || ltrim(cast(hi as varchar) || lpad(cast(lo as varchar), 42, '0'), '0') as total from s""")
 def signed_supply(spark, d):
-    rows = A.events(spark, d).where("event_type in ('Deposit', 'Withdraw')").select("event_type", "block_number", "log_index", F.col("amount_raw").cast("decimal(38,0)").alias("raw"))
-    out = running(rows, ["event_type"], "block_number", ["block_number", "log_index"], total=("sum", F.col("raw")))
-    return out.select("event_type", "block_number", "log_index", F.col("total").cast("long").alias("total"))
+    """Running supply by kind, in text: amounts of up to 256 bits (here the raw amount followed by 42 digits of the event's id) signed by their kind."""
+    rows = A.events(spark, d).where("event_type in ('Deposit', 'Withdraw')")
+    raw = F.concat("amount_raw", F.lpad(F.col("event_id").cast("string"), 42, "0"))
+    sign = F.when(F.col("event_type") == "Withdraw", -1).otherwise(1)
+    rows = rows.select("event_type", "block_number", "log_index", *[c.alias(f"raw{k}") for k, c in enumerate(exact.limbs(raw, sign))])
+    names = [f"limb{k}" for k in range(exact.LIMBS)]
+    out = running(rows, ["event_type"], "block_number", ["block_number", "log_index"], **{n: ("sum", F.col(f"raw{k}")) for k, n in enumerate(names)})
+    return out.select("event_type", "block_number", "log_index", exact.to_text([F.col(n) for n in names]).alias("total"))
