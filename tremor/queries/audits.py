@@ -17,7 +17,7 @@ from tremor.queries.graph import _NODES
 from tremor.queries.models import CHANNELS, _channel_bars
 from tremor.queries.registry import ORACLE_SQL, once, query
 from tremor.queries.state import STATE, TRIGGER, accounts, led, trigger_legs, trigger_report
-from tremor.queries.streams import liquidation_stream
+from tremor.queries.streams import FINAL, final_sql, liquidation_stream
 from tremor.sources import adapter as A
 from tremor.sources.adapter import cte
 from tremor.streaming import alerts, live
@@ -195,27 +195,28 @@ def spectral_radius(spark, d):
 
 
 _R = "coalesce(sum(b.n * exp(-0.05 * (a.bar - b.bar))), 0)"
-_M = cte("liq") + ", m as (select protocol, block_number // 50 as bar, count(*) as n from liq group by all)"
+_M = cte("liq") + f", m as (select protocol, block_number // 50 as bar, count(*) as n from liq where {final_sql(50)} group by all)"
 
 
 @query(
     _M
-    + f""", g as (select protocol, unnest(generate_series(min(bar), max(bar) - 1)) as bar from m group by protocol),
+    + f""", g as (select protocol, unnest(generate_series(min(bar), max(bar))) as bar from m group by protocol),
 s as (select a.protocol, a.bar, 0.02 * {_R} / (0.05 + 0.02 * {_R}) as score from g a left join m b on a.protocol = b.protocol and b.bar < a.bar group by a.protocol, a.bar),
 c as (select *, sum(case when score >= 0.6 then 1 else 0 end) over (partition by protocol order by bar rows between 19 preceding and current row) >= 5 as cond from s)
 select protocol, bar, score from (select *, lag(cond) over (partition by protocol order by bar) as was from c) where cond and not coalesce(was, false)"""
 )
 def stream_alerts(spark, d):
-    return live.run_to_table(alerts.alert_bars(liquidation_stream(spark, d).select("protocol", "block_number"), 0.05, 0.02, 0.05, 50, 0.6, 5, 20), "alerts")
+    rows = liquidation_stream(spark, d).drop("block_number")
+    return live.run_to_table(alerts.alert_bars(rows, 0.05, 0.02, 0.05, 50, 0.6, 5, 20, *FINAL), "alerts")
 
 
 @query(
     _M
     + f""", s as (select case when max(block_number) > 100000 then (max(block_number) - 100000) // 50 else 0 end as first from ev), f as (select m.* from m, s where bar >= first)
-select a.protocol, a.bar, any_value(a.n) as n, {_R} as r, 0.02 * {_R} / (0.05 + 0.02 * {_R}) as score from f a left join f b on a.protocol = b.protocol and b.bar < a.bar where a.bar < (select max(bar) from f c where c.protocol = a.protocol) group by a.protocol, a.bar"""
+select a.protocol, a.bar, any_value(a.n) as n, {_R} as r, 0.02 * {_R} / (0.05 + 0.02 * {_R}) as score from f a left join f b on a.protocol = b.protocol and b.bar < a.bar group by a.protocol, a.bar"""
 )
 def stream_catchup(spark, d):
     head = A.events(spark, d).agg(F.max("block_number").alias("b")).first().b or 0
     start, _ = alerts.catch_up_start(0, head, 100000, 50)
-    rows = liquidation_stream(spark, d).select("protocol", "block_number").where((F.col("block_number") >= start) & (F.col("block_number") <= head))
-    return live.run_to_table(live.scored_bars(rows, 0.05, 0.02, 0.05, 50), "catchup")
+    rows = liquidation_stream(spark, d).where((F.col("block_number") >= start) & (F.col("block_number") <= head)).drop("block_number")
+    return live.run_to_table(live.scored_bars(rows, 0.05, 0.02, 0.05, 50, *FINAL), "catchup")

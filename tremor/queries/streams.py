@@ -15,6 +15,13 @@ from tremor.streaming import live
 
 
 FINAL_LAG, STREAM_BAR, STREAM_GAP = 64, 50, 200
+#: What final bars are told: blocks to the head, and the time of blocks.
+FINAL = (FINAL_LAG, A.GENESIS_US // 10**6, A.BLOCK_US // 10**6)
+
+
+def final_sql(width: int, block: str = "block_number", head: str = "liq") -> str:
+    """Whether the bar of `width` blocks that holds a block is final."""
+    return f"({block} // {width} + 1) * {width * A.BLOCK_US} + {A.GENESIS_US} <= (select max(epoch_us(block_timestamp)) - {FINAL_LAG * A.BLOCK_US} from {head})"
 
 
 def liquidation_stream(spark, d):
@@ -32,11 +39,14 @@ def stream_bars(spark, d):
     return live.run_to_table(live.final_bars(rows, STREAM_BAR, FINAL_LAG, A.GENESIS_US // 10**6, A.BLOCK_US // 10**6), "bars")
 
 
-@query(cte("grid") + """, m as (select protocol, block_number // 50 as bar, count(*) as n from liq group by all) select a.protocol, a.bar, any_value(a.n) as n, coalesce(sum(b.n * exp(-0.05 * (a.bar - b.bar))), 0) as r, 0.02 * coalesce(sum(b.n * exp(-0.05 * (a.bar - b.bar))), 0) / (0.05 + 0.02 * coalesce(sum(b.n * exp(-0.05 * (a.bar - b.bar))), 0)) as score
-from m a left join m b on a.protocol = b.protocol and b.bar < a.bar where a.bar < (select max(bar) from m c where c.protocol = a.protocol) group by a.protocol, a.bar""")
+_SCORE = "coalesce(sum(b.n * exp(-0.05 * (a.bar - b.bar))), 0)"
+
+
+@query(cte("liq") + f""", m as (select protocol, block_number // {STREAM_BAR} as bar, count(*) as n from liq where {final_sql(STREAM_BAR)} group by all)
+select a.protocol, a.bar, any_value(a.n) as n, {_SCORE} as r, 0.02 * {_SCORE} / (0.05 + 0.02 * {_SCORE}) as score from m a left join m b on a.protocol = b.protocol and b.bar < a.bar group by a.protocol, a.bar""")
 def stream_score(spark, d):
-    rows = liquidation_stream(spark, d).select("protocol", "block_number")
-    return live.run_to_table(live.scored_bars(rows, 0.05, 0.02, 0.05, STREAM_BAR), "scores")
+    rows = liquidation_stream(spark, d).drop("block_number")
+    return live.run_to_table(live.scored_bars(rows, 0.05, 0.02, 0.05, STREAM_BAR, *FINAL), "scores")
 
 
 @query("select event_id // 2 as tx, event_id // 2 % 3 as log, max(event_id % 2) = 1 as confirmed, max_by(value, event_id % 2) as usd from events group by event_id // 2")
@@ -49,13 +59,13 @@ def stream_dedup(spark, d):
 
 
 _STREAMED = f""", c as (select protocol, min(block_number) as start_block, max(block_number) as last_block, count(*) as n, sum(amount_usd) as usd from (select *, sum(case when p is null or block_number - p > {STREAM_GAP} then 1 else 0 end) over (partition by protocol order by block_number range unbounded preceding) as g
-from (select protocol, block_number, amount_usd, lag(block_number) over (partition by protocol order by block_number) as p from liq)) group by protocol, g), streamed as (select c.*, case when last_block < max(last_block) over (partition by protocol) then last_block end as end_block from c)"""
+from (select protocol, block_number, amount_usd, lag(block_number) over (partition by protocol order by block_number) as p from liq where {final_sql(1)})) group by protocol, g), streamed as (select c.*, case when last_block < max(last_block) over (partition by protocol) then last_block end as end_block from c)"""
 
 
 @once
 def streamed_clusters(spark, d):
-    rows = liquidation_stream(spark, d).select("protocol", "block_number", "usd")
-    return live.current_clusters(live.run_to_table(live.clusters(rows, STREAM_GAP), "clusters"))
+    rows = liquidation_stream(spark, d).drop("block_number")
+    return live.current_clusters(live.run_to_table(live.clusters(rows, STREAM_GAP, *FINAL), "clusters"))
 
 
 @query(cte("liq") + _STREAMED + " select protocol, start_block, last_block as end_block, n, usd from streamed where n >= 3")

@@ -3,52 +3,38 @@
 from __future__ import annotations
 
 import math
-from collections import Counter
 
-import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from tremor.streaming.live import bar_counts
+from tremor.streaming.live import on_final_bars
 
 
-def alert_bars(events: DataFrame, mu: float, alpha: float, beta: float, width: int, threshold: float, k: int, window: int) -> DataFrame:
+def alert_bars(events: DataFrame, mu: float, alpha: float, beta: float, width: int, threshold: float, k: int, window: int, lag: int, genesis_s: int, block_s: int) -> DataFrame:
     """(protocol, bar, score) of each bar at which k of the last `window` bars come to be above the threshold.
 
-    events: protocol, block_number. Every bar is tested once a later one has begun, quiet ones too: after some quiet bars none of
-    the last `window` is above, and the rest of a gap is skipped. State: decayed history before the open bar, the
-    open bar and its count, the last flags, and whether an alert is on. Rows of bars already tested are late and dropped.
+    events: protocol, ts, usd. Every bar up to the last final one with events is tested, quiet ones too: after some quiet bars
+    none of the last `window` is above, and the rest of a gap is skipped. Carried: decayed history at the next bar, that bar,
+    the last flags, and whether an alert is on.
     """
     window = max(window, k)
 
-    def step(key, batches, state: GroupState):
-        r, bar, n, flags, active = state.get if state.exists else (0.0, -1, 0, "", False)
-        counts: Counter = Counter()
-        for pdf in batches:
-            counts.update(pdf.groupby("bar")["n"].sum().to_dict())
+    def fold(protocol, carried, rows):
+        r, at, flags, active = carried or (0.0, rows[0][0], "", False)
         out = []
-        for b in sorted(counts):
-            if b == bar:
-                n += counts[b]
-            elif b > bar:
-                at, now, held = bar, r, n
-                while 0 <= at < b:
-                    score = alpha * now / (mu + alpha * now)
-                    flags = (flags + ("1" if score >= threshold else "0"))[-window:]
-                    on = flags.count("1") >= k
-                    if on and not active:
-                        out.append((key[0], int(at), score))
-                    active = on
-                    now, held, at = (now + held) * math.exp(-beta), 0, at + 1
-                    if "1" not in flags and alpha * now / (mu + alpha * now) < threshold:
-                        break
-                if bar >= 0:
-                    r = (r + n) * math.exp(-beta * (b - bar))
-                bar, n = int(b), int(counts[b])
-        state.update((r, bar, int(n), flags, active))
-        yield pd.DataFrame(out, columns=["protocol", "bar", "score"])
-
-    return bar_counts(events, width).groupBy("protocol").applyInPandasWithState(step, "protocol string, bar long, score double", "r double, bar long, n long, flags string, active boolean", "append", GroupStateTimeout.NoTimeout)
+        for bar, n, _ in rows:
+            while at <= bar:
+                score = alpha * r / (mu + alpha * r)
+                flags = (flags + ("1" if score >= threshold else "0"))[-window:]
+                on = flags.count("1") >= k
+                if on and not active:
+                    out.append((protocol, at, score))
+                active = on
+                skip = at < bar - 1 and "1" not in flags and score < threshold
+                gone = bar - at if skip else 1  # scores only fall in a gap
+                r, at = (r + (n if at == bar else 0)) * math.exp(-beta * gone), at + gone
+        return (r, at, flags, active), out
+
+    return on_final_bars(events, fold, "protocol string, bar long, score double", width, lag, genesis_s, block_s)
 
 
 def catch_up_start(scored_through: int, head: int, cap: int, width: int, origin: int = 0) -> tuple[int, bool]:

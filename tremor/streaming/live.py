@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
+import json
 import math
-from collections import Counter
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -29,16 +29,6 @@ def run_to_table(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(f"{folder}/out")
 
 
-def bar_counts(events: DataFrame, width: int) -> DataFrame:
-    """(protocol, bar, n) counted where the events (protocol, block_number) lie, so the state functions get a row a bar and Arrow batch, not a row an event."""
-
-    def run(batches):
-        for pdf in batches:
-            yield pdf.assign(bar=pdf["block_number"] // width).groupby(["protocol", "bar"], as_index=False).agg(n=("block_number", "size"))
-
-    return events.mapInPandas(run, "protocol string, bar long, n long")
-
-
 def final_bars(events: DataFrame, width: int, lag: int, genesis_s: int, block_s: int) -> DataFrame:
     """(protocol, start_block, end_block, n, usd) of block bars, emitted once: when the bar's end is `lag` blocks or more behind the head.
 
@@ -51,38 +41,71 @@ def final_bars(events: DataFrame, width: int, lag: int, genesis_s: int, block_s:
     return g.select("protocol", start.alias("start_block"), (start + width).alias("end_block"), "n", "usd")
 
 
-def clusters(events: DataFrame, gap: int) -> DataFrame:
-    """(protocol, start_block, last_block, end_block, n, usd) of clusters of events at most `gap` blocks apart: a row each time a batch
-    adds to a cluster, end_block null while it is open, and one with its end once a later event has closed it.
+def on_final_bars(events: DataFrame, fold, fields: str, width: int, lag: int, genesis_s: int, block_s: int) -> DataFrame:
+    """What `fold` makes of each protocol's block bars, in order and each once: fold(protocol, carried, rows) -> (carried, rows out), rows
+    being (bar, n, usd) and carried whatever JSON can hold, None at first.
 
-    events: protocol, block_number, usd. The state, which a restart reads again, is the open cluster. Events before the open
-    cluster's start are late and dropped. current_clusters() gives the newest row of each.
+    events: protocol, ts, usd. A bar is folded once the watermark, `lag` blocks behind the newest event, is past its end; a timer wakes a
+    protocol without new events. So what comes out doesn't depend on how events fall into batches, as long as none comes later
+    than the lag. Events are counted a bar where they lie. State: what is carried, and counts of the bars that aren't final, some `lag` blocks of them.
     """
+    unit = width * block_s
 
     def counted(batches):
         for pdf in batches:
-            yield pdf.groupby(["protocol", "block_number"], as_index=False).agg(n=("usd", "size"), usd=("usd", "sum"))
+            yield pdf.groupby(["protocol", "bar"], as_index=False).agg(ts=("ts", "max"), n=("usd", "size"), usd=("usd", "sum"))
 
     def step(key, batches, state: GroupState):
-        start, last, n, usd = state.get if state.exists else (-1, -1, 0, 0.0)
-        pdf = pd.concat(list(batches)).groupby("block_number", as_index=False).sum(numeric_only=True).sort_values("block_number")
+        carried, waiting, done = json.loads(state.get[0]) if state.exists else (None, {}, None)
+        if not state.hasTimedOut:
+            for pdf in batches:
+                for bar, n, usd in zip(pdf["bar"], pdf["n"], pdf["usd"]):
+                    k, x = waiting.get(str(bar), (0, 0.0))
+                    waiting[str(bar)] = (k + int(n), x + float(usd))
+        now = state.getCurrentWatermarkMs()
+        end = lambda bar: ((int(bar) + 1) * unit + genesis_s) * 1000
+        ready = sorted(int(b) for b in waiting if end(b) <= now)
+        rows = [(b, *waiting.pop(str(b))) for b in ready]
+        rows = [r for r in rows if done is None or r[0] > done]  # later than the lag
+        out = []
+        if rows:
+            carried, out = fold(key[0], carried, rows)
+            done = rows[-1][0]
+        state.update((json.dumps((carried, waiting, done)),))
+        if waiting:
+            state.setTimeoutTimestamp(max(min(map(end, waiting)) - 1, now + 1))
+        table = pd.DataFrame(out, columns=names)
+        yield table.astype({c: "Int64" for c in names if kinds[c] == "long"})
+
+    kinds = dict(f.split() for f in fields.split(", "))
+    names = list(kinds)
+    bar = F.floor((F.unix_seconds("ts") - genesis_s) / unit)
+    rows = events.select("protocol", bar.alias("bar"), "ts", F.col("usd").cast("double").alias("usd")).mapInPandas(counted, "protocol string, bar long, ts timestamp, n long, usd double")
+    rows = rows.withWatermark("ts", f"{lag * block_s} seconds").groupBy("protocol")
+    return rows.applyInPandasWithState(step, fields, "held string", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def clusters(events: DataFrame, gap: int, lag: int, genesis_s: int, block_s: int) -> DataFrame:
+    """(protocol, start_block, last_block, end_block, n, usd) of clusters of events at most `gap` blocks apart: a row each time a batch
+    adds to a cluster, end_block null while it is open, and one with its end once a later event has closed it.
+
+    events: protocol, ts, usd. Blocks are clustered when they are final; the open cluster is carried, and a restart reads it
+    again. current_clusters() gives the newest row of each.
+    """
+
+    def fold(protocol, carried, rows):
+        start, last, n, usd = carried or (-1, -1, 0, 0.0)
         out = []
-        for block, k, x in zip(pdf["block_number"], pdf["n"], pdf["usd"]):
+        for block, k, x in rows:
             if n and block - last > gap:
-                out.append((key[0], start, last, last, n, usd))
+                out.append((protocol, start, last, last, n, usd))
                 n = 0
             if not n:
-                start, last, n, usd = int(block), int(block), 0, 0.0
-            if block >= start:
-                last, n, usd = max(last, int(block)), n + int(k), usd + float(x)
-        out.append((key[0], start, last, None, n, usd))
-        state.update((start, last, n, usd))
-        table = pd.DataFrame(out, columns=["protocol", "start_block", "last_block", "end_block", "n", "usd"])
-        yield table.astype({"end_block": "Int64"})
+                start, n, usd = block, 0, 0.0
+            last, n, usd = block, n + k, usd + x
+        return (start, last, n, usd), [*out, (protocol, start, last, None, n, usd)]
 
-    rows = events.mapInPandas(counted, "protocol string, block_number long, n long, usd double")
-    fields = "protocol string, start_block long, last_block long, end_block long, n long, usd double"
-    return rows.groupBy("protocol").applyInPandasWithState(step, fields, "start long, last long, n long, usd double", "append", GroupStateTimeout.NoTimeout)
+    return on_final_bars(events, fold, "protocol string, start_block long, last_block long, end_block long, n long, usd double", 1, lag, genesis_s, block_s)
 
 
 def current_clusters(emitted: DataFrame) -> DataFrame:
@@ -92,32 +115,19 @@ def current_clusters(emitted: DataFrame) -> DataFrame:
     return emitted.groupBy("protocol", "start_block").agg(F.max_by(row, newest).alias("x")).select("protocol", "start_block", "x.*")
 
 
-def scored_bars(events: DataFrame, mu: float, alpha: float, beta: float, width: int) -> DataFrame:
-    """(protocol, bar, n, r, score) of each bar with events, once a later bar has begun; r is carried over batches in state.
+def scored_bars(events: DataFrame, mu: float, alpha: float, beta: float, width: int, lag: int, genesis_s: int, block_s: int) -> DataFrame:
+    """(protocol, bar, n, r, score) of each bar with events, once it is final; r is carried over batches. events: protocol, ts, usd."""
 
-    events: protocol, block_number. The state is the decayed history before the open bar, the open bar and its count; rows of
-    bars already emitted are late and dropped.
-    """
-
-    def step(key, batches, state: GroupState):
-        r, bar, n = state.get if state.exists else (0.0, -1, 0)
-        counts: Counter = Counter()
-        for pdf in batches:
-            counts.update(pdf.groupby("bar")["n"].sum().to_dict())
+    def fold(protocol, carried, rows):
+        r, before = carried or (0.0, rows[0][0])
         out = []
-        for b in sorted(counts):
-            if b == bar:
-                n += counts[b]
-            elif b > bar:
-                if bar >= 0:
-                    out.append((key[0], bar, n, r, alpha * r / (mu + alpha * r)))
-                    r = (r + n) * math.exp(-beta * (b - bar))
-                bar, n = int(b), int(counts[b])
-        state.update((r, bar, int(n)))
-        yield pd.DataFrame(out, columns=["protocol", "bar", "n", "r", "score"])
-
-    bars = bar_counts(events, width).groupBy("protocol")
-    return bars.applyInPandasWithState(step, "protocol string, bar long, n long, r double, score double", "r double, bar long, n long", "append", GroupStateTimeout.NoTimeout)
+        for bar, n, _ in rows:
+            r *= math.exp(-beta * (bar - before))
+            out.append((protocol, bar, n, r, alpha * r / (mu + alpha * r)))
+            r, before = r + n, bar
+        return (r, before), out
+
+    return on_final_bars(events, fold, "protocol string, bar long, n long, r double, score double", width, lag, genesis_s, block_s)
 
 
 def deduplicated(events: DataFrame, delay: str) -> DataFrame:
