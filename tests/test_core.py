@@ -240,15 +240,30 @@ def test_catch_up_start():
     assert alerts.catch_up_start(0, 5000, 0, 50) == (0, False)
 
 
-def test_alerts_over_batches(spark, tmp_path):
-    """A stream in two batches fires where one pass over all bars does, quiet bars tested too."""
-    blocks = [0, 0, 1, 1, 2, 3, 3, 40, 41, 41, 41, 42, 43, 90]
-    for k, part in enumerate([blocks[:6], blocks[6:]]):
-        spark.createDataFrame([("p", b) for b in part], "protocol string, block_number long").coalesce(1).write.parquet(f"{tmp_path}/in/{k}")
-    rows = spark.readStream.schema("protocol string, block_number long").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
-    got = sorted((r.bar, round(r.score, 9)) for r in live.run_to_table(alerts.alert_bars(rows, 0.5, 0.3, 0.4, 1, 0.4, 2, 5), "test-alerts").collect())
+def two_batches(spark, path, schema, parts):
+    for k, part in enumerate(parts):
+        spark.createDataFrame(part, schema).coalesce(1).write.parquet(f"{path}/in/{k}")
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in/*")
+
+
+CUTS = [[0, 14], [0, 6, 14], [0, 1, 3, 9, 10, 14]]
+GENESIS = 1704067200
+
+
+def block_parts(blocks, cuts):
+    """Rows (protocol, ts, usd) of 12-second blocks, cut into batches."""
+    at = lambda b: datetime.fromtimestamp(GENESIS + 12 * b)
+    return [[("p", at(b), float(b)) for b in blocks[i:j]] for i, j in zip(cuts, cuts[1:])]
+
+
+@pytest.mark.parametrize("cuts", CUTS)
+def test_alerts_whatever_the_batches(spark, tmp_path, cuts):
+    """Rows out of order, by less than the lag, fire where one pass over all final bars does, quiet bars tested too."""
+    blocks = [0, 1, 0, 1, 3, 2, 3, 41, 40, 41, 42, 41, 43, 90]
+    rows = two_batches(spark, tmp_path, "protocol string, ts timestamp, usd double", block_parts(blocks, cuts))
+    got = sorted((r.bar, round(r.score, 9)) for r in live.run_to_table(alerts.alert_bars(rows, 0.5, 0.3, 0.4, 1, 0.4, 2, 5, 4, GENESIS, 12), "test-alerts").collect())
     r, flags, active, want = 0.0, [], False, []
-    for b in range(90):
+    for b in range(44):  # block 90 isn't final
         score = 0.3 * r / (0.5 + 0.3 * r)
         flags = [*flags, score >= 0.4][-5:]
         if (on := sum(flags) >= 2) and not active:
@@ -257,19 +272,23 @@ def test_alerts_over_batches(spark, tmp_path):
     assert got == want and len(want) == 2
 
 
-def two_batches(spark, path, schema, parts):
-    for k, part in enumerate(parts):
-        spark.createDataFrame(part, schema).coalesce(1).write.parquet(f"{path}/in/{k}")
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in/*")
+@pytest.mark.parametrize("cuts", CUTS)
+def test_scores_whatever_the_batches(spark, tmp_path, cuts):
+    blocks = [0, 1, 0, 1, 3, 2, 3, 41, 40, 41, 42, 41, 43, 90]
+    rows = two_batches(spark, tmp_path, "protocol string, ts timestamp, usd double", block_parts(blocks, cuts))
+    got = sorted((r.bar, r.n, round(r.r, 9)) for r in live.run_to_table(live.scored_bars(rows, 0.5, 0.3, 0.4, 2, 4, GENESIS, 12), "test-scores").collect())
+    bars = [b // 2 for b in blocks if b < 90]
+    assert got == [(b, bars.count(b), round(sum(math.exp(-0.4 * (b - x)) for x in bars if x < b), 9)) for b in sorted(set(bars))]
 
 
-def test_clusters_over_batches(spark, tmp_path):
-    """A cluster that a batch leaves open is carried on by the next; the last one stays open."""
-    blocks = [1, 2, 2, 5, 30, 31, 90, 92, 95, 140]
-    rows = two_batches(spark, tmp_path, "protocol string, block_number long, usd double", [[("p", b, float(b)) for b in part] for part in (blocks[:3], blocks[3:8], blocks[8:])])
-    emitted = live.run_to_table(live.clusters(rows, 10), "test-clusters")
+@pytest.mark.parametrize("cuts", CUTS)
+def test_clusters_whatever_the_batches(spark, tmp_path, cuts):
+    """A cluster that a batch leaves open is carried on by the next; the last final one stays open."""
+    blocks = [1, 2, 5, 2, 3, 30, 31, 90, 95, 92, 93, 96, 140, 170]
+    rows = two_batches(spark, tmp_path, "protocol string, ts timestamp, usd double", block_parts(blocks, cuts))
+    emitted = live.run_to_table(live.clusters(rows, 10, 4, GENESIS, 12), "test-clusters")
     got = sorted(one(live.current_clusters(emitted).select("start_block", "last_block", "end_block", "n", "usd")), key=lambda r: r[0])
-    assert got == [(1, 5, 5, 4, 10.0), (30, 31, 31, 2, 61.0), (90, 95, 95, 3, 277.0), (140, 140, None, 1, 140.0)]
+    assert got == [(1, 5, 5, 5, 13.0), (30, 31, 31, 2, 61.0), (90, 96, 96, 5, 466.0), (140, 140, None, 1, 140.0)]
 
 
 def test_confirmed_rows_replace_pending_ones(spark, tmp_path):

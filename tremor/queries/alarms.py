@@ -110,7 +110,7 @@ fd as (select k, threshold, count(*) as detected, count(*) filter (where is_prim
 fl as (select k, threshold, ep, max(start_block - block) as lead from df join alleps on is_primary and block >= start_block - {PAD} and block < start_block + {PAD} group by all),
 fm as (select k, threshold, count(*) as n_leads, avg(lead) * 0.2 as mean_lead from fl group by all),
 curve as (select k, threshold, coalesce(fires, 0) as fires, coalesce(false_alarms, 0) as false_alarms, coalesce(false_alarms, 0) / ((select max(block) - min(block) from scores) / 50400.0::double) as far_per_week,
-   coalesce(detected, 0) / (select count(*) from alleps) as recall, coalesce(detected_primary, 0) / (select count(*) filter (where is_primary) from alleps) as recall_primary, coalesce(n_leads, 0) as n_leads, coalesce(mean_lead, 0) as mean_lead_min
+   coalesce(detected, 0) / nullif((select count(*) from alleps), 0) as recall, coalesce(detected_primary, 0) / nullif((select count(*) filter (where is_primary) from alleps), 0) as recall_primary, coalesce(n_leads, 0) as n_leads, coalesce(mean_lead, 0) as mean_lead_min
    from ks cross join th left join fc using (k, threshold) left join fd using (k, threshold) left join fm using (k, threshold))"""
 
 
