@@ -210,7 +210,8 @@ def with_interval(eps, hit):
     rows = saved(eps.join(hit.select("ep").distinct().withColumn("hit", F.lit(True)), "ep", "left").select((F.col("ep") - 1).alias("place"), "severity_usd", F.coalesce("hit", F.lit(False)).alias("hit")))
     mine = F.when(F.col("hit"), F.col("severity_usd")).otherwise(0.0)
     ends = E.bootstrap_totals(rows.select("place", mine.alias("x")), REPLICATES, [0.025, 0.975]).select(F.col("p")[0].alias("ci_low"), F.col("p")[1].alias("ci_high"))
-    return rows.agg(F.sum(mine).alias("protectable_usd"), F.count_if("hit").alias("n_protected"), F.sum("severity_usd").alias("total_usd"), F.count("*").alias("n_episodes")).crossJoin(ends)  # one row each
+    sums = rows.agg(F.coalesce(F.sum(mine), F.lit(0.0)).alias("protectable_usd"), F.count_if("hit").alias("n_protected"), F.sum("severity_usd").alias("total_usd"), F.count("*").alias("n_episodes"))
+    return sums.join(ends, F.lit(True), "left")  # one row each; without episodes there is no interval
 
 
 @query(ALL + _boot_sql("ep in (select episode from kinds)"))
