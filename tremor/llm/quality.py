@@ -61,12 +61,13 @@ def fit(documents: DataFrame, labels: DataFrame, usable: Column, sample: int = S
 
     About `sample` labelled rows are used, chosen by a hash of the id, the rest being left. Trees are grown on the
     statistics, all their paths become rules, and a logistic regression with an L1 penalty keeps few. Without labels of both
-    kinds, or without a rule, the score is the share of label 1 everywhere (0.5 without any).
+    kinds, or without a rule, the score is the share of label 1 everywhere (0.5 without any). Other columns than doc_id and text, whatever their
+    names, take no part.
     """
     marked = labels.where(usable & F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").cast("double").alias("label"))
     many = marked.count()
     marked = marked.where(F.pmod(F.xxhash64(F.lit("fit"), "doc_id"), F.lit(1 << 20)) < min(1.0, sample / max(many, 1)) * (1 << 20))
-    rows = checkpoint(features(documents.join(F.broadcast(marked), "doc_id"), "label").coalesce(8))  # marked has about `sample` rows
+    rows = checkpoint(features(documents.select("doc_id", "text").join(F.broadcast(marked), "doc_id"), "label").coalesce(8))  # marked has about `sample` rows
     seen = {r.label: r.n for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
     share = (seen.get(1.0, 0) / sum(seen.values())) if seen else 0.5
     flat = {"prior": min(max(share, 1e-3), 1 - 1e-3), "rules": []}
