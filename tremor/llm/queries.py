@@ -78,17 +78,17 @@ _ALNUM = rf"list_filter(string_split_regex({_LOWER}, '[\x00-\x2F\x3A-\x60\x7B-\x
 _SIZE = r"len(list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> ''))"
 
 OP1 = rf"""
-with d as (select doc_id, {_ALNUM} as w from documents where doc_id is not null),
+with d as (select doc_id, coalesce('d' || doc_id, 't' || md5(coalesce(text, '-'))) as k, {_ALNUM} as w from documents),
 i as (select item_id, w, least(len(w), 13) as m from (select item_id, {_ALNUM} as w from benchmark where item_id is not null) where len(w) > 0),
 iw as (select distinct item_id, m, array_to_string(w[p:p + m - 1], ' ') as win from (select *, unnest(generate_series(1, len(w) - m + 1)) as p from i)),
-dw as (select doc_id, m, p, array_to_string(w[p:p + m - 1], ' ') as win
-       from (select doc_id, w, m, unnest(generate_series(1, len(w) - m + 1)) as p from d, (select distinct m from i) where len(w) >= m)),
-h as (select doc_id, p, dw.m, item_id from dw join iw on dw.win = iw.win and dw.m = iw.m),
-c as (select doc_id, count(distinct q) as n_hit from (select doc_id, unnest(generate_series(p, p + m - 1)) as q from h) group by doc_id),
-t as (select doc_id, count(*) as n_items, string_agg(s, ',' order by s) as ids from (select distinct doc_id, cast(item_id as varchar) as s from h) group by doc_id)
+dw as (select k, m, p, array_to_string(w[p:p + m - 1], ' ') as win
+       from (select k, w, m, unnest(generate_series(1, len(w) - m + 1)) as p from d, (select distinct m from i) where len(w) >= m)),
+h as (select k, p, dw.m, item_id from dw join iw on dw.win = iw.win and dw.m = iw.m),
+c as (select k, count(distinct q) as n_hit from (select k, unnest(generate_series(p, p + m - 1)) as q from h) group by k),
+t as (select k, count(*) as n_items, string_agg(s, ',' order by s) as ids from (select distinct k, cast(item_id as varchar) as s from h) group by k)
 select doc_id, cast(n as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(ids, '')) as items_sha256,
        coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= n as contaminated
-from (select doc_id, max(len(w)) as n from d group by doc_id) left join c using (doc_id) left join t using (doc_id)
+from (select k, any_value(doc_id) as doc_id, max(len(w)) as n from d group by k) left join c using (k) left join t using (k)
 """
 
 OP4 = r"""
