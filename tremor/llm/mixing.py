@@ -68,8 +68,8 @@ def mix(documents: DataFrame, weights=WEIGHTS, repeats: int = REPEATS, ranges: i
     return schedule(docs, weights, repeats, ranges)
 
 
-def schedule(docs: DataFrame, weights=WEIGHTS, repeats: int = REPEATS, ranges: int = RANGES) -> DataFrame:
-    """mix() for rows (doc_id, source, size)."""
+def schedule(docs: DataFrame, weights=WEIGHTS, repeats: int = REPEATS, ranges: int = RANGES, keep: tuple[str, ...] = ()) -> DataFrame:
+    """mix() for rows (doc_id, source, size) and the columns in `keep`."""
     docs = docs.withColumn("key", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     docs = checkpoint(docs.withColumn("cell", F.floor(F.conv(F.substring("key", 1, 6), 16, 10).cast("long") * ranges / (1 << 24)).cast("int")))
     cells = docs.groupBy("source", "cell").agg(F.sum("size").alias("cell_size"))
@@ -86,7 +86,7 @@ def schedule(docs: DataFrame, weights=WEIGHTS, repeats: int = REPEATS, ranges: i
     copies = rows.where("size > 0").select("size", F.explode(F.array(*[finish(r) for r in range(repeats)])).alias("finish")).where("finish < 2")  # every source has reached its target at 1
     limit = _last_taken(copies, budget, ranges)
     count = sum((F.coalesce(finish(r) <= limit, F.lit(False)).cast("long") for r in range(repeats)), F.lit(0).cast("long"))
-    return rows.withColumn("copies", F.when(F.col("size") > 0, count).otherwise(0).cast("long")).select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    return rows.withColumn("copies", F.when(F.col("size") > 0, count).otherwise(0).cast("long")).select("doc_id", "source", *keep, "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def _last_taken(copies: DataFrame, budget: int, ranges: int, small: int = 100_000) -> float:
@@ -119,11 +119,24 @@ def _last_taken(copies: DataFrame, budget: int, ranges: int, small: int = 100_00
 def mixed(documents: DataFrame, **how) -> DataFrame:
     """The documents that mix() takes, each once, with its number of copies and its words taken as columns mix_copies and mix_taken.
 
-    Rows that repeat a doc_id get the sum of their copies; rows with a null doc_id count as one id. Columns of these
+    Each row has copies of its own, whether or not its doc_id is null or repeated. Rows of equal doc_id, source and text share what
+    they get: they are counted within the tasks they lie in, and the first of them get the more copies. Columns of these
     two names are replaced; all others stay, whatever their names.
     """
-    chosen = mix(documents.select("doc_id", "source", "text"), **how).where("copies > 0").groupBy("doc_id").agg(F.sum("copies").alias("copies"), F.sum("taken").alias("taken"))
+    text = F.xxhash64("text").alias("hash")
+    docs = documents.select("doc_id", "source", text, F.size(words(F.col("text"), lower=False)).cast("long").alias("size"))
+    key = lambda *c: F.struct(*[F.coalesce(F.concat(F.lit("="), F.col(x).cast("string")), F.lit("")) for x in c])  # noqa: E731  never null
+    shares = schedule(docs, keep=("hash",), **how).groupBy(key("doc_id", "source", "hash").alias("k"), "copies", "size").agg(F.count("*").alias("n"))
+    shares = shares.groupBy("k").agg(F.first("size").alias("size"), F.max("copies").alias("most"), F.sort_array(F.collect_list(F.struct("copies", "n")), False).alias("each")).where("most > 0")
+    shares = checkpoint(shares)  # a row a document; `each` has a number of copies once, so it is short
     names = [c for c in documents.columns if c not in ("mix_copies", "mix_taken")]
-    rows = boxed(documents.select(*[column(c) for c in names]))
-    out = rows.join(chosen, F.col("row.doc_id").eqNullSafe(F.col("doc_id")))
-    return out.select("row.*", F.col("copies").alias("mix_copies"), F.col("taken").alias("mix_taken"))
+    rows = boxed(documents.select(*[column(c) for c in names]), "doc_id", "source", "text").select("row", text, "doc_id", "source").select("row", key("doc_id", "source", "hash").alias("k"))
+    alone = rows.join(shares.where("size(each) = 1").select("k", "size", F.col("most").alias("copies")), "k").select("row", "size", "copies")
+    some = checkpoint(rows.join(shares.where("size(each) > 1").select("k", "size", "each"), "k").withColumn("part", F.spark_partition_id()))
+    counts = some.groupBy("k", "part").agg(F.count("*").alias("n"))
+    counts = counts.select("k", "part", (F.sum("n").over(W.partitionBy("k").orderBy("part")) - F.col("n")).alias("before"))  # a row a task
+    nth = F.row_number().over(W.partitionBy("k", "part").orderBy("size")) + F.col("before")
+    some = some.join(counts, ["k", "part"]).withColumn("nth", nth)
+    upto = F.expr("aggregate(each, named_struct('left', nth, 'copies', cast(null as bigint)), (a, x) -> if(a.left <= 0, a, named_struct('left', a.left - x.n, 'copies', x.copies)), a -> a.copies)")
+    out = alone.unionByName(some.select("row", "size", upto.alias("copies"))).where("copies > 0")
+    return out.select("row.*", F.col("copies").alias("mix_copies"), (F.col("copies") * F.col("size")).alias("mix_taken"))
