@@ -20,6 +20,8 @@ RANGE, REFERENCES, CHECKED = 8, 20, 16
 PAIRS_UP_TO = 24
 #: Of a near copy: words in a shingle, least similarity of the sets of shingles, and most differing bits of 128 to compare them at all.
 NEAR_SHINGLE, NEAR_LEAST, NEAR_BITS = 5, 0.8, 32
+#: What tells texts apart in that search: their fingerprint and the digest of their set.
+NEAR_NODE = ["fp", "fp1", "s"]
 #: Buckets of sampled bits of more fingerprints than this are linked through their centre and by blocks.
 NEAR_PAIRS_UP_TO = 64
 #: Fingerprints in a block of a large bucket; a task compares two blocks.
@@ -63,7 +65,7 @@ def fingerprints(documents: DataFrame, shingle: int = SHINGLE, longs: int = 1) -
     """(doc_id, row, fp, ..) of each row: bit i of fp is set if over half of the text's shingles have it in their xxHash64 (seed 42).
 
     Shingles are runs of `shingle` words, repeats included; of fewer words the whole sequence. No word, or null: zero.
-    row is a hash of the text. With `longs` = 2 a second number fp1 comes from a mix of the same hashes.
+    row is a hash of the text. With `longs` = 2 a second number fp1 comes from a mix of the same hashes, and s is a digest of their set.
     """
     w = documents.select("doc_id", F.xxhash64("text").alias("row"), words(F.col("text")).alias("w"))
     kind = dict(documents.dtypes)["doc_id"]
@@ -85,11 +87,14 @@ def fingerprints(documents: DataFrame, shingle: int = SHINGLE, longs: int = 1) -
                     hashes = _mix(hashes)
                 i = j
             out = {"doc_id": batch.column("doc_id"), "row": batch.column("row")}
+            if longs > 1:
+                sets = [_mix(np.unique(vals[a - off[0] : b - off[0]])) for a, b in zip(off[:-1], off[1:])]
+                out["s"] = np.array([x.sum(dtype=np.uint64) for x in sets], np.uint64).view(np.int64)
             for name in names:
                 out[name] = np.packbits(counts[name] * 2 > n[:, None], axis=1, bitorder="little").view(np.int64).ravel()
             yield pa.RecordBatch.from_pydict(out)
 
-    fields = ", ".join(f"{name} long" for name in names)
+    fields = ", ".join(f"{name} long" for name in (["s"] if longs > 1 else []) + names)
     return w.select("doc_id", "row", _shingle_hashes(shingle).alias("hashes")).mapInArrow(run, f"doc_id {kind}, row long, {fields}")
 
 
@@ -147,10 +152,10 @@ def pivot_filter(max_bits: int):
 
 
 def bits_filter(max_bits: int):
-    """A test of pairs of rows: those of up to max_bits differing bits in all their numbers together."""
+    """A test of pairs of rows: those of up to max_bits differing bits in their first two numbers together."""
 
     def close(values, a, b):
-        d = sum(np.bitwise_count(v.view(np.uint64)[a] ^ v.view(np.uint64)[b]).astype(np.int64) for v in values)
+        d = sum(np.bitwise_count(v.view(np.uint64)[a] ^ v.view(np.uint64)[b]).astype(np.int64) for v in values[:2])
         keep = np.flatnonzero(d <= max_bits)
         return keep, d[keep]
 
@@ -329,7 +334,7 @@ def near_duplicates(documents: DataFrame, key_rows: int = KEY_ROWS) -> DataFrame
 
 
 def sampled_tables(fps: DataFrame, many: int, recall: float = 0.95, at_bits: int = 24) -> DataFrame:
-    """(key, fp, fp1): 128-bit fingerprints in buckets of equal sampled bits, in so many tables that two fingerprints of
+    """(key, fp, fp1, s): 128-bit fingerprints in buckets of equal sampled bits, in so many tables that two fingerprints of
     `at_bits` differing bits share a bucket with a probability of `recall`.
 
     A table samples about log2(many / 16) bits, so buckets stay small at any size and the number of tables grows with it.
@@ -349,9 +354,9 @@ def sampled_tables(fps: DataFrame, many: int, recall: float = 0.95, at_bits: int
             for t, (m, n) in enumerate(masks):
                 with np.errstate(over="ignore"):
                     key = _mix(_mix((f & m) + np.uint64(t)) * np.uint64(31) + (g & n))
-                yield pa.RecordBatch.from_pydict({"key": key.view(np.int64), "fp": batch.column("fp"), "fp1": batch.column("fp1")})
+                yield pa.RecordBatch.from_pydict({"key": key.view(np.int64), "fp": batch.column("fp"), "fp1": batch.column("fp1"), "s": batch.column("s")})
 
-    return fps.select("fp", "fp1").mapInArrow(run, "key long, fp long, fp1 long")
+    return fps.select("fp", "fp1", "s").mapInArrow(run, "key long, fp long, fp1 long, s long")
 
 
 def _differing(a: str, b: str) -> Column:
@@ -364,7 +369,7 @@ def bucket_centres(dense: DataFrame, sizes: DataFrame, key_rows: int, block: int
     The majority is that of about a block of the members; where it doesn't find the best centre, bucket_trees() has more to do.
     """
     total = sizes.agg(F.sum("n")).first()[0] or 0
-    some = spread_join(dense, sizes, "key", sizes, total, ["fp", "fp1"], "inner", key_rows)
+    some = spread_join(dense, sizes, "key", sizes, total, ["fp", "fp1", "s"], "inner", key_rows)
     some = some.where(F.pmod(F.xxhash64("fp", "fp1", F.lit("centre")), F.ceil(F.col("n") / block)) == 0)
 
     def majority(table: pa.Table) -> pa.Table:
@@ -377,7 +382,7 @@ def bucket_centres(dense: DataFrame, sizes: DataFrame, key_rows: int, block: int
 
     middle = some.select("key", "fp", "fp1").groupBy("key").applyInArrow(majority, "key long, fp long, fp1 long")
     middle = checkpoint(middle.select("key", F.struct("fp", "fp1").alias("middle")))
-    rows = dense.select("key", F.struct("fp", "fp1").alias("b"))
+    rows = dense.select("key", F.struct(*NEAR_NODE).alias("b"))
     at = spread_join(rows, middle, "key", sizes, total, ["b"], "inner", key_rows).withColumn("d", _differing("middle", "b"))
     centre = at.groupBy("key").agg(F.min(F.struct("d", "b")).alias("c")).select("key", F.col("c.b").alias("a"))
     return spread_join(rows, centre, "key", sizes, total, ["b"], "inner", key_rows).where("a != b").select("a", "b")
@@ -387,19 +392,20 @@ def bucket_trees(dense: DataFrame, found: DataFrame, sizes: DataFrame, key_rows:
     """(a, b): of large buckets whose fingerprints `found` doesn't have in one component, the pairs of least differing
     bits that would connect them (a spanning tree). Blocks of a bucket meet two at a time; trees of all
     meetings together hold a tree of the whole, and no task holds more than two blocks."""
-    rows = dense.select("key", F.struct("fp", "fp1").alias("node")).join(found, "node")
+    rows = dense.select("key", F.struct(*NEAR_NODE).alias("node")).join(found, "node")
     apart = rows.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
     blocks = apart.join(sizes, "key").select("key", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
     total = sizes.agg(F.sum("n")).first()[0] or 0
     rows = spread_join(rows, blocks, "key", sizes, total, ["node"], "inner", key_rows)
     own = F.pmod(F.xxhash64("node", F.lit("block")), F.col("blocks")).cast("int")
     rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node.fp", "node.fp1", "root")
+    rows = rows.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node.fp", "node.fp1", "node.s", "root")
 
     def tree(table: pa.Table) -> pa.Table:
         f, g = (np.asarray(table.column(c).combine_chunks()).view(np.uint64) for c in ("fp", "fp1"))
         roots = {}
-        label = np.array([roots.setdefault((r["fp"], r["fp1"]), len(roots)) for r in table.column("root").to_pylist()])
+        label = np.array([roots.setdefault((r["fp"], r["fp1"], r["s"]), len(roots)) for r in table.column("root").to_pylist()])
+        s = np.asarray(table.column("s").combine_chunks())
         near, via = np.full(len(f), 999, np.int64), np.zeros(len(f), np.int64)
         left, out, at = np.ones(len(f), bool), [], 0
         for _ in range(len(f)):
@@ -415,10 +421,10 @@ def bucket_trees(dense: DataFrame, found: DataFrame, sizes: DataFrame, key_rows:
             if 0 <= near[at] <= max_bits:
                 out.append((via[at], at))
         x, y = (np.array(k, np.int64) for k in (zip(*out) if out else ((), ())))
-        return pa.table({"fp": f[x].view(np.int64), "fp1": g[x].view(np.int64), "to": f[y].view(np.int64), "to1": g[y].view(np.int64)})
+        return pa.table({"fp": f[x].view(np.int64), "fp1": g[x].view(np.int64), "s": s[x], "to": f[y].view(np.int64), "to1": g[y].view(np.int64), "to_s": s[y]})
 
-    edges = rows.groupBy("key", "i", "j").applyInArrow(tree, "fp long, fp1 long, to long, to1 long")
-    return edges.select(F.struct("fp", "fp1").alias("a"), F.struct(F.col("to").alias("fp"), F.col("to1").alias("fp1")).alias("b"))
+    edges = rows.groupBy("key", "i", "j").applyInArrow(tree, "fp long, fp1 long, s long, to long, to1 long, to_s long")
+    return edges.select(F.struct(*NEAR_NODE).alias("a"), F.struct(F.col("to").alias("fp"), F.col("to1").alias("fp1"), F.col("to_s").alias("s")).alias("b"))
 
 
 def similar(documents: DataFrame, nodes: DataFrame, pairs: DataFrame, shingle: int, least: float, key_rows: int, sent: int = 400_000) -> DataFrame:
@@ -447,18 +453,18 @@ def near_copies(documents: DataFrame, shingle: int = NEAR_SHINGLE, least: float
     """(doc_id, component_id) of each row with a doc_id: the least doc_id reachable through near copies, texts whose sets of
     `shingle`-word shingles have a similarity of `least` or more.
 
-    Candidates are 128-bit fingerprints of up to NEAR_BITS differing bits that share a bucket of sampled bits; texts of
-    one such fingerprint count as copies. Of each bucket, the pairs of a spanning forest of least differing bits are compared by
+    Candidates are 128-bit fingerprints of up to NEAR_BITS differing bits that share a bucket of sampled bits. Texts of one set of
+    shingles are one node, and texts of one fingerprint alone are compared like any others. Of each bucket, the pairs of a spanning forest of least differing bits are compared by
     their whole texts. In a bucket of more than `pairs_up_to` fingerprints, all members are compared with its centre
     first; only where that leaves it in several components, its blocks are searched for the forest that connects
     these. So no bucket emits all its pairs, and none is cut short.
     """
     docs = documents.where("doc_id is not null").select("doc_id", "text")
     fps = checkpoint(fingerprints(docs, shingle, 2))
-    nodes = checkpoint(fps.groupBy(F.struct("fp", "fp1").alias("node")).agg(F.min(F.struct("doc_id", "row")).alias("m")).select("node", "m.*"))
-    keyed = sampled_tables(nodes.select("node.fp", "node.fp1"), nodes.count())
+    nodes = checkpoint(fps.groupBy(F.struct(*NEAR_NODE).alias("node")).agg(F.min(F.struct("doc_id", "row")).alias("m")).select("node", "m.*"))
+    keyed = sampled_tables(nodes.select("node.*"), nodes.count())
     found, dense = meet(keyed, pairs_up_to, bits_filter(NEAR_BITS), key_rows)
-    pairs = found.select(F.struct(F.col("a_fp").alias("fp"), F.col("a_fp1").alias("fp1")).alias("a"), F.struct(F.col("b_fp").alias("fp"), F.col("b_fp1").alias("fp1")).alias("b"))
+    pairs = found.select(*[F.struct(*[F.col(f"{side}_{c}").alias(c) for c in NEAR_NODE]).alias(side) for side in ("a", "b")])
     dense = checkpoint(dense)
     sizes = checkpoint(dense.groupBy("key").agg(F.count("*").alias("n")))
     large = sizes.limit(1).count() > 0
@@ -470,7 +476,7 @@ def near_copies(documents: DataFrame, shingle: int = NEAR_SHINGLE, least: float
         more = checkpoint(bucket_trees(dense, found, sizes, key_rows, block))
         if more.limit(1).count():
             edges = checkpoint(edges.unionByName(similar(docs, nodes, more, shingle, least, key_rows)))
-    return _named(fps, edges, ["fp", "fp1"], key_rows).select("doc_id", "component_id")
+    return _named(fps, edges, NEAR_NODE, key_rows).select("doc_id", "component_id")
 
 
 def one_of_each(documents: DataFrame, **how) -> DataFrame:
