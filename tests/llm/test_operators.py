@@ -48,6 +48,14 @@ def test_edges_and_empty_tables(spark, name):
     assert QUERIES[name](spark, d.limit(0)).collect() == []
 
 
+def test_quality_with_columns_of_its_own_names(spark):
+    d = docs(spark, [(i, f"word{i} " * (5 + i), "en", "a") for i in range(20)])
+    for c in ("label", "n_words", "x", "probability"):
+        d = d.withColumn(c, F.lit("clash"))
+    marks = spark.createDataFrame([(i, int(i > 9), 0) for i in range(20)], "doc_id long, quality int, label int")
+    assert quality.classify(d, quality.fit(d, marks, F.lit(True), trees=2)).count() == 20
+
+
 def test_decontamination(spark):
     item = " ".join(f"w{i}" for i in range(20))
     inside = "x " * 30 + " ".join(f"W{i}" for i in range(3, 17)) + " y" * 5
@@ -60,6 +68,11 @@ def test_decontamination(spark):
     big = {r.doc_id: r.n_hit for r in decontam.contamination(d, bench, broadcast_rows=0).collect()}  # the shuffled way
     assert big == {k: r.n_hit for k, r in got.items()}
     assert sorted(r.doc_id for r in decontam.clean_documents(d, bench).collect()) == [2, 4]
+    unnamed = docs(spark, [(None, inside, "en", "s"), (None, "clean text", "en", "s"), (None, None, "en", "s"), (None, inside, "en", "s"), (2, "a b", "en", "s")])
+    for how in ({}, {"broadcast_rows": 0}):  # a document for each text
+        found = [(r.doc_id, r.n_words, r.n_hit, r.contaminated) for r in decontam.contamination(unnamed, bench, **how).collect()]
+        assert sorted(found, key=str) == sorted([(None, 49, 14, True), (None, 2, 0, False), (None, 0, 0, False), (2, 2, 0, False)], key=str)
+    assert [r.text for r in decontam.clean_documents(unnamed, bench).orderBy("text").collect()] == [None, "a b", "clean text"]
 
 
 def test_language(spark):

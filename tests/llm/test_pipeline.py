@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from test_operators import brute_lines, jaccard, reach
 
 import corpus_pipeline
+from tremor.llm import mixing
 
 NAMES = ["a.b", "mix_copies", "__gone", "__text", "row", "gone", "lines", "node", "key", "n", "`odd`"]
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join("`" + n.replace("`", "``") + "` string" for n in NAMES)
@@ -25,6 +26,7 @@ def rows_of():
     near[40] = "other"
     out += [(70, " ".join(near), "en", "s2"), (71, out[4][1], "en", "s2"), (72, out[5][1] + " ending words", "en", "s1")]
     out += [(80, None, "en", "s1"), (81, "", "en", "s1"), (82, "123 !!! 456", None, "s2"), (83, "x", "en", "s1"), (None, text(en, 40), "en", "s1"), (84, "the house " * 3000, "en", "s1")]
+    out += [(64, "x " * 300 + text(en, 60), "en", "s1"), (65, "x " * 300 + text(en, 60), "en", "s1")]  # one fingerprint, but no copies
     out += [(85, text(en, 50), "en", "s1"), (85, text(fr, 50), "fr", "s1"), (86, text(en, 30), "en", "s2"), (86, None, "en", "s2")]
     return out + [out[2], out[2]]
 
@@ -79,15 +81,26 @@ def test_stages(spark, benchmark_dir):
 
     mix = stage["mixture"](spark, d, benchmark_dir)
     assert set(mix.columns) == {*d.columns, "mix_taken"}
-    size = Counter()
-    for i, t, _, _ in rows:
-        size[i] += len((t or "").split())
-    assert all(int(r.mix_copies) in range(1, 10) and 0 < r.mix_taken <= 3 * size[r.doc_id] for r in mix.collect())
+    most = Counter((i, t) for i, t, _, _ in rows)
+    found = mix.collect()
+    assert all(int(r.mix_copies) in (1, 2, 3) and r.mix_taken == int(r.mix_copies) * len(r.text.split()) for r in found)
+    assert all(n <= most[k] for k, n in pairs(mix).items())
+    want = mixing.mix(d).groupBy("doc_id", "size", "copies").count().where("copies > 0").collect()
+    assert Counter((r.doc_id, len(r.text.split()), int(r.mix_copies)) for r in found) == Counter({(r.doc_id, r["size"], r.copies): r["count"] for r in want})
     for _, make in corpus_pipeline.STAGES:
         empty = make(spark, d.limit(0), benchmark_dir)
         assert empty.collect() == []
 
 
+def test_rows_of_one_document_share_its_copies(spark):
+    """Equal rows get what the mix gives them together, rows without a doc_id each their own."""
+    same = [(7, "a b c", "en", "s1")] * 40 + [(None, f"n{i} m", "en", "s1") for i in range(6)] + [(None, "n1 m", "en", "s1")] * 5 + [(8, "w " * 500, "en", "s2")]
+    d = table(spark, same).repartition(5)
+    found, want = mixing.mixed(d).collect(), mixing.mix(d).where("copies > 0").collect()
+    assert Counter((r.doc_id, len(r.text.split()), r.mix_copies) for r in found) == Counter((r.doc_id, r["size"], r.copies) for r in want)
+    assert len({r.mix_copies for r in found if r.doc_id == 7}) <= 3 and max(r.mix_copies for r in found) <= 3
+
+
 def test_run_is_its_stages_in_a_row(spark, benchmark_dir, tmp_path):
     folder = str(tmp_path)
     d = table(spark, rows_of() + [(90, "the river " * 10 + ITEM, "en", "s1")])
