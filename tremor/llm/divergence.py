@@ -292,7 +292,8 @@ def source_distances(counts: DataFrame, groups: DataFrame, slots: int = SLOTS, s
         a, b, value = np.concatenate(out, axis=1) if out else np.zeros((3, 0), np.int64)
         return pa.table({"lang": pa.repeat(key[0], len(a)), "a": a, "b": b, "value": value})
 
-    parts = base.unionByName(rows).groupBy("lang", "shard", "i", "j").applyInArrow(compare, "lang string, a long, b long, value long")
+    piece = ["lang", "shard", "i", "j"]  # dealt by all four: what is already dealt by language would pass for it
+    parts = base.unionByName(rows).repartition(*piece).groupBy(*piece).applyInArrow(compare, "lang string, a long, b long, value long")
     return parts.groupBy("lang", "a", "b").agg(F.sum("value").alias("value"))
 
 
@@ -317,8 +318,11 @@ def divergence(documents: DataFrame, least: int = LEAST, top: int = 10, shard: i
     rows = checkpoint(counts.join(groups, ["lang", "source"]).withColumn("p", _rate("n", "total")))
     apart = source_distances(rows.select("lang", "g", "slot", "p"), groups.select("lang", "g", "v", "p0"), slots, sources)
     apart = checkpoint(apart.select("lang", "a", "b", "value").unionByName(apart.select("lang", F.col("b").alias("a"), F.col("a").alias("b"), "value")))
-    one, other = groups.select("lang", "source", F.col("g").alias("a")), groups.select("lang", F.col("source").alias("item"), F.col("g").alias("b"))
-    pairs = one.join(other, "lang").where("a != b").join(apart, ["lang", "a", "b"], "left").select("lang", "source", F.lit("pair").alias("part"), "item", F.coalesce("value", F.lit(0)).alias("value"))
+    named = lambda c, name: groups.select("lang", F.col("g").alias(c), F.col("source").alias(name))
+    pairs = apart.join(named("a", "source"), ["lang", "a"]).join(named("b", "item"), ["lang", "b"]).select("lang", "source", "item", "value")
+    bare = groups.where("v = 0")  # languages without kept terms, where all sources are alike
+    alike = bare.select("lang", "source").join(bare.select("lang", F.col("source").alias("item")), "lang").where("source != item")
+    pairs = pairs.unionByName(alike.withColumn("value", F.lit(0).cast("long"))).select("lang", "source", F.lit("pair").alias("part"), "item", "value")
     all_of = W.partitionBy("lang", "slot")  # a row for each source
     whole = groups.groupBy("lang").agg(F.sum("total").alias("all"))
     used = rows.withColumn("m", F.sum("n").over(all_of)).join(whole, "lang").withColumn("q", _rate("m", "all")).where("p > q")
