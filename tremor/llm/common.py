@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -80,6 +81,12 @@ def shared_folder(spark: SparkSession) -> str:
     return named
 
 
+def release(spark: SparkSession) -> None:
+    """Has shuffle files dropped that nothing refers to any more, as their results are checkpointed, now and not when the driver next collects its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cut the lineage in the shared folder."""
     shared_folder(df.sparkSession)

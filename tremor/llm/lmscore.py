@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tremor.llm.common import checkpoint, crc_mod, spread_join
+from tremor.llm.common import checkpoint, crc_mod, release, spread_join
 from tremor.llm.langid import text_chunks
 
 #: Bits of the filter for each member at least, and the least log2 of its bits; it has no largest size.
@@ -19,6 +19,8 @@ SENT_LOG2 = 29
 CUT, SEGMENT_LOG2, RUN_LOG2 = 10, 22, 5
 #: Bytes of texts that look up their n-grams together.
 CHUNK = 1 << 22
+#: Repeats of a row within so many rows of a file lie in one chunk.
+ROWS = 64
 SEGMENT_COUNTS = "segment int, ids binary, counts binary"
 #: A count c is held as the number of steps 1, 2, 3, 4, 6, 8, 12, 16 .. up to c: a member for each level up to its own.
 STEPS = np.array([1] + [s << k for k in range(40) for s in (2, 3)], np.int64)
@@ -283,9 +285,11 @@ def _inside(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def with_chunks(docs: DataFrame) -> DataFrame:
-    """The rows of docs with a chunk of about CHUNK bytes each, by a hash of the row: the same in every run, in whatever order rows are read."""
+    """The rows of docs with a chunk of about CHUNK bytes each, by a hash of the row and of the run of ROWS rows that it is read in: repeats of
+    a row are dealt over chunks, too. Files are cut the same way whenever they are read in a query, so the chunks are."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    return docs.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(size // CHUNK + 1)))
+    run = F.floor(F.monotonically_increasing_id() / ROWS)
+    return docs.withColumn("run", run).withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text", "run"), F.lit(size // CHUNK + 1))).drop("run")
 
 
 def chunk_ids(table: pa.Table, known: np.ndarray) -> np.ndarray:
@@ -384,6 +388,7 @@ def score(documents: DataFrame, head: int = HEAD, sent_log2: int = SENT_LOG2) ->
     keys_n = ids[order], np.asarray(top.column("n").combine_chunks())[order]
     del top, ids
     segments = build_segments(segment_counts(training, cut).unionByName(segment_rows(unigrams, cut)), raw, cut)
+    release(spark)
     log2 = min(raw, filter_log2(segments.agg(F.sum("members")).first()[0] or 0))
     segments = folded(segments, log2, cut)
     near = log2 <= sent_log2
@@ -439,6 +444,7 @@ def score(documents: DataFrame, head: int = HEAD, sent_log2: int = SENT_LOG2) ->
         levels = answers(probes(texts, cut, shared), segments, log2, cut)
         rows = texts.groupBy("chunk").cogroup(levels.groupBy("chunk")).applyInArrow(joined_up, fields)
     rows = checkpoint(rows).withColumn("row", F.monotonically_increasing_id())
+    release(spark)
     tail = unigrams.where(F.col("n") < F.lit(floor)).withColumnRenamed("n", "freq")
     once = checkpoint(rows.select("row", F.explode("rare").alias("id")).groupBy("row", "id").agg(F.count("*").alias("times")))
     sizes = once.groupBy("id").agg(F.count("*").alias("n"))
