@@ -62,7 +62,8 @@ def percentiles(df: DataFrame, by: list[str], value: str, at: list[float], cells
     rows = v.join(F.broadcast(ends), by).withColumn("cell", slot) if len(by) == 1 else v.join(ends, by).withColumn("cell", slot)
     sums = rows.groupBy(*by, "cell", "total").agg(F.sum("n").alias("c"))
     sums = sums.withColumn("before", F.sum("c").over(W.partitionBy(*by).orderBy("cell")) - F.col("c"))  # a row per cell
-    want = F.explode(F.flatten(F.array(*[F.array(*[F.struct(F.lit(i).alias("i"), F.lit(float(q)).alias("q"), up(F.lit(float(q)) * (F.col("total") - 1)).cast("long").alias("rank"), F.lit(k).alias("k")) for k, up in enumerate((F.floor, F.ceil))]) for i, q in enumerate(at)])))
+    ranks = lambda q, i: F.array(*[F.struct(i.alias("i"), q.alias("q"), up(q * (F.col("total") - 1)).cast("long").alias("rank"), F.lit(k).alias("k")) for k, up in enumerate((F.floor, F.ceil))])
+    want = F.explode(F.flatten(F.transform(F.array(*[F.lit(float(q)) for q in at]), ranks)))
     asked = sums.select(*by, "cell", "before", "c", "total", want.alias("__want")).where((F.col("__want.rank") >= F.col("before")) & (F.col("__want.rank") < F.col("before") + F.col("c")))
     inside = rows.join(asked.select(*by, "cell", "before").distinct(), [*by, "cell"])
     upto = F.sum("n").over(W.partitionBy(*by, "cell").orderBy("v"))

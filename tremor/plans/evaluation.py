@@ -50,6 +50,39 @@ def sweep(scores: DataFrame, episodes: DataFrame, lead: int, thresholds: list[fl
     return out.select("threshold", run("alerts").alias("alerts"), run("t").alias("true_alerts"), run("f").alias("false_alarms"), run("e").alias("detected"))
 
 
+def lead_frontier(scores: DataFrame, episodes: DataFrame, leads: list[int], thresholds: list[float], floor: float) -> DataFrame:
+    """(lead_blocks, feasible, threshold, best_recall, precision): for each lead, the lowest threshold of best recall above zero with a precision
+    of `floor` or more; null where there is none.
+
+    All leads and thresholds in one pass: alerts meet episodes once, within the longest lead, and are judged for each lead; counts are sums
+    of rank differences as in sweep().
+    """
+    array = F.array(*[F.lit(float(t)) for t in thresholds])
+    rank = lambda c: F.size(F.filter(array, lambda t: t <= c))
+    rows = trailing(scores.select("i", "block", "score"), [], "i", 1, before=lambda w: F.lag("score").over(w))
+    rows = rows.withColumn("lo", rank(F.coalesce("before", F.lit(float("-inf")))) + 1).withColumn("hi", rank(F.col("score"))).where("hi >= lo")
+    each = F.explode(F.array(*[F.lit(h) for h in leads])).alias("lead")
+    edges = saved(rows.select("block", "lo", "hi"))
+    spans = episodes.select("ep", "start_block", "end_block", (F.col("start_block") - max(leads)).alias("first"))
+    met = within_spans(edges.select("block").distinct(), "block", spans, "first", "end_block").select("block", "ep", "start_block", each).where("block >= start_block - lead")
+    early = F.col("block") < F.col("start_block")
+    kinds = met.groupBy("block", "lead").agg(F.min(F.when(early, F.col("ep"))).alias("episode"), F.max(~early).alias("inside"))
+    judged = saved(edges.select("block", "lo", "hi", each).join(kinds, ["block", "lead"], "left"))
+    steps = F.explode(F.array(F.struct(F.col("lo").alias("rank"), F.lit(1).alias("d")), F.struct((F.col("hi") + 1).alias("rank"), F.lit(-1).alias("d"))))
+    false = F.col("episode").isNull() & ~F.coalesce("inside", F.lit(False))
+    counts = judged.select("lead", "episode", "inside", steps.alias("x")).groupBy("lead", "x.rank").agg(F.sum(F.when(F.col("episode").isNotNull(), F.col("x.d"))).alias("t"), F.sum(F.when(false, F.col("x.d"))).alias("f"))
+    found = merge_intervals(judged.where("episode is not null").select("lead", "episode", "lo", "hi"), ["lead", "episode"], "lo", "hi", touch=1)
+    found = found.select("lead", steps.alias("x")).groupBy("lead", "x.rank").agg(F.sum("x.d").alias("e"))
+    points = scores.sparkSession.createDataFrame([(h, i + 1, float(t)) for h in leads for i, t in enumerate(thresholds)], "lead int, rank int, threshold double")
+    w = W.partitionBy("lead").orderBy("rank").rowsBetween(W.unboundedPreceding, 0)  # a row per threshold
+    run = lambda c: F.sum(F.coalesce(F.col(c), F.lit(0))).over(w)
+    out = points.join(counts, ["lead", "rank"], "left").join(found, ["lead", "rank"], "left").select("lead", "threshold", run("t").alias("t"), run("f").alias("f"), run("e").alias("e"))
+    out = out.crossJoin(F.broadcast(episodes.agg(F.count("*").alias("n")))).withColumn("precision", F.col("t") / F.nullif(F.col("t") + F.col("f"), F.lit(0)))  # n is one row
+    good = (F.col("precision") >= floor) & (F.col("e") > 0)
+    best = F.max_by(F.struct("threshold", (F.col("e") / F.col("n")).alias("best_recall"), "precision"), F.when(good, F.struct("e", -F.col("threshold"))))
+    return out.groupBy("lead").agg(best.alias("x")).select(F.col("lead").cast("long").alias("lead_blocks"), F.col("x").isNotNull().alias("feasible"), "x.*")
+
+
 def debounced_sweep(scores: DataFrame, episodes: DataFrame, lead: int, thresholds: list[float], ks: list[int], window: int, pad: int, minutes: float = 0.2) -> DataFrame:
     """(k, threshold, fires, false_alarms, detected, detected_primary, n_leads, mean_lead) for all thresholds and k in one pass.
 

@@ -137,11 +137,16 @@ def recall_at_far(spark, d):
     return s.agg(F.max_by(F.struct("threshold", "detected", "false_alarms", "feasible"), pick).alias("x")).select("x.*")
 
 
-@query(ALL + SWEEP + " select threshold, detected / (select count(*) from eps) as recall from sweep where true_alerts / nullif(true_alerts + false_alarms, 0) >= 0.2 order by recall desc, threshold limit 1")
+LEADS = [500, 1000, 2000, 4000]
+
+
+@query(ALL + SWEEP + f""", hs as (select unnest({LEADS})::bigint as h),
+hk as (select h, threshold, block, (select min(ep) from eps where block >= start_block - h and block < start_block) as episode, exists (select 1 from eps where block between start_block and end_block) as inside from sedges, hs),
+ht as (select h, threshold, count(episode) as t, count(*) filter (where episode is null and not inside) as f, count(distinct episode) as e from hk group by all),
+hb as (select h, threshold, e / (select count(*) from eps) as recall, t / nullif(t + f, 0) as prec, row_number() over (partition by h order by e desc, threshold) as n from ht where t / nullif(t + f, 0) >= 0.2 and e > 0)
+select h as lead_blocks, threshold is not null as feasible, threshold, recall as best_recall, prec as precision from hs left join (select * from hb where n = 1) using (h)""")
 def lead_frontier(spark, d):
-    n = episode_table(spark, d).agg(F.count("*").alias("n"))
-    s = sweep_table(spark, d).where(F.col("true_alerts") / F.nullif(F.col("true_alerts") + F.col("false_alarms"), F.lit(0)) >= 0.2).crossJoin(n)
-    return s.select("threshold", (F.col("detected") / F.col("n")).alias("recall")).orderBy(F.desc("recall"), "threshold").limit(1)
+    return E.lead_frontier(score_table(spark, d), episode_table(spark, d), LEADS, GRID, 0.2)
 
 
 @query(ALL + " select ep, count(k.block) > 0 as detected, max(start_block - k.block) as earliest_lead from eps left join kinds k on k.episode = ep group by ep")
@@ -235,15 +240,25 @@ def cost_timing(spark, d):
     return q.groupBy("ep").agg(F.sum(F.when(early, F.col("amount_usd"))).alias("usd_before"), F.sum(F.when(~early, F.col("amount_usd"))).alias("usd_after"))
 
 
-@query(ALL + ", t as (select ep, block_number, sum(amount_usd) over (partition by ep order by block_number range unbounded preceding) as cum, sum(amount_usd) over (partition by ep) as total from eps join liq on liq.protocol = eps.protocol and block_number between start_block and end_block) select ep, min(block_number) filter (where cum >= 0.5 * total) as half_block, max(total) as usd from t group by ep")
+@query(ALL + """, t as (select ep, block_number, sum(amount_usd) over (partition by ep order by block_number range unbounded preceding) as cum, sum(amount_usd) over (partition by ep) as total from eps join liq on liq.protocol = eps.protocol and block_number between start_block and end_block),
+h as (select ep, min(block_number) filter (where cum >= 0.5 * total) as half_block, max(total) as usd from t group by ep),
+f as (select ep, min(block) as cross_block from eps join fires on block >= start_block - 3000 and block <= end_block group by ep)
+select ep, cross_block, half_block, usd, start_block - cross_block as advance_blocks, cast(round((start_block - cross_block) / 5.0::double) as bigint) as advance_minutes, half_block - cross_block as lead_blocks, cast(round((half_block - cross_block) / 5.0::double) as bigint) as lead_minutes
+from eps join h using (ep) left join f using (ep)""")
 def lead_metrics(spark, d):
+    """How long before an episode's start, and before half its USD, its first debounced alarm fires; null without one."""
     from tremor.sources import adapter as A
 
     e = episode_table(spark, d).select("ep", F.col("protocol").alias("p"), "start_block", "end_block")
     q = intervals.within_spans(A.liquidations(spark, d), "block_number", e, "start_block", "end_block").where("p = protocol")
+    per = q.groupBy("ep", "start_block", "block_number").agg(F.sum("amount_usd").alias("u"))
     w = W.partitionBy("ep")
-    q = q.withColumn("cum", F.sum("amount_usd").over(w.orderBy("block_number").rangeBetween(W.unboundedPreceding, 0))).withColumn("total", F.sum("amount_usd").over(w))
-    return q.groupBy("ep").agg(F.min(F.when(F.col("cum") >= 0.5 * F.col("total"), F.col("block_number"))).alias("half_block"), F.max("total").alias("usd"))
+    per = per.withColumn("cum", F.sum("u").over(w.orderBy("block_number").rowsBetween(W.unboundedPreceding, 0))).withColumn("total", F.sum("u").over(w))
+    half = per.groupBy("ep", "start_block").agg(F.min(F.when(F.col("cum") >= 0.5 * F.col("total"), F.col("block_number"))).alias("half_block"), F.max("total").alias("usd"))
+    out = half.join(first_alarm(spark, d).withColumnRenamed("first_alarm", "cross_block"), "ep", "left")
+    advance, lead = F.col("start_block") - F.col("cross_block"), F.col("half_block") - F.col("cross_block")
+    minutes = lambda c: F.round(c / 5.0).cast("long")  # noqa: E731  blocks of 12 seconds
+    return out.select("ep", "cross_block", "half_block", "usd", advance.alias("advance_blocks"), minutes(advance).alias("advance_minutes"), lead.alias("lead_blocks"), minutes(lead).alias("lead_minutes"))
 
 
 @query(ALL + ", s as (select ep, block_number, amount_usd from eps join liq on liq.protocol = eps.protocol and block_number between start_block and end_block) select e.ep, b.i, coalesce(sum(s.amount_usd), 0) as cum_usd, count(s.ep) as cum_n from eps e join bars b on b.end_block between e.start_block and e.end_block left join s on s.ep = e.ep and s.block_number <= b.end_block group by all")
@@ -266,14 +281,28 @@ def false_alarms_monthly(spark, d):
     return classify_alerts(spark, d).where("kind = 'false'").groupBy(F.trunc(ts.cast("date"), "month").alias("month")).agg(F.count("*").alias("false_alarms"))
 
 
-@query(ALL + """, a as (select block // 50400 as week, count(*) as bars, count(*) filter (where score >= 0.5) / count(*) as alarming from scores group by 1), f as (select block // 50400 as week, count(*) as f from kinds where kind = 'false' group by 1),
-e as (select start_block // 50400 as week, count(*) as e from eps group by 1) select week, bars, alarming, coalesce(f, 0) as false_alarms, coalesce(e, 0) as episodes from a left join f using (week) left join e using (week)""")
+@query(cte("grid") + BARS + SCORES + EVERY + f""", x as (select block // 50400 as week, exists (select 1 from alleps where block >= start_block - {LEAD} and block <= end_block) as hit from edges),
+a as (select block // 50400 as week, count(*) as bars, count(*) filter (where score >= {CUT}) / count(*) as alarming, count(*) * (select bw from grid) / 50400.0::double as weeks from scores group by 1),
+f as (select week, count(*) filter (where not hit) as f from x group by 1), e as (select start_block // 50400 as week, count(*) as e from alleps group by 1),
+w as (select week, weeks, bars, alarming, coalesce(f, 0) as false_alarms, coalesce(e, 0) as labelled, coalesce(e, 0) > 0 as in_sample from a left join f using (week) left join e using (week))
+select week, weeks, bars, alarming, false_alarms, false_alarms / weeks as far_per_week, labelled, in_sample from w
+union all select null, coalesce(sum(weeks), 0), coalesce(sum(bars), 0)::bigint, null, coalesce(sum(false_alarms), 0)::bigint, sum(false_alarms) / sum(weeks), 0, false from w where not in_sample""")
 def far_by_year(spark, d):
-    week = lambda c: F.floor(F.col(c) / 50400).alias("week")  # noqa: E731  the tables span a month, so weeks stand for years
+    """False alarms by period, which is a week as the tables span a month, with those of labelled episodes marked; the last row pools the
+    periods without labels. An alarm is false outside the windows of the episodes of all grid points."""
+    from tremor.sources import adapter as A
+
+    week = lambda c: F.floor(F.col(c) / 50400).alias("week")
+    eps = saved(all_episodes(spark, d).select(F.col("episode_id").alias("ep"), "start_block", "end_block"))
     s = score_table(spark, d).groupBy(week("block")).agg(F.count("*").alias("bars"), (F.count_if(F.col("score") >= CUT) / F.count("*")).alias("alarming"))
-    f = classify_alerts(spark, d).where("kind = 'false'").groupBy(week("block")).agg(F.count("*").alias("f"))
-    e = episode_table(spark, d).groupBy(week("start_block")).agg(F.count("*").alias("e"))
-    return s.join(f, "week", "left").join(e, "week", "left").select("week", "bars", "alarming", F.coalesce("f", F.lit(0)).alias("false_alarms"), F.coalesce("e", F.lit(0)).alias("episodes"))
+    f = E.classify_alerts(edges(spark, d).select("block"), eps, LEAD).where("kind = 'false'").groupBy(week("block")).agg(F.count("*").alias("f"))
+    e = eps.groupBy(week("start_block")).agg(F.count("*").alias("e"))
+    rows = s.join(f, "week", "left").join(e, "week", "left").select("week", (F.col("bars") * A.BAR / 50400.0).alias("weeks"), "bars", "alarming", F.coalesce("f", F.lit(0)).alias("false_alarms"), F.coalesce("e", F.lit(0)).alias("labelled"))
+    rows = saved(rows.withColumn("in_sample", F.col("labelled") > 0))
+    none = lambda t: F.lit(None).cast(t)
+    pooled = rows.where("not in_sample").agg(F.coalesce(F.sum("weeks"), F.lit(0.0)).alias("weeks"), F.coalesce(F.sum("bars"), F.lit(0)).alias("bars"), F.coalesce(F.sum("false_alarms"), F.lit(0)).alias("false_alarms"))
+    pooled = pooled.select(none("long").alias("week"), "weeks", "bars", none("double").alias("alarming"), "false_alarms", F.lit(0).cast("long").alias("labelled"), F.lit(False).alias("in_sample"))
+    return rows.unionByName(pooled).withColumn("far_per_week", F.col("false_alarms") / F.nullif("weeks", F.lit(0.0)))
 
 
 @query(cte("grid") + BARS + SCORES + EVERY + _sweep_sql([CUT], KS) + " select * exclude (threshold) from curve")
@@ -311,24 +340,46 @@ def ewma_rate(spark, d):
     return decayed_history(b, [], "i", "m", -math.log(keep), "r").select("i", (F.col("r") * ((1 - keep) / keep)).alias("score"))
 
 
-@query(ALL + " select ep, start_block, (start_block // 50400) as fold from eps where start_block // 50400 >= 1")
+@query(ALL + """, k as (select block // 50400 as fold, count(*) as n_test from scores group by 1), e as (select start_block // 50400 as fold, count(*) as n_episodes from eps group by 1),
+r as (select fold, fold * 50400 as train_end, coalesce(sum(n_test) over (order by fold rows between unbounded preceding and 1 preceding), 0)::bigint as n_train, n_test from k)
+select fold, train_end, n_train, n_test, coalesce(n_episodes, 0) as n_test_episodes from r left join e using (fold) where n_train > 0""")
 def walk_forward_folds(spark, d):
-    # folds of a week after a seed week; the training set of fold f is all rows with block < f * 50400
-    return episode_table(spark, d).where("start_block >= 50400").select("ep", "start_block", F.floor(F.col("start_block") / 50400).alias("fold"))
+    """Expanding folds of a week after a seed week: all bars before it train, those within it test."""
+    return folds(score_table(spark, d), episode_table(spark, d), 50400)
+
 
+def folds(bars, eps, width):
+    """(fold, train_end, n_train, n_test, n_test_episodes) of bars by `block`. A bar without a block is an error, as it has no fold."""
+    if bars.where("block is null").limit(1).count():
+        raise ValueError("a bar has no block")
+    part = lambda c: F.floor(F.col(c) / width).alias("fold")
+    n = bars.groupBy(part("block")).agg(F.count("*").alias("n_test"))
+    before = F.coalesce(F.sum("n_test").over(W.orderBy("fold").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))  # a row per fold
+    e = eps.groupBy(part("start_block")).agg(F.count("*").alias("n_test_episodes"))
+    n = n.withColumn("n_train", before).where("n_train > 0").join(e, "fold", "left")
+    return n.select("fold", (F.col("fold") * width).alias("train_end"), "n_train", "n_test", F.coalesce("n_test_episodes", F.lit(0)).alias("n_test_episodes"))
 
-@query(ALL + ", h as (select * from (values ('h1', 50000, 60000), ('h2', 100000, 130000)) v(name, lo, hi)) select name, count(*) filter (where block < lo) as n_train, count(*) filter (where block between lo and hi) as n_test from scores, h group by name")
+
+#: Name, end of training, and span of the test, of the named hold-outs.
+HOLDOUTS = [("h1", 40000, 50000, 60000), ("h2", 60000, 80000, 90000), ("h3", 100000, 100000, 130000), ("h4", 150000, 160000, 190000)]
+
+
+@query(ALL + ", h as (select * from (values " + ", ".join(map(str, HOLDOUTS)) + ") v(name, train_end, lo, hi)) select name, count(*) filter (where block < train_end) as n_train, count(*) filter (where block between lo and hi) as n_test, (select count(*) from eps where start_block between lo and hi) as n_episodes from scores, h group by name, lo, hi")
 def episode_holdouts(spark, d):
-    s, out = score_table(spark, d), None
-    for name, lo, hi in (("h1", 50000, 60000), ("h2", 100000, 130000)):
-        one = s.agg(F.count_if(F.col("block") < lo).alias("n_train"), F.count_if(F.col("block").between(lo, hi)).alias("n_test")).select(F.lit(name).alias("name"), "n_train", "n_test")
-        out = one if out is None else out.unionByName(one)
-    return out
+    """Bars of each hold-out's training and test, and its episodes, counted in one pass over bars and one over episodes."""
+    counts = [F.struct(F.lit(n).alias("name"), F.count_if(F.col("block") < end).alias("n_train"), F.count_if(F.col("block").between(lo, hi)).alias("n_test")) for n, end, lo, hi in HOLDOUTS]
+    found = [F.struct(F.lit(n).alias("name"), F.count_if(F.col("start_block").between(lo, hi)).alias("n_episodes")) for n, _, lo, hi in HOLDOUTS]
+    s = score_table(spark, d).agg(F.array(*counts).alias("x")).select(F.explode("x").alias("x")).select("x.*")
+    return s.join(episode_table(spark, d).agg(F.array(*found).alias("x")).select(F.explode("x").alias("x")).select("x.*"), "name")
+
+
+POINTS = [k / 199 for k in range(200)]
 
 
-@query(ALL + " select distinct unnest(quantile_cont(score, [" + ", ".join(str(k / 20) for k in range(21)) + "])) as threshold from scores")
+@query(ALL + " select distinct unnest(quantile_cont(score, [" + ", ".join(map(repr, POINTS)) + "])) as threshold from scores")
 def threshold_grid(spark, d):
-    return percentiles(score_table(spark, d), [], "score", [k / 20 for k in range(21)]).select(F.explode("p").alias("threshold")).distinct()
+    """The distinct ones of 200 quantiles of the score."""
+    return percentiles(score_table(spark, d), [], "score", POINTS).select(F.explode("p").alias("threshold")).distinct()
 
 
 @query(ALL + " select ep, i from (select ep, i, row_number() over (partition by ep order by i) - 1 as n, count(*) over (partition by ep) as c from eps join bars on end_block between start_block_ and end_block_) where c <= 8 or n % cast(ceil(c / 8.0) as bigint) = 0".replace("from eps join bars on", "from (select ep, start_block as start_block_, end_block as end_block_ from eps) e join bars on"))

@@ -17,7 +17,7 @@ from tremor.queries.graph import _NODES
 from tremor.queries.models import CHANNELS, _channel_bars
 from tremor.queries.registry import ORACLE_SQL, once, query
 from tremor.queries.state import STATE, TRIGGER, accounts, led, trigger_legs, trigger_report
-from tremor.queries.streams import FINAL, final_sql, liquidation_stream
+from tremor.queries.streams import FINAL, final_sql, liquidation_stream, stream_score
 from tremor.sources import adapter as A
 from tremor.sources.adapter import cte
 from tremor.streaming import alerts, live
@@ -220,3 +220,12 @@ def stream_catchup(spark, d):
     start, _ = alerts.catch_up_start(0, head, 100000, 50)
     rows = liquidation_stream(spark, d).where((F.col("block_number") >= start) & (F.col("block_number") <= head)).drop("block_number")
     return live.run_to_table(live.scored_bars(rows, 0.05, 0.02, 0.05, 50, *FINAL), "catchup")
+
+
+@query("select s.protocol, n_bars, last_bar, last_score, 0.6::double as threshold, coalesce(n_alerts, 0) as n_alerts, last_alert from (select protocol, count(*) as n_bars, max(bar) as last_bar, arg_max(score, bar) as last_score from (SCORES) group by protocol) s left join (select protocol, count(*) as n_alerts, max(bar) as last_alert from (ALERTS) group by protocol) a using (protocol)".replace("SCORES", ORACLE_SQL["stream_score"]).replace("ALERTS", ORACLE_SQL["stream_alerts"]))
+def monitor_status(spark, d):
+    """Each protocol's state from the tables that the streams write: bars scored, the last one and its score, the threshold, alerts and the last one."""
+    s = stream_score(spark, d).groupBy("protocol").agg(F.count("*").alias("n_bars"), F.max("bar").alias("last_bar"), F.max_by("score", "bar").alias("last_score"))
+    a = stream_alerts(spark, d).groupBy("protocol").agg(F.count("*").alias("n_alerts"), F.max("bar").alias("last_alert"))
+    out = s.join(a, "protocol", "left")
+    return out.select("protocol", "n_bars", "last_bar", "last_score", F.lit(0.6).alias("threshold"), F.coalesce("n_alerts", F.lit(0)).alias("n_alerts"), "last_alert")

@@ -233,10 +233,19 @@ def cluster_table(spark, d):
     return clusters_of(spark, d, A.BAR * 20, 3)
 
 
-@query(cte("grid") + CLUSTERS + " select protocol, start_block, end_block, n, row_number() over (partition by protocol order by start_block desc) as newest from clusters")
+@query(cte("liq") + f""", r as (select protocol, min(block_number) as start_block, max(block_number) as last_block, count(*) as n from (select *, sum(case when p is null or block_number - p > {A.BAR * 20} then 1 else 0 end) over (partition by protocol order by block_number range unbounded preceding) as g
+from (select protocol, block_number, lag(block_number) over (partition by protocol order by block_number) as p from liq)) group by protocol, g),
+o as (select *, last_block = max(last_block) over (partition by protocol) and last_block + {A.BAR * 20} >= (select max(block_number) from ev) as ongoing from r)
+select protocol, start_block, last_block, ongoing, n, row_number() over (partition by protocol order by start_block desc) as newest from o where ongoing or n >= 3""")
 def cascade_list(spark, d):
-    c = cluster_table(spark, d)
-    return c.select("protocol", "start_block", "end_block", "n", F.row_number().over(W.partitionBy("protocol").orderBy(F.desc("start_block"))).cast("long").alias("newest"))
+    """Closed clusters of three events or more and, while the head is near it, a protocol's open one, newest first."""
+    gap = A.BAR * 20
+    head = A.events(spark, d).agg(F.max("block_number").alias("head"))
+    c = clusters_of(spark, d, gap, 1)
+    c = c.withColumn("latest", F.max("end_block").over(W.partitionBy("protocol"))).crossJoin(F.broadcast(head))  # head is one row
+    c = c.withColumn("ongoing", (F.col("end_block") == F.col("latest")) & (F.col("end_block") + gap >= F.col("head"))).where("ongoing or n >= 3")
+    newest = F.row_number().over(W.partitionBy("protocol").orderBy(F.desc("start_block"))).cast("long")
+    return c.select("protocol", "start_block", F.col("end_block").alias("last_block"), "ongoing", "n", newest.alias("newest"))
 
 
 @query(cte("grid") + _EPISODES + BARS + " select e.protocol, e.start_block as episode, b.i, b.n_liquidations from episodes e join bars b on b.end_block >= e.start_block - 100 and b.start_block <= e.end_block + 100")

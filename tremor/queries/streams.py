@@ -86,12 +86,6 @@ def cluster_alert_tags(spark, d):
     return c.select("protocol", "start_block").join(hit, ["protocol", "start_block"], "left").select("protocol", "start_block", F.col("first_alert").isNotNull().alias("early_warned"), "first_alert", (F.col("start_block") - F.col("first_alert")).alias("lead_blocks"))
 
 
-@query(cte("liq") + " select protocol, max(block_number) as last_block, count(*) as n_events, max_by(amount_usd, block_number * 1000000 + log_index) as last_usd from liq group by protocol")
-def monitor_status(spark, d):
-    at = F.col("block_number") * 1000000 + F.col("log_index")
-    return A.liquidations(spark, d).groupBy("protocol").agg(F.max("block_number").alias("last_block"), F.count("*").alias("n_events"), F.max_by("amount_usd", at).alias("last_usd"))
-
-
 RANGE = 20_000
 
 
