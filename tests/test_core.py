@@ -320,20 +320,36 @@ def test_auprc_of_each_key(spark):
     assert math.isclose(got["a"][0], (1 + 2 / 3) / 2) and got["a"][1:] == (2, 3) and got["b"] == (None, 0, 1)
 
 
+def test_fits_of_folds_side_by_side(spark):
+    """Each fold's fit is that of a fit of its own bars alone, and its bars are scored by it."""
+    rng = np.random.default_rng(8)
+    counts, r = [], 0.0
+    for _ in range(900):
+        k = int(rng.poisson(0.1 + 0.15 * r))
+        counts.append(k)
+        r = math.exp(-0.5) * (r + k)
+    bars = spark.createDataFrame([(i, i // 300, i + 1, k) for i, k in enumerate(counts)], "i long, fold int, end_block long, n_liquidations long")
+    events = bars.where("n_liquidations > 0").select("i", F.col("n_liquidations").cast("double").alias("m"), "fold")
+    fits = hawkes.fit_folds(events, {1: 300, 2: 600}, 40)
+    one = hawkes.fit(bars.where("fold < 2"), steps=30)
+    assert fits[1]["still"] and fits[2]["still"] and abs(fits[2]["nll"] - one["nll"]) < 1e-3 and math.isclose(fits[2]["beta"], one["beta"], rel_tol=0.02)
+    got = {x.i: x.score for x in hawkes.scored_folds(bars, fits).collect()}
+    assert set(got) == set(range(300, 900))
+    for f, m in fits.items():
+        r = 0.0
+        for i, k in enumerate(counts):
+            if i // 300 == f:
+                assert math.isclose(got[i], m["alpha"] * r / (m["mu"] + m["alpha"] * r), rel_tol=1e-9, abs_tol=1e-12)
+            r = math.exp(-m["beta"]) * (r + k)
+    assert hawkes.scored_folds(bars, {}).collect() == [] and hawkes.fit_folds(events, {}) == {}
+
+
 def test_out_of_fold_scores_and_calibration(spark):
-    """Scores of a week come from the fit of the weeks before; the chosen threshold is the best of a plain sweep."""
+    """The first week has no scores; the chosen threshold is one of the sweep's."""
     sf = "/root/testdata/sf0.001"
     s = {r.i: r for r in QUERIES["oof_scores"](spark, sf).collect()}
     folds = sorted({r.fold for r in s.values()})
     assert all((r.score is None) == (r.fold == folds[0]) for r in s.values()) and all(0 <= r.score < 1 for r in s.values() if r.score is not None)
-    b = {r.i: r for r in bar_table(spark, sf).collect()}
-    fold = folds[-1]
-    m = hawkes.fit(spark.createDataFrame([(i, r.n_liquidations) for i, r in b.items() if s[i].fold < fold], "i long, n_liquidations long"), steps=6)
-    r = 0.0
-    for i in sorted(b):
-        if s[i].fold == fold:
-            assert math.isclose(s[i].score, m["alpha"] * r / (m["mu"] + m["alpha"] * r) if r else 0.0, rel_tol=1e-3, abs_tol=1e-6)
-        r = math.exp(-m["beta"]) * (r + b[i].n_liquidations)
     best = QUERIES["calibrate"](spark, sf).first()
     assert best.threshold is not None and 0 <= best.alarming <= 1
 

@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tremor.operators.recurrence import decayed_history
+from tremor.sources.shared import saved
 
 
 def marks(bars: DataFrame, weight: float = 0.5) -> DataFrame:
@@ -84,6 +85,86 @@ def fit(bars: DataFrame, mark: str = "n_liquidations", steps: int = 25) -> dict:
     return {"mu": mu, "alpha": alpha, "beta": beta, "nll": float(y), "branching": alpha * math.exp(-beta) / (1 - math.exp(-beta)), "n_bars": n_bars}
 
 
+def fold_terms(events: DataFrame, points: list[tuple], last: int) -> dict[int, tuple[float, np.ndarray]]:
+    """fold -> (NLL, its gradient by mu, alpha and beta) at points (fold, n_bars, mu, alpha, beta), each over the event bars (i, m, fold) before its fold: one job."""
+    spark = events.sparkSession
+    at = spark.createDataFrame(points, "f int, n_bars double, mu double, alpha double, beta double")  # a row a fold
+    least = min(p[4] for p in points)
+    rows = events.select("i", "m", F.explode(F.sequence(F.col("fold") + 1, F.lit(last))).alias("f")).join(F.broadcast(at), "f")
+    beta, m, i = F.col("beta"), F.col("m"), F.col("i")
+    rows = decayed_history(rows, ["f"], "i", "m", beta, "r", least=least)
+    rows = decayed_history(rows.withColumn("im", m * i), ["f"], "i", "im", beta, "s", least=least)
+    d, g = F.exp(-beta), F.col("n_bars") - 1 - i
+    dg, q, lam = F.exp(-beta * g), i * F.col("r") - F.col("s"), F.col("mu") + F.col("alpha") * F.col("r")
+    sums = {"sr": m * d * (1 - dg) / (1 - d), "sq": m * (d * (1 - dg) / (1 - d) ** 2 - g * d * dg / (1 - d)), "ll": m * F.log(lam), "a": m / lam, "b": m * F.col("r") / lam, "c": m * q / lam}
+    got = {r.f: r for r in rows.groupBy("f").agg(*[F.sum(x).alias(n) for n, x in sums.items()]).collect()}
+    out = {}
+    for f, n, mu, alpha, _ in points:
+        r = got.get(f)
+        sr, sq, ll, a, b, c = (getattr(r, n) for n in sums) if r else (0.0,) * 6
+        out[f] = (mu * n + alpha * sr - ll, np.array([n - a, sr - b, alpha * (c - sq)]))
+    return out
+
+
+def fit_folds(events: DataFrame, bars_before: dict[int, int], evaluations: int = 80) -> dict[int, dict]:
+    """fold -> mu, alpha, beta, nll and whether the fit stands still, of least NLL over the bars before each fold (as fit(), within [-25, 5] in
+    log space). events: i, m, fold of the bars that hold events; bars_before: how many bars lie before each fold.
+
+    All folds are fitted side by side: BFGS of each has its own step and line search, and each job evaluates the next point of all that
+    aren't done, so there are as many jobs as the slowest fit has points. A fold's sums come from the same rows as those of later ones.
+    """
+    events = saved(events)
+    totals = {r.fold: r.s for r in events.groupBy("fold").agg(F.sum("m").alias("s")).collect()}  # a row a fold
+    last, todo, out = max(bars_before, default=0), {}, {}
+    for f, n in bars_before.items():
+        total = float(sum(s for k, s in totals.items() if k < f))
+        x = np.log(np.array([max(0.5 * total / max(n, 1), 1e-9), 0.02, 0.05]))
+        todo[f] = {"n": float(n), "total": total, "x": x, "try": x, "h": None, "t": 1.0}
+    for _ in range(evaluations):
+        if not todo:
+            break
+        points = [(f, w["n"], *map(float, np.exp(np.clip(w["try"], -25, 5)))) for f, w in todo.items()]
+        for (f, (y, grad)), point in zip(fold_terms(events, points, last).items(), points):
+            w, g = todo[f], grad * np.array(point[2:])
+            if w["h"] is None:
+                w |= {"y": y, "g": g, "h": np.eye(3) / max(np.abs(g).max(), 1e-9)}
+            elif math.isfinite(y) and y <= w["y"] + 1e-4 * w["t"] * w["g"] @ w["step"]:
+                s, d = w["try"] - w["x"], g - w["g"]
+                if s @ d > 1e-12:
+                    a = np.eye(3) - np.outer(s, d) / (s @ d)
+                    w["h"] = a @ w["h"] @ a.T + np.outer(s, s) / (s @ d)
+                w |= {"x": w["try"], "y": y, "g": g, "t": 1.0}
+            else:
+                w["t"] /= 2
+            if w["t"] == 1.0:
+                step = -w["h"] @ w["g"]
+                w["step"] = step * min(1.0, 2.0 / max(np.abs(step).max(), 1e-12))
+            still = np.abs(w["g"]).max() < 1e-5 * max(1.0, w["total"])
+            if still or w["t"] < 1e-4:
+                out[f] = _fitted(todo.pop(f), True)
+            else:
+                w["try"] = w["x"] + w["t"] * w["step"]
+    return out | {f: _fitted(w, False) for f, w in todo.items()}
+
+
+def _fitted(w: dict, still: bool) -> dict:
+    mu, alpha, beta = (float(v) for v in np.exp(np.clip(w["x"], -25, 5)))
+    return {"mu": mu, "alpha": alpha, "beta": beta, "nll": float(w["y"]), "still": still}
+
+
+def scored_folds(bars: DataFrame, fits: dict[int, dict]) -> DataFrame:
+    """(i, fold, end_block, r, score) of the bars of each fitted fold, by its own fit over all bars up to its end: one pass for all folds. bars: i, fold,
+    end_block, n_liquidations."""
+    if not fits:
+        return bars.select("i", "fold", "end_block", F.lit(None).cast("double").alias("r"), F.lit(None).cast("double").alias("score")).limit(0)
+    at = bars.sparkSession.createDataFrame([(f, m["mu"], m["alpha"], m["beta"]) for f, m in fits.items()], "f int, mu double, alpha double, beta double")  # a row a fold
+    kept = (F.col("n_liquidations") > 0) | (F.col("f") == F.col("fold"))  # quiet bars of earlier folds add nothing
+    rows = bars.withColumn("f", F.explode(F.sequence(F.col("fold").cast("int"), F.lit(max(fits))))).where(kept).join(F.broadcast(at), "f")
+    rows = decayed_history(rows.withColumn("m", F.col("n_liquidations").cast("double")), ["f"], "i", "m", F.col("beta"), "r", least=min(m["beta"] for m in fits.values()))
+    up = F.col("alpha") * F.col("r")
+    return rows.where("f = fold").select("i", "fold", "end_block", "r", (up / (F.col("mu") + up)).alias("score"))
+
+
 def residuals(rows: DataFrame, seed: int) -> DataFrame:
     """rows (i, lam, n_liquidations) with u: uniform if counts are Poisson of mean lam, between the distribution function below and at
     the count by a hash of (seed, i), so that reruns agree. The function is a finite sum of terms lam^k / k! exp(-lam)."""
