@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tremor.functions import exact, interest
 from tremor.operators.asof import asof_join as asof
 from tremor.operators.asof import merged_series
+from tremor.operators.bars import percentiles
 from tremor.operators.filters import same_block_earlier, without_dust
 from tremor.operators.intervals import running
 from tremor.plans import state as S
@@ -245,12 +246,23 @@ def index_asof(spark, d):
     return r.select("block_number", "log_index", x.alias("index"), (x * interest.linear(F.col("rate"), t)).alias("linear_index"), (x * interest.compounded(F.col("rate"), t)).alias("compounded_index"))
 
 
-@query(cte("liq") + """, e as (select "user", asset, block_number, max(event_id) as event_id from ev where event_type in ('Deposit', 'Borrow') group by all), j as (select l.debt_asset, (l.block_number - e.block_number) * 12 / 86400.0::double as days from liq l asof join e on l."user" = e."user" and l.debt_asset = e.asset and l.block_number > e.block_number) select debt_asset, count(*) as n, avg(days) as mean_days, median(days) as median_days, max(days) as max_days from j group by all""")
+@query(cte("liq", "idx") + """, e as (select "user", asset, block_number, max(event_id) as event_id from ev where event_type in ('Deposit', 'Borrow') group by all),
+j as (select l.debt_asset, l.block_number as late, e.block_number as early from liq l asof join e on l."user" = e."user" and l.debt_asset = e.asset and l.block_number > e.block_number),
+g as (select j.debt_asset, (late - early) * 12 / 86400.0::double as days, x.liquidity_index / y.liquidity_index - 1 as growth from j asof left join idx x on j.debt_asset = x.reserve and j.late >= x.block_number asof left join idx y on j.debt_asset = y.reserve and j.early >= y.block_number)
+select debt_asset, count(*) as n, avg(days) as mean_days, median(days) as median_days, max(days) as max_days, count(growth) as n_growth, avg(growth) as mean_growth, median(growth) as median_growth, max(growth) as max_growth from g group by all""")
 def last_event_before(spark, d):
+    """How long before a liquidation its user last deposited or borrowed the reserve, and how much the reserve's index grew in between."""
     e = A.events(spark, d).where("event_type in ('Deposit', 'Borrow')").select("user", F.col("asset").alias("debt_asset"), "block_number", "event_id")
     r = asof(A.liquidations(spark, d).select("user", "debt_asset", "block_number"), e, ["user", "debt_asset"], "block_number", ["event_id"], strict=True).where("event_id is not null")
-    days = (F.col("block_number") - F.col("block_number_r")) * 12 / 86400.0
-    return r.groupBy("debt_asset").agg(F.count("*").alias("n"), F.avg(days).alias("mean_days"), F.percentile(days, 0.5).alias("median_days"), F.max(days).alias("max_days"))
+    index = A.reserve_index(spark, d).select(F.col("reserve").alias("debt_asset"), "block_number", "liquidity_index")
+    r = asof(r.drop("event_id").withColumnRenamed("block_number_r", "early"), index, ["debt_asset"], "block_number", ["liquidity_index"])
+    r = r.select("debt_asset", ((F.col("block_number") - F.col("early")) * 12 / 86400.0).alias("days"), F.col("early").alias("block_number"), F.col("liquidity_index").alias("late_index"))
+    r = asof(r, index, ["debt_asset"], "block_number", ["liquidity_index"])
+    r = saved(r.select("debt_asset", "days", (F.col("late_index") / F.col("liquidity_index") - 1).alias("growth")))
+    out = r.groupBy("debt_asset").agg(F.count("*").alias("n"), F.avg("days").alias("mean_days"), F.max("days").alias("max_days"), F.count("growth").alias("n_growth"), F.avg("growth").alias("mean_growth"), F.max("growth").alias("max_growth"))
+    for c in ("days", "growth"):
+        out = out.join(percentiles(r, ["debt_asset"], c, [0.5]).select("debt_asset", F.col("p")[0].alias(f"median_{c}")), "debt_asset", "left")
+    return out
 
 
 @query(STATE + """ select "user", collateral_usd, debt_usd, hf, fully_covered, historical_reliable from hf""")
