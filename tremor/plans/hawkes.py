@@ -90,7 +90,7 @@ def fold_terms(events: DataFrame, points: list[tuple], last: int) -> dict[int, t
     spark = events.sparkSession
     at = spark.createDataFrame(points, "f int, n_bars double, mu double, alpha double, beta double")  # a row a fold
     least = min(p[4] for p in points)
-    rows = events.select("i", "m", F.explode(F.sequence(F.col("fold") + 1, F.lit(last))).alias("f")).join(F.broadcast(at), "f")
+    rows = events.where(F.col("fold") < last).select("i", "m", F.explode(F.sequence(F.col("fold") + 1, F.lit(last))).alias("f")).join(F.broadcast(at), "f")
     beta, m, i = F.col("beta"), F.col("m"), F.col("i")
     rows = decayed_history(rows, ["f"], "i", "m", beta, "r", least=least)
     rows = decayed_history(rows.withColumn("im", m * i), ["f"], "i", "im", beta, "s", least=least)
@@ -159,7 +159,7 @@ def scored_folds(bars: DataFrame, fits: dict[int, dict]) -> DataFrame:
         return bars.select("i", "fold", "end_block", F.lit(None).cast("double").alias("r"), F.lit(None).cast("double").alias("score")).limit(0)
     at = bars.sparkSession.createDataFrame([(f, m["mu"], m["alpha"], m["beta"]) for f, m in fits.items()], "f int, mu double, alpha double, beta double")  # a row a fold
     kept = (F.col("n_liquidations") > 0) | (F.col("f") == F.col("fold"))  # quiet bars of earlier folds add nothing
-    rows = bars.withColumn("f", F.explode(F.sequence(F.col("fold").cast("int"), F.lit(max(fits))))).where(kept).join(F.broadcast(at), "f")
+    rows = bars.where(F.col("fold") <= max(fits)).withColumn("f", F.explode(F.sequence(F.col("fold").cast("int"), F.lit(max(fits))))).where(kept).join(F.broadcast(at), "f")
     rows = decayed_history(rows.withColumn("m", F.col("n_liquidations").cast("double")), ["f"], "i", "m", F.col("beta"), "r", least=min(m["beta"] for m in fits.values()))
     up = F.col("alpha") * F.col("r")
     return rows.where("f = fold").select("i", "fold", "end_block", "r", (up / (F.col("mu") + up)).alias("score"))
