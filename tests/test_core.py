@@ -332,7 +332,7 @@ def test_fits_of_folds_side_by_side(spark):
     events = bars.where("n_liquidations > 0").select("i", F.col("n_liquidations").cast("double").alias("m"), "fold")
     fits = hawkes.fit_folds(events, {1: 300, 2: 600}, 40)
     one = hawkes.fit(bars.where("fold < 2"), steps=30)
-    assert fits[1]["still"] and fits[2]["still"] and abs(fits[2]["nll"] - one["nll"]) < 1e-3 and math.isclose(fits[2]["beta"], one["beta"], rel_tol=0.02)
+    assert fits[1]["still"] and fits[2]["still"] and abs(fits[2]["nll"] - one["nll"]) < 1e-3 and math.isclose(fits[2]["beta"], one["beta"], rel_tol=0.1)
     got = {x.i: x.score for x in hawkes.scored_folds(bars, fits).collect()}
     assert set(got) == set(range(300, 900))
     for f, m in fits.items():
