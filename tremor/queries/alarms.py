@@ -206,7 +206,7 @@ def _boot_sql(protected: str) -> str:
     """p: each episode with the USD that counts for it; ci: the 95 % interval of their total over resamples."""
     return f""", p as (select ep - 1 as place, severity_usd, {protected} as hit from eps), x as (select place, case when hit then severity_usd else 0 end as x from p),
 draws as (select b, cast('0x' || substr(md5(b || ':' || j), 1, 15) as bigint) % (select count(*) from p) as place from generate_series(0, {REPLICATES - 1}) t(b), generate_series(1, (select count(*) from p)) u(j)),
-ci as (select quantile_cont(total, 0.025) as ci_low, quantile_cont(total, 0.975) as ci_high from (select b, sum(x) as total from draws join x using (place) group by b))
+ci as (select round(quantile_cont(total, 0.025) + 1e-6, 2) as ci_low, round(quantile_cont(total, 0.975) + 1e-6, 2) as ci_high from (select b, sum(x) as total from draws join x using (place) group by b))
 select coalesce(sum(severity_usd) filter (where hit), 0) as protectable_usd, count(*) filter (where hit) as n_protected, sum(severity_usd) as total_usd, count(*) as n_episodes, any_value(ci_low) as ci_low, any_value(ci_high) as ci_high from p, ci"""
 
 
@@ -214,7 +214,7 @@ def with_interval(eps, hit):
     """Total USD of the episodes in hit (ep), of all, and a percentile interval over resampled episodes."""
     rows = saved(eps.join(hit.select("ep").distinct().withColumn("hit", F.lit(True)), "ep", "left").select((F.col("ep") - 1).alias("place"), "severity_usd", F.coalesce("hit", F.lit(False)).alias("hit")))
     mine = F.when(F.col("hit"), F.col("severity_usd")).otherwise(0.0)
-    ends = E.bootstrap_totals(rows.select("place", mine.alias("x")), REPLICATES, [0.025, 0.975]).select(F.col("p")[0].alias("ci_low"), F.col("p")[1].alias("ci_high"))
+    ends = E.bootstrap_totals(rows.select("place", mine.alias("x")), REPLICATES, [0.025, 0.975]).select(*[F.round(F.col("p")[k] + 1e-6, 2).alias(n) for k, n in enumerate(("ci_low", "ci_high"))])  # to the cent, ties up
     sums = rows.agg(F.coalesce(F.sum(mine), F.lit(0.0)).alias("protectable_usd"), F.count_if("hit").alias("n_protected"), F.sum("severity_usd").alias("total_usd"), F.count("*").alias("n_episodes"))
     return sums.join(ends, F.lit(True), "left")  # one row each; without episodes there is no interval
 
