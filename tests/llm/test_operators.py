@@ -8,6 +8,7 @@ from collections import Counter
 from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -191,6 +192,21 @@ def test_lm_score_of_a_filter_in_a_table(spark):
     assert lmscore.score(d.limit(0), sent_log2=0).collect() == []
 
 
+def test_what_a_table_filter_shuffles_is_small(spark, monkeypatch):
+    """Texts travel packed, in chunks of bounded size that hold every row once, and n-grams as four bytes."""
+    monkeypatch.setattr(lmscore, "CHUNK", 20_000)
+    rng = np.random.default_rng(3)
+    rows = [(i, " ".join(f"w{k}" for k in rng.zipf(1.4, 400) if k < 3000), "en", "s") for i in range(60)] + [(7, "the same row " * 40, "en", "s")] * 300 + [(None, None, None, None), (61, "long " * 9000, "en", "s")]
+    chunks = lmscore.with_chunks(docs(spark, rows).select("doc_id", "text").repartition(2)).collect()
+    parts = [lmscore.unpacked(pa.table({"texts": pa.array([bytes(r.texts)], pa.binary())})).to_pylist() for r in chunks]
+    assert Counter((r["doc_id"], r["text"]) for x in parts for r in x) == Counter((i, t) for i, t, _, _ in rows)
+    assert len({r.chunk for r in chunks}) == len(chunks) and all(len(x) == 1 or sum(len(r["text"] or "") for r in x) <= 20_000 for x in parts)
+    assert sum(len(r.texts) for r in chunks) < 0.5 * sum(len(t or "") for _, t, _, _ in rows)
+    ids = np.unique(rng.integers(-(1 << 57), 1 << 57, 3000)) << 6
+    held = lmscore.segment_rows(spark.createDataFrame([(int(i), 1) for i in ids], "id long, n long"), 10)
+    assert sum(len(r.ids) for r in held.collect()) == 4 * len(ids)
+
+
 def test_token_ids_tell_tokens_apart():
     texts = ["a b ab a", "aaaaaaaab aaaaaaaaab " + "ab" * 300 + " " + "ba" * 300, "", " \t", "Abcdefgh abcdefgh é É abcdefghabcdefgi abcdefgiabcdefgh", "x" * 8 + " " + "x" * 16]
     data = np.frombuffer("".join(texts).encode(), np.uint8)

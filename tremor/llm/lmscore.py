@@ -12,15 +12,16 @@ from tremor.llm.langid import text_chunks
 
 #: Bits of the filter for each member at least, and the least log2 of its bits; it has no largest size.
 BITS_A_MEMBER, LEAST_LOG2 = 8, 22
-#: A filter of up to 2**29 bits, 64 MB, is sent to each worker; of a larger one, the segments stay in a table.
-SENT_LOG2 = 29
+#: A filter of up to 2**26 bits, 8 MB, is sent to each worker; of a larger one, the segments stay in a table.
+SENT_LOG2 = 26
 #: The filter is made in 2**CUT segments at least, each of the n-grams whose ids begin with its number; more if they would
 #: have over 2**SEGMENT_LOG2 bits. In the table, up to 2**RUN_LOG2 neighbours are probed together.
 CUT, SEGMENT_LOG2, RUN_LOG2 = 10, 22, 5
+#: Bytes of an id that the filter knows beside its segment. A segment has half a million members at most, so another id of
+#: the same bytes is there with a probability of 1.3e-4, far below that of the filter's own false hits.
+WIDTH = 4
 #: Bytes of texts that look up their n-grams together.
 CHUNK = 1 << 22
-#: Repeats of a row within so many rows of a file lie in one chunk.
-ROWS = 64
 SEGMENT_COUNTS = "segment int, ids binary, counts binary"
 #: A count c is held as the number of steps 1, 2, 3, 4, 6, 8, 12, 16 .. up to c: a member for each level up to its own.
 STEPS = np.array([1] + [s << k for k in range(40) for s in (2, 3)], np.int64)
@@ -125,17 +126,17 @@ def _unigrams(training: DataFrame) -> DataFrame:
     return training.select("text").mapInArrow(run, "id long, n long")
 
 
-def low_bytes(ids: np.ndarray, known: int = CUT) -> bytes:
-    """Ids without their first `known` bits, 6 bytes each."""
-    rest = ((ids.view(np.uint64) << np.uint64(known)) >> np.uint64(16)).astype("<u8")
-    return rest.view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+def low_bytes(ids: np.ndarray, known: int = CUT, width: int = 6) -> bytes:
+    """Ids without their first `known` bits, the next `width` bytes of each."""
+    rest = ((ids.view(np.uint64) << np.uint64(known)) >> np.uint64(64 - 8 * width)).astype("<u8")
+    return rest.view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
 
 
-def from_low_bytes(data: bytes, first, known: int = CUT) -> np.ndarray:
-    """Ids from low_bytes() and their first `known` bits."""
-    raw = np.zeros((len(data) // 6, 8), np.uint8)
-    raw[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
-    rest = (raw.reshape(-1).view("<u8") << np.uint64(16)) >> np.uint64(known)
+def from_low_bytes(data: bytes, first, known: int = CUT, width: int = 6) -> np.ndarray:
+    """Ids from low_bytes() and their first `known` bits; bits that it left out are 0."""
+    raw = np.zeros((len(data) // width, 8), np.uint8)
+    raw[:, :width] = np.frombuffer(data, np.uint8).reshape(-1, width)
+    rest = (raw.reshape(-1).view("<u8") << np.uint64(64 - 8 * width)) >> np.uint64(known)
     return (rest | (np.asarray(first).astype(np.uint64) << np.uint64(64 - known))).view(np.int64)
 
 
@@ -147,7 +148,7 @@ def by_segment(pieces, cut: int):
         ends = [*cuts[1:], len(segs)]
         yield pa.RecordBatch.from_pydict({
             "segment": segs[cuts].astype(np.int32),
-            "ids": pa.array([low_bytes(ids[a:b], cut) for a, b in zip(cuts, ends)], pa.binary()),
+            "ids": pa.array([low_bytes(ids[a:b], cut, WIDTH) for a, b in zip(cuts, ends)], pa.binary()),
             "counts": pa.array([n[a:b].astype("<u4").tobytes() for a, b in zip(cuts, ends)], pa.binary()),
         })
 
@@ -184,11 +185,13 @@ def filter_log2(members: int) -> int:
 
 
 def _bits(ids: np.ndarray, j, log2: int, cut: int) -> list[np.ndarray]:
-    """Two places of each id's level j within the filter of 2**log2 bits, both in the id's segment."""
+    """Two places of each id's level j within the filter of 2**log2 bits, both in the id's segment. Of the id, its first
+    cut bits and the next WIDTH bytes count."""
+    ids = ids.view(np.uint64) & np.uint64((1 << 64) - (1 << max(0, 64 - cut - 8 * WIDTH)))
     with np.errstate(over="ignore"):
-        h = _mix(ids.view(np.uint64) + np.uint64(j) * _ODD)
+        h = _mix(ids + np.uint64(j) * _ODD)
     inner = np.uint64(log2 - cut)
-    base = (ids.view(np.uint64) >> np.uint64(64 - cut)) << inner
+    base = (ids >> np.uint64(64 - cut)) << inner
     mask = (np.uint64(1) << inner) - np.uint64(1)
     return [base | (h & mask), base | ((h >> np.uint64(32)) & mask)]
 
@@ -216,7 +219,7 @@ def build_segments(counts: DataFrame, log2: int, cut: int = CUT) -> DataFrame:
                     yield made(last, held)
                     held = []
                 last = s
-                ids = from_low_bytes(x.as_py(), s, cut)
+                ids = from_low_bytes(x.as_py(), s, cut, WIDTH)
                 held.append((ids, np.frombuffer(n.as_py(), "<u4").astype(np.int64)))
                 if len(held) > 64:
                     held = [summed(held)]
@@ -285,11 +288,23 @@ def _inside(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def with_chunks(docs: DataFrame) -> DataFrame:
-    """The rows of docs with a chunk of about CHUNK bytes each, by a hash of the row and of the run of ROWS rows that it is read in: repeats of
-    a row are dealt over chunks, too. Files are cut the same way whenever they are read in a query, so the chunks are."""
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    run = F.floor(F.monotonically_increasing_id() / ROWS)
-    return docs.withColumn("run", run).withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text", "run"), F.lit(size // CHUNK + 1))).drop("run")
+    """(chunk, texts): the rows of docs in the order in which they are read, about CHUNK bytes of texts packed into one compressed
+    value. Files are cut the same way whenever they are read in a query, so the chunks are."""
+
+    def pack(batches):
+        for batch in batches:
+            for i, _, _, lengths in text_chunks(batch.column("text"), CHUNK):
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                    out.write_batch(batch.slice(i, len(lengths)))
+                yield pa.RecordBatch.from_pydict({"texts": pa.array([sink.getvalue().to_pybytes()], pa.binary())})
+
+    return docs.mapInArrow(pack, "texts binary").withColumn("chunk", F.monotonically_increasing_id())
+
+
+def unpacked(table: pa.Table) -> pa.Table:
+    """The rows of docs in one chunk of with_chunks()."""
+    return pa.ipc.open_stream(table.column("texts")[0].as_buffer()).read_all()
 
 
 def chunk_ids(table: pa.Table, known: np.ndarray) -> np.ndarray:
@@ -302,7 +317,7 @@ def probes(texts: DataFrame, cut: int, shared) -> DataFrame:
     place of each one's segment in the run, and low_bytes(). Words of the head, the broadcast's first array, aren't looked up."""
 
     def asked(table: pa.Table) -> pa.Table:
-        ids = chunk_ids(table, shared.value[0])
+        ids = chunk_ids(unpacked(table), shared.value[0])
         segs = (ids >> np.uint64(64 - cut)).astype(np.int64)
         cuts = np.flatnonzero(np.diff(segs >> RUN_LOG2, prepend=-1))
         spans = list(zip(cuts, [*cuts[1:], len(ids)]))
@@ -310,7 +325,7 @@ def probes(texts: DataFrame, cut: int, shared) -> DataFrame:
             "chunk": pa.array([table.column("chunk")[0].as_py()] * len(spans), pa.int64()),
             "run": (segs[cuts] >> RUN_LOG2).astype(np.int32),
             "segments": pa.array([(segs[a:b] % (1 << RUN_LOG2)).astype(np.uint8).tobytes() for a, b in spans], pa.binary()),
-            "ids": pa.array([low_bytes(ids[a:b], cut) for a, b in spans], pa.binary()),
+            "ids": pa.array([low_bytes(ids[a:b], cut, WIDTH) for a, b in spans], pa.binary()),
         })
 
     return texts.groupBy("chunk").applyInArrow(asked, "chunk long, run int, segments binary, ids binary")
@@ -327,7 +342,7 @@ def answers(asked: DataFrame, segments: DataFrame, log2: int, cut: int) -> DataF
             k = s % (1 << RUN_LOG2)
             bits[k * size : (k + 1) * size] = np.frombuffer(x.as_py(), np.uint8)
         for r, k, x in zip(runs, left.column("segments"), left.column("ids")):
-            ids = from_low_bytes(x.as_py(), np.frombuffer(k.as_py(), np.uint8).astype(np.int64) + (r << RUN_LOG2), cut)
+            ids = from_low_bytes(x.as_py(), np.frombuffer(k.as_py(), np.uint8).astype(np.int64) + (r << RUN_LOG2), cut, WIDTH)
             out.append(probe(bits, log2, ids, cut, (r * 8 * size) << RUN_LOG2).astype(np.uint8).tobytes())
         return pa.table({"chunk": pa.array(left.column("chunk").to_pylist(), pa.int64()), "run": pa.array(runs, pa.int32()), "levels": pa.array(out, pa.binary())})
 
@@ -428,11 +443,11 @@ def score(documents: DataFrame, head: int = HEAD, sent_log2: int = SENT_LOG2) ->
             yield pa.RecordBatch.from_pydict(scored(batch, lambda ids: probe(flt, log2, ids, cut)))
 
     def joined_up(left: pa.Table, right: pa.Table) -> pa.Table:
-        ids = chunk_ids(left, shared.value[0])
+        batch = unpacked(left).combine_chunks().to_batches()[0]
+        ids = chunk_ids(pa.Table.from_batches([batch]), shared.value[0])
         order = np.argsort(np.asarray(right.column("run")))
         levels = right.column("levels").to_pylist()
         lev = np.frombuffer(b"".join(levels[k] for k in order), np.uint8).astype(np.int64)
-        batch = left.combine_chunks().to_batches()[0]
         return pa.table(scored(batch, lambda x: lev[np.searchsorted(ids, x.view(np.uint64))], step=1 << 40))
 
     kind = dict(documents.dtypes)["doc_id"]
