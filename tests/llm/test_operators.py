@@ -462,6 +462,41 @@ def test_near_copies_brute_force(spark, how):
     assert kept == sorted([str(i) for i in got if got[i] == i] + ["None"])
 
 
+@pytest.mark.parametrize("many", [500, 20_000])
+def test_near_copies_meet_by_pivot_distances(spark, many):
+    """Buckets are the outer ranges of distances to references, by brute force, and find pairs of 24 bits of 128."""
+    rng = np.random.default_rng(12)
+    x = [int(a) << 64 | int(b) for a, b in rng.integers(0, 1 << 64, (300, 2), np.uint64)]
+    y = [v ^ sum(1 << int(k) for k in rng.permutation(128)[:24]) for v in x]
+    number = lambda v: tuple(int(k) for k in np.array([v >> 64, v & (1 << 64) - 1], np.uint64).view(np.int64))
+    fps = spark.createDataFrame([(*number(v), k) for k, v in enumerate(x + y)], "fp long, fp1 long, s long")
+    keys = {}
+    for r in simhash.pivot_tables(fps, many).collect():
+        assert (r.fp, r.fp1) == number((x + y)[r.s])
+        keys.setdefault(r.s, []).append(r.key)
+    groups, reach, n, tables = simhash.outer_ranges(many)
+    refs = [a << 64 | b for a, b in zip(*[iter(simhash.references(72 + tables * groups * n * 2)[72:])] * 2)]
+    for k, v in list(enumerate(x + y))[::37]:
+        hits = [sum(not reach < (v ^ r).bit_count() < 128 - reach for r in refs[i : i + n]) for i in range(0, len(refs), n)]
+        assert len(keys.get(k, [])) == sum(math.prod(hits[i : i + groups]) for i in range(0, len(hits), groups))
+    share = lambda shift: np.mean([bool(set(keys.get(k, [])) & set(keys.get(300 + (k + shift) % 300, []))) for k in range(300)])
+    assert share(0) > 0.9 and share(1) < 0.4
+
+
+def test_pivot_filter_loses_no_pair():
+    rng = np.random.default_rng(13)
+    fp = rng.integers(0, 1 << 64, (40, 2), np.uint64)
+    for k in range(1, 40):
+        fp[k] = fp[0]
+        for b in rng.permutation(128)[:k]:
+            fp[k, b // 64] ^= np.uint64(1) << np.uint64(b % 64)
+    a, b = (i.ravel() for i in np.indices((40, 40)))
+    for longs, most in ((2, 32), (1, 2)):
+        bits = np.bitwise_count(fp[a, :longs] ^ fp[b, :longs]).astype(int).sum(1)
+        keep, found = simhash.pivot_filter(most, longs)([fp[:, 0].view(np.int64), fp[:, 1].view(np.int64), np.arange(40)])(a, b)
+        assert (keep == np.flatnonzero(bits <= most)).all() and (found == bits[keep]).all()
+
+
 def test_spread_join_deals_hot_keys(spark):
     left = spark.createDataFrame([(k, i) for i in range(400) for k in ([1] if i % 4 else [i])], "k long, i long")
     right = spark.createDataFrame([(1, "a"), (8, "b"), (500, "c")], "k long, v string")

@@ -22,8 +22,10 @@ PAIRS_UP_TO = 24
 NEAR_SHINGLE, NEAR_LEAST, NEAR_BITS = 5, 0.8, 32
 #: What tells texts apart in that search: their fingerprint and the digest of their set.
 NEAR_NODE = ["fp", "fp1", "s"]
-#: Buckets of sampled bits of more fingerprints than this are linked through their centre and by blocks.
+#: Buckets of near copies of more fingerprints than this are linked through their centre and by blocks.
 NEAR_PAIRS_UP_TO = 64
+#: Fingerprints in a bucket of outer ranges on average, at most, and references that a fingerprint lies in an outer range of, of each group.
+NEAR_BUCKET, HITS = 32, 2
 #: Fingerprints in a block of a large bucket; a task compares two blocks.
 BLOCK = 2048
 
@@ -134,32 +136,34 @@ def pivot_buckets(fps: DataFrame, in_key: int, max_bits: int = MAX_BITS) -> Data
     return fps.select("fp").mapInArrow(run, "key long, fp long")
 
 
-def pivot_filter(max_bits: int):
-    """A test of pairs of rows: discards those whose distances to any of CHECKED more references differ by over max_bits,
-    and verifies the rest by their differing bits."""
-    refs = np.array(references(REFERENCES + CHECKED)[REFERENCES:], np.uint64)
+def pivot_filter(max_bits: int, longs: int = 1):
+    """A test of pairs of rows, whose first `longs` numbers are a fingerprint: discards those whose distances to any of CHECKED
+    more references differ by over max_bits, which pairs of up to max_bits differing bits never do, and verifies the rest by
+    their differing bits."""
+    refs = np.array(references(longs * (REFERENCES + CHECKED)), np.uint64).reshape(-1, longs)[REFERENCES:]
 
-    def close(values, a, b):
-        fp = values[0].view(np.uint64)
-        keep = np.arange(len(a))
-        for r in refs:
-            d = np.bitwise_count(fp ^ r).astype(np.int16)
-            keep = keep[np.abs(d[a[keep]] - d[b[keep]]) <= max_bits]
-        bits = np.bitwise_count(fp[a[keep]] ^ fp[b[keep]])
-        return keep[bits <= max_bits], bits[bits <= max_bits]
+    def close(values):
+        fps = [v.view(np.uint64) for v in values[:longs]]
+        distances = [distance(fps, r).astype(np.int16) for r in refs]
 
-    return close
+        def test(a, b):
+            keep = np.arange(len(a))
+            for d in distances:
+                keep = keep[np.abs(d[a[keep]] - d[b[keep]]) <= max_bits]
+            bits = distance([fp[a[keep]] for fp in fps], [fp[b[keep]] for fp in fps])
+            return keep[bits <= max_bits], bits[bits <= max_bits].astype(np.int64)
 
+        return test
 
-def bits_filter(max_bits: int):
-    """A test of pairs of rows: those of up to max_bits differing bits in their first two numbers together."""
+    return close
 
-    def close(values, a, b):
-        d = sum(np.bitwise_count(v.view(np.uint64)[a] ^ v.view(np.uint64)[b]).astype(np.int64) for v in values[:2])
-        keep = np.flatnonzero(d <= max_bits)
-        return keep, d[keep]
 
-    return close
+def distance(a, b) -> np.ndarray:
+    """Differing bits of fingerprints of one or more numbers of 64 bits."""
+    out = np.bitwise_count(a[0] ^ b[0])
+    for x, y in zip(a[1:], b[1:]):
+        out = out + np.bitwise_count(x ^ y)  # two numbers differ in 128 bits at most
+    return out
 
 
 def forest(n: int, a: np.ndarray, b: np.ndarray, weight: np.ndarray) -> np.ndarray:
@@ -187,7 +191,7 @@ def forest(n: int, a: np.ndarray, b: np.ndarray, weight: np.ndarray) -> np.ndarr
 
 
 def meet(keyed: DataFrame, pairs_up_to: int, close, key_rows: int = KEY_ROWS, shares: int = 64) -> tuple[DataFrame, DataFrame]:
-    """(pairs, dense) of rows (key, numbers..): of the pairs of rows of one key that `close` keeps, pairs has those, as columns
+    """(pairs, dense) of rows (key, numbers..): of the pairs of rows of one key that the test `close` makes of their numbers keeps, pairs has those, as columns
     a_.. and b_.., that make a spanning forest of least differing bits, for keys of up to `pairs_up_to` rows; dense has the rows of
     all larger keys.
 
@@ -220,13 +224,13 @@ def meet(keyed: DataFrame, pairs_up_to: int, close, key_rows: int = KEY_ROWS, sh
             many = np.repeat((sizes > pairs_up_to) | (now[starts] == large if large is not None else False), sizes) if end else np.zeros(0, bool)
             found = [(np.zeros(0, np.int64),) * 3]
             few = np.flatnonzero(~many)
+            test = close([v[few] for v in part])
             for step in range(1, pairs_up_to):
-                a, b = few[:-step], few[step:]
-                a, b = (x[now[a] == now[b]] for x in (a, b))
+                a = np.flatnonzero(now[few[:-step]] == now[few[step:]])
                 if not len(a):
                     break
-                keep, bits = close(part, a, b)
-                found.append((a[keep], b[keep], bits))
+                keep, bits = test(a, a + step)
+                found.append((few[a[keep]], few[a[keep] + step], bits))
             a, b, bits = (np.concatenate(x) for x in zip(*found))
             tree = forest(end, a, b, bits)
             a, b = a[tree], b[tree]
@@ -333,28 +337,57 @@ def near_duplicates(documents: DataFrame, key_rows: int = KEY_ROWS) -> DataFrame
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def sampled_tables(fps: DataFrame, many: int, recall: float = 0.95, at_bits: int = 24) -> DataFrame:
-    """(key, fp, fp1, s): 128-bit fingerprints in buckets of equal sampled bits, in so many tables that two fingerprints of
-    `at_bits` differing bits share a bucket with a probability of `recall`.
+def outer_ranges(many: int, recall: float = 0.95, at_bits: int = 24) -> tuple[int, int, int, int]:
+    """(groups, reach, references, tables) of pivot_tables() for `many` fingerprints.
 
-    A table samples about log2(many / 16) bits, so buckets stay small at any size and the number of tables grows with it.
+    A bucket holds NEAR_BUCKET of `many` fingerprints of random bits at most; two fingerprints of `at_bits` differing bits
+    share one with a probability of `recall`. That they share an outer range of one reference has an exact probability:
+    their distances to it are a + b and a + at_bits - b, with a of the bits that they share.
+    """
+    groups = 1 + (many > 1 << 14) + (many > 1 << 27)  # more groups need fewer references, but more tables
+    share = lambda reach: sum(math.comb(128, k) for k in range(reach + 1)) / 2**128
+    reach = next(x for x in range(58, 0, -1) if many * share(x) ** groups <= NEAR_BUCKET or x == 1)
+    refs = round(HITS / (2 * share(reach)))
+    both = sum(math.comb(128 - at_bits, a) * math.comb(at_bits, b) for b in range(at_bits + 1) for a in range(reach - max(b, at_bits - b) + 1)) / 2**128
+    met = (1 - (1 - 2 * both) ** refs) ** groups
+    return groups, reach, refs, math.ceil(math.log(1 - recall) / math.log(1 - met))
+
+
+def pivot_tables(fps: DataFrame, many: int) -> DataFrame:
+    """(key, fp, fp1, s): 128-bit fingerprints in buckets of their distances to references.
+
+    The distances of a fingerprint to full-width references are cut into three ranges: up to `reach`, the 128 - reach and
+    over, and the middle one, where most lie and which tells nothing. A bucket is an outer range of a reference of each
+    group; near copies share outer ranges far more often than others. Each table has references of its own, so the
+    tables find a pair independently; their number grows with that of the fingerprints, and buckets stay small.
     """
-    bits = min(96, max(8, math.ceil(math.log2(max(many, 2) / 16))))
-    tables = math.ceil(math.log(1 - recall) / math.log(1 - (1 - at_bits / 128) ** bits))
-    order = np.random.default_rng(11)
-    masks = []
-    for _ in range(tables):
-        mask = np.zeros(128, np.uint8)
-        mask[order.permutation(128)[:bits]] = 1
-        masks.append(np.packbits(mask, bitorder="little").view(np.uint64))
+    groups, reach, n, tables = outer_ranges(many)
+    known = 2 * (REFERENCES + CHECKED)  # those of pivot_filter()
+    refs = np.array(references(known + tables * groups * n * 2)[known:], np.uint64).reshape(tables, groups, n, 2)
+
+    def outer(f, g, of):
+        """(fingerprint, outer range) for all that a fingerprint lies in, in its order."""
+        d = np.stack([distance((f, g), r) for r in of])
+        cell, own = np.nonzero(np.concatenate([d <= reach, d >= 128 - reach]))
+        order = np.argsort(own, kind="stable")
+        return own[order], cell[order].astype(np.uint64)
 
     def run(batches):
         for batch in batches:
-            f, g = (np.asarray(batch.column(c)).view(np.uint64) for c in ("fp", "fp1"))
-            for t, (m, n) in enumerate(masks):
-                with np.errstate(over="ignore"):
-                    key = _mix(_mix((f & m) + np.uint64(t)) * np.uint64(31) + (g & n))
-                yield pa.RecordBatch.from_pydict({"key": key.view(np.int64), "fp": batch.column("fp"), "fp1": batch.column("fp1"), "s": batch.column("s")})
+            if not batch.num_rows:
+                continue
+            f, g, s = (np.asarray(batch.column(c)) for c in ("fp", "fp1", "s"))
+            for t in range(tables):
+                own, key = np.arange(len(f)), np.full(len(f), t, np.uint64)
+                for of in refs[t]:
+                    rows, cell = outer(f.view(np.uint64), g.view(np.uint64), of)
+                    many_of = np.bincount(rows, minlength=len(f))
+                    times = many_of[own]
+                    at = np.repeat((np.cumsum(many_of) - many_of)[own] - np.cumsum(times) + times, times) + np.arange(times.sum())
+                    own = np.repeat(own, times)
+                    with np.errstate(over="ignore"):
+                        key = _mix(_mix(np.repeat(key, times)) * np.uint64(31) + cell[at] + np.uint64(1))
+                yield pa.RecordBatch.from_pydict({"key": key.view(np.int64), "fp": f[own], "fp1": g[own], "s": s[own]})
 
     return fps.select("fp", "fp1", "s").mapInArrow(run, "key long, fp long, fp1 long, s long")
 
@@ -453,7 +486,8 @@ def near_copies(documents: DataFrame, shingle: int = NEAR_SHINGLE, least: float
     """(doc_id, component_id) of each row with a doc_id: the least doc_id reachable through near copies, texts whose sets of
     `shingle`-word shingles have a similarity of `least` or more.
 
-    Candidates are 128-bit fingerprints of up to NEAR_BITS differing bits that share a bucket of sampled bits. Texts of one set of
+    Candidates are 128-bit fingerprints that share a bucket of pivot distances; pairs whose distances to any of CHECKED more
+    references differ by over NEAR_BITS are discarded, and the rest verified to differ in up to NEAR_BITS bits. Texts of one set of
     shingles are one node, and texts of one fingerprint alone are compared like any others. Of each bucket, the pairs of a spanning forest of least differing bits are compared by
     their whole texts. In a bucket of more than `pairs_up_to` fingerprints, all members are compared with its centre
     first; only where that leaves it in several components, its blocks are searched for the forest that connects
@@ -462,8 +496,8 @@ def near_copies(documents: DataFrame, shingle: int = NEAR_SHINGLE, least: float
     docs = documents.where("doc_id is not null").select("doc_id", "text")
     fps = checkpoint(fingerprints(docs, shingle, 2))
     nodes = checkpoint(fps.groupBy(F.struct(*NEAR_NODE).alias("node")).agg(F.min(F.struct("doc_id", "row")).alias("m")).select("node", "m.*"))
-    keyed = sampled_tables(nodes.select("node.*"), nodes.count())
-    found, dense = meet(keyed, pairs_up_to, bits_filter(NEAR_BITS), key_rows)
+    keyed = pivot_tables(nodes.select("node.*"), nodes.count())
+    found, dense = meet(keyed, pairs_up_to, pivot_filter(NEAR_BITS, 2), key_rows)
     pairs = found.select(*[F.struct(*[F.col(f"{side}_{c}").alias(c) for c in NEAR_NODE]).alias(side) for side in ("a", "b")])
     dense = checkpoint(dense)
     sizes = checkpoint(dense.groupBy("key").agg(F.count("*").alias("n")))
