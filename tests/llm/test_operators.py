@@ -483,6 +483,34 @@ def test_near_copies_meet_by_pivot_distances(spark, many):
     assert share(0) > 0.9 and share(1) < 0.4
 
 
+def test_buckets_of_near_copies_have_spaced_references():
+    """References that happen to lie close made buckets far above the average; without them as many pairs are found."""
+    many, rng = 47_000, np.random.default_rng(15)
+    groups, reach, n, planned = simhash.outer_ranges(many)
+    apart, tables = simhash.spaced_ranges(many)
+    x = rng.integers(0, 1 << 64, (many, 2), np.uint64)
+    y = x[:1000].copy()
+    for k in range(len(y)):
+        for bit in rng.permutation(128)[:24]:
+            y[k, bit // 64] ^= np.uint64(1) << np.uint64(bit % 64)
+    refs = simhash.table_references(tables, groups, n)
+    keys = lambda v, t, apart: simhash.table_keys(v[:, 0], v[:, 1], refs[t], t, reach, apart)
+
+    def large(apart):
+        sizes = np.concatenate([np.unique(keys(x, t, apart)[1], return_counts=True)[1] for t in range(3)])
+        return sizes[sizes > simhash.NEAR_PAIRS_UP_TO].sum() / sizes.sum()
+
+    assert large(0) > 0.005 and large(apart) < large(0) / 10
+    found, buckets = set(), 0
+    for t in range(tables):
+        a, b = (set(zip(*(k.tolist() for k in keys(v, t, apart)))) for v in (x[:1000], y))
+        found |= {own for own, _ in a & b}
+        buckets += sum(own == 7 for own, _ in a)
+    assert len(found) > 930
+    cells = [[[c for c in [*g, *~g] if np.bitwise_count(x[7] ^ c).sum() <= reach] for g in of] for of in refs]
+    assert buckets == sum(np.bitwise_count(c ^ d).sum() >= apart for one, two in cells for c in one for d in two)
+
+
 def test_pivot_filter_loses_no_pair():
     rng = np.random.default_rng(13)
     fp = rng.integers(0, 1 << 64, (40, 2), np.uint64)

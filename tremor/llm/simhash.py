@@ -337,6 +337,11 @@ def near_duplicates(documents: DataFrame, key_rows: int = KEY_ROWS) -> DataFrame
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def both_within(reach: int, bits: int) -> float:
+    """The share of all 128-bit numbers that lie within `reach` of both of two numbers of `bits` differing bits."""
+    return sum(math.comb(128 - bits, a) * math.comb(bits, b) for b in range(bits + 1) for a in range(reach - max(b, bits - b) + 1)) / 2**128
+
+
 def outer_ranges(many: int, recall: float = 0.95, at_bits: int = 24) -> tuple[int, int, int, int]:
     """(groups, reach, references, tables) of pivot_tables() for `many` fingerprints.
 
@@ -348,45 +353,81 @@ def outer_ranges(many: int, recall: float = 0.95, at_bits: int = 24) -> tuple[in
     share = lambda reach: sum(math.comb(128, k) for k in range(reach + 1)) / 2**128
     reach = next(x for x in range(58, 0, -1) if many * share(x) ** groups <= NEAR_BUCKET or x == 1)
     refs = round(HITS / (2 * share(reach)))
-    both = sum(math.comb(128 - at_bits, a) * math.comb(at_bits, b) for b in range(at_bits + 1) for a in range(reach - max(b, at_bits - b) + 1)) / 2**128
-    met = (1 - (1 - 2 * both) ** refs) ** groups
+    met = (1 - (1 - 2 * both_within(reach, at_bits)) ** refs) ** groups
     return groups, reach, refs, math.ceil(math.log(1 - recall) / math.log(1 - met))
 
 
-def pivot_tables(fps: DataFrame, many: int) -> DataFrame:
+def spaced_ranges(many: int, recall: float = 0.95, at_bits: int = 24, pairs: int = 1 << 12) -> tuple[int, int]:
+    """(apart, tables) of pivot_tables() for `many` fingerprints, with buckets of spaced references only.
+
+    outer_ranges() takes the distances to references of different groups as independent. To references that happen to
+    lie close they aren't, and the share of buckets that for this hold far more grows with the number of references. So the references
+    of a bucket differ in `apart` bits or more, the least for which two groups give no more than NEAR_BUCKET of `many` fingerprints of
+    random bits, or than twice the average, and more tables make up for the buckets left out: how often a table finds a pair
+    of `at_bits` differing bits is measured, on fixed random pairs.
+    """
+    groups, reach, n, _ = outer_ranges(many, recall, at_bits)
+    share = both_within(reach, 0)
+    more = max(2, NEAR_BUCKET / max(1, many * share**groups))
+    apart = 0 if groups == 1 else next(d for d in range(65) if both_within(reach, d) <= more * share**2)
+    order = np.random.default_rng(14)
+    x = order.integers(0, 1 << 64, (pairs, 2), np.uint64)
+    turned = order.permuted(np.tile(np.arange(128) < at_bits, (pairs, 1)), axis=1)
+    y = x ^ np.packbits(turned, axis=1, bitorder="little").view(np.uint64)
+    met, refs = 0, table_references(8, groups, n)
+    for of in refs:
+        a, b = (set(zip(*(v.tolist() for v in table_keys(*fps.T, of, 0, reach, apart)))) for fps in (x, y))
+        met += len({own for own, _ in a & b})
+    return apart, math.ceil(math.log(1 - recall) / math.log(1 - max(1, met) / (len(refs) * pairs)))
+
+
+def table_references(tables: int, groups: int, n: int) -> np.ndarray:
+    """[table, group, reference] -> 128 bits as two numbers."""
+    known = 2 * (REFERENCES + CHECKED)  # those of pivot_filter()
+    return np.array(references(known + tables * groups * n * 2)[known:], np.uint64).reshape(tables, groups, n, 2)
+
+
+def table_keys(f: np.ndarray, g: np.ndarray, refs: np.ndarray, table: int, reach: int, apart: int) -> tuple[np.ndarray, np.ndarray]:
+    """(fingerprint, key) for the buckets of one table, of references refs[group], that fingerprints f, g lie in."""
+    own, key, chosen = np.arange(len(f)), np.full(len(f), table, np.uint64), []
+    for of in refs:
+        d = np.stack([distance((f, g), r) for r in of])
+        cell, rows = np.nonzero(np.concatenate([d <= reach, d >= 128 - reach]))
+        order = np.argsort(rows, kind="stable")
+        cell, many_of = cell[order], np.bincount(rows, minlength=len(f))
+        times = many_of[own]
+        at = np.repeat((np.cumsum(many_of) - many_of)[own] - np.cumsum(times) + times, times) + np.arange(times.sum())
+        centre = np.concatenate([of, ~of])[cell[at]]  # 128 - reach and over of a reference is up to reach of its inverse
+        chosen = [np.repeat(c, times, axis=0) for c in chosen]
+        far = np.ones(len(at), bool)
+        for c in chosen:
+            far &= distance(c.T, centre.T) >= apart
+        chosen = [c[far] for c in [*chosen, centre]]
+        with np.errstate(over="ignore"):
+            key = _mix(_mix(np.repeat(key, times)[far]) * np.uint64(31) + cell[at][far].astype(np.uint64) + np.uint64(1))
+        own = np.repeat(own, times)[far]
+    return own, key
+
+
+def pivot_tables(fps: DataFrame, many: int, apart: int = 0, tables: int | None = None) -> DataFrame:
     """(key, fp, fp1, s): 128-bit fingerprints in buckets of their distances to references.
 
     The distances of a fingerprint to full-width references are cut into three ranges: up to `reach`, the 128 - reach and
     over, and the middle one, where most lie and which tells nothing. A bucket is an outer range of a reference of each
     group; near copies share outer ranges far more often than others. Each table has references of its own, so the
-    tables find a pair independently; their number grows with that of the fingerprints, and buckets stay small.
+    tables find a pair independently; their number grows with that of the fingerprints, and buckets stay small, if the centres
+    of their ranges, references or their inverses, differ in `apart` bits or more (see spaced_ranges()).
     """
-    groups, reach, n, tables = outer_ranges(many)
-    known = 2 * (REFERENCES + CHECKED)  # those of pivot_filter()
-    refs = np.array(references(known + tables * groups * n * 2)[known:], np.uint64).reshape(tables, groups, n, 2)
-
-    def outer(f, g, of):
-        """(fingerprint, outer range) for all that a fingerprint lies in, in its order."""
-        d = np.stack([distance((f, g), r) for r in of])
-        cell, own = np.nonzero(np.concatenate([d <= reach, d >= 128 - reach]))
-        order = np.argsort(own, kind="stable")
-        return own[order], cell[order].astype(np.uint64)
+    groups, reach, n, planned = outer_ranges(many)
+    refs = table_references(tables or planned, groups, n)
 
     def run(batches):
         for batch in batches:
             if not batch.num_rows:
                 continue
             f, g, s = (np.asarray(batch.column(c)) for c in ("fp", "fp1", "s"))
-            for t in range(tables):
-                own, key = np.arange(len(f)), np.full(len(f), t, np.uint64)
-                for of in refs[t]:
-                    rows, cell = outer(f.view(np.uint64), g.view(np.uint64), of)
-                    many_of = np.bincount(rows, minlength=len(f))
-                    times = many_of[own]
-                    at = np.repeat((np.cumsum(many_of) - many_of)[own] - np.cumsum(times) + times, times) + np.arange(times.sum())
-                    own = np.repeat(own, times)
-                    with np.errstate(over="ignore"):
-                        key = _mix(_mix(np.repeat(key, times)) * np.uint64(31) + cell[at] + np.uint64(1))
+            for t, of in enumerate(refs):
+                own, key = table_keys(f.view(np.uint64), g.view(np.uint64), of, t, reach, apart)
                 yield pa.RecordBatch.from_pydict({"key": key.view(np.int64), "fp": f[own], "fp1": g[own], "s": s[own]})
 
     return fps.select("fp", "fp1", "s").mapInArrow(run, "key long, fp long, fp1 long, s long")
@@ -496,7 +537,8 @@ def near_copies(documents: DataFrame, shingle: int = NEAR_SHINGLE, least: float
     docs = documents.where("doc_id is not null").select("doc_id", "text")
     fps = checkpoint(fingerprints(docs, shingle, 2))
     nodes = checkpoint(fps.groupBy(F.struct(*NEAR_NODE).alias("node")).agg(F.min(F.struct("doc_id", "row")).alias("m")).select("node", "m.*"))
-    keyed = pivot_tables(nodes.select("node.*"), nodes.count())
+    many = nodes.count()
+    keyed = pivot_tables(nodes.select("node.*"), many, *spaced_ranges(many))
     found, dense = meet(keyed, pairs_up_to, pivot_filter(NEAR_BITS, 2), key_rows)
     pairs = found.select(*[F.struct(*[F.col(f"{side}_{c}").alias(c) for c in NEAR_NODE]).alias(side) for side in ("a", "b")])
     dense = checkpoint(dense)
