@@ -440,26 +440,24 @@ def _differing(a: str, b: str) -> Column:
 def bucket_centres(dense: DataFrame, sizes: DataFrame, key_rows: int, block: int = BLOCK) -> DataFrame:
     """(a, b): each fingerprint of a large bucket with the bucket's centre, the member next to the majority of each bit.
 
-    The majority is that of about a block of the members; where it doesn't find the best centre, bucket_trees() has more to do.
+    The centre is that of about a block of the members; where it isn't the best one of all, bucket_trees() has more to do.
     """
     total = sizes.agg(F.sum("n")).first()[0] or 0
     some = spread_join(dense, sizes, "key", sizes, total, ["fp", "fp1", "s"], "inner", key_rows)
     some = some.where(F.pmod(F.xxhash64("fp", "fp1", F.lit("centre")), F.ceil(F.col("n") / block)) == 0)
 
-    def majority(table: pa.Table) -> pa.Table:
-        bits = np.zeros(128, np.int64)
-        for k, c in enumerate(("fp", "fp1")):
-            raw = np.ascontiguousarray(np.asarray(table.column(c).combine_chunks())).view(np.uint8).reshape(-1, 8)
-            bits[64 * k : 64 * k + 64] = np.unpackbits(raw, axis=1, bitorder="little").sum(0)
-        f, g = np.packbits(bits * 2 > table.num_rows, bitorder="little").view(np.int64)
-        return pa.table({"key": table.column("key")[:1], "fp": pa.array([f], pa.int64()), "fp1": pa.array([g], pa.int64())})
+    def centre(table: pa.Table) -> pa.Table:
+        nodes = [np.asarray(table.column(c).combine_chunks()) for c in NEAR_NODE]
+        fps = [v.view(np.uint64) for v in nodes[:2]]
+        bits = np.concatenate([np.unpackbits(v.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64) for v in fps])
+        middle = np.packbits(bits * 2 > table.num_rows, bitorder="little").view(np.uint64)
+        at = np.lexsort((*nodes[::-1], distance(fps, middle)))[:1]
+        return pa.table({"key": table.column("key")[:1], **{c: v[at] for c, v in zip(NEAR_NODE, nodes)}})
 
-    middle = some.select("key", "fp", "fp1").groupBy("key").applyInArrow(majority, "key long, fp long, fp1 long")
-    middle = checkpoint(middle.select("key", F.struct("fp", "fp1").alias("middle")))
+    found = some.select("key", *NEAR_NODE).groupBy("key").applyInArrow(centre, "key long, fp long, fp1 long, s long")
+    found = checkpoint(found.select("key", F.struct(*NEAR_NODE).alias("a")))
     rows = dense.select("key", F.struct(*NEAR_NODE).alias("b"))
-    at = spread_join(rows, middle, "key", sizes, total, ["b"], "inner", key_rows).withColumn("d", _differing("middle", "b"))
-    centre = at.groupBy("key").agg(F.min(F.struct("d", "b")).alias("c")).select("key", F.col("c.b").alias("a"))
-    return spread_join(rows, centre, "key", sizes, total, ["b"], "inner", key_rows).where("a != b").select("a", "b")
+    return spread_join(rows, found, "key", sizes, total, ["b"], "inner", key_rows).where("a != b").select("a", "b")
 
 
 def bucket_trees(dense: DataFrame, found: DataFrame, sizes: DataFrame, key_rows: int, block: int = BLOCK, max_bits: int = NEAR_BITS) -> DataFrame:
