@@ -299,6 +299,31 @@ def test_confirmed_rows_replace_pending_ones(spark, tmp_path):
     assert sorted(got) == [(1, 0, True, 10.0), (1, 1, False, 5.0), (2, 0, True, 2.0), (3, 0, False, 3.0)]
 
 
+@pytest.mark.parametrize("cuts", [[0, 8], [0, 3, 8], [0, 1, 2, 5, 8]])
+def test_dedup_whatever_the_batches(spark, tmp_path, cuts):
+    """Rows that come again and other rows of a key: the first confirmed one counts, else the first; each row is emitted once."""
+    at = lambda s: datetime(2024, 1, 1, 0, 0, s)
+    rows = [(at(5), 1, 0, False, 5.0), (at(4), 1, 0, False, 4.0), (at(9), 2, 0, True, 9.0), (at(9), 2, 0, True, 9.0), (at(8), 2, 0, True, 8.0), (at(7), 2, 0, False, 7.0), (at(5), 1, 0, False, 5.0), (at(6), 3, 1, True, None)]
+    stream = two_batches(spark, tmp_path, "ts timestamp, tx long, log long, confirmed boolean, usd double", [rows[i:j] for i, j in zip(cuts, cuts[1:])])
+    emitted = live.run_to_table(live.deduplicated(stream, "1 hour"), "test-dedup", large_state=True)
+    assert sorted(one(live.current_rows(emitted))) == [(1, 0, False, 4.0), (2, 0, True, 8.0), (3, 1, True, None)]
+    assert emitted.count() == len(set(rows)) == 6
+    assert spark.conf.get("spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage", "unset") in ("unset", "false")
+
+
+def test_dedup_groups_no_rows_in_python(spark, tmp_path):
+    """A Python call for each key took 6.7 ms: with a row or two a key that is the time of the whole job. Several files are read like one."""
+    at = datetime(2024, 1, 1)
+    rows = spark.createDataFrame([(k, at, 1, "view", float(k), "") for k in range(40)], "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string")
+    rows.repartition(3).write.parquet(f"{tmp_path}/some/events.parquet")
+    got = sorted(one(QUERIES["stream_dedup"](spark, f"{tmp_path}/some")))
+    assert got == [(k, k % 3, True, 2.0 * k + 1) for k in range(20)]
+    stream = live.event_stream(spark, f"{tmp_path}/some").selectExpr("cast(ts as timestamp) as ts", "event_id as tx", "event_id as log", "true as confirmed", "value as usd")
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr("pyspark.sql.GroupedData.applyInPandasWithState", None)
+        assert live.deduplicated(stream, "1 hour").isStreaming
+
+
 def test_final_bars_wait_for_the_lag(spark, tmp_path):
     at = lambda block: datetime.fromtimestamp(1704067200 + 12 * block)
     parts = [[("p", at(b), 1.0) for b in (0, 9, 11)], [("p", at(b), 1.0) for b in (25, 31)], [("p", at(33), 1.0)]]

@@ -55,7 +55,7 @@ def stream_dedup(spark, d):
     e = live.event_stream(spark, d)
     tx = F.floor(F.col("event_id") / 2).cast("long")
     rows = e.select(F.col("ts").cast("timestamp").alias("ts"), tx.alias("tx"), (tx % 3).alias("log"), (F.col("event_id") % 2 == 1).alias("confirmed"), F.col("value").alias("usd"))
-    return live.current_rows(live.run_to_table(live.deduplicated(rows, "60 days"), "dedup"))
+    return live.current_rows(live.run_to_table(live.deduplicated(rows, "60 days"), "dedup", large_state=True))
 
 
 _STREAMED = f""", c as (select protocol, min(block_number) as start_block, max(block_number) as last_block, count(*) as n, sum(amount_usd) as usd from (select *, sum(case when p is null or block_number - p > {STREAM_GAP} then 1 else 0 end) over (partition by protocol order by block_number range unbounded preceding) as g
