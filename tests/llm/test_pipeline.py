@@ -92,6 +92,26 @@ def test_stages(spark, benchmark_dir):
         assert empty.collect() == []
 
 
+@pytest.mark.parametrize("groups, words_of", [(240, 120), (240, 30)])
+def test_near_dedup_finds_every_near_copy(spark, benchmark_dir, groups, words_of):
+    """Pairs just above and below the least similarity, chains of them, and copies whose repeated words turn the fingerprint, by brute force of all pairs of a group."""
+    rng, rows = np.random.default_rng(21), []
+    for g in range(groups):
+        base = [f"w{g}x{k}" for k in range(words_of)]
+        own = [base, base + ["x"] * 400] if g % 3 == 0 else [base]
+        for j in range(1, 5):
+            t = list(own[-1] if j % 2 else base)
+            cut = int(rng.integers(1, max(2, words_of // 5)))
+            own.append(t[cut:] if j == 1 else t[:-cut] + [f"e{g}x{j}x{k}" for k in range(cut // 2)] if j == 2 else t[:cut] + ["y"] + t[cut:])
+        rows += [(10 * g + k, " ".join(own[k]), "en", "s1") for k in rng.permutation(len(own)).tolist()]
+    got = {r.doc_id for r in dict(corpus_pipeline.STAGES)["near_dedup"](spark, table(spark, rows), benchmark_dir).collect()}
+    texts, want = {i: t for i, t, _, _ in rows}, set()
+    for g in range(groups):
+        root = reach([i for i in texts if i // 10 == g], lambda a, b: jaccard(texts[a], texts[b]) >= 0.8)
+        want |= {i for i in root if root[i] == i}
+    assert got == want
+
+
 def test_rows_of_one_document_share_its_copies(spark):
     """Equal rows get what the mix gives them together, rows without a doc_id each their own."""
     same = [(7, "a b c", "en", "s1")] * 40 + [(None, f"n{i} m", "en", "s1") for i in range(6)] + [(None, "n1 m", "en", "s1")] * 5 + [(8, "w " * 500, "en", "s2")]

@@ -10,11 +10,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tremor.llm.common import KEY_ROWS, checkpoint, spread_join
+from tremor.llm.common import KEY_ROWS, boxed, checkpoint, spread_join
 from tremor.llm.simhash import _mix, components, forest
 from tremor.llm.spans import TEXT, Spans, pieces
 
 SHINGLE = 4
+#: Words in a shingle of the corpus pipeline.
+COPY_SHINGLE = 5
 #: Least similarity of the sets, in hundredths.
 LEAST = 80
 #: Largest probability that a pair of just the least similarity shares no band, and that the posterior bound prunes it at a batch.
@@ -344,12 +346,12 @@ def links(documents: DataFrame, nodes: DataFrame, rows: int, bands: int, shingle
     return joined(roots, checkpoint(pairs(meetings(again, rows, bands, True, least, miss, 8 * block))), key_rows) or roots
 
 
-def near_duplicates(documents: DataFrame, shingle: int = SHINGLE, least: int = LEAST, miss: float = MISS, key_rows: int = KEY_ROWS, block: int = BLOCK) -> DataFrame:
+def near_duplicates(documents: DataFrame, shingle: int = SHINGLE, least: int = LEAST, miss: float = MISS, key_rows: int = KEY_ROWS, block: int = BLOCK, empty_alike: bool = False) -> DataFrame:
     """One row per document: doc_id, n_shingles (distinct), component_id (least doc_id reachable through sets of a similarity of
     `least` hundredths or more), kept (whether that is its own id).
 
     Documents of equal sets are one node. Documents without words, or text, have an empty set and are linked with
-    nothing. Rows with a null doc_id keep their row but give no name to a component (null if it has no other) and aren't kept; rows
+    nothing, or all with each other if `empty_alike`. Rows with a null doc_id keep their row but give no name to a component (null if it has no other) and aren't kept; rows
     that repeat a doc_id with different texts connect the components of those texts only by name.
     """
     docs = documents.select("doc_id", "text")
@@ -367,4 +369,16 @@ def near_duplicates(documents: DataFrame, shingle: int = SHINGLE, least: int = L
     found = spread_join(full.drop("sig"), named.select("node", "component_id"), "node", own.select("node", "n"), full.count(), ["doc_id", "row"], "inner", key_rows)
     found = found.select("doc_id", "n_shingles", "component_id")
     alone = fps.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    if empty_alike:
+        alone = alone.drop("component_id").crossJoin(F.broadcast(alone.agg(F.min("doc_id").alias("component_id"))))
     return found.unionByName(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
+
+
+def one_of_each(documents: DataFrame, shingle: int = COPY_SHINGLE, **how) -> DataFrame:
+    """The documents whose doc_id is their component's id in near_duplicates(), rows and columns as they are; rows with a null doc_id stay.
+
+    Rows that repeat a doc_id stay or go together: they go only if all of them lie in components of other ids. Documents without words are copies of each other.
+    """
+    found = near_duplicates(documents.where("doc_id is not null"), shingle, empty_alike=True, **how)
+    later = found.groupBy("doc_id").agg(F.bool_and(~F.col("kept")).alias("later")).where("later").select("doc_id")
+    return boxed(documents).join(later, F.col("row.doc_id") == F.col("doc_id"), "left_anti").select("row.*")

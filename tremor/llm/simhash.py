@@ -530,7 +530,9 @@ def near_copies(documents: DataFrame, shingle: int = NEAR_SHINGLE, least: float
     shingles are one node, and texts of one fingerprint alone are compared like any others. Of each bucket, the pairs of a spanning forest of least differing bits are compared by
     their whole texts. In a bucket of more than `pairs_up_to` fingerprints, all members are compared with its centre
     first; only where that leaves it in several components, its blocks are searched for the forest that connects
-    these. So no bucket emits all its pairs, and none is cut short.
+    these. So no bucket emits all its pairs, and none is cut short. Still some links are lost: pairs that share no bucket, that differ in more bits
+    (repeated words turn a fingerprint, not a set), or in whose place the forest has an edge that fails. Where all
+    count, as in the pipeline, take minhash.one_of_each().
     """
     docs = documents.where("doc_id is not null").select("doc_id", "text")
     fps = checkpoint(fingerprints(docs, shingle, 2))
